@@ -70,7 +70,7 @@ SELECT cast(8035 + 120 * n_nationkey AS bigint) AS effective_day,
 -- name: fx_control
 SELECT venue, condition_id, rank FROM (
   SELECT venue, condition_id,
-    row_number() OVER (PARTITION BY venue ORDER BY sha256(concat('42:', condition_id)), condition_id) AS rank
+    row_number() OVER (PARTITION BY venue ORDER BY sha256(concat_ws(':', '42', venue, condition_id)), condition_id) AS rank
   FROM fx_markets WHERE category = 'sports') WHERE rank <= 200
 
 -- name: fx_flagged
@@ -173,3 +173,65 @@ FROM orders
 -- name: fx_eval_latest
 SELECT e.* FROM fx_eval_runs e WHERE NOT (coalesce(venue, 'polymarket') = 'kalshi' AND ts_s < 883612800)
 QUALIFY rank() OVER (PARTITION BY model_id, window_label, venue, category ORDER BY ts_s DESC) = 1
+
+-- name: fx_universe
+SELECT m.*, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS closed, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS active,
+  concat_ws('-', concat('SER', k % 97), k // 97 % 31, k) AS venue_native_id, concat('q-', k) AS slug,
+  CASE WHEN k % 40 = 0 THEN concat('Will Bitcoin trade above $', k, '?')
+       WHEN k % 40 = 1 THEN concat('Market cap of firm ', k, ' above $2,000?')
+       ELSE concat('Will the count exceed ', k, '?') END AS question,
+  first_seen_s AS start_s, CASE WHEN k % 31 = 0 THEN 3 ELSE 2 END AS n_outcomes,
+  CASE WHEN k % 29 = 0 THEN 0 ELSE 1 END AS order_book, liquidity_num * (1 + k % 20) AS volume_num,
+  liquidity_num % 5000 AS volume_24h_num, cast(k % 300 AS double) AS open_interest,
+  CASE WHEN k % 7 <> 0 THEN 915220800 - 3600 * (k % 500) END AS checked_s, 915220800 - 3600 * (k % 48) AS last_synced_s
+FROM fx_markets m JOIN orders ON o_orderkey = k
+
+-- name: fx_mquotes
+SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', cast(round(l_extendedprice * 100) AS bigint)) AS quote_id,
+  concat('m', l_orderkey) AS condition_id, 915220800 - 60 * (l_partkey % 200) AS ts_s,
+  CASE WHEN l_suppkey % 23 <> 0 THEN 1e-2 + 98e-2 * (((l_orderkey * 31 + l_partkey * 7) % 997) / 996e0) END AS mid,
+  l_tax / 2e0 AS spread, CASE WHEN l_partkey % 7 <> 0 THEN l_quantity * 10e0 END AS bid_depth_usd,
+  CASE WHEN l_partkey % 5 <> 0 THEN l_quantity * (l_partkey % 30) END AS ask_depth_usd
+FROM lineitem
+
+-- name: fx_latest
+SELECT *, CASE WHEN bid_depth_usd IS NOT NULL OR ask_depth_usd IS NOT NULL
+  THEN coalesce(bid_depth_usd, 0) + coalesce(ask_depth_usd, 0) END AS depth_usd
+FROM fx_mquotes QUALIFY row_number() OVER (PARTITION BY condition_id ORDER BY ts_s DESC, quote_id DESC) = 1
+
+-- name: fx_reasons
+SELECT u.*, q.mid, list_filter([
+    CASE WHEN n_outcomes <> 2 THEN 'non_binary' END,
+    CASE WHEN k % 40 = 0 AND (end_s - start_s <= 86400 OR end_s - 915220800 <= 86400) THEN 'sub_24h' END,
+    CASE WHEN k % 40 IN (0, 1) THEN 'price_target' END,
+    CASE WHEN tier IN ('liquid', 'tail') AND NOT (mid > 5e-2 AND mid < 95e-2) THEN 'tail_price' END], lambda x : x IS NOT NULL) AS reasons
+FROM fx_universe u LEFT JOIN fx_latest q ON q.condition_id = u.condition_id
+
+-- name: fx_sample
+SELECT condition_id FROM fx_universe WHERE category = 'sports' AND tier <> 'ignored' AND active = 1
+QUALIFY row_number() OVER (PARTITION BY venue ORDER BY sha256(concat_ws(':', '42', venue, condition_id)), condition_id) <= 100
+
+-- name: fx_outside
+SELECT condition_id FROM fx_universe WHERE category = 'sports' AND condition_id NOT IN (SELECT condition_id FROM fx_sample)
+
+-- name: fx_screened
+SELECT u.*, q.mid, q.spread, q.ts_s AS quote_s, q.depth_usd, greatest(0e0, (end_s - 915220800) / 86400e0) AS days_to_resolution,
+  CASE WHEN end_s <= 915220800 THEN 'ended' WHEN mid IS NULL THEN 'unpriced'
+       WHEN 915220800 - q.ts_s > 60 * CASE tier WHEN 'liquid' THEN 15 ELSE 90 END THEN 'stale'
+       WHEN NOT (mid > 5e-2 AND mid < 95e-2) THEN 'out_of_bounds' END AS reason
+FROM fx_universe u LEFT JOIN fx_latest q ON q.condition_id = u.condition_id
+WHERE tier <> 'ignored' AND active = 1 AND closed = 0 AND u.condition_id NOT IN (SELECT condition_id FROM fx_outside)
+
+-- name: fx_tags
+SELECT concat('p', p_partkey) AS condition_id,
+  unnest(list_concat(string_split(p_name, ' '), [lower(p_type), lower(p_brand)])) AS raw_tag FROM part
+
+-- name: fx_taxonomy
+SELECT raw_tag, HASH(raw_tag) % 5 AS priority, concat('c', HASH(raw_tag) % 5) AS category
+FROM (SELECT DISTINCT raw_tag FROM fx_tags) WHERE HASH(raw_tag) % 3 = 0
+
+-- name: fx_ranked
+SELECT u.condition_id, category, liquidity_num, row_number() OVER (ORDER BY liquidity_num DESC, u.condition_id) AS rank
+FROM fx_universe u JOIN fx_latest q ON q.condition_id = u.condition_id
+WHERE tier = 'liquid' AND active = 1 AND category IN ('economics', 'weather', 'politics', 'geopolitics', 'entertainment')
+  AND mid > 5e-2 AND mid < 95e-2

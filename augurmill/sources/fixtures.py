@@ -22,7 +22,10 @@ def epoch(name: str):
 
 
 def markets(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders")
+    return markets_from(table(spark, sf, "orders"))
+
+
+def markets_from(o: DataFrame, *extra) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     placed = epoch("o_orderdate")
     return o.select(
@@ -43,6 +46,7 @@ def markets(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_totalprice").alias("liquidity_num"),
         placed.alias("first_seen_s"),
         (placed + 86400 * (k % 200)).alias("end_s"),
+        *extra,
     )
 
 
@@ -108,3 +112,50 @@ def drift_forecasts(spark: SparkSession, sf: str) -> DataFrame:
         price.alias("p_market_at_ts"),
         F.least(F.lit(0.99), F.greatest(F.lit(0.01), price + ((F.col("event_id") % 21) - 10) * 1e-2)).alias("p_yes"),
     )
+
+
+NOW = 915148800 + 20 * 3600  # 1999-01-01 20:00:00 UTC: the pass instant of the universe queries
+
+
+def universe(spark: SparkSession, sf: str) -> DataFrame:
+    """Markets with the columns a venue sync fills in."""
+    done = F.col("o_orderstatus") == "F"
+    m = markets_from(table(spark, sf, "orders"), F.when(done, 1).otherwise(0).alias("closed"),
+                     F.when(done, 0).otherwise(1).alias("active"))
+    return m.select(
+        "*",
+        F.concat_ws("-", F.concat(F.lit("SER"), F.col("k") % 97), F.expr("k div 97 % 31").cast("string"),
+                    F.col("k").cast("string")).alias("venue_native_id"),
+        F.concat(F.lit("q-"), "k").alias("slug"),
+        F.when(F.col("k") % 40 == 0, F.concat(F.lit("Will Bitcoin trade above $"), "k", F.lit("?")))
+        .when(F.col("k") % 40 == 1, F.concat(F.lit("Market cap of firm "), "k", F.lit(" above $2,000?")))
+        .otherwise(F.concat(F.lit("Will the count exceed "), "k", F.lit("?"))).alias("question"),
+        F.col("first_seen_s").alias("start_s"),
+        F.when(F.col("k") % 31 == 0, 3).otherwise(2).alias("n_outcomes"),
+        F.when(F.col("k") % 29 == 0, 0).otherwise(1).alias("order_book"),
+        (F.col("liquidity_num") * (1 + F.col("k") % 20)).alias("volume_num"),
+        (F.col("liquidity_num") % 5000).alias("volume_24h_num"),
+        (F.col("k") % 300).cast("double").alias("open_interest"),
+        F.when(F.col("k") % 7 != 0, F.lit(NOW) - 3600 * (F.col("k") % 500)).alias("checked_s"),
+        (F.lit(NOW) - 3600 * (F.col("k") % 48)).alias("last_synced_s"))
+
+
+def market_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotes of the order-shaped markets, within 200 minutes before NOW; one per line item."""
+    li = table(spark, sf, "lineitem")
+    ok, pk = F.col("l_orderkey"), F.col("l_partkey")
+    return li.select(
+        F.concat_ws("-", ok.cast("string"), F.col("l_linenumber").cast("string"), pk.cast("string"),
+                    F.col("l_suppkey").cast("string"),
+                    F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")).alias("quote_id"),
+        F.concat(F.lit("m"), ok).alias("condition_id"),
+        (F.lit(NOW) - 60 * (pk % 200)).alias("ts_s"),
+        F.when(F.col("l_suppkey") % 23 != 0, 1e-2 + 98e-2 * (((ok * 31 + pk * 7) % 997) / 996e0)).alias("mid"),
+        (F.col("l_tax") / 2e0).alias("spread"),
+        F.when(pk % 7 != 0, F.col("l_quantity") * 10e0).alias("bid_depth_usd"),
+        F.when(pk % 5 != 0, F.col("l_quantity") * (pk % 30)).alias("ask_depth_usd"))
+
+
+def moves(spark: SparkSession, sf: str) -> DataFrame:
+    return (table(spark, sf, "lineitem").groupBy(F.concat(F.lit("m"), "l_orderkey").alias("condition_id"))
+            .agg((F.max("l_discount") * 4 - 2e-1).alias("move")))
