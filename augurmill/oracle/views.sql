@@ -235,3 +235,39 @@ SELECT u.condition_id, category, liquidity_num, row_number() OVER (ORDER BY liqu
 FROM fx_universe u JOIN fx_latest q ON q.condition_id = u.condition_id
 WHERE tier = 'liquid' AND active = 1 AND category IN ('economics', 'weather', 'politics', 'geopolitics', 'entertainment')
   AND mid > 5e-2 AND mid < 95e-2
+
+-- name: fx_micro
+SELECT forecast_id, condition_id, ts_s, cast(round(p_yes * 1e6) AS bigint) AS p_yes_e6, cast(round(p_market_at_ts * 1e6) AS bigint) AS p_market_e6
+FROM fx_drift_forecasts
+
+-- name: fx_micro_text
+SELECT *, DAYNUM(ts_s) AS day, sha256(cast(forecast_id AS varchar)) AS h,
+  sha256(concat('{"condition_id":"', condition_id, '","forecast_id":', forecast_id, ',"p_market_e6":', p_market_e6,
+    ',"p_yes_e6":', p_yes_e6, ',"ts_s":', ts_s, '}')) AS d FROM fx_micro
+
+-- name: fx_digests
+SELECT day, I(sum(n)) AS row_count, min(first_id) AS first_id, max(last_id) AS last_id, sha256(string_agg(d, chr(10) ORDER BY node)) AS sha256
+FROM (SELECT day, substr(leaf, 1, 3) AS node, sum(n) AS n, min(first_id) AS first_id, max(last_id) AS last_id,
+        sha256(string_agg(d, chr(10) ORDER BY leaf)) AS d
+      FROM (SELECT day, substr(h, 1, 6) AS leaf, count(*) AS n, min(forecast_id) AS first_id, max(forecast_id) AS last_id,
+              sha256(string_agg(d, chr(10) ORDER BY h)) AS d FROM fx_micro_text GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1
+
+-- name: fx_export_digest
+SELECT I(sum(n)) AS row_count, 'condition_id,forecast_id,p_market_e6,p_yes_e6,ts_s' AS fields, sha256(string_agg(d, chr(10) ORDER BY node)) AS sha256
+FROM (SELECT substr(leaf, 1, 3) AS node, sum(n) AS n, sha256(string_agg(d, chr(10) ORDER BY leaf)) AS d
+      FROM (SELECT substr(h, 1, 6) AS leaf, count(*) AS n, sha256(string_agg(d, chr(10) ORDER BY h)) AS d FROM fx_micro_text GROUP BY 1) GROUP BY 1)
+
+-- name: fx_trades
+SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', cast(round(l_extendedprice * 100) AS bigint)) AS trade_id,
+  concat('m', l_orderkey) AS condition_id, ((l_orderkey * 31 + (l_partkey % 3) * 101) % 997) / 996e0 AS price,
+  EPOCH(l_shipdate) + 60 * (l_partkey % 1440) AS obs_s FROM lineitem
+
+-- name: fx_resolved_markets
+SELECT u.*, r.payout_yes, coalesce(category, 'unknown') AS cat FROM fx_universe u JOIN fx_resolutions r ON r.condition_id = u.condition_id
+WHERE n_outcomes = 2 AND r.disputed = 0
+
+-- name: fx_training
+SELECT t.condition_id, DAYNUM(obs_s) AS obs_day, arg_max(price, (obs_s, trade_id)) AS p_market, max(payout_yes) AS outcome, max(cat) AS category,
+  arg_max((end_s - obs_s) / 86400e0, (obs_s, trade_id)) AS days_to_resolution
+FROM fx_trades t JOIN fx_resolved_markets m ON m.condition_id = t.condition_id WHERE price > 0 AND price < 1 AND obs_s < end_s
+GROUP BY 1, 2

@@ -29,3 +29,51 @@ def snapshot_dedup(batch: DataFrame, order: str = "quote_id") -> DataFrame:
     rest = [c for c in batch.columns if c not in KEY]
     first = batch.groupBy(*KEY).agg(F.min_by(F.struct(*rest), F.col(order)).alias("first"))
     return first.select(*KEY, "first.*").select(*batch.columns)
+
+
+def with_partitions(df: DataFrame) -> DataFrame:
+    stamp = F.timestamp_seconds("ts_s")
+    return df.withColumn("date", F.to_date(stamp)).withColumn("hour", F.hour(stamp))
+
+
+def new_rows(batch: DataFrame, archive: DataFrame | None, order: str = "quote_id") -> DataFrame:
+    """The batch's first rows whose key the archive does not hold yet.
+
+    The archive side is cut to the batch's own dates: the equality on `date`
+    lets dynamic partition pruning skip every other day's files.
+    """
+    fresh = with_partitions(snapshot_dedup(batch, order))
+    if archive is None:
+        return fresh
+    keys = archive.select(*KEY, "date")
+    return fresh.join(keys, KEY + ["date"], "left_anti")
+
+
+def snapshot_append(batch: DataFrame, path: str, order: str = "quote_id") -> None:
+    """Append first writes to the archive, split by date and hour. Running twice adds nothing."""
+    spark = batch.sparkSession
+    archive = snapshot_read(spark, path, columns=[*KEY, "date"]) if _has_data(spark, path) else None
+    fresh = new_rows(batch, archive, order)
+    # rebalance keeps one file per hour where it is small and splits a hot hour over tasks
+    fresh.hint("rebalance", "date", "hour").write.mode("append").partitionBy("date", "hour").parquet(path)
+
+
+def _has_data(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(hadoop) and fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/date=*")).__len__() > 0
+
+
+def snapshot_read(spark: SparkSession, path: str, dates: list[str] | None = None,
+                  columns: list[str] | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """Pruned archive scan: dates prune partitions, columns prune the files,
+    an id table filters by semi-join. Columns missing from older files read as
+    null; unreadable files are skipped."""
+    df = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").parquet(path)
+    if dates is not None:
+        df = df.where(F.col("date").isin(*dates))
+    if ids is not None:
+        df = df.join(ids.select("condition_id").distinct(), "condition_id", "left_semi")
+    if columns is not None:
+        df = df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns])
+    return df
