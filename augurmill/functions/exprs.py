@@ -134,25 +134,28 @@ def canonical_row(cols: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in sorted(cols)]), {"ignoreNullFields": "false"})
 
 
+# Fixed value: the timestamp spellings venues use.
+VENUE_TS = r"^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2})(?:\.\d+)?\s*(Z|[+-]\d{2}(?::?\d{2})?(?::\d{2})?)?$"
+
+
 def venue_ts(text) -> Column:
-    """Mixed ISO spellings to epoch seconds; a zone other than UTC gives null."""
+    """Mixed spellings to epoch seconds, UTC; any other offset or shape gives null."""
     t = F.trim(col(text))
-    base = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}(?::\d{2})?)", 0)
-    zone = F.regexp_extract(t, r"(Z|[+-]\d{2}:?\d{2}|[+-]\d{2})$", 0)
-    day_only = F.regexp_extract(t, r"^\d{4}-\d{2}-\d{2}$", 0)
-    parsed = F.coalesce(
-        F.try_to_timestamp(F.regexp_replace(F.nullif(base, F.lit("")), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(F.regexp_replace(F.nullif(base, F.lit("")), "T", " "), F.lit("yyyy-MM-dd HH:mm")),
-        F.try_to_timestamp(F.nullif(day_only, F.lit("")), F.lit("yyyy-MM-dd")),
-    )
-    utc = zone.isin("", "Z", "+00:00", "+0000", "+00", "-00:00")
-    return F.when(utc | (day_only != ""), F.unix_seconds(parsed))
+    stamp = F.concat_ws(" ", F.regexp_extract(t, VENUE_TS, 1), F.regexp_extract(t, VENUE_TS, 2))
+    offset = F.regexp_extract(t, VENUE_TS, 3)
+    utc = offset.isin("", "Z") | offset.rlike("^[+-][0:]+$")
+    return F.when(t.rlike(VENUE_TS) & utc, F.unix_seconds(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss"))))
 
 
 def epoch_any(text) -> Column:
     """Seconds, milliseconds or ISO text to epoch seconds, told apart by magnitude."""
     text = col(text).cast("string")
     number = text.try_cast("double")
-    return F.when(number.isNotNull(),
-                  F.when(number > 1e11, F.floor(number / 1000)).otherwise(F.floor(number)).cast("long")
-                  ).otherwise(venue_ts(text))
+    seconds = F.when(F.abs(number) > 1e12, F.floor(number / 1000)).when(F.abs(number) > 1e9, F.floor(number))
+    iso = F.coalesce(venue_ts(text), F.unix_seconds(F.try_to_timestamp(text)))
+    return F.when(number.isNotNull() & (F.abs(number) > 1e9), seconds.cast("long")).otherwise(iso)
+
+
+def clamp_p(p) -> Column:
+    """A model's final probability stays within the fixed bounds."""
+    return clip(p, 0.01, 0.99)

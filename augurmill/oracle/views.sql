@@ -260,7 +260,7 @@ FROM (SELECT substr(leaf, 1, 3) AS node, sum(n) AS n, sha256(string_agg(d, chr(1
 -- name: fx_trades
 SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', cast(round(l_extendedprice * 100) AS bigint)) AS trade_id,
   concat('m', l_orderkey) AS condition_id, ((l_orderkey * 31 + (l_partkey % 3) * 101) % 997) / 996e0 AS price,
-  EPOCH(l_shipdate) + 60 * (l_partkey % 1440) AS obs_s FROM lineitem
+  EPOCH(l_shipdate) + 60 * (l_partkey % 1440) + 946684800 AS obs_s FROM lineitem
 
 -- name: fx_resolved_markets
 SELECT u.*, r.payout_yes, coalesce(category, 'unknown') AS cat FROM fx_universe u JOIN fx_resolutions r ON r.condition_id = u.condition_id
@@ -268,6 +268,46 @@ WHERE n_outcomes = 2 AND r.disputed = 0
 
 -- name: fx_training
 SELECT t.condition_id, DAYNUM(obs_s) AS obs_day, arg_max(price, (obs_s, trade_id)) AS p_market, max(payout_yes) AS outcome, max(cat) AS category,
-  arg_max((end_s - obs_s) / 86400e0, (obs_s, trade_id)) AS days_to_resolution
-FROM fx_trades t JOIN fx_resolved_markets m ON m.condition_id = t.condition_id WHERE price > 0 AND price < 1 AND obs_s < end_s
+  arg_max((end_s + 946684800 - obs_s) / 86400e0, (obs_s, trade_id)) AS days_to_resolution
+FROM fx_trades t JOIN fx_resolved_markets m ON m.condition_id = t.condition_id WHERE price > 0 AND price < 1 AND obs_s < end_s + 946684800
 GROUP BY 1, 2
+
+-- name: fx_states
+SELECT condition_id, venue, category, event_id, mid AS p_market, days_to_resolution,
+  CASE WHEN days_to_resolution <= 0 THEN NULL WHEN days_to_resolution < 7 THEN 'lt7' WHEN days_to_resolution < 30 THEN '7_30'
+       WHEN days_to_resolution < 90 THEN '30_90' ELSE 'gt90' END AS bucket
+FROM fx_screened WHERE reason IS NULL
+
+-- name: fx_curves
+SELECT CASE r_regionkey WHEN 0 THEN 'lt7' WHEN 1 THEN '7_30' WHEN 2 THEN '30_90' END AS bucket, (r_regionkey - 2) / 20e0 AS alpha,
+  9e-1 + r_regionkey / 20e0 AS beta FROM region WHERE r_regionkey <= 2
+
+-- name: fx_offsets
+SELECT CASE b WHEN 0 THEN 'lt7' WHEN 1 THEN '7_30' WHEN 2 THEN '30_90' ELSE 'gt90' END AS bucket,
+  CASE v WHEN 0 THEN 'kalshi' WHEN 1 THEN 'metaculus' ELSE 'polymarket' END AS venue, k / 50e0 AS alpha_offset, k / 100e0 - 1e-1 AS beta_offset
+FROM (SELECT n_nationkey % 4 AS b, n_nationkey // 4 % 3 AS v, min(n_nationkey) AS k FROM nation GROUP BY 1, 2) WHERE (b + v) % 4 <> 3
+
+-- name: fx_base_rates
+SELECT category, avg(payout_yes) AS base_rate FROM fx_resolutions r JOIN fx_markets m ON m.condition_id = r.condition_id
+WHERE category IS NOT NULL AND category <> 'sports' GROUP BY category
+
+-- name: fx_weights
+SELECT category, model_id, HASH(concat(category, '|', model_id)) % 5 / 10e0 AS weight FROM (SELECT DISTINCT category, model_id FROM fx_forecasts)
+WHERE category IN ('economics', 'weather', 'politics')
+
+-- name: fx_exponents
+SELECT category, 1 + HASH(category) % 7 / 4e0 AS a, HASH(concat('r', category)) % 10 / 10e0 AS rho_bar FROM (SELECT DISTINCT category FROM fx_forecasts)
+WHERE category IN ('economics', 'sports')
+
+-- name: fx_members
+WITH latest AS (SELECT condition_id, category, DAYNUM(ts_s) AS day, model_id, p_yes FROM fx_forecasts
+  WHERE model_id IN ('m0_market', 'm1_debiased', 'm2_baserate', 'm3_evidence', 'm5_nowcast', 'm6_consistency', 'm7_crossvenue')
+  QUALIFY row_number() OVER (PARTITION BY condition_id, DAYNUM(ts_s), model_id ORDER BY ts_s DESC, forecast_id DESC) = 1),
+raw AS (SELECT l.*, CASE WHEN EXISTS (SELECT 1 FROM fx_weights w WHERE w.category = l.category)
+    THEN coalesce((SELECT weight FROM fx_weights w WHERE w.category = l.category AND w.model_id = l.model_id), 0e0) ELSE 1e0 END AS w FROM latest l),
+tot AS (SELECT condition_id, day, sum(w) AS sw, count(*) AS n FROM raw GROUP BY ALL)
+SELECT raw.*, tot.n, CASE WHEN sw > 0 THEN w / sw ELSE 1e0 / tot.n END AS share, LOGIT(p_yes) AS lg
+FROM raw JOIN tot ON tot.condition_id = raw.condition_id AND tot.day = raw.day WHERE tot.n >= 2
+
+-- name: fx_pooled
+SELECT condition_id, day, category, max(n) AS n, sum(share * lg) AS raw_logit FROM fx_members GROUP BY ALL

@@ -14,6 +14,7 @@ from augurmill.sources import archive, ledger
 from augurmill.sources import fixtures as fx
 
 DAY0 = 19723  # 2024-01-01
+SHIFT = 946684800  # thirty years: trade times must have the magnitude of epoch seconds today
 COLS = ["forecast_id", "condition_id", "ts_s", "p_yes_e6", "p_market_e6"]
 
 
@@ -126,7 +127,7 @@ def ledger_audit(spark, sf):
 def trades(spark, sf):
     li = fx.table(spark, sf, "lineitem")
     ok, pk = F.col("l_orderkey"), F.col("l_partkey")
-    ts = fx.epoch("l_shipdate") + 60 * (pk % 1440)
+    ts = fx.epoch("l_shipdate") + 60 * (pk % 1440) + SHIFT
     raw = (F.when(F.col("l_linenumber") % 3 == 0, ts.cast("string"))
            .when(F.col("l_linenumber") % 3 == 1, (ts * 1000).cast("string"))
            .otherwise(F.concat(F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))))
@@ -140,7 +141,7 @@ def trades(spark, sf):
 def resolved_markets(spark, sf):
     r = fx.resolutions(spark, sf).where("disputed = 0").select("condition_id", "payout_yes")
     return fx.universe(spark, sf).where("n_outcomes = 2").join(r, "condition_id").withColumn(
-        "category", F.coalesce("category", F.lit("unknown")))
+        "category", F.coalesce("category", F.lit("unknown"))).withColumn("end_s", F.col("end_s") + SHIFT)
 
 
 @query
