@@ -10,8 +10,8 @@ HOUR = 3600
 EPS = 1e-6
 DEFAULT_VENUE = "polymarket"
 
-# Horizon buckets in days, left-closed; the last is open-ended.
-HORIZON_EDGES = (("lt7", 0.0, 7.0), ("7_30", 7.0, 30.0), ("30_90", 30.0, 90.0), ("gt90", 90.0, None))
+# Horizon buckets in days, left-closed.
+HORIZON_EDGES = (("lt7d", 0.0, 7.0), ("7to30d", 7.0, 30.0), ("30to90d", 30.0, 90.0), ("gt90d", 90.0, 10_000.0))
 
 
 def lit(value) -> Column:

@@ -76,11 +76,11 @@ SELECT venue, condition_id, rank FROM (
 -- name: fx_flagged
 SELECT r.*, EXISTS (SELECT 1 FROM fx_control c WHERE c.condition_id = r.condition_id) AS is_control,
   end_s + 604800 <= 978307200 AS scoreable,
-  CASE WHEN end_s - ts_s <= 0 THEN NULL WHEN end_s - ts_s < 604800 THEN 'lt7' WHEN end_s - ts_s < 2592000 THEN '7_30'
-       WHEN end_s - ts_s < 7776000 THEN '30_90' ELSE 'gt90' END AS stated_bucket,
-  CASE WHEN resolved_s - ts_s <= 0 THEN NULL WHEN resolved_s - ts_s < 604800 THEN 'lt7'
-       WHEN resolved_s - ts_s < 2592000 THEN '7_30' WHEN resolved_s - ts_s < 7776000 THEN '30_90'
-       ELSE 'gt90' END AS realized_bucket,
+  CASE WHEN end_s - ts_s <= 0 THEN NULL WHEN end_s - ts_s < 604800 THEN 'lt7d' WHEN end_s - ts_s < 2592000 THEN '7to30d'
+       WHEN end_s - ts_s < 7776000 THEN '30to90d' ELSE 'gt90d' END AS stated_bucket,
+  CASE WHEN resolved_s - ts_s <= 0 THEN NULL WHEN resolved_s - ts_s < 604800 THEN 'lt7d'
+       WHEN resolved_s - ts_s < 2592000 THEN '7to30d' WHEN resolved_s - ts_s < 7776000 THEN '30to90d'
+       ELSE 'gt90d' END AS realized_bucket,
   row_number() OVER (PARTITION BY condition_id, model_id, DAYNUM(ts_s), (disputed = 0 AND end_s + 604800 <= 978307200)
                      ORDER BY ts_s, forecast_id) AS day_rank
 FROM fx_all_resolved r
@@ -274,16 +274,16 @@ GROUP BY 1, 2
 
 -- name: fx_states
 SELECT condition_id, venue, category, event_id, mid AS p_market, days_to_resolution,
-  CASE WHEN days_to_resolution <= 0 THEN NULL WHEN days_to_resolution < 7 THEN 'lt7' WHEN days_to_resolution < 30 THEN '7_30'
-       WHEN days_to_resolution < 90 THEN '30_90' ELSE 'gt90' END AS bucket
+  CASE WHEN days_to_resolution <= 0 THEN NULL WHEN days_to_resolution < 7 THEN 'lt7d' WHEN days_to_resolution < 30 THEN '7to30d'
+       WHEN days_to_resolution < 90 THEN '30to90d' ELSE 'gt90d' END AS bucket
 FROM fx_screened WHERE reason IS NULL
 
 -- name: fx_curves
-SELECT CASE r_regionkey WHEN 0 THEN 'lt7' WHEN 1 THEN '7_30' WHEN 2 THEN '30_90' END AS bucket, (r_regionkey - 2) / 20e0 AS alpha,
+SELECT CASE r_regionkey WHEN 0 THEN 'lt7d' WHEN 1 THEN '7to30d' WHEN 2 THEN '30to90d' END AS bucket, (r_regionkey - 2) / 20e0 AS alpha,
   9e-1 + r_regionkey / 20e0 AS beta FROM region WHERE r_regionkey <= 2
 
 -- name: fx_offsets
-SELECT CASE b WHEN 0 THEN 'lt7' WHEN 1 THEN '7_30' WHEN 2 THEN '30_90' ELSE 'gt90' END AS bucket,
+SELECT CASE b WHEN 0 THEN 'lt7d' WHEN 1 THEN '7to30d' WHEN 2 THEN '30to90d' ELSE 'gt90d' END AS bucket,
   CASE v WHEN 0 THEN 'kalshi' WHEN 1 THEN 'metaculus' ELSE 'polymarket' END AS venue, k / 50e0 AS alpha_offset, k / 100e0 - 1e-1 AS beta_offset
 FROM (SELECT n_nationkey % 4 AS b, n_nationkey // 4 % 3 AS v, min(n_nationkey) AS k FROM nation GROUP BY 1, 2) WHERE (b + v) % 4 <> 3
 
@@ -311,3 +311,74 @@ FROM raw JOIN tot ON tot.condition_id = raw.condition_id AND tot.day = raw.day W
 
 -- name: fx_pooled
 SELECT condition_id, day, category, max(n) AS n, sum(share * lg) AS raw_logit FROM fx_members GROUP BY ALL
+
+-- name: fx_obs
+SELECT forecast_id AS obs_id, condition_id, category, venue, cluster_id, entry_s, p_market_at_ts AS p_market, payout_yes AS outcome,
+  (end_s - ts_s) / 86400e0 AS days, CASE WHEN end_s - ts_s < 604800 THEN 'lt7d' WHEN end_s - ts_s < 2592000 THEN '7to30d'
+    WHEN end_s - ts_s < 7776000 THEN '30to90d' ELSE 'gt90d' END AS bucket
+FROM fx_scored WHERE model_id = 'm0_market' AND end_s > ts_s
+
+-- name: fx_points
+SELECT condition_id, ts_s, coalesce(category, 'unknown') AS category, model_id, LOGIT(arg_max(p_yes, forecast_id)) AS lg
+FROM fx_forecasts WHERE model_id IN ('m0_market', 'm1_debiased', 'm2_baserate', 'm3_evidence', 'm5_nowcast', 'm7_crossvenue') GROUP BY ALL
+
+-- name: fx_pair_rho
+SELECT x.category, x.model_id AS a, y.model_id AS b, count(*) AS n, corr(x.lg, y.lg) AS rho FROM fx_points x
+JOIN fx_points y ON y.condition_id = x.condition_id AND y.ts_s = x.ts_s AND x.model_id < y.model_id
+GROUP BY ALL HAVING count(*) >= 30 AND var_pop(x.lg) > 0 AND var_pop(y.lg) > 0
+
+-- name: fx_surprises
+SELECT concat('S', c_nationkey) AS series, c_custkey AS period, c_acctbal / 1000e0 AS nowcast,
+  c_acctbal / 1000e0 + (c_custkey * 37 % 101 - 50) / 100e0 AS actual FROM customer WHERE c_custkey % 6 <> 0
+
+-- name: fx_kelly
+SELECT *, CASE WHEN p_yes > p_market_at_ts THEN 'YES' ELSE 'NO' END AS side,
+  CASE WHEN p_yes > p_market_at_ts THEN p_market_at_ts ELSE 1 - p_market_at_ts END AS price,
+  CASE WHEN p_yes > p_market_at_ts THEN p_yes ELSE 1 - p_yes END AS p_win FROM fx_scored
+
+-- name: fx_delta
+SELECT *, CASE WHEN f <= 0 THEN 0e0 WHEN (payout_yes = 1) = (side = 'YES') THEN ln(1 - f + f / price) ELSE ln(1 - f) END AS delta,
+  coalesce(category, 'unknown') AS cat
+FROM (SELECT *, CASE WHEN (p_win - price) / (1 - price) > 0 THEN least((p_win - price) / (1 - price) * 2e-1, 5e-2) ELSE 0e0 END AS f FROM fx_kelly)
+
+-- name: fx_wealth
+SELECT model_id, cat AS category, forecast_id, f AS kelly, sum(delta) OVER w AS cum, row_number() OVER w AS n FROM fx_delta
+WINDOW w AS (PARTITION BY model_id, cat ORDER BY entry_s, ts_s, forecast_id ROWS UNBOUNDED PRECEDING)
+
+-- name: fx_experts
+SELECT model_id, category, arg_max(cum, n) AS cum, max(n) AS n, arg_max(cum, n) / max(n) AS avg_lw FROM fx_wealth GROUP BY ALL
+
+-- name: fx_replay_members
+WITH last AS (SELECT condition_id, max(ts_s) AS pool_s, max(payout_yes) AS outcome, max(coalesce(category, 'unknown')) AS category,
+    max(cluster_id) AS cluster_id, max(entry_s) AS entry_s FROM fx_scored WHERE model_id = 'm4_ensemble' GROUP BY ALL),
+m AS (SELECT f.condition_id, f.model_id, arg_max(f.p_yes, (f.ts_s, f.forecast_id)) AS p_yes FROM fx_forecasts f JOIN last l ON l.condition_id = f.condition_id
+  WHERE f.ts_s <= l.pool_s AND f.model_id <> 'm4_ensemble' GROUP BY ALL)
+SELECT m.*, l.pool_s, l.outcome, l.category, l.cluster_id, l.entry_s, count(*) OVER (PARTITION BY m.condition_id) AS n_members
+FROM m JOIN last l ON l.condition_id = m.condition_id QUALIFY n_members >= 2
+
+-- name: fx_replayed
+WITH curves AS (SELECT 'old' AS version, * FROM fx_curves UNION ALL SELECT 'new', bucket, -4e-1, 1e-1 FROM fx_curves),
+wts AS (SELECT 'old' AS version, * FROM fx_weights UNION ALL SELECT 'new', category, model_id, 6e-1 - weight FROM fx_weights WHERE category <> 'politics'),
+raw AS (SELECT v.version, m.*, CASE WHEN EXISTS (SELECT 1 FROM wts w WHERE w.version = v.version AND w.category = m.category)
+    THEN coalesce((SELECT weight FROM wts w WHERE w.version = v.version AND w.category = m.category AND w.model_id = m.model_id), 0e0) ELSE 1e0 END AS w
+  FROM fx_replay_members m, (VALUES ('old'), ('new')) v(version)),
+pools AS (SELECT version, condition_id, max(outcome) AS outcome, max(cluster_id) AS cluster_id, max(entry_s) AS entry_s,
+    SIGMOID(CASE WHEN sum(w) > 0 THEN sum(w * LOGIT(p_yes)) / sum(w) ELSE avg(LOGIT(p_yes)) END) AS p FROM raw GROUP BY version, condition_id)
+SELECT 'm1_curves' AS model_key, obs_id AS row_id, v.version, coalesce(SIGMOID(alpha + beta * LOGIT(p_market)), p_market) AS p, outcome, cluster_id, entry_s
+FROM fx_obs o CROSS JOIN (VALUES ('old'), ('new')) v(version) LEFT JOIN curves c ON c.version = v.version AND c.bucket = o.bucket
+UNION ALL SELECT 'm4_weights', condition_id, version, p, outcome, cluster_id, entry_s FROM pools
+
+-- name: fx_gate_rows
+SELECT model_key, row_id, max(cluster_id) AS cluster_id, max(entry_s) AS entry_s,
+  max(pow(p - outcome, 2)) FILTER (version = 'old') - max(pow(p - outcome, 2)) FILTER (version = 'new') AS diff
+FROM fx_replayed GROUP BY ALL
+
+-- name: fx_trades_book
+SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', cast(round(l_extendedprice * 100) AS bigint)) AS trade_id,
+  concat('m', l_orderkey) AS condition_id, EPOCH(l_shipdate) AS opened_s, CASE WHEN l_suppkey % 2 = 0 THEN 'YES' ELSE 'NO' END AS token_side,
+  1e-1 + 8e-1 * ((l_orderkey * 31 + l_partkey * 7) % 997) / 996e0 AS entry_price, l_quantity * 10 AS stake,
+  CASE WHEN l_tax > 0 THEN l_quantity * l_tax END AS fee FROM lineitem
+
+-- name: fx_settled
+SELECT t.*, r.resolved_s AS exit_s, stake / entry_price * CASE WHEN (payout_yes = 1) = (token_side = 'YES') THEN 1 ELSE 0 END - stake - coalesce(fee, 0) AS pnl
+FROM fx_trades_book t JOIN fx_resolutions r ON r.condition_id = t.condition_id

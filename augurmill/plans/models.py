@@ -12,7 +12,7 @@ from augurmill.plans.registry import query
 from augurmill.sources import fixtures as fx
 
 NOW = fx.NOW
-BUCKETS = ("lt7", "7_30", "30_90", "gt90")
+BUCKETS = ("lt7d", "7to30d", "30to90d", "gt90d")
 VENUES = ("kalshi", "metaculus", "polymarket")
 
 
