@@ -112,47 +112,45 @@ def trade_screen(forecasts: DataFrame, books: DataFrame, open_trades: DataFrame)
 
 
 def exposure_admit(candidates: DataFrame, open_exposure: DataFrame, cap: float = CATEGORY_CAP * BANKROLL,
-                   fold_rows: int = 20_000, max_rounds: int = 200) -> DataFrame:
+                   fold_rows: int = 20_000, max_rounds: int = 1000) -> DataFrame:
     """In `seq` order, admit a stake only while the category stays within the cap; skipped ones do not count.
 
-    Categories with up to `fold_rows` candidates are folded in one ordered
-    array. Larger ones shrink first, by rounds of prefix sums: a stake above
-    what is left can never be admitted later, so it goes; then the longest
-    prefix that fits is admitted at once. Exact, and no large category ever
-    meets in one task.
+    Each round folds the next `fold_rows` candidates of every category in
+    order. What was used only grows, so a stake that no longer fits is out for
+    good and is filtered before the next round takes its share. The head per
+    category is a top-k, bounded before the shuffle; no category is ever
+    gathered whole, and the result is that of one long fold.
     """
-    keys = ["category"]
-    left = (candidates.select("category", "seq", "trade_id", "stake")
-            .join(open_exposure.select("category", F.col("exposure").alias("used")), "category", "left")
-            .withColumn("used", F.coalesce("used", F.lit(0.0))))
-    admitted = None
+    pool = cut(candidates.select("category", "seq", "trade_id", "stake"))
+    start = (pool.select("category").distinct().join(open_exposure.select("category", F.col("exposure").alias("used")), "category", "left")
+             .select("category", F.coalesce("used", F.lit(0.0)).alias("used"), F.lit(None).cast(pool.schema["seq"].dataType).alias("last_seq"),
+                     F.lit(None).cast("string").alias("last_id")))
+    state, rounds = start, []
+    after = (F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))
+             | ((F.col("seq") == F.col("last_seq")) & (F.col("trade_id") > F.col("last_id"))))
+    order = Window.partitionBy("category").orderBy("seq", "trade_id")
     for _ in range(max_rounds):
-        left = left.where(F.col("used") + F.col("stake") <= cap)
-        sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        big = sizes.where(F.col("n") > fold_rows)
-        if big.isEmpty():
+        heads = (pool.join(state, "category").where(after & (F.col("used") + F.col("stake") <= cap))
+                 .withColumn("r", F.row_number().over(order)).where(F.col("r") <= fold_rows))
+        items = heads.groupBy("category").agg(F.max("used").alias("used"),
+                                              F.array_sort(F.collect_list(F.struct("seq", "trade_id", "stake"))).alias("items"))
+        zero = F.struct(F.col("used").alias("used"), F.expr("cast(array() as array<string>)").alias("ids"))
+        fold = F.aggregate("items", zero, lambda acc, x: F.when(
+            acc["used"] + x["stake"] <= cap,
+            F.struct((acc["used"] + x["stake"]).alias("used"), F.concat(acc["ids"], F.array(x["trade_id"])).alias("ids"))).otherwise(acc))
+        last = F.element_at("items", -1)
+        done = cut(items.select("category", fold.alias("f"), last["seq"].alias("last_seq"), last["trade_id"].alias("last_id"),
+                                F.size("items").alias("n")))
+        rounds.append(done.select("category", F.explode("f.ids").alias("trade_id")))
+        state = done.where(F.col("n") == fold_rows).select("category", F.col("f.used").alias("used"), "last_seq", "last_id")
+        if state.isEmpty():
             break
-        tagged = left.join(big.select("category", F.lit(True).alias("is_big")), "category", "left")
-        small = tagged.where("is_big is null").drop("is_big")
-        ahead = running(tagged.where("is_big").drop("is_big"), keys, ["seq", "trade_id"], sums={"cum": F.col("stake")})
-        ahead = ahead.withColumn("fits", F.col("used") + F.col("cum") <= cap)
-        taken = cut(ahead.where("fits").select("category", "seq", "trade_id", "stake"))
-        admitted = taken if admitted is None else admitted.unionByName(taken)
-        spent = taken.groupBy("category").agg(F.sum("stake").alias("spent"))
-        rest = (ahead.where("not fits").join(spent, "category", "left")
-                .withColumn("used", F.col("used") + F.coalesce("spent", F.lit(0.0))).select(*left.columns))
-        left = cut(small.select(*left.columns).unionByName(rest))
     else:
         raise RuntimeError("exposure_admit did not settle; raise max_rounds")
-    ordered = left.groupBy("category").agg(F.max("used").alias("used"),
-                                           F.array_sort(F.collect_list(F.struct("seq", "trade_id", "stake"))).alias("items"))
-    zero = F.struct(F.col("used").alias("used"), F.expr("cast(array() as array<string>)").alias("ids"))
-    fold = F.aggregate("items", zero, lambda acc, x: F.when(
-        acc["used"] + x["stake"] <= cap,
-        F.struct((acc["used"] + x["stake"]).alias("used"), F.concat(acc["ids"], F.array(x["trade_id"])).alias("ids"))).otherwise(acc))
-    ids = ordered.select("category", F.explode(fold["ids"]).alias("trade_id"))
-    folded = candidates.join(ids, ["category", "trade_id"], "left_semi").select("category", "seq", "trade_id", "stake")
-    return folded if admitted is None else folded.unionByName(admitted)
+    ids = rounds[0]
+    for more in rounds[1:]:
+        ids = ids.unionByName(more)
+    return pool.join(ids, ["category", "trade_id"], "left_semi").select("category", "seq", "trade_id", "stake")
 
 
 def trade_settle(trades: DataFrame, resolutions: DataFrame) -> DataFrame:

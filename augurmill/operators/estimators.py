@@ -172,20 +172,34 @@ def _cell_text(by: list[str]) -> Column:
 
 
 def _split_by_size(clusters: DataFrame, by: list[str], replicates: int, max_draws: int):
-    """Cells whose draws fit the exact form, and the rest; both with their cluster count."""
+    """Cells whose draws fit the exact form, and the clusters of the others."""
     sizes = clusters.groupBy(*by).agg(F.count(F.lit(1)).alias("n_clusters"))
     sized = clusters.join(sizes, by)
     exact = F.col("n_clusters") * replicates <= max_draws
-    return sized.where(exact), sized.where(~exact), sizes.where(exact)
+    return sized.where(exact).drop("n_clusters"), sized.where(~exact).drop("n_clusters")
 
 
-def _draws(sizes: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
-    """(cell, replicate, slot) -> drawn cluster rank in 1..C, by hash."""
-    return (sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-            .withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_clusters"))))
-            .withColumn("rank", (X.hash_int(F.concat_ws("|", F.lit(str(seed)), _cell_text(by), F.col("rep"),
-                                                        F.col("slot"))) % F.col("n_clusters") + 1).cast("int"))
-            .select(*by, "rep", "rank"))
+REP_BLOCKS = 16
+
+
+def _drawn(clusters: DataFrame, by: list[str], values: list[str], replicates: int, seed: int) -> DataFrame:
+    """(cell, rep, values) of every drawn cluster: C draws with replacement per replicate, by hash.
+
+    A cell's clusters (at most max_draws / replicates of them) are packed into
+    one array ordered by id. Blocks of replicates then expand beside it and look
+    their draws up in place, so draws are never shuffled or joined, and one
+    cell's replicates still spread over many tasks.
+    """
+    packed = clusters.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cluster_id", *values))).alias("c"))
+    blocks = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(REP_BLOCKS - 1))))
+    conf = blocks.sparkSession.conf
+    parts = max(int(conf.get("spark.sql.shuffle.partitions")), 2 * blocks.sparkSession.sparkContext.defaultParallelism)
+    text = F.concat_ws("|", F.lit(str(seed)), _cell_text(by), F.col("rep"), F.col("slot"))
+    pick = F.col("c")[(X.hash_int(text) % F.size("c")).cast("int")]
+    return (blocks.repartition(parts, *by, "block")
+            .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).where(F.col("rep") % REP_BLOCKS == F.col("block"))
+            .withColumn("slot", F.explode(F.sequence(F.lit(1), F.size("c"))))
+            .select(*by, "rep", pick.alias("v")))
 
 
 # Poisson(1) cumulative probabilities 0..11.
@@ -203,20 +217,14 @@ def _interval(means: DataFrame, by: list[str], alpha: float, value: str = "m") -
         F.expr(f"percentile({value}, {1 - alpha / 2}D)").alias("ci_hi"))
 
 
-def _ranked(clusters: DataFrame, by: list[str]) -> DataFrame:
-    # cells here hold at most MAX_EXACT_DRAWS / replicates clusters
-    return clusters.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("cluster_id")))
-
-
 def resample(clusters: DataFrame, by: list[str], replicates: int, seed: int = 0,
              alpha: float = 0.05, max_draws: int = MAX_EXACT_DRAWS) -> DataFrame:
     """Interval of sum(s)/sum(n) over resampled clusters; `clusters` is (by, cluster_id, n, s).
 
-    Cells too large for exact draws take Poisson weights, which need no join.
+    Cells too large for exact draws take Poisson weights.
     """
-    small, large, sizes = _split_by_size(clusters, by, replicates, max_draws)
-    drawn = _draws(sizes, by, replicates, seed).join(_ranked(small, by).select(*by, "rank", "n", "s"), by + ["rank"])
-    exact = drawn.groupBy(*by, "rep").agg((F.sum("s") / F.sum("n")).alias("m"))
+    small, large = _split_by_size(clusters, by, replicates, max_draws)
+    exact = _drawn(small, by, ["n", "s"], replicates, seed).groupBy(*by, "rep").agg((F.sum("v.s") / F.sum("v.n")).alias("m"))
     return _interval(exact.unionByName(_poisson_means(large, by, replicates, seed)), by, alpha)
 
 
@@ -247,18 +255,15 @@ def stratified_ci(rows: DataFrame, by: list[str], replicates: int = 2000, seed:
     d = X.skill(P, Q, Y)
     moments = rows.groupBy(*by, "cluster_id", step_index(F.col(Q), STRATA).alias("stratum")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("q"))
-    clusters = moments.select(*by, "cluster_id").distinct()
-    small, large, sizes = _split_by_size(clusters, by, replicates, max_draws)
-    picks = (_draws(sizes, by, replicates, seed).groupBy(*by, "rep", "rank").agg(F.count(F.lit(1)).alias("w"))
-             .join(_ranked(small, by).select(*by, "rank", "cluster_id"), by + ["rank"])
-             .select(*by, "rep", "cluster_id", "w"))
+    packed = moments.groupBy(*by, "cluster_id").agg(F.collect_list(F.struct("stratum", "n", "s", "q")).alias("strata"))
+    small, large = _split_by_size(packed, by, replicates, max_draws)
     key = F.concat_ws("|", F.lit(str(seed)), _cell_text(by), F.col("cluster_id"), F.col("rep"))
-    weights = (large.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-               .withColumn("w", _poisson_weight(X.hash_uniform(key)).cast("long"))
-               .where("w > 0").select(*by, "rep", "cluster_id", "w"))
+    drawn = _drawn(small, by, ["strata"], replicates, seed).select(*by, "rep", F.lit(1).alias("w"), F.inline("v.strata"))
+    weighted = (large.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+                .withColumn("w", _poisson_weight(X.hash_uniform(key))).where("w > 0")
+                .select(*by, "rep", "w", F.inline("strata")))
     w = F.col("w")
-    strata = (picks.unionByName(weights).join(moments, by + ["cluster_id"])
-              .groupBy(*by, "rep", "stratum")
+    strata = (drawn.unionByName(weighted).groupBy(*by, "rep", "stratum")
               .agg(F.sum(w * F.col("n")).alias("n"), F.sum(w * F.col("s")).alias("s"), F.sum(w * F.col("q")).alias("q"))
               .withColumn("mean", F.col("s") / F.col("n"))
               .withColumn("var", F.when(F.col("n") > 1, (F.col("q") - F.col("s") * F.col("mean")) / (F.col("n") - 1))))

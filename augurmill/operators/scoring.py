@@ -76,17 +76,29 @@ def labels(pairs: list[tuple[str, Column]]) -> Column:
     return F.array_compact(tagged)
 
 
-def window_array(as_of: int, start: int) -> Column:
+def mask(pairs: list[tuple[str, Column]]) -> Column:
+    """The same memberships as bits of one integer: a short grouping key."""
+    out = F.lit(0)
+    for i, (_, cond) in enumerate(pairs):
+        out = out + F.when(F.coalesce(cond, F.lit(False)), F.lit(1 << i)).otherwise(0)
+    return out
+
+
+def unmask(bits: str, pairs: list[tuple[str, Column]]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.col(bits).bitwiseAND(1 << i) != 0, F.lit(name)) for i, (name, _) in enumerate(pairs)]))
+
+
+def windows(as_of: int, start: int) -> list[tuple[str, Column]]:
     ts = F.col("ts_s")
-    return labels([
+    return [
         ("all_time", ts <= as_of),
         ("trailing_90d", (ts >= as_of - 90 * X.DAY) & (ts <= as_of)),
         ("confirmatory", (ts >= start) & (ts <= as_of)),
-    ])
+    ]
 
 
 def window_members(rows: DataFrame, as_of: int, start: int) -> DataFrame:
-    return rows.withColumn("window_label", F.explode(window_array(as_of, start)))
+    return rows.withColumn("window_label", F.explode(labels(windows(as_of, start))))
 
 
 # The family whose exclusive and non-exclusive groups are split.
@@ -94,13 +106,13 @@ RECALIBRATION_FAMILY = ("m1_debiased", "m1_hier@polymarket", "m1_hier@kalshi", "
 POOL_MODEL = "m7_crossvenue"
 
 
-def variant_array(as_of: int, since: int, pool_since: int) -> Column:
+def variants(as_of: int, since: int, pool_since: int) -> list[tuple[str, Column]]:
     """Named row sets of the robustness checks, `primary` among them."""
     scoreable = (F.col("end_s") + SCORING_LAG_DAYS * X.DAY) <= as_of
     settled = F.col("disputed") == 0
     primary = scoreable & settled
     family = F.col("model_id").isin(*RECALIBRATION_FAMILY)
-    return labels([
+    return [
         ("primary", primary),
         ("disputed_inclusive", scoreable),
         ("dedup_daily", primary & F.col("first_of_day")),
@@ -110,7 +122,7 @@ def variant_array(as_of: int, since: int, pool_since: int) -> Column:
         ("negrisk", primary & family & (F.col("neg_risk") == 1)),
         ("non_negrisk", primary & family & (F.coalesce(F.col("neg_risk"), F.lit(0)) == 0)),
         ("uncensored", settled),
-    ])
+    ]
 
 
 def flag_first_of_day(rows: DataFrame, as_of: int) -> DataFrame:
@@ -130,7 +142,7 @@ def flag_first_of_day(rows: DataFrame, as_of: int) -> DataFrame:
 def robustness_variants(rows: DataFrame, as_of: int, since: int, pool_since: int) -> DataFrame:
     """`rows` must hold disputed and uncensored rows too."""
     return (flag_first_of_day(rows, as_of)
-            .withColumn("variant", F.explode(variant_array(as_of, since, pool_since)))
+            .withColumn("variant", F.explode(labels(variants(as_of, since, pool_since))))
             .drop("first_of_day"))
 
 
@@ -138,32 +150,34 @@ def eval_matrix(rows: DataFrame, control_ids: DataFrame, as_of: int, start: int,
                 since: int, pool_since: int, alpha: float = 0.05) -> DataFrame:
     """Every cell of model x venue x {category, ALL} x window x horizon x variant.
 
-    Rows collapse to cluster sums per membership signature first, so what is
-    exploded over windows, horizons and variants is already aggregated; a hot
-    cluster or cell is combined map-side at each of the three levels.
+    Rows first collapse to sums per cluster and membership signature (two
+    bit masks), map-side combined, so a hot cluster or cell arrives small.
+    Those sums are placed by (model, venue, cluster) once; expanding them over
+    windows, horizons, variants and categories and summing per (cell, cluster)
+    then needs no further shuffle, because every cell key contains that key.
     """
     from augurmill.operators.estimators import PAIRED_SUMS, paired_from_clusters, sequence_columns
 
+    in_window, in_variant = windows(as_of, start), variants(as_of, since, pool_since)
     control = control_ids.select("condition_id").distinct().withColumn("is_control", F.lit(True))
     flagged = (flag_first_of_day(rows, as_of)
                .join(control, "condition_id", "left")
                .withColumn("is_control", F.coalesce("is_control", F.lit(False)))
-               .withColumn("windows", F.when(F.col("is_control"), F.array(F.lit("null_control")))
-                           .otherwise(window_array(as_of, start)))
-               .withColumn("variants", variant_array(as_of, since, pool_since)))
-    flagged = horizon_bucket(flagged).where((F.size("variants") > 0) & (F.size("windows") > 0))
+               .withColumn("window_bits", mask(in_window)).withColumn("variant_bits", mask(in_variant)))
+    flagged = horizon_bucket(flagged).where("variant_bits > 0 and (window_bits > 0 or is_control)")
 
-    signature = ["model_id", "venue", "category", "cluster_id", "is_control", "windows", "variants",
+    signature = ["model_id", "venue", "cluster_id", "category", "is_control", "window_bits", "variant_bits",
                  "stated_bucket", "realized_bucket"]
-    base = flagged.groupBy(*signature).agg(*[F.sum(F.expr(v)).alias(n) for n, v in PAIRED_SUMS.items()])
+    base = (flagged.groupBy(*signature).agg(*[F.sum(F.expr(v)).alias(n) for n, v in PAIRED_SUMS.items()])
+            .repartition("model_id", "venue", "cluster_id"))
 
-    window = F.col("window_label")
+    labelled = F.when(F.col("is_control"), F.array(F.lit("null_control"))).otherwise(unmask("window_bits", in_window))
     horizon = F.array_compact(F.array(
         F.lit("all"),
         F.when(~F.col("is_control"), F.concat(F.lit("hs_"), F.col("stated_bucket"))),
-        F.when(window == "confirmatory", F.concat(F.lit("hr_"), F.col("realized_bucket")))))
-    cells = (base.withColumn("window_label", F.explode("windows"))
-             .withColumn("variant", F.explode("variants"))
+        F.when(F.col("window_label") == "confirmatory", F.concat(F.lit("hr_"), F.col("realized_bucket")))))
+    cells = (base.withColumn("window_label", F.explode(labelled))
+             .withColumn("variant", F.explode(unmask("variant_bits", in_variant)))
              .withColumn("horizon", F.explode(horizon)))
     category = F.array_compact(F.array(
         F.lit("ALL"),
