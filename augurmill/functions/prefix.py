@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from augurmill.session import cut
 
-SLICE = "__slice"
+SLICE, KEY = "__slice", "__key"
 
 
 def slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -35,31 +35,31 @@ def running(df: DataFrame, keys: list[str], order: list[str],
     sums, maxes = dict(sums or {}), dict(maxes or {})
     if count:
         sums[count] = F.lit(1).cast("long")
-    staged = df
+    # the keys as one struct: never null itself, equal where its fields are equal
+    # or both null, so window and join below can share one placement
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    staged = df.withColumn(KEY, key)
     for name, value in {**sums, **maxes}.items():
         staged = staged.withColumn(f"__v_{name}", value)
     tagged = slices(staged, keys, order)
 
-    totals = tagged.groupBy(*keys, SLICE).agg(
+    totals = tagged.groupBy(KEY, SLICE).agg(
         *[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums],
         *[F.max(f"__v_{n}").alias(f"__t_{n}") for n in maxes])
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (key, slice): a key spans at most as many rows as there are slices
+    before = Window.partitionBy(KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col(SLICE).alias("__k_slice"),
-        *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
+        KEY, SLICE, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
         *[F.max(f"__t_{n}").over(before).alias(f"__o_{n}") for n in maxes])
 
-    so_far = (Window.partitionBy(*keys, SLICE).orderBy(*order)
+    so_far = (Window.partitionBy(KEY, SLICE).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = tagged
     for n in sums:
         local = local.withColumn(n, F.sum(f"__v_{n}").over(so_far))
     for n in maxes:
         local = local.withColumn(n, F.max(f"__v_{n}").over(so_far))
-    on = (F.col(SLICE) == F.col("__k_slice"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    out = local.join(offsets, on, "left")
+    out = local.join(offsets, [KEY, SLICE], "left")
     for n in sums:
         out = out.withColumn(n, F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0)))
     for n in maxes:

@@ -35,22 +35,24 @@ def kelly_delta(rows: DataFrame) -> DataFrame:
     return out.withColumn("log_wealth_delta", delta).drop("p_win")
 
 
-def wealth_ledger(scored: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def wealth_ledger(scored: DataFrame, ledger: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
     """New ledger rows: running growth and count per (model, category) in (entry, ts, id) order.
 
     Forecasts already in the ledger are left out and its last state is carried
     on, so a second run adds nothing. Sums are prefix sums over range slices.
+    `state` alone says the caller has already left out the written rows.
     """
     rows = scored.withColumn("category", F.coalesce("category", F.lit("unknown")))
     if ledger is not None:
         rows = rows.join(ledger.select("forecast_id"), "forecast_id", "left_anti")
+        state = expert_state(ledger)
     grown = kelly_delta(rows).select("model_id", "category", "condition_id", "event_id", "forecast_id", "entry_s", "ts_s",
                                      "kelly", "log_wealth_delta")
     out = running(grown, ["model_id", "category"], ["entry_s", "ts_s", "forecast_id"],
                   sums={"cum_log_wealth": F.col("log_wealth_delta")}, count="n_forecasts")
-    if ledger is None:
+    if state is None:
         return out
-    last = expert_state(ledger).select("model_id", "category", F.col("cum_log_wealth").alias("c0"), F.col("n_forecasts").alias("n0"))
+    last = state.select("model_id", "category", F.col("cum_log_wealth").alias("c0"), F.col("n_forecasts").alias("n0"))
     return (out.join(last, ["model_id", "category"], "left")
             .withColumn("cum_log_wealth", F.col("cum_log_wealth") + F.coalesce("c0", F.lit(0.0)))
             .withColumn("n_forecasts", F.col("n_forecasts") + F.coalesce("n0", F.lit(0))).drop("c0", "n0"))

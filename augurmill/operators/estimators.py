@@ -340,24 +340,19 @@ def rps_skill(scores: DataFrame, by: list[str], replicates: int = 2000, min_even
 def taker_rate(rows: DataFrame, fees: DataFrame) -> DataFrame:
     """Fee in force on the forecast day: exact category first, then the venue default, else 0.
 
-    Looked up once per distinct (venue, category, day), not per row.
+    The schedule is folded into one short list per venue and looked up beside
+    each row, so rows are not shuffled for it: the planner broadcasts the
+    schedule as long as its file is small.
     """
-    keyed = rows.withColumn("__venue", X.venue_of()).withColumn("__day", X.day_of("ts_s"))
-    keys = keyed.select("__venue", "category", "__day").distinct()
-    schedule = fees.select(F.col("venue").alias("__fee_venue"), F.col("category").alias("__fee_category"),
-                           "effective_day", "taker_rate")
-    exact = F.col("__fee_category").eqNullSafe(F.col("category"))
-    rates = (keys.join(schedule, (F.col("__venue") == F.col("__fee_venue"))
-                       & (F.col("effective_day") <= F.col("__day"))
-                       & (exact | (F.col("__fee_category") == "default")))
-             .groupBy("__venue", "category", "__day")
-             .agg(F.max_by("taker_rate", F.struct(exact.cast("int"), "effective_day")).alias("taker_rate"))
-             .select(F.col("__venue").alias("__v"), F.col("category").alias("__c"), F.col("__day").alias("__d"),
-                     "taker_rate"))
-    return (keyed.join(rates, (F.col("__venue") == F.col("__v")) & (F.col("__day") == F.col("__d"))
-                       & F.col("category").eqNullSafe(F.col("__c")), "left")
-            .withColumn("taker_rate", F.coalesce("taker_rate", F.lit(0.0)))
-            .drop("__venue", "__day", "__v", "__c", "__d"))
+    lists = fees.groupBy(F.col("venue").alias("__fee_venue")).agg(
+        F.collect_list(F.struct("category", "effective_day", "taker_rate")).alias("__fees"))
+    day = X.day_of("ts_s")
+    in_force = F.filter("__fees", lambda f: (f["effective_day"] <= day)
+                        & (f["category"].eqNullSafe(F.col("category")) | (f["category"] == "default")))
+    best = F.array_max(F.transform(in_force, lambda f: F.struct(
+        f["category"].eqNullSafe(F.col("category")).cast("int").alias("exact"), f["effective_day"].alias("d"), f["taker_rate"].alias("rate"))))
+    return (rows.join(lists, X.venue_of() == F.col("__fee_venue"), "left")
+            .withColumn("taker_rate", F.coalesce(best["rate"], F.lit(0.0))).drop("__fee_venue", "__fees"))
 
 
 def growth_columns(rows: DataFrame, kelly: float = 0.2, cap: float = 0.05) -> DataFrame:
@@ -401,13 +396,16 @@ def quote_asof(targets: DataFrame, quotes: DataFrame, tolerance_s: int = 3 * X.H
     (market, second) first, which bounds a bin however hot its market.
     """
     wanted = targets.select("condition_id", "target_s").distinct()
-    unique = quotes.groupBy("condition_id", "ts_s").agg(F.min_by(F.struct("mid"), F.col("quote_id"))["mid"].alias("mid"))
     bin_of = F.floor(F.col("at_s") / tolerance_s)
     marks = wanted.select("condition_id", F.col("target_s").alias("at_s"), F.lit(True).alias("is_target"),
                           F.lit(None).cast("struct<ts_s:bigint,mid:double>").alias("q")).withColumn("bin", bin_of)
-    spread = (unique.select("condition_id", F.col("ts_s").alias("at_s"), F.lit(False).alias("is_target"),
-                            F.struct("ts_s", "mid").alias("q"))
-              .withColumn("bin", F.explode(F.array(bin_of - 1, bin_of, bin_of + 1))))
+    # only quotes in or beside a bin with a target are copied
+    near = marks.select("condition_id", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("own_bin")).distinct()
+    close = quotes.withColumn("own_bin", F.floor(F.col("ts_s") / tolerance_s)).join(near, ["condition_id", "own_bin"], "left_semi")
+    unique = close.groupBy("condition_id", "own_bin", "ts_s").agg(F.min_by(F.struct("mid"), F.col("quote_id"))["mid"].alias("mid"))
+    spread = unique.select(
+        "condition_id", F.col("ts_s").alias("at_s"), F.lit(False).alias("is_target"), F.struct("ts_s", "mid").alias("q"),
+        F.explode(F.array(F.col("own_bin") - 1, F.col("own_bin"), F.col("own_bin") + 1)).alias("bin"))
     both = marks.unionByName(spread)
     # a quote at the target's own second must sort before it in both directions
     rows = Window.unboundedPreceding, Window.currentRow

@@ -115,10 +115,13 @@ def venue_counts(markets: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 
 def spend_by_day(spend: DataFrame, cap: float) -> DataFrame:
-    """Cost per day and purpose, the day's total, and whether it passed the cap."""
+    """Cost per day and purpose, the day's total, and whether it reached the cap.
+
+    Compared in millionths of a dollar, so the order of summing cannot decide it.
+    """
     by_purpose = spend.groupBy(X.day_of("ts_s").alias("day"), "purpose").agg(F.sum("cost_usd").alias("cost_usd"))
     totals = by_purpose.groupBy("day").agg(F.sum("cost_usd").alias("day_usd"))
-    return by_purpose.join(totals, "day").withColumn("over_cap", (F.col("day_usd") >= cap).cast("int"))
+    return by_purpose.join(totals, "day").withColumn("over_cap", (F.round("day_usd", 6) >= cap).cast("int"))
 
 
 def exclusions_by_day(log: DataFrame, since_s: int) -> DataFrame:

@@ -32,7 +32,7 @@ FROM fx_universe u LEFT JOIN fx_resolutions r ON r.condition_id = u.condition_id
 
 -- name: spend_by_day
 WITH p AS (SELECT DAYNUM(EPOCH(l_shipdate)) AS day, concat('purpose_', l_returnflag) AS purpose, sum(l_discount) AS c FROM lineitem GROUP BY ALL)
-SELECT day, purpose, R(c) AS cost_usd, R(sum(c) OVER (PARTITION BY day)) AS day_usd, CASE WHEN sum(c) OVER (PARTITION BY day) >= 15e-1 THEN 1 ELSE 0 END AS over_cap FROM p
+SELECT day, purpose, R(c) AS cost_usd, R(sum(c) OVER (PARTITION BY day)) AS day_usd, CASE WHEN round(sum(c) OVER (PARTITION BY day), 6) >= 15e-1 THEN 1 ELSE 0 END AS over_cap FROM p
 
 -- name: exclusions_by_day
 WITH log AS (SELECT venue, condition_id, reason, DAYNUM(ts_s) AS day, min(ts_s) AS ts_s FROM (

@@ -50,7 +50,7 @@ def snapshot_append(spark, sf):
     stored = archive.with_partitions(archive.snapshot_dedup(q.where(F.col("ts_s") < overlap)))
     return archive.new_rows(q.where(F.col("ts_s") >= half), stored).groupBy(
         F.date_format("date", "yyyy-MM-dd").alias("date"), "hour").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("quote_id").alias("sum_quote_id"))
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("quote_id").cast("long")).alias("sum_quote_id"))
 
 
 @query
@@ -61,7 +61,7 @@ def snapshot_read(spark, sf):
     ids = fx.drift_forecasts(spark, sf).where("p_market_at_ts > 0.1D")
     return archive.snapshot_read(spark, path, dates=["2024-01-03", "2024-01-09", "2024-01-21"],
                                  columns=["condition_id", "ts_s", "mid", "open_interest"], ids=ids).select(
-        "condition_id", "ts_s", "mid", F.col("open_interest").cast("double").alias("open_interest"))
+        "condition_id", "ts_s", "mid", "open_interest")
 
 
 @query

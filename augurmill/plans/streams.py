@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from augurmill.functions import exprs as X
 from augurmill.plans.registry import query
 from augurmill.session import scratch_path
+from augurmill.sources import archive, landing
 from augurmill.sources import fixtures as fx
-from augurmill.sources import landing
 from augurmill.streaming import jobs
 
 
@@ -112,7 +112,8 @@ def streamed_quotes(spark, sf):
 def stream_snapshots(spark, sf):
     path = scratch_path(spark, "stream-archive")
     jobs.stream_snapshots(streamed_quotes(spark, sf), 5, path, scratch_path(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(path).select("quote_id", "condition_id", "ts_s", "mid")
+    return archive.snapshot_read(spark, path, columns=["quote_id", "condition_id", "ts_s", "mid"]).withColumn(
+        "quote_id", F.col("quote_id").cast("long"))
 
 
 @query
@@ -137,6 +138,6 @@ def stream_resolutions(spark, sf):
         F.concat(F.lit("m"), k).alias("condition_id"), (fx.epoch("o_orderdate") + X.DAY * (k % 200 + k % 15 - 5)).alias("resolved_s"),
         F.when((c * 7 + k) % 10 < 4, 1.0).otherwise(0.0).alias("payout_yes"), F.when(k % 37 == 0, 1).otherwise(0).alias("disputed"),
         F.lit(None).cast("long").alias("venue_resolved_s"))
-    table, wealth = scratch_path(spark, "stream-outcomes"), scratch_path(spark, "stream-wealth")
-    jobs.stream_resolutions(outcomes, fx.forecasts(spark, sf), fx.AS_OF, table, wealth, scratch_path(spark, "checkpoint")).awaitTermination()
-    return jobs.Versioned(spark, wealth).read().select("model_id", "category", "forecast_id", "cum_log_wealth", "n_forecasts")
+    table, wealth, state = (scratch_path(spark, f"stream-{n}") for n in ("outcomes", "wealth", "state"))
+    jobs.stream_resolutions(outcomes, fx.forecasts(spark, sf), fx.AS_OF, table, wealth, state, scratch_path(spark, "checkpoint")).awaitTermination()
+    return jobs.wealth_rows(spark, wealth).select("model_id", "category", "forecast_id", "cum_log_wealth", "n_forecasts")

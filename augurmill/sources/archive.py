@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augurmill.functions import exprs as X
+from augurmill.schemas import SNAPSHOTS
 
 KEY = ["condition_id", "ts_s"]
 
@@ -43,6 +46,8 @@ def new_rows(batch: DataFrame, archive: DataFrame | None, order: str = "quote_id
     lets dynamic partition pruning skip every other day's files.
     """
     fresh = with_partitions(snapshot_dedup(batch, order))
+    if "quote_id" in fresh.columns:
+        fresh = fresh.withColumn("quote_id", F.col("quote_id").cast("string"))
     if archive is None:
         return fresh
     keys = archive.select(*KEY, "date")
@@ -52,28 +57,29 @@ def new_rows(batch: DataFrame, archive: DataFrame | None, order: str = "quote_id
 def snapshot_append(batch: DataFrame, path: str, order: str = "quote_id") -> None:
     """Append first writes to the archive, split by date and hour. Running twice adds nothing."""
     spark = batch.sparkSession
-    archive = snapshot_read(spark, path, columns=[*KEY, "date"]) if _has_data(spark, path) else None
+    archive = snapshot_read(spark, path, columns=[*KEY, "date"]) if has_files(spark, path, "date=*") else None
     fresh = new_rows(batch, archive, order)
     # rebalance keeps one file per hour where it is small and splits a hot hour over tasks
     fresh.hint("rebalance", "date", "hour").write.mode("append").partitionBy("date", "hour").parquet(path)
 
 
-def _has_data(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hadoop) and fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/date=*")).__len__() > 0
+def has_files(spark: SparkSession, path: str, pattern: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(root) and len(fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}"))) > 0
 
 
-def snapshot_read(spark: SparkSession, path: str, dates: list[str] | None = None,
-                  columns: list[str] | None = None, ids: DataFrame | None = None) -> DataFrame:
-    """Pruned archive scan: dates prune partitions, columns prune the files,
-    an id table filters by semi-join. Columns missing from older files read as
-    null; unreadable files are skipped."""
-    df = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").parquet(path)
+def snapshot_read(spark: SparkSession, path: str, dates: list[str] | None = None, columns: list[str] | None = None,
+                  ids: DataFrame | None = None, schema: str = SNAPSHOTS) -> DataFrame:
+    """Pruned archive scan: dates prune partitions, columns prune the files, an id
+    table filters by semi-join. The declared schema reads columns missing from
+    older files as null without opening their footers; unreadable files are skipped."""
+    df = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
     if dates is not None:
-        df = df.where(F.col("date").isin(*dates))
+        df = df.where(F.col("date").isin([datetime.date.fromisoformat(d) for d in dates]))
+    if columns is not None:
+        df = df.select(*dict.fromkeys(columns + (["condition_id"] if ids is not None else [])))
     if ids is not None:
         df = df.join(ids.select("condition_id").distinct(), "condition_id", "left_semi")
-    if columns is not None:
-        df = df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns])
-    return df
+    return df if columns is None else df.select(*columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from augurmill.functions import exprs as X
 from augurmill.operators.audit import day_digests
+from augurmill.schemas import FORECASTS
 
 REQUIRED = ("forecast_id", "ts_s", "condition_id", "model_id", "p_yes", "p_market_at_ts")
 COVARIATES = {"spread_at_ts": "double", "evidence_run_id": "bigint", "cost_usd": "double", "depth_covariate": "double",
@@ -37,11 +38,11 @@ def check_forecasts(rows: DataFrame, version: str = "v1", parameters: str = "{}"
 
 def forecast_append(rows: DataFrame, ledger_path: str, quarantine_path: str) -> None:
     """Good rows to the ledger by date, the rest to quarantine. Ids already stored are skipped."""
-    from augurmill.sources.archive import _has_data
+    from augurmill.sources.archive import has_files
     checked = check_forecasts(rows).withColumn("date", F.to_date(F.timestamp_seconds("ts_s")))
     good = checked.where("reject_reason is null").drop("reject_reason")
-    if _has_data(rows.sparkSession, ledger_path):
-        stored = rows.sparkSession.read.parquet(ledger_path).select("date", "forecast_id")
+    if has_files(rows.sparkSession, ledger_path, "date=*"):
+        stored = rows.sparkSession.read.schema(FORECASTS).parquet(ledger_path).select("date", "forecast_id")
         good = good.join(stored, ["date", "forecast_id"], "left_anti")
     good.write.mode("append").partitionBy("date").parquet(ledger_path)
     checked.where("reject_reason is not null").write.mode("append").parquet(quarantine_path)
@@ -89,8 +90,11 @@ def training_observations(trades: DataFrame, markets: DataFrame, max_per_market:
     `markets` are the resolved binary ones. The last price is a mergeable
     maximum, so a hot market's trades shrink to one row per day before the shuffle.
     """
+    # an unreadable time reads as the far future and fails `days > 0`; a null
+    # here would make the planner parse every time twice, to filter it early
+    never = F.lit(1 << 60).cast("long")
     t = trades.where("price > 0 and price < 1").select(
-        "condition_id", "trade_id", "price", X.epoch_any("ts_raw").alias("obs_s"))
+        "condition_id", "trade_id", "price", F.coalesce(X.epoch_any("ts_raw"), never).alias("obs_s"))
     days = (F.col("end_s") - F.col("obs_s")) / X.DAY
     joined = t.join(markets.select("condition_id", "category", "payout_yes", "end_s"), "condition_id").where(days > 0)
     last = F.struct("obs_s", "trade_id")

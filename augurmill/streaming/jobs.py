@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from augurmill.operators import accounting, scoring
+from augurmill.schemas import WEALTH
 from augurmill.session import cut
 from augurmill.sources import archive
 from augurmill.sources import ledger as L
@@ -87,21 +88,38 @@ def stream_coverage(quotes: DataFrame, minutes: int, delay: str, path: str, chec
     return _run(flat, checkpoint, append)
 
 
+def wealth_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Every batch's wealth rows. A batch is one folder, replaced whole if it is retried."""
+    return spark.read.schema(f"{WEALTH}, batch bigint").parquet(path)
+
+
 def stream_resolutions(resolutions: DataFrame, forecasts: DataFrame, as_of: int, table_path: str, wealth_path: str,
-                       checkpoint: str) -> StreamingQuery:
-    """Outcomes in, wealth rows out: upsert, score, extend the wealth ledger by what is new."""
+                       state_path: str, checkpoint: str) -> StreamingQuery:
+    """Outcomes in, wealth rows out: upsert, score, extend the wealth ledger by what is new.
+
+    The ledger only grows by batch folders; the running state per (model,
+    category) is a small table of its own. Rows already in the ledger can only
+    belong to markets of this batch, so only those are looked up.
+    """
     spark = resolutions.sparkSession
-    known, wealth = Versioned(spark, table_path), Versioned(spark, wealth_path)
+    known, state = Versioned(spark, table_path), Versioned(spark, state_path)
 
     def settle(batch: DataFrame, batch_id: int) -> None:
         old = known.before(batch_id)
         merged = cut(L.resolution_upsert(batch, old if old is not None else batch.limit(0)))
         known.write(batch_id, merged)
-        # only markets of this batch can add rows
         touched = merged.join(batch.select("condition_id"), "condition_id", "left_semi")
         rows = scoring.scored_rows(forecasts, touched, None, as_of)
-        before = wealth.before(batch_id)
-        added = accounting.wealth_ledger(rows, before)
-        wealth.write(batch_id, added if before is None else before.unionByName(added))
+        before = state.before(batch_id)
+        if before is not None:
+            written = (wealth_rows(spark, wealth_path).where(F.col("batch") < batch_id)
+                       .join(touched.select("condition_id"), "condition_id", "left_semi"))
+            rows = rows.join(written.select("forecast_id"), "forecast_id", "left_anti")
+        added = cut(accounting.wealth_ledger(rows, state=before))
+        added.write.mode("overwrite").parquet(f"{wealth_path}/batch={batch_id}")
+        newest = accounting.expert_state(added)
+        if before is not None:
+            newest = newest.unionByName(before.join(newest.select("model_id", "category"), ["model_id", "category"], "left_anti"))
+        state.write(batch_id, newest)
 
     return _run(resolutions, checkpoint, settle)
