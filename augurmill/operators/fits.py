@@ -41,35 +41,43 @@ def _newton_sums(data: DataFrame, keys: list[str], theta: dict[tuple, tuple[floa
             for row in rows}
 
 
-def _step(hessian: np.ndarray, gradient: np.ndarray) -> np.ndarray:
-    step = np.linalg.solve(hessian + 1e-9 * np.eye(len(gradient)), gradient)
-    size = np.abs(step).max()
-    return step if size <= 2 else step * (2 / size)
+class _Descent:
+    """Newton with step halving for one small parameter vector; the data stays in Spark."""
 
+    def __init__(self, start: np.ndarray):
+        self.base, self.step, self.loss, self.done = start, np.zeros(len(start)), np.inf, False
+        self.point = start
 
-def fit_recalibration(obs: DataFrame, max_steps: int = 30) -> DataFrame:
+    def take(self, loss: float, gradient: np.ndarray, hessian: np.ndarray) -> None:
+        """Sums at `point`: accept it and aim anew, or come half the way back."""
+        if loss <= self.loss + 1e-9 * (1 + abs(loss)):
+            self.base, self.loss = self.point, loss
+            self.step = np.linalg.solve(hessian + 1e-9 * np.eye(len(gradient)), gradient)
+        else:
+            self.step = self.step / 2
+        self.point = self.base + self.step
+        self.done = bool(np.abs(self.step).max() < 1e-10)
+
+
+def fit_recalibration(obs: DataFrame, max_steps: int = 60) -> DataFrame:
     """Logistic alpha, beta per horizon bucket, all buckets in one aggregate per Newton step."""
     data = _training(obs).persist()
     try:
         counts = {r["bucket"]: r["n"] for r in data.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
-        theta = {(b,): (0.0, 1.0) for b, n in counts.items() if n >= MIN_BUCKET_N}
-        nll: dict[tuple, float] = {}
-        for _ in range(max_steps if theta else 0):
-            moved = 0.0
-            for key, s in _newton_sums(data, ["bucket"], theta).items():
-                d = _step(np.array([[s[2], s[3]], [s[3], s[4]]]), s[:2])
-                theta[key] = (theta[key][0] + float(d[0]), theta[key][1] + float(d[1]))
-                nll[key] = float(s[5])
-                moved = max(moved, float(np.abs(d).max()))
-            if moved < 1e-10:
+        fits = {b: _Descent(np.array([0.0, 1.0])) for b, n in counts.items() if n >= MIN_BUCKET_N}
+        for _ in range(max_steps):
+            if all(d.done for d in fits.values()):
                 break
+            theta = {(b,): tuple(float(v) for v in d.point) for b, d in fits.items()}
+            for (b,), s in _newton_sums(data, ["bucket"], theta).items():
+                fits[b].take(float(s[5]), s[:2], np.array([[s[2], s[3]], [s[3], s[4]]]))
     finally:
         data.unpersist()
-    rows = [(k[0], a, b, int(counts[k[0]]), nll[k]) for k, (a, b) in sorted(theta.items())]
+    rows = [(b, float(d.base[0]), float(d.base[1]), int(counts[b]), d.loss) for b, d in sorted(fits.items())]
     return obs.sparkSession.createDataFrame(rows, "bucket string, alpha double, beta double, n bigint, nll double")
 
 
-def fit_hier(obs: DataFrame, max_steps: int = 40) -> DataFrame:
+def fit_hier(obs: DataFrame, max_steps: int = 80) -> DataFrame:
     """Global curve per bucket plus ridge-shrunk venue offsets.
 
     Each step reads one aggregate per (bucket, venue); the joint Newton system
@@ -83,44 +91,43 @@ def fit_hier(obs: DataFrame, max_steps: int = 40) -> DataFrame:
         size: dict[str, int] = {}
         for (b, _), c in n.items():
             size[b] = size.get(b, 0) + c
-        fitted = {b: [v for v in sorted(v for bb, v in n if bb == b) if n[(b, v)] >= MIN_VENUE_N]
-                  for b in size if size[b] >= MIN_BUCKET_N}
-        params = {b: np.concatenate([[0.0, 1.0], np.zeros(2 * len(vs))]) for b, vs in fitted.items()}
-        for _ in range(max_steps if params else 0):
-            theta = {}
-            for b, vs in fitted.items():
-                for v in (v for bb, v in n if bb == b):
-                    off = params[b][2 + 2 * vs.index(v):4 + 2 * vs.index(v)] if v in vs else np.zeros(2)
-                    theta[(b, v)] = (float(params[b][0] + off[0]), float(params[b][1] + off[1]))
-            sums, moved = _newton_sums(data, ["bucket", "venue"], theta), 0.0
-            for b, vs in fitted.items():
-                k = 2 + 2 * len(vs)
-                g, h = np.zeros(k), np.zeros((k, k))
+        offset_venues = {b: [v for v in sorted(v for bb, v in n if bb == b) if n[(b, v)] >= MIN_VENUE_N]
+                         for b in size if size[b] >= MIN_BUCKET_N}
+        fits = {b: _Descent(np.concatenate([[0.0, 1.0], np.zeros(2 * len(vs))])) for b, vs in offset_venues.items()}
+
+        def slots(b: str, v: str) -> list[np.ndarray]:
+            vs = offset_venues[b]
+            return [np.arange(2)] + ([2 + 2 * vs.index(v) + np.arange(2)] if v in vs else [])
+
+        for _ in range(max_steps):
+            if all(d.done for d in fits.values()):
+                break
+            theta = {(b, v): tuple(float(x) for x in sum(fits[b].point[at] for at in slots(b, v)))
+                     for b, v in n if b in fits}
+            sums = _newton_sums(data, ["bucket", "venue"], theta)
+            for b, vs in offset_venues.items():
+                k = len(fits[b].point)
+                loss, g, h = 0.0, np.zeros(k), np.zeros((k, k))
                 for (bb, v), s in sums.items():
-                    if bb != b:
-                        continue
-                    gv, hv = s[:2], np.array([[s[2], s[3]], [s[3], s[4]]])
-                    at = [np.arange(2)] + ([2 + 2 * vs.index(v) + np.arange(2)] if v in vs else [])
-                    for i in at:
-                        g[i] += gv
-                        for j in at:
-                            h[np.ix_(i, j)] += hv
+                    if bb == b:
+                        loss += float(s[5])
+                        for i in slots(b, v):
+                            g[i] += s[:2]
+                            for j in slots(b, v):
+                                h[np.ix_(i, j)] += np.array([[s[2], s[3]], [s[3], s[4]]])
                 for i, v in enumerate(vs):
-                    ridge = 2 * size[b] / n[(b, v)]
-                    spot = 2 + 2 * i + np.arange(2)
-                    g[spot] -= ridge * params[b][spot]
-                    h[spot, spot] += ridge
-                d = _step(h, g)
-                params[b] = params[b] + d
-                moved = max(moved, float(np.abs(d).max()))
-            if moved < 1e-10:
-                break
+                    ridge, at = size[b] / n[(b, v)], 2 + 2 * i + np.arange(2)
+                    loss += ridge * float((fits[b].point[at] ** 2).sum())
+                    g[at] -= 2 * ridge * fits[b].point[at]
+                    h[at, at] += 2 * ridge
+                fits[b].take(loss, g, h)
     finally:
         data.unpersist()
     rows = []
-    for b, vs in sorted(fitted.items()):
-        rows.append((b, None, float(params[b][0]), float(params[b][1]), int(size[b])))
-        rows += [(b, v, float(params[b][2 + 2 * i]), float(params[b][3 + 2 * i]), int(n[(b, v)])) for i, v in enumerate(vs)]
+    for b, vs in sorted(offset_venues.items()):
+        p = fits[b].base
+        rows.append((b, None, float(p[0]), float(p[1]), int(size[b])))
+        rows += [(b, v, float(p[2 + 2 * i]), float(p[3 + 2 * i]), int(n[(b, v)])) for i, v in enumerate(vs)]
     return obs.sparkSession.createDataFrame(rows, "bucket string, venue string, alpha double, beta double, n bigint")
 
 

@@ -37,7 +37,8 @@ def _expand(text: str) -> str:
 
 def _sections(path: Path) -> dict[str, str]:
     parts = re.split(r"^-- name: *(\w+) *$", path.read_text(), flags=re.M)
-    return {n: b.strip().rstrip(";") for n, b in zip(parts[1::2], parts[2::2])}
+    bodies = (re.sub(r"^--.*\n", "", b.strip(), flags=re.M).rstrip(";") for b in parts[2::2])
+    return dict(zip(parts[1::2], bodies))
 
 
 def _with_views(body: str, views: dict[str, str]) -> str:

@@ -1,5 +1,7 @@
 -- name: isotonic_bins
-WITH o AS (SELECT *, ntile(20) OVER (PARTITION BY bucket ORDER BY p_market, obs_id) - 1 AS bin FROM fx_obs),
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY p_market, obs_id) - 1 AS spot, count(*) OVER (PARTITION BY bucket) AS m,
+    least(20, greatest(1, count(*) OVER (PARTITION BY bucket) // 10)) AS k FROM fx_obs),
+o AS (SELECT *, CASE WHEN spot < m % k * (m // k + 1) THEN spot // (m // k + 1) ELSE m % k + (spot - m % k * (m // k + 1)) // (m // k) END AS bin FROM p),
 b AS (SELECT bucket, bin, avg(p_market) AS c, avg(outcome) AS e, count(*) AS n FROM o GROUP BY ALL),
 spans AS (SELECT i.bucket, i.bin AS i, j.bin AS j, sum(m.e * m.n) / sum(m.n) AS mean FROM b i JOIN b j ON j.bucket = i.bucket AND j.bin >= i.bin
   JOIN b m ON m.bucket = i.bucket AND m.bin BETWEEN i.bin AND j.bin GROUP BY ALL),
@@ -108,3 +110,63 @@ z AS (SELECT count(*) AS nc, sum(s) / sum(n) AS skill, avg(m) AS mu, coalesce(va
 h AS (SELECT *, sqrt((nc * v + 0.12177348869865692e0 * nc) * ln((nc * v + 0.12177348869865692e0 * nc) / (25e-4 * 0.12177348869865692e0 * nc))) / nc AS half FROM z)
 SELECT 'm1_curves' AS model_key, nc AS n_clusters, R(skill) AS skill, R(mu - half) AS cs_lo, R(mu + half) AS cs_hi, R(lo) AS ci_lo, R(hi) AS ci_hi,
   CASE WHEN nc >= 2 AND mu - half > 0 THEN 1 ELSE 0 END AS degraded FROM h, ci
+
+-- name: fit_recalibration
+WITH RECURSIVE th AS (
+  SELECT bucket, 0e0 AS a, 1e0 AS b, 0 AS i, count(*) AS n, 0e0 AS nll FROM fx_obs GROUP BY bucket HAVING count(*) >= 100
+  UNION ALL
+  SELECT bucket, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01), i + 1, n, l FROM (
+    SELECT o.bucket, a, b, i, t.n, sum(outcome - p) AS g0, sum((outcome - p) * x) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01,
+      sum(p * (1 - p) * x * x) AS h11, sum(-(outcome * ln(CLIP(p)) + (1 - outcome) * ln(1 - CLIP(p)))) AS l
+    FROM (SELECT bucket, outcome, LOGIT(p_market) AS x FROM fx_obs) o JOIN th t ON t.bucket = o.bucket, LATERAL (SELECT SIGMOID(a + b * x) AS p)
+    WHERE i < 20 GROUP BY ALL))
+SELECT bucket, R(a) AS alpha, R(b) AS beta, n, R(nll) AS nll FROM th WHERE i = 20
+
+-- name: fit_hier
+-- Newton from the plain curve; 2x2 blocks eliminated by venue.
+WITH RECURSIVE size AS (SELECT bucket, venue, count(*) AS nv, sum(count(*)) OVER (PARTITION BY bucket) AS nb FROM fx_obs GROUP BY bucket, venue),
+plain AS (
+  SELECT bucket, 0e0 AS a, 1e0 AS b, 0 AS i FROM fx_obs GROUP BY bucket HAVING count(*) >= 100
+  UNION ALL
+  SELECT bucket, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01), i + 1 FROM (
+    SELECT o.bucket, a, b, i, sum(outcome - p) AS g0, sum((outcome - p) * x) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11
+    FROM (SELECT bucket, outcome, LOGIT(p_market) AS x FROM fx_obs) o JOIN plain t ON t.bucket = o.bucket, LATERAL (SELECT SIGMOID(a + b * x) AS p)
+    WHERE i < 15 GROUP BY ALL)),
+th AS (
+  SELECT s.bucket, s.venue, a AS ag, b AS bg, 0e0 AS av, 0e0 AS bv, 0 AS i, nv, cast(nb AS bigint) AS nb, CASE WHEN nv >= 5 THEN 2e0 * nb / nv END AS lam FROM size s JOIN plain p ON p.bucket = s.bucket AND p.i = 15
+  UNION ALL
+  SELECT bucket, venue, ag + dga, bg + dgb,
+    CASE WHEN lam IS NULL THEN 0e0 ELSE av + (m11 * (e0 - h00 * dga - h01 * dgb) - h01 * (e1 - h01 * dga - h11 * dgb)) / det END,
+    CASE WHEN lam IS NULL THEN 0e0 ELSE bv + (m00 * (e1 - h01 * dga - h11 * dgb) - h01 * (e0 - h00 * dga - h01 * dgb)) / det END, i + 1, nv, nb, lam
+  FROM (SELECT *, (s11 * r0 - s01 * r1) / (s00 * s11 - s01 * s01) AS dga, (s00 * r1 - s01 * r0) / (s00 * s11 - s01 * s01) AS dgb FROM (
+    SELECT *, sum(c00) OVER w AS s00, sum(c01) OVER w AS s01, sum(c11) OVER w AS s11, sum(q0) OVER w AS r0, sum(q1) OVER w AS r1 FROM (
+      SELECT *,
+        CASE WHEN lam IS NULL THEN h00 ELSE h00 - (h00 * (m11 * h00 - h01 * h01) + h01 * (m00 * h01 - h01 * h00)) / det END AS c00,
+        CASE WHEN lam IS NULL THEN h01 ELSE h01 - (h00 * (m11 * h01 - h01 * h11) + h01 * (m00 * h11 - h01 * h01)) / det END AS c01,
+        CASE WHEN lam IS NULL THEN h11 ELSE h11 - (h01 * (m11 * h01 - h01 * h11) + h11 * (m00 * h11 - h01 * h01)) / det END AS c11,
+        CASE WHEN lam IS NULL THEN g0 ELSE g0 - (h00 * (m11 * e0 - h01 * e1) + h01 * (m00 * e1 - h01 * e0)) / det END AS q0,
+        CASE WHEN lam IS NULL THEN g1 ELSE g1 - (h01 * (m11 * e0 - h01 * e1) + h11 * (m00 * e1 - h01 * e0)) / det END AS q1
+      FROM (SELECT *, h00 + lam AS m00, h11 + lam AS m11, (h00 + lam) * (h11 + lam) - h01 * h01 AS det, g0 - lam * av AS e0, g1 - lam * bv AS e1 FROM (
+        SELECT o.bucket, o.venue, ag, bg, av, bv, i, nv, nb, lam, sum(outcome - p) AS g0, sum((outcome - p) * x) AS g1, sum(p * (1 - p)) AS h00,
+          sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11
+        FROM (SELECT bucket, venue, outcome, LOGIT(p_market) AS x FROM fx_obs) o JOIN th t ON t.bucket = o.bucket AND t.venue = o.venue,
+          LATERAL (SELECT SIGMOID(ag + av + (bg + bv) * x) AS p) WHERE i < 25 GROUP BY ALL)))
+    WINDOW w AS (PARTITION BY bucket))))
+SELECT bucket, venue, R(av) AS alpha, R(bv) AS beta, nv AS n FROM th WHERE i = 25 AND lam IS NOT NULL
+UNION ALL SELECT DISTINCT bucket, NULL, R(ag), R(bg), nb FROM th WHERE i = 25
+
+-- name: mwu_weights
+-- The bounds have a closed form here: at most one group of correlated models
+-- is above the ceiling, and no weight is below the floor.
+WITH RECURSIVE m AS (SELECT e.*, count(*) OVER w AS nm, sum(n) OVER w AS nr, max(n) OVER w AS t FROM fx_experts e WHERE model_id <> 'm4_ensemble'
+  WINDOW w AS (PARTITION BY category)),
+ok AS (SELECT *, exp(sqrt(8 * ln(nm) / t) * avg_lw) AS e FROM m WHERE nm >= 2 AND nr >= 100),
+raw AS (SELECT category, model_id, nm, nr, e / sum(e) OVER (PARTITION BY category) AS raw FROM ok),
+links AS (SELECT category, a, b FROM fx_pair_rho WHERE rho >= 8e-1 UNION ALL SELECT category, b, a FROM fx_pair_rho WHERE rho >= 8e-1),
+reach AS (SELECT category, model_id, model_id AS label FROM raw UNION SELECT r.category, l.b, r.label FROM reach r JOIN links l ON l.category = r.category AND l.a = r.model_id),
+grp AS (SELECT category, model_id, min(label) AS g FROM reach GROUP BY ALL),
+sums AS (SELECT r.*, g, sum(raw) OVER (PARTITION BY r.category, g) AS gs, count(*) OVER (PARTITION BY r.category, g) AS gn FROM raw r
+  JOIN grp ON grp.category = r.category AND grp.model_id = r.model_id),
+top AS (SELECT *, max(gs) OVER (PARTITION BY category) AS mx, max(gn) OVER (PARTITION BY category) AS mg FROM sums)
+SELECT category, model_id, R(raw) AS raw, R(CASE WHEN mg = nm THEN 1e0 / nm WHEN mx <= 6e-1 THEN raw WHEN gs = mx THEN raw * 6e-1 / mx ELSE raw * 4e-1 / (1 - mx) END) AS weight,
+  I(nr) AS n_resolved FROM top
