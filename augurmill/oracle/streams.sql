@@ -9,8 +9,8 @@ r AS (SELECT venue, condition_id, CASE WHEN bad THEN 'unreadable' WHEN venue = '
   CASE WHEN bad THEN NULL WHEN venue = 'polymarket' THEN a * 8 WHEN k % 3 <> 0 THEN a * 40 END AS ask_depth,
   CASE WHEN bad THEN NULL WHEN venue = 'polymarket' THEN 3 ELSE 1 END AS bid_levels,
   CASE WHEN bad THEN NULL WHEN venue = 'polymarket' THEN a ELSE (p + 2) / 100e0 END AS top_ask FROM q)
-SELECT venue, condition_id, reject_reason, count(*) AS n, R(avg(best_bid)) AS best_bid, R(avg(best_ask)) AS best_ask, R(avg(mid)) AS mid, R(avg(spread)) AS spread,
-  R(avg(bid_depth)) AS bid_depth_usd, R(avg(ask_depth)) AS ask_depth_usd, R(avg(bid_levels)) AS bid_levels, R(avg(top_ask)) AS top_ask FROM r GROUP BY ALL
+SELECT venue, condition_id, reject_reason, count(*) AS n, R(sum(best_bid)) AS best_bid, R(sum(best_ask)) AS best_ask, R(sum(mid)) AS mid, R(sum(spread)) AS spread,
+  R(sum(bid_depth)) AS bid_depth_usd, R(sum(ask_depth)) AS ask_depth_usd, I(sum(bid_levels)) AS bid_levels, R(sum(top_ask)) AS top_ask FROM r GROUP BY ALL
 
 -- name: market_etl
 WITH v AS (SELECT *, CASE venue WHEN 'metaculus' THEN 'manifold' ELSE venue END AS vn FROM fx_universe),

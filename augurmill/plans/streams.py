@@ -43,9 +43,9 @@ def landed_books(spark, sf):
 def quote_etl(spark, sf):
     q = landing.quote_etl(landed_books(spark, sf))
     return q.groupBy("venue", "condition_id", "reject_reason").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("best_bid").alias("best_bid"), F.avg("best_ask").alias("best_ask"), F.avg("mid").alias("mid"),
-        F.avg("spread").alias("spread"), F.avg("bid_depth_usd").alias("bid_depth_usd"), F.avg("ask_depth_usd").alias("ask_depth_usd"),
-        F.avg(F.size("bids")).alias("bid_levels"), F.avg(F.get("asks", F.lit(0))["price"]).alias("top_ask"))
+        F.count(F.lit(1)).alias("n"), F.sum("best_bid").alias("best_bid"), F.sum("best_ask").alias("best_ask"), F.sum("mid").alias("mid"),
+        F.sum("spread").alias("spread"), F.sum("bid_depth_usd").alias("bid_depth_usd"), F.sum("ask_depth_usd").alias("ask_depth_usd"),
+        F.sum(F.size("bids")).alias("bid_levels"), F.sum(F.get("asks", F.lit(0))["price"]).alias("top_ask"))
 
 
 def landed_markets(spark, sf):
