@@ -30,10 +30,10 @@ SELECT condition_id, published_s, end_s - 2592000 AS forecast_s, count(*) AS n F
 WHERE published_s IS NULL OR published_s <= end_s - 2592000 GROUP BY ALL
 
 -- name: evidence_etl
-WITH o AS (SELECT l_orderkey AS k, count(*) AS n, bool_or(1 + l_suppkey % 3 + CASE WHEN l_partkey % 50 = 0 THEN 3 ELSE 0 END > 3) AS bad,
-  sum((1 + l_linenumber % 3) * (1 + l_suppkey % 3)) AS grade FROM lineitem GROUP BY ALL)
-SELECT k, CASE WHEN good THEN 1 ELSE 0 END AS ok, cast(CASE WHEN good THEN n END AS integer) AS n_items, I(CASE WHEN good THEN grade END) AS grade
-FROM (SELECT *, NOT bad AND k % 5 <> 2 AND k % 23 <> 0 AS good FROM o)
+WITH r AS (SELECT l_orderkey AS k, l_partkey % 50 <> 0 AND l_partkey % 5 <> 2 AND l_partkey % 23 <> 0 AS good,
+    (1 + l_linenumber % 3) * (1 + l_suppkey % 3) + 1 + l_partkey % 3 AS grade FROM lineitem)
+SELECT k, count(*) FILTER (good) AS accepted, count(*) FILTER (NOT good) AS rejected, 2 * count(*) FILTER (good) AS n_items,
+  I(coalesce(sum(grade) FILTER (good), 0)) AS grade FROM r GROUP BY k
 
 -- name: lessons_digest
 SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'unknown' ELSE concat('source', o_orderkey % 6) END AS error_source, count(*) AS n FROM orders

@@ -50,27 +50,32 @@ def asof_articles(spark, sf):
 
 
 def evidence_texts(spark, sf):
-    """Extraction answers: one per order, a list of its line items, sometimes wrapped, fenced or broken."""
-    li = fx.table(spark, sf, "lineitem")
-    item = F.to_json(F.struct(
-        F.concat(F.lit("claim "), "l_partkey").alias("claim"),
+    """Extraction answers: one per line item, two evidence items each, sometimes wrapped, fenced or broken."""
+    k, line, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    first = F.to_json(F.struct(
+        F.concat(F.lit("claim "), part).alias("claim"),
         F.when(F.col("l_returnflag") == "A", "for_yes").when(F.col("l_returnflag") == "N", "for_no").otherwise("neutral").alias("direction"),
-        (1 + F.col("l_linenumber") % 3).alias("strength"),
-        (1 + F.col("l_suppkey") % 3 + (F.col("l_partkey") % 50 == 0).cast("int") * 3).alias("source_reliability"),
+        (1 + line % 3).alias("strength"),
+        (1 + F.col("l_suppkey") % 3 + (part % 50 == 0).cast("int") * 3).alias("source_reliability"),
         F.round(F.col("l_discount") * 10, 1).alias("relevance")))
-    body = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.concat_ws(",", F.collect_list(item)).alias("body"), F.count(F.lit(1)).alias("n"))
-    listed = F.concat(F.lit("["), "body", F.lit("]"))
-    text = (F.when(F.col("k") % 5 == 0, F.concat(F.lit('{"items":'), listed, F.lit("}")))
-            .when(F.col("k") % 5 == 1, F.concat(F.lit("```json\n"), listed, F.lit("\n```")))
-            .when(F.col("k") % 5 == 2, F.concat(F.lit('{"other":'), listed, F.lit("}"))).otherwise(listed))
-    return body.select("k", "n", F.when(F.col("k") % 23 == 0, F.concat(text, F.lit("{"))).otherwise(text).alias("text"))
+    second = F.to_json(F.struct(F.lit("background").alias("claim"), F.lit("neutral").alias("direction"), F.lit(1).alias("strength"),
+                                (1 + part % 3).cast("string").alias("source_reliability"), F.col("l_discount").alias("relevance"), line.alias("article_index")))
+    listed = F.concat(F.lit("["), first, F.lit(","), second, F.lit("]"))
+    text = (F.when(part % 5 == 0, F.concat(F.lit('{"items":'), listed, F.lit("}")))
+            .when(part % 5 == 1, F.concat(F.lit("```json\n"), listed, F.lit("\n```")))
+            .when(part % 5 == 2, F.concat(F.lit('{"other":'), listed, F.lit("}"))).otherwise(listed))
+    return fx.table(spark, sf, "lineitem").select(
+        k.alias("k"), F.when(part % 23 == 0, F.concat(text, F.lit("{"))).otherwise(text).alias("text"))
 
 
 @query
 def evidence_etl(spark, sf):
-    return T.evidence_etl(evidence_texts(spark, sf)).select(
-        "k", F.col("items").isNotNull().cast("int").alias("ok"), F.when(F.col("items").isNotNull(), F.size("items")).alias("n_items"),
-        F.aggregate("items", F.lit(0), lambda a, e: a + e["strength"] * e["source_reliability"]).cast("long").alias("grade"))
+    """Per order: answers read, answers rejected, and what the accepted items weigh."""
+    parsed = T.evidence_etl(evidence_texts(spark, sf))
+    grade = F.aggregate("items", F.lit(0), lambda a, e: a + e["strength"] * e["source_reliability"])
+    return parsed.groupBy("k").agg(
+        F.count("items").alias("accepted"), F.count(F.when(F.col("items").isNull(), 1)).alias("rejected"),
+        F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("n_items"), F.coalesce(F.sum(grade), F.lit(0)).alias("grade"))
 
 
 def postmortems(spark, sf):
