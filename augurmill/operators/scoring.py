@@ -171,19 +171,25 @@ def eval_matrix(rows: DataFrame, control_ids: DataFrame, as_of: int, start: int,
     base = (flagged.groupBy(*signature).agg(*[F.sum(F.expr(v)).alias(n) for n, v in PAIRED_SUMS.items()])
             .repartition("model_id", "venue", "cluster_id"))
 
+    def place(horizon: Column, category: Column, one_window: bool = False) -> Column:
+        return F.struct(horizon.alias("horizon"), category.alias("category"), F.lit(one_window).alias("one_window"))
+
+    free, pooled = ~F.col("is_control"), F.lit("ALL")
+    places = F.array_compact(F.array(
+        place(F.lit("all"), pooled),
+        F.when(free & F.col("category").isNotNull(), place(F.lit("all"), F.col("category"))),
+        F.when(free & F.col("stated_bucket").isNotNull(), place(F.concat(F.lit("hs_"), "stated_bucket"), pooled)),
+        F.when(free & F.col("realized_bucket").isNotNull(), place(F.concat(F.lit("hr_"), "realized_bucket"), pooled, True))))
     labelled = F.when(F.col("is_control"), F.array(F.lit("null_control"))).otherwise(unmask("window_bits", in_window))
-    horizon = F.array_compact(F.array(
-        F.lit("all"),
-        F.when(~F.col("is_control"), F.concat(F.lit("hs_"), F.col("stated_bucket"))),
-        F.when(F.col("window_label") == "confirmatory", F.concat(F.lit("hr_"), F.col("realized_bucket")))))
-    cells = (base.withColumn("window_label", F.explode(labelled))
-             .withColumn("variant", F.explode(unmask("variant_bits", in_variant)))
-             .withColumn("horizon", F.explode(horizon)))
-    category = F.array_compact(F.array(
-        F.lit("ALL"),
-        F.when((F.col("horizon") == "all") & ~F.col("is_control"), F.col("category"))))
+    # the arrays are built once per signature; what is expanded are plain columns
+    lists = base.select("model_id", "venue", "cluster_id", *PAIRED_SUMS, labelled.alias("windows"),
+                        unmask("variant_bits", in_variant).alias("variants"), places.alias("places"))
     cell = ["model_id", "venue", "category", "window_label", "horizon", "variant"]
-    clusters = (cells.withColumn("category", F.explode(category))
-                .groupBy(*cell, "cluster_id").agg(*[F.sum(n).alias(n) for n in PAIRED_SUMS]))
+    clusters = (lists.withColumn("window_label", F.explode("windows")).withColumn("place", F.explode("places"))
+                .where("not place.one_window or window_label = 'confirmatory'")
+                .withColumn("variant", F.explode("variants"))
+                .groupBy("model_id", "venue", F.col("place.category").alias("category"), "window_label",
+                         F.col("place.horizon").alias("horizon"), "variant", "cluster_id")
+                .agg(*[F.sum(n).alias(n) for n in PAIRED_SUMS]))
     return sequence_columns(paired_from_clusters(clusters, cell), "skill_cluster_mean", "skill_cluster_var",
                             "n_clusters", alpha).drop("skill_cluster_mean", "skill_cluster_var")
