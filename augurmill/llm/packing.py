@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         placed = best_fit_decreasing(rows["length"].tolist(), window)
-        rows["sequence_id"] = (rows["__group"].astype("int64") << 32) + [w for w, _ in placed]
+        rows["sequence_id"] = rows["__group"].astype("int64") * 2**32 + [w for w, _ in placed]
         rows["offset"] = [o for _, o in placed]
         return rows.drop(columns="__group")
 

@@ -78,7 +78,7 @@ class Encoder:
     def ids(self, text: str) -> list[int]:
         if self.simple is None or "<|" in text or _UNUSUAL.search(text):
             return self.library.encode(text, add_special_tokens=False).ids
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1:
+        if text.split() == text.replace("\n", " ").split(" "):
             return self.simple(text)
         return self.full(text)
 
