@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from augurmill.session import cut, prepare, scratch_path
 
-__all__ = ["LLM_QUERIES", "LLM_SQL", "arrow_map", "cut", "llm_query", "mix", "scratch_path", "table", "texts", "words_of"]
+__all__ = ["LLM_QUERIES", "arrow_map", "cut", "llm_query", "mix", "scratch_path", "table", "texts", "words_of"]
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-LLM_SQL: dict[str, str] = {}
 #: Rows of one Arrow batch: long texts make large rows, and a batch lies in a Python worker whole.
 BATCH_ROWS = 1000
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from augurmill.llm import packing, tokens  # noqa: F401
-from augurmill.llm.common import LLM_QUERIES, LLM_SQL
+from augurmill.llm import decontam, packing, quality, tokens  # noqa: F401
+from augurmill.llm.common import LLM_QUERIES
+from augurmill.llm.sql import TEXTS as LLM_SQL
 
 __all__ = ["LLM_QUERIES", "LLM_SQL"]
