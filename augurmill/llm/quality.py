@@ -62,7 +62,7 @@ def counts(text: Column) -> Column:
 RULES: dict[str, str] = {
     "mean_word_length": "word_chars < 2 * n_words or word_chars > 12 * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines",
+    "duplicate_lines": "n_dup_lines >= 5 and 10 * n_dup_lines > 3 * n_lines",
     "shouting": "5 * length(regexp_replace(__text, '[^A-Z]+', '')) > 2 * word_chars",
     "no_letters": "5 * size(filter(split(__text, '[ \\\\x09-\\\\x0D]+'), x -> x rlike '[A-Za-z\\\\xC0-\\\\x{10FFFF}]')) < 3 * n_words",
 }

@@ -33,7 +33,7 @@ c AS (SELECT doc_id, t, cast(len(w) AS bigint) AS n_words, cast(length(array_to_
       FROM d LEFT JOIN rep USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR (n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines)
             OR 5 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * word_chars OR 5 * n_lettered < 3 * n_words) AS kept
 FROM b
 """
