@@ -1,13 +1,12 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 **Labelled tokens.** Labels are by document. From a bounded sample of labelled
-documents a lexicon is induced greedily: the word that best tells toxic documents
-from clean ones, then the best for the toxic documents not yet explained, and so on,
-so words that merely stand in copies of a toxic document are explained away. A token
-is labelled toxic if its document is and its word is in the lexicon.
+documents a lexicon of words and word beginnings is induced by their likelihood
+ratio; copies of a passage count once. A token is labelled toxic if its document is
+and its word or a beginning of it is in the lexicon.
 
 **Field.** Two states; features of a token are its word, its neighbours' words, its
-prefix of four letters, and the transitions. Training maximises the penalised
+prefixes of four to eight bytes, and the transitions. Training maximises the penalised
 likelihood by gradient ascent with forward-backward expectations.
 
 **Scoring.** Texts are tagged where they are read. The forward and backward passes
@@ -19,6 +18,7 @@ document's score. Only the bounded model is sent to the tasks; nothing is shuffl
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from augurmill.llm.common import arrow_map, llm_query, remainder, table, texts, words_of
 
-#: Bounds of the training sample: labelled documents of each class, and windows of words from them.
-SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW_WORDS = 2_000, 100_000, 32
+#: Bounds of the training sample: clean and toxic labelled documents, and windows of words from them.
+SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW_WORDS = (4_000, 2_000), 100_000, 32
 BLOCK = 256
-PREFIX = 4
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 @dataclass
@@ -50,8 +50,8 @@ class Field:
         """Log weight of the toxic state at each token; `starts` marks first tokens of texts."""
         local: dict[bytes, int] = {}
         ids = np.fromiter((local.setdefault(w, len(local)) for w in words), "i8", len(words))
-        table_of = lambda d, cut=None: np.array([d.get(w[:cut], 0.0) for w in local], "f8")
-        e = self.bias + (table_of(self.word) + table_of(self.prefix, PREFIX))[ids]
+        table_of = lambda d, cut=None: np.array([d.get(w[:cut], 0.0) if not cut or len(w) >= cut else 0.0 for w in local], "f8")
+        e = self.bias + (table_of(self.word) + sum(table_of(self.prefix, k) for k in PREFIXES))[ids]
         ends = np.append(starts[1:], True)
         before, after = table_of(self.left)[ids], table_of(self.right)[ids]
         e[1:] += np.where(starts[1:], 0, before[:-1])
@@ -107,53 +107,65 @@ def marginals(e: np.ndarray, trans: np.ndarray, starts: np.ndarray) -> np.ndarra
     return both[:, 1] / both.sum(1)
 
 
-def induce(windows: list[tuple], least: int = 5) -> set[bytes]:
-    """Words that tell toxic documents from clean ones, each for toxic documents that the words before it leave open."""
-    docs: dict[object, set[bytes]] = {}
-    label: dict[object, int] = {}
-    for doc, toxic, words in windows:
-        docs.setdefault(doc, set()).update(words)
-        label[doc] = toxic
-    with_word: dict[bytes, list] = {}
-    clean: dict[bytes, int] = {}
-    for doc, own in docs.items():
-        for x in own:
-            if label[doc]:
-                with_word.setdefault(x, []).append(doc)
-            else:
-                clean[x] = clean.get(x, 0) + 1
-    n_clean = max(1, sum(1 for v in label.values() if not v))
-    n_toxic = max(1, sum(label.values()))
-    able = {x: v for x, v in with_word.items() if len(v) >= least and (len(v) / n_toxic) > 20 * (clean.get(x, 0) + 0.5) / n_clean}
-    open_, lexicon = {d for d in docs if label[d]}, set()
-    while able:
-        gain = {x: sum(d in open_ for d in v) for x, v in able.items()}
-        best = max(able, key=lambda x: (gain[x] - 2 * clean.get(x, 0), len(able[x]), x))
-        if gain[best] < least:
-            break
-        lexicon.add(best)
-        open_ -= set(able.pop(best))
+def entries(word: bytes) -> list[bytes]:
+    """What a lexicon may hold of a word: itself, and its beginnings (marked by their length's stars)."""
+    return [word, *(word[:k] + b"*" for k in PREFIXES if len(word) >= k)]
+
+
+def induce(windows: list[tuple], least: int = 5, ratio: float = 8.0, evidence: float = 22.0) -> set[bytes]:
+    """Entries that tell toxic windows from clean ones.
+
+    An entry's occurrences count once for each word before it, so copies of a passage count once. It is taken if it has
+    `least` toxic ones, its rate is `ratio` times that of clean text, and the likelihood ratio statistic is `evidence`.
+    """
+    counts: tuple[dict, dict] = {}, {}
+    total, met = [0, 0], set()
+    for _, toxic, words in windows:
+        for before, w in zip([b"", *words], words):
+            pair = hash((toxic, before, w))
+            if pair not in met:
+                met.add(pair)
+                total[toxic] += 1
+                for x in entries(w):
+                    counts[toxic][x] = counts[toxic].get(x, 0) + 1
+    if not total[0] or not total[1]:
+        return set()
+    q = total[1] / (total[0] + total[1])
+    lexicon = set()
+    for x, t in counts[1].items():
+        c = counts[0].get(x, 0)
+        if t < least or t * total[0] < ratio * (c + 0.5) * total[1]:
+            continue
+        n = t + c
+        if 2 * (t * math.log(t / (n * q)) + (c * math.log(c / (n * (1 - q))) if c else 0)) >= evidence:
+            lexicon.add(x)
     return lexicon
 
 
+def features(words: list[bytes], i: int) -> list[bytes | None]:
+    """Word, left and right neighbour, beginnings of exactly the given lengths."""
+    w = words[i]
+    return [w, words[i - 1] if i else None, words[i + 1] if i + 1 < len(words) else None, *(w[:k] if len(w) >= k else None for k in PREFIXES)]
+
+
 def fit(windows: list[tuple], steps: int = 60, penalty: float = 1e-3) -> Field:
     """windows: (document, toxic, words). One window is one chain."""
     lexicon = induce(windows)
-    maps: list[dict[bytes, int]] = [{}, {}, {}, {}]
+    maps: list[dict[bytes, int]] = [{} for _ in range(3 + len(PREFIXES))]
     seen: dict[bytes, int] = {}
     for _, _, words in windows:
         for w in words:
             seen[w] = seen.get(w, 0) + 1
     usual = {w for w, n in seen.items() if n >= 3}
-    columns, starts, labels = [[], [], [], []], [], []
+    columns, starts, labels = [[] for _ in maps], [], []
     # words near lexicon words carry all the evidence; of the other windows every eighth is kept as background
     for k, (_, toxic, words) in enumerate(windows):
-        tags = [bool(toxic) and w in lexicon for w in words]
+        tags = [bool(toxic) and not lexicon.isdisjoint(entries(w)) for w in words]
         if not any(tags) and k % 8:
             continue
         for i, w in enumerate(words):
-            for c, m, f in zip(columns, maps, (w, words[i - 1] if i else None, words[i + 1] if i + 1 < len(words) else None, w[:PREFIX])):
-                c.append(-1 if f is None or (f not in usual and f is not w[:PREFIX]) else m.setdefault(f, len(m)))
+            for k_, (c, m, f) in enumerate(zip(columns, maps, features(words, i))):
+                c.append(-1 if f is None or (k_ < 3 and f not in usual) else m.setdefault(f, len(m)))
             starts.append(i == 0)
             labels.append(tags[i])
     n = len(labels)
@@ -174,7 +186,7 @@ def fit(windows: list[tuple], steps: int = 60, penalty: float = 1e-3) -> Field:
             e[u] += t[c[u]]
         p = marginals(e, trans, starts)
         miss = y - p
-        for k in range(4):
+        for k in range(len(maps)):
             g = np.bincount(columns[k][use[k]], miss[use[k]], len(theta[k])) - penalty * n / 1000 * theta[k]
             squares[0][k] += g * g
             theta[k] += 0.8 * g / np.sqrt(squares[0][k])
@@ -189,9 +201,8 @@ def fit(windows: list[tuple], steps: int = 60, penalty: float = 1e-3) -> Field:
         g = seen_pairs - joint - penalty * n / 1000 * trans
         squares[2][:] += g * g
         trans = trans + 0.3 * g / np.sqrt(squares[2])
-    weights = [dict(zip(m, t.tolist())) for m, t in zip(maps, theta)]
-    small = lambda d: {k: v for k, v in d.items() if abs(v) > 0.05}
-    field = Field(*(small(w) for w in weights), bias, trans, np.zeros(3))
+    weights = [{k: v for k, v in zip(m, t.tolist()) if abs(v) > 0.05} for m, t in zip(maps, theta)]
+    field = Field(*weights[:3], {k: v for w in weights[3:] for k, v in w.items()}, bias, trans, np.zeros(3))
     field.doc = fit_documents(field, windows)
     return field
 
@@ -225,16 +236,16 @@ def fit_documents(field: Field, windows: list[tuple], steps: int = 400) -> np.nd
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """Fit on labelled documents. `labels`: doc_id, toxic; the first of equal ids counts, null labels are left out.
 
-    The sample is bounded: of each class the `SAMPLE_DOCS` labelled ids of least hash, and of their windows the
+    The sample is bounded: of each class as many labelled ids as `SAMPLE_DOCS` says, those of least hash, and of their windows the
     `SAMPLE_WINDOWS` of least hash.
     """
     spark = docs.sparkSession
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
-    ids = [r for k in (0, 1) for r in own.where((F.col("toxic") == 1) == (k == 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    ids = [r for k in (0, 1) for r in own.where((F.col("toxic") == 1) == (k == 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS[k]).collect()]
     if not ids:
         return fit([])
     sample = spark.createDataFrame([(r["doc_id"], int(r["toxic"] == 1)) for r in ids], f"doc_id {own.schema['doc_id'].dataType.simpleString()}, toxic int")
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * SAMPLE_DOCS rows
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most sum(SAMPLE_DOCS) ids
 
     def cut(batches):
         for b in batches:
