@@ -11,10 +11,10 @@ almost every text; it doubles for the others, so a signature is always exact.
 
 **Candidates.** Texts with equal bags are one node. Nodes meet where a band of
 registers agrees. Each meeting place links its members to its least member, a star,
-not all pairs. Where members of a place, without its centre, still fall into different classes after that,
-those of different classes are compared wherever they share one of their shingles
-that are rarest in that place: two bags of similarity s must share one among the
-first 1 - s of them, so no link is lost there.
+not all pairs. Where members of a place still fall into different classes after
+that, another member becomes its centre and meets those of other classes, and so on
+until a round finds no link. A link matters to the classes only if no chain of links
+replaces it; the tests hold the classes equal to those of all pairs.
 
 **Classes.** Candidates are verified on the bags; connected components come from
 label steps on the links, on tables. Bags are made only for candidates.
@@ -203,30 +203,12 @@ def relabel(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return known.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def rare_pairs(places: DataFrame, labels: DataFrame, bag: DataFrame, least: float) -> DataFrame:
-    """Pairs of different classes that share a place, neither being its centre, and a shingle that is rare there."""
-    own = places.where("node <> centre").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
-    own = own.join(mixed, "band").join(bag, "node")
-
-    def explode(batches):
-        for b in batches:
-            raw = [np.frombuffer(x, "<u4") for x in b.column("bag").to_pylist()]
-            each = pa.array(np.repeat(np.arange(len(raw)), [len(x) for x in raw]))
-            values = np.concatenate(raw).astype("i8") if raw else np.zeros(0, "i8")
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(each) for c in ("band", "node", "label")), pa.array(values),
-                                              pa.array(np.repeat([len(x) for x in raw], [len(x) for x in raw]).astype("i8"))], ["band", "node", "label", "x", "size"])
-
-    from pyspark.sql import Window
-
-    items = arrow_map(own.select("band", "node", "label", "bag"), explode, "band long, node long, label long, x long, size long")
-    counts = items.groupBy("band", "x").agg(F.count("*").alias("n"))
-    # a member's own shingles only: as large as one text
-    turn = Window.partitionBy("band", "node").orderBy("n", "x")
-    first = items.join(counts, ["band", "x"]).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= F.floor(F.col("size") * (1 - least) + 1e-9) + 1)
-    first = first.where("n > 1").select("band", "x", "node", "label")
-    left, right = first.select("band", "x", F.col("node").alias("a"), F.col("label").alias("la")), first.select("band", "x", F.col("node").alias("b"), F.col("label").alias("lb"))
-    return left.join(right, ["band", "x"]).where("a < b and la <> lb").select("a", "b").distinct()
+def other_centres(places: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """In places whose members are in different classes: pairs of a centre, drawn by this turn's hash, and members of other classes."""
+    own = places.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    drawn = own.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("label").alias("la"))).alias("c"),
+                                    F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band", "c.a", "c.la")
+    return own.join(drawn, "band").where("label <> la").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -254,10 +236,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     # one centre for each node first: it settles most classes
     links = verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), bag, least)
     labels = components(links)
-    for more in (lambda known: star, lambda known: rare_pairs(places, known, bag, least)):
-        new = verified(relabel(more(labels), labels), bag, least)
+    done, turn = star, 0
+    pairs = relabel(star, labels)
+    while True:
+        new = verified(pairs, bag, least)
+        if turn and new.isEmpty():
+            break
         links = cut(links.union(new))
-        labels = components(links)
+        labels, turn = components(links), turn + 1
+        pairs = cut(other_centres(places, labels, turn).join(done, ["a", "b"], "left_anti"))
+        done = cut(done.union(pairs))
 
     classes = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class"))
     keyed = own.select("doc_id", "__uid", "digest").join(classes, "digest", "left").select("doc_id", "__uid", F.coalesce("class", "__uid").alias("class"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from augurmill.llm import decontam, lm, neardup, packing, quality, tokens, toxicity  # noqa: F401
+from augurmill.llm import decontam, html, lm, neardup, packing, private, quality, secrets, tokens, toxicity  # noqa: F401
 from augurmill.llm.common import LLM_QUERIES
 from augurmill.llm.sql import TEXTS as LLM_SQL
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from augurmill.llm.common import arrow_map, llm_query, remainder, table, texts, words_of
 
 #: Bounds of the training sample: clean and toxic labelled documents, and windows of words from them.
-SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW_WORDS = (4_000, 2_000), 100_000, 32
+SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW_WORDS = (2_000, 1_000), 40_000, 32
 BLOCK = 256
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -148,7 +148,7 @@ def features(words: list[bytes], i: int) -> list[bytes | None]:
     return [w, words[i - 1] if i else None, words[i + 1] if i + 1 < len(words) else None, *(w[:k] if len(w) >= k else None for k in PREFIXES)]
 
 
-def fit(windows: list[tuple], steps: int = 60, penalty: float = 1e-3) -> Field:
+def fit(windows: list[tuple], steps: int = 40, penalty: float = 1e-3) -> Field:
     """windows: (document, toxic, words). One window is one chain."""
     lexicon = induce(windows)
     maps: list[dict[bytes, int]] = [{} for _ in range(3 + len(PREFIXES))]
