@@ -12,7 +12,7 @@ almost every text; it doubles for the others, so a signature is always exact.
 **Candidates.** Texts with equal bags are one node. Nodes meet where a band of
 registers agrees. Each meeting place links its members to its least member, a star,
 not all pairs. Where members of a place still fall into different classes after
-that, another member becomes its centre and meets those of other classes, and so on
+that, other members become its centres and meet those of other classes, and so on
 until a round finds no link. A link matters to the classes only if no chain of links
 replaces it; the tests hold the classes equal to those of all pairs.
 
@@ -194,21 +194,25 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def relabel(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Those pairs whose ends are not in one class yet."""
-    if labels is None:
-        return pairs
-    l = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    known = pairs.join(l("a"), "a", "left").join(l("b"), "b", "left")
-    return known.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+def by_class(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different classes, with the classes."""
+    own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").where("la <> lb")
 
 
-def other_centres(places: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """In places whose members are in different classes: pairs of a centre, drawn by this turn's hash, and members of other classes."""
-    own = places.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    drawn = own.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("label").alias("la"))).alias("c"),
-                                    F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band", "c.a", "c.la")
-    return own.join(drawn, "band").where("label <> la").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the links: only the classes that they join are worked on."""
+    joined = components(by_class(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    new = joined.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return cut(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+
+
+def other_centres(places: DataFrame, labels: DataFrame, turn: int, centres: int = 3) -> DataFrame:
+    """In places whose members are in different classes: pairs of some centres, drawn by this turn's hashes, and members of other classes."""
+    own = places.join(labels, "node")
+    draw = [F.min(F.struct(F.xxhash64("node", F.lit(centres * turn + k)).alias("h"), F.col("node").alias("a"), F.col("label").alias("la"))) for k in range(centres)]
+    drawn = own.groupBy("band").agg(F.array(*draw).alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band", F.explode("c").alias("c"))
+    return own.join(drawn.select("band", "c.a", "c.la"), "band").where("label <> la").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -233,19 +237,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
 
     wanted = star.select(F.col("a").alias("__uid")).union(star.select("b")).distinct()
     bag = cut(bag_table(tagged.select("__uid", "text").join(wanted, "__uid"), shingle))
+    labels = cut(wanted.select(F.col("__uid").alias("node"), F.col("__uid").alias("label")))
     # one centre for each node first: it settles most classes
-    links = verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), bag, least)
-    labels = components(links)
-    done, turn = star, 0
-    pairs = relabel(star, labels)
+    labels = merged(labels, verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), bag, least))
+    done, pairs, turn = star, by_class(star, labels).select("a", "b"), 0
     while True:
         new = verified(pairs, bag, least)
-        if turn and new.isEmpty():
+        none = new.isEmpty()
+        if turn and none:
             break
-        links = cut(links.union(new))
-        labels, turn = components(links), turn + 1
+        labels, turn = labels if none else merged(labels, new), turn + 1
         pairs = cut(other_centres(places, labels, turn).join(done, ["a", "b"], "left_anti"))
-        done = cut(done.union(pairs))
+        done = done.union(pairs)
 
     classes = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class"))
     keyed = own.select("doc_id", "__uid", "digest").join(classes, "digest", "left").select("doc_id", "__uid", F.coalesce("class", "__uid").alias("class"))
