@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from augurmill.session import cut, prepare, scratch_path
 
-__all__ = ["LLM_QUERIES", "arrow_map", "cut", "llm_query", "mix", "scratch_path", "table", "texts", "words_of"]
+__all__ = ["LLM_QUERIES", "arrow_map", "cut", "llm_query", "mix", "scratch_path", "stored", "table", "texts", "words_of"]
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Rows of one Arrow batch: long texts make large rows, and a batch lies in a Python worker whole.
@@ -36,6 +36,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """A table in the shared folder that holds `df`: cuts the lineage like a checkpoint, and the plan's constraints too,
+    which grow from round to round in iterations."""
+    at = scratch_path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(step, schema)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augurmill.llm.common import arrow_map, cut, llm_query, mix, scratch_path, table, texts, words_of
+from augurmill.llm.common import arrow_map, llm_query, mix, stored, table, texts, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** ROWS) ** BANDS, 7 in 10,000.
@@ -174,7 +174,7 @@ def verified(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
             good = [similarity(x, y) >= least for x, y in zip(b.column("bag_a").to_pylist(), b.column("bag_b").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(good)), b.column("b").filter(pa.array(good))], ["a", "b"])
 
-    return cut(arrow_map(full.select("a", "b", "bag_a", "bag_b"), step, "a long, b long"))
+    return stored(arrow_map(full.select("a", "b", "bag_a", "bag_b"), step, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -182,13 +182,13 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hands every node the least label next to it and the label of its label, until no label changes.
     """
-    both = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label"))
+    both = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
+    labels = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label"))
     while True:
         near = (both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("l")), "v").groupBy(F.col("u").alias("node")).agg(F.min("l").alias("near")))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = step.select(F.col("node").alias("p"), F.col("label").alias("q"))
-        new = cut(step.join(jump, step["label"] == jump["p"], "left").select("node", "old", F.least("label", F.coalesce("q", "label")).alias("label")))
+        new = stored(step.join(jump, step["label"] == jump["p"], "left").select("node", "old", F.least("label", F.coalesce("q", "label")).alias("label")))
         if not new.where("label <> old").limit(1).count():
             return new.select("node", "label")
         labels = new.select("node", "label")
@@ -204,7 +204,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after the links: only the classes that they join are worked on."""
     joined = components(by_class(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")))
     new = joined.select(F.col("node").alias("label"), F.col("label").alias("new"))
-    return cut(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+    return stored(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
 
 
 def other_centres(places: DataFrame, labels: DataFrame, turn: int, centres: int = 3) -> DataFrame:
@@ -224,20 +224,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     one without words is a class of its own. An empty table gives an empty table. `docs` is read twice and must be
     a stored table: rows are told apart by their place in it.
     """
-    spark = docs.sparkSession
     tagged = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__uid"))
-    at = scratch_path(spark, "signatures")
-    signed(tagged, shingle, bands, rows).write.parquet(at)
-    own = spark.read.parquet(at)
-    nodes = cut(own.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("__uid").alias("node")))
+    own = stored(signed(tagged, shingle, bands, rows), "signatures")
+    nodes = stored(own.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("__uid").alias("node")))
     places = own.select("__uid", "bands").join(nodes.select(F.col("node").alias("__uid")), "__uid").select(F.explode("bands").alias("band"), F.col("__uid").alias("node"))
     centres = places.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "centre")
-    places = cut(places.join(centres, "band"))
-    star = cut(places.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    places = stored(places.join(centres, "band"))
+    star = stored(places.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
 
     wanted = star.select(F.col("a").alias("__uid")).union(star.select("b")).distinct()
-    bag = cut(bag_table(tagged.select("__uid", "text").join(wanted, "__uid"), shingle))
-    labels = cut(wanted.select(F.col("__uid").alias("node"), F.col("__uid").alias("label")))
+    bag = stored(bag_table(tagged.select("__uid", "text").join(wanted, "__uid"), shingle))
+    labels = stored(wanted.select(F.col("__uid").alias("node"), F.col("__uid").alias("label")))
     # one centre for each node first: it settles most classes
     labels = merged(labels, verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), bag, least))
     done, pairs, turn = star, by_class(star, labels).select("a", "b"), 0
@@ -247,7 +244,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
         if turn and none:
             break
         labels, turn = labels if none else merged(labels, new), turn + 1
-        pairs = cut(other_centres(places, labels, turn).join(done, ["a", "b"], "left_anti"))
+        pairs = stored(other_centres(places, labels, turn).join(done, ["a", "b"], "left_anti"))
         done = done.union(pairs)
 
     classes = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class"))
