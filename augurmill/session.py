@@ -27,6 +27,7 @@ def build(cpus: int | str = 8, memory: str = "20g", **extra: str) -> SparkSessio
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     )
     for key, value in {**RUNTIME_SETTINGS, **extra}.items():
@@ -55,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = getattr(shared_dir, "_fallback", None)
     if root is None or not os.path.isdir(root):
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
