@@ -178,6 +178,8 @@ def render(children: list, page: Page) -> None:
             page.brk(2)
         elif tag == "pre":
             page.brk(2)
+            if page.lines and page.lines[-1]:
+                page.lines.append("")
             for line in plain(x).strip("\n").split("\n"):
                 page.lines.append(page.indent + line.rstrip())
             page.gap = 2
