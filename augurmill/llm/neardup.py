@@ -233,14 +233,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     labels = wanted.select(F.col("__uid").alias("node"), F.col("__uid").alias("label"))
     # one centre for each node first: it settles most classes
     labels = merged(labels, verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), bag, least))
-    links, turn = verified(by_class(star, labels).select("a", "b"), bag, least), 0
-    labels = merged(labels, links)
-    while not (new := verified(other_centres(places, labels, turn := turn + 1), bag, least)).isEmpty():
-        # one step of the labels is enough here: classes that it leaves apart only meet once more
-        links = links.union(new)
-        labels = hooked(labels, links)
-    if turn > 1:
-        labels = merged(labels, links)
+    done, pairs, turn = star, by_class(star, labels).select("a", "b"), 0
+    while True:
+        new = verified(pairs, bag, least)
+        none = new.isEmpty()
+        if turn and none:
+            break
+        labels, turn = labels if none else merged(labels, new), turn + 1
+        pairs = stored(other_centres(places, labels, turn).join(done, ["a", "b"], "left_anti"))
+        done = done.union(pairs)
 
     classes = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class"))
     keyed = own.select("doc_id", "__uid", "digest").join(classes, "digest", "left").select("doc_id", "__uid", F.coalesce("class", "__uid").alias("class"))
