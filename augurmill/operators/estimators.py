@@ -426,17 +426,9 @@ def quote_asof(targets: DataFrame, quotes: DataFrame, tolerance_s: int = 3 * X.H
     return targets.join(nearest, ["condition_id", "target_s"], "left")
 
 
-def drift_rows(forecasts: DataFrame, quotes: DataFrame, gaps: DataFrame, horizons=(24, 72),
-               newest: int | None = 2000) -> DataFrame:
-    """(forecast, horizon) rows with a signed drift, or flagged `gap`.
-
-    `newest` is the reporting rule of the reference: the newest rows per model.
-    """
+def drift_rows(forecasts: DataFrame, quotes: DataFrame, gaps: DataFrame, horizons=(24, 72)) -> DataFrame:
+    """(forecast, horizon) rows with a signed drift, or flagged `gap`."""
     f = forecasts.where(F.abs(F.col(P) - F.col(Q)) >= 1e-9)
-    if newest is not None:
-        rank = Window.partitionBy("model_id").orderBy(F.col("ts_s").desc(), F.col("forecast_id").desc())
-        keep = forecasts.withColumn("__rn", F.row_number().over(rank)).where(F.col("__rn") <= newest)
-        f = keep.drop("__rn").where(F.abs(F.col(P) - F.col(Q)) >= 1e-9)
     wide = (f.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
             .withColumn("target_s", F.col("ts_s") + F.col("horizon") * X.HOUR))
     from augurmill.operators.health import overlaps_gap
@@ -447,9 +439,8 @@ def drift_rows(forecasts: DataFrame, quotes: DataFrame, gaps: DataFrame, horizon
         wide.where("in_gap"), allowMissingColumns=True))
 
 
-def drift(forecasts: DataFrame, quotes: DataFrame, gaps: DataFrame, horizons=(24, 72),
-          newest: int | None = 2000) -> DataFrame:
-    return drift_rows(forecasts, quotes, gaps, horizons, newest).groupBy("model_id", "horizon").agg(
+def drift(forecasts: DataFrame, quotes: DataFrame, gaps: DataFrame, horizons=(24, 72)) -> DataFrame:
+    return drift_rows(forecasts, quotes, gaps, horizons).groupBy("model_id", "horizon").agg(
         F.count("drift").alias("n"), F.avg("drift").alias("mean_signed_drift"),
         F.count(F.when(F.col("in_gap"), 1)).alias("dropped_for_gap"))
 

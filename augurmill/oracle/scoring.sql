@@ -195,8 +195,7 @@ SELECT forecast_id, condition_id, target_s, quote_s, R(mid) AS mid FROM fx_asof2
 
 -- name: drift
 WITH f AS (SELECT *, CASE WHEN forecast_id % 2 = 0 THEN 'm1_debiased' ELSE 'm4_ensemble' END AS model_id FROM fx_drift_forecasts),
-newest AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY ts_s DESC, forecast_id DESC) <= 2000),
-wide AS (SELECT n.*, h AS horizon, n.ts_s + h * 3600 AS target_s FROM newest n, (VALUES (24), (72)) v(h) WHERE abs(p_yes - p_market_at_ts) >= 1e-9),
+wide AS (SELECT n.*, h AS horizon, n.ts_s + h * 3600 AS target_s FROM f n, (VALUES (24), (72)) v(h) WHERE abs(p_yes - p_market_at_ts) >= 1e-9),
 gapped AS (SELECT w.*, EXISTS (SELECT 1 FROM fx_gaps g WHERE w.ts_s < g.gap_end_s AND g.gap_start_s < w.target_s) AS in_gap FROM wide w),
 hit AS (SELECT g.model_id, g.horizon, g.in_gap, g.p_yes, g.p_market_at_ts, CASE WHEN NOT g.in_gap THEN (
     SELECT arg_min(s.mid, abs(s.ts_s - g.target_s) * 2 + CASE WHEN s.ts_s > g.target_s THEN 1 ELSE 0 END) FROM fx_snapshots s

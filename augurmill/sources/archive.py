@@ -42,15 +42,17 @@ def with_partitions(df: DataFrame) -> DataFrame:
 def new_rows(batch: DataFrame, archive: DataFrame | None, order: str = "quote_id") -> DataFrame:
     """The batch's first rows whose key the archive does not hold yet.
 
-    The archive side is cut to the batch's own dates: the equality on `date`
-    lets dynamic partition pruning skip every other day's files.
+    One aggregate finds the batch's first and last date; the archive is read between them only.
     """
     fresh = with_partitions(snapshot_dedup(batch, order))
     if "quote_id" in fresh.columns:
         fresh = fresh.withColumn("quote_id", F.col("quote_id").cast("string"))
     if archive is None:
         return fresh
-    keys = archive.select(*KEY, "date")
+    first, last = batch.agg(F.to_date(F.timestamp_seconds(F.min("ts_s"))), F.to_date(F.timestamp_seconds(F.max("ts_s")))).first()
+    if first is None:
+        return fresh
+    keys = archive.where(F.col("date").between(first, last)).select(*KEY, "date")
     return fresh.join(keys, KEY + ["date"], "left_anti")
 
 
@@ -74,8 +76,8 @@ def snapshot_read(spark: SparkSession, path: str, dates: list[str] | None = None
                   ids: DataFrame | None = None, schema: str = SNAPSHOTS) -> DataFrame:
     """Pruned archive scan: dates prune partitions, columns prune the files, an id
     table filters by semi-join. The declared schema reads columns missing from
-    older files as null without opening their footers; unreadable files are skipped."""
-    df = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+    older files as null without opening their footers; an unreadable file fails the read."""
+    df = spark.read.schema(schema).parquet(path)
     if dates is not None:
         df = df.where(F.col("date").isin([datetime.date.fromisoformat(d) for d in dates]))
     if columns is not None:

@@ -29,10 +29,10 @@ def _levels(raw: Column, price, size) -> Column:
     return F.filter(read, lambda e: e["price"].isNotNull() & e["size"].isNotNull())
 
 
-def _ladder(levels: Column, best_first_desc: bool, n: int) -> Column:
+def _ladder(levels: Column, best_first_desc: bool, n: int | None) -> Column:
     key = (lambda e: -e["price"]) if best_first_desc else (lambda e: e["price"])
     keyed = F.array_sort(F.transform(levels, lambda e: F.struct(key(e).alias("k"), e["price"].alias("price"), e["size"].alias("size"))))
-    return F.transform(F.slice(keyed, 1, n), lambda e: F.struct(e["price"].alias("price"), e["size"].alias("size")))
+    return F.transform(keyed if n is None else F.slice(keyed, 1, n), lambda e: F.struct(e["price"].alias("price"), e["size"].alias("size")))
 
 
 def _depth(levels: Column, best: Column) -> Column:
@@ -41,12 +41,13 @@ def _depth(levels: Column, best: Column) -> Column:
     return F.when(best.isNotNull(), total)
 
 
-def quote_etl(raw: DataFrame, levels: int = 10) -> DataFrame:
+def quote_etl(raw: DataFrame, levels: int | None = None) -> DataFrame:
     """(venue, condition_id, ts_s, payload) to quote rows, both book shapes.
 
     Depth is price times size at the best price, unknown rather than zero when
     it was not quoted. In the two-bid shape a NO bid at q is a YES offer at
-    1 - q, and the last trade stands in when there is no two-sided quote.
+    1 - q, and the last trade stands in when there is no two-sided quote. The
+    whole ladder is kept unless `levels` bounds it.
     """
     two_bid = F.col("venue") == TWO_BID_VENUE
     df = (raw.withColumn("a", F.when(~two_bid, F.from_json("payload", BOOK)))

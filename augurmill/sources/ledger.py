@@ -37,12 +37,14 @@ def check_forecasts(rows: DataFrame, version: str = "v1", parameters: str = "{}"
 
 
 def forecast_append(rows: DataFrame, ledger_path: str, quarantine_path: str) -> None:
-    """Good rows to the ledger by date, the rest to quarantine. Ids already stored are skipped."""
+    """Good rows to the ledger by date, the rest to quarantine. Ids already stored are skipped; the ledger is read
+    between the batch's first and last date only."""
     from augurmill.sources.archive import has_files
     checked = check_forecasts(rows).withColumn("date", F.to_date(F.timestamp_seconds("ts_s")))
     good = checked.where("reject_reason is null").drop("reject_reason")
     if has_files(rows.sparkSession, ledger_path, "date=*"):
-        stored = rows.sparkSession.read.schema(FORECASTS).parquet(ledger_path).select("date", "forecast_id")
+        first, last = good.agg(F.min("date"), F.max("date")).first()
+        stored = rows.sparkSession.read.schema(FORECASTS).parquet(ledger_path).where(F.col("date").between(first, last)).select("date", "forecast_id")
         good = good.join(stored, ["date", "forecast_id"], "left_anti")
     good.write.mode("append").partitionBy("date").parquet(ledger_path)
     checked.where("reject_reason is not null").write.mode("append").parquet(quarantine_path)
@@ -138,15 +140,15 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", "false").json(path)
 
 
-def pending_days(days: DataFrame, done: DataFrame, today: int, max_days: int) -> DataFrame:
-    """Closed days not done yet, newest first, bounded."""
-    return (days.where(F.col("day") < today).join(done.select("day"), "day", "left_anti")
-            .orderBy(F.col("day").desc()).limit(max_days))
+def pending_days(days: DataFrame, done: DataFrame, today: int, max_days: int | None = None) -> DataFrame:
+    """Closed days not done yet; `max_days` leaves all but the newest to a later run."""
+    days = days.where(F.col("day") < today).join(done.select("day"), "day", "left_anti")
+    return days if max_days is None else days.orderBy(F.col("day").desc()).limit(max_days)
 
 
 def ledger_increment(ledger: DataFrame, manifest: DataFrame, id_col: str, cols: list[str],
-                     today: int, max_days: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(rows to write, their manifest rows) for the newest missing closed days."""
+                     today: int, max_days: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to write, their manifest rows) for the missing closed days."""
     keyed = ledger.withColumn("day", X.day_of("ts_s"))
     days = pending_days(keyed.select("day").distinct(), manifest, today, max_days)
     rows = keyed.join(days, "day", "left_semi")
@@ -158,8 +160,8 @@ def write_increment(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("day").option("compression", "gzip").json(path)
 
 
-def market_increment(markets: DataFrame, forecasts: DataFrame, done: DataFrame, today: int, max_days: int = 7) -> DataFrame:
-    """Markets by the closed day they were first forecast, for the newest missing days."""
+def market_increment(markets: DataFrame, forecasts: DataFrame, done: DataFrame, today: int, max_days: int | None = None) -> DataFrame:
+    """Markets by the closed day they were first forecast, for the missing days."""
     first = forecasts.groupBy("condition_id").agg(X.day_of(F.min("ts_s")).alias("day"))
     days = pending_days(first.select("day").distinct(), done, today, max_days)
     return markets.join(first.join(days, "day", "left_semi"), "condition_id")

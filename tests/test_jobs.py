@@ -156,16 +156,28 @@ def test_first_loss_is_a_drawdown(spark):
 
 # ---------------------------------------------------------------- weights and fits
 
-def test_weight_bounds():
-    w = W.clip_to_bounds(np.array([0.9, 0.05, 0.05]), 0.02, 0.60)
-    assert w.max() <= 0.6 and w.sum() == pytest.approx(1, abs=1e-6)
-    g = W.components(["a", "b", "c"], [("a", "b")])
-    assert sorted(len(x) for x in g) == [1, 2]
-    shared = W.share_ceiling(np.array([0.5, 0.4, 0.1]), g, 0.02, 0.60)
-    assert shared[:2].sum() == pytest.approx(0.6, abs=1e-9) and shared[2] == pytest.approx(0.4, abs=1e-9)
-    assert list(W.share_ceiling(np.array([0.7, 0.3]), W.components(["a", "b"], [("a", "b")]), 0.02, 0.6)) == [0.5, 0.5]
-    chain = W.components(list("abcd"), [("c", "d"), ("b", "c"), ("a", "b")])
-    assert len(chain) == 1
+def weights_of(frame) -> dict:
+    return {r["model_id"]: r["weight"] for r in frame.collect()}
+
+
+def test_weight_bounds(spark):
+    def pool(raw, links=None):
+        rows = [("c", m, float(x), links) for m, x in zip("abcdef", raw)]
+        return spark.createDataFrame(rows, "category string, model_id string, raw double, links array<string>")
+
+    assert weights_of(W.bound_weights(pool([0.9, 0.05, 0.05]))) == pytest.approx({"a": 0.6, "b": 0.2, "c": 0.2}, abs=1e-9)
+    # the floor lifts b, then what a gives up goes to the others in proportion
+    assert weights_of(W.bound_weights(pool([0.97, 0.001, 0.029]))) == pytest.approx({"a": 0.6, "b": 0.4 * 20 / 49, "c": 0.4 * 29 / 49}, abs=1e-9)
+    # nothing is above the ceiling: the floor of c is paid in proportion
+    assert weights_of(W.bound_weights(pool([0.55, 0.445, 0.005]))) == pytest.approx({"a": 0.98 * 55 / 99.5, "b": 0.98 * 44.5 / 99.5, "c": 0.02}, abs=1e-9)
+    assert weights_of(W.bound_weights(pool([1.0]))) == {"a": 0.6}
+    shared = weights_of(W.bound_weights_by_group(pool([0.5, 0.4, 0.1], ["a|b", "b|absent"])))
+    assert shared == pytest.approx({"a": 0.6 * 5 / 9, "b": 0.6 * 4 / 9, "c": 0.4}, abs=1e-9)
+    # a member's floor inside a group at its ceiling is paid by the group alone
+    tight = weights_of(W.bound_weights_by_group(pool([0.799, 0.001, 0.2], ["a|b"])))
+    assert tight == pytest.approx({"a": 0.58, "b": 0.02, "c": 0.4}, abs=1e-9)
+    chain = weights_of(W.bound_weights_by_group(pool([0.7, 0.1, 0.1, 0.1], ["c|d", "b|c", "a|b"])))
+    assert chain == {m: 0.25 for m in "abcd"}
 
 
 def test_duplicated_source_has_no_extra_weight(spark):
