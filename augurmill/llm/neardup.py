@@ -12,8 +12,8 @@ almost every text; it doubles for the others, so a signature is always exact.
 **Candidates.** Texts with equal bags are one node. Nodes meet where a band of
 registers agrees. Each meeting place links its members to its least member, a star,
 not all pairs. Where members of a place still fall into different classes after
-that, other members become its centres and meet those of other classes, and so on
-until a round finds no link. A link matters to the classes only if no chain of links
+that, other members become its centres and meet those of other classes, twice as many
+in each round, until a round finds no link. A link matters to the classes only if no chain of links
 replaces it; the tests hold the classes equal to those of all pairs.
 
 **Classes.** Candidates are verified on the bags; connected components come from
@@ -26,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from augurmill.llm.common import arrow_map, llm_query, mix, stored, table, texts, words_of
@@ -34,7 +34,7 @@ from augurmill.llm.common import arrow_map, llm_query, mix, stored, table, texts
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** ROWS) ** BANDS, 7 in 10,000.
 BANDS, ROWS = 24, 6
-#: Centres that a meeting place gets in each round after the first.
+#: Centres that a meeting place gets in the second round; twice as many in each round more.
 CENTRES = 4
 
 
@@ -114,7 +114,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, texts_n: int,
 
 
 def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, __uid, digest (128 bits of the bag; null without words) and one hash for each band."""
+    """doc_id, __uid, digest (128 bits of the bag; null without words), size (of the bag) and one hash for each band."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def step(batches):
@@ -132,10 +132,10 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
             some = np.bincount(doc, minlength=len(own)) > 0
             raw = [digest[i].tobytes() if some[i] else None for i in range(len(own))]
             offsets = pa.array(np.arange(len(own) + 1, dtype="i4") * bands)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__uid"), pa.array(raw, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(acc.reshape(-1)))],
-                                             ["doc_id", "__uid", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__uid"), pa.array(raw, pa.binary()), pa.array(np.bincount(doc, weight, len(own)).astype("i8")), pa.ListArray.from_arrays(offsets, pa.array(acc.reshape(-1)))],
+                                             ["doc_id", "__uid", "digest", "size", "bands"])
 
-    return arrow_map(docs, step, f"doc_id {kind}, __uid long, digest binary, bands array<long>")
+    return arrow_map(docs, step, f"doc_id {kind}, __uid long, digest binary, size long, bands array<long>")
 
 
 def bag_table(docs: DataFrame, shingle: int) -> DataFrame:
@@ -179,6 +179,11 @@ def verified(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
     return stored(arrow_map(full.select("a", "b", "bag_a", "bag_b"), step, "a long, b long"))
 
 
+def alike(x: str, y: str, least: float) -> Column:
+    """Whether bags of these sizes can be so similar: they overlap in the smaller one at most."""
+    return F.least(x, y) >= least * F.greatest(x, y) - 1e-6
+
+
 def by_class(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are in different classes, with the classes."""
     own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
@@ -203,12 +208,20 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def other_centres(places: DataFrame, labels: DataFrame, turn: int, centres: int = CENTRES) -> DataFrame:
-    """In places whose members are in different classes: pairs of some centres, drawn by this turn's hashes, and members of other classes."""
-    own = places.join(labels, "node")
-    draw = [F.min(F.struct(F.xxhash64("node", F.lit(centres * turn + k)).alias("h"), F.col("node").alias("a"), F.col("label").alias("la"))) for k in range(centres)]
-    drawn = own.groupBy("band").agg(F.array(*draw).alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band", F.explode("c").alias("c"))
-    return own.join(drawn.select("band", "c.a", "c.la"), "band").where("label <> la").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+def unsettled(places: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their classes, of the places whose members are in different classes. A settled place stays so."""
+    own = places.select("band", "node", "size").join(labels, "node")
+    mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
+    return stored(own.join(mixed, "band"))
+
+
+def other_centres(places: DataFrame, turn: int, centres: int, least: float) -> DataFrame:
+    """In each place: pairs of a centre and the members of other classes. This turn's hashes draw classes, then a member
+    of each, so that a small class beside a large one gets its turn."""
+    member = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("size").alias("other"))).alias("c")
+    ranked = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("la", F.lit(turn)), "la")).alias("rank")
+    drawn = places.groupBy("band", F.col("label").alias("la")).agg(member).select("band", "la", "c.a", "c.other", ranked).where(F.col("rank") <= centres)
+    return places.join(drawn, "band").where((F.col("label") != F.col("la")) & alike("size", "other", least)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -222,13 +235,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     """
     tagged = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__uid"))
     own = stored(signed(tagged, shingle, bands, rows), "signatures")
-    nodes = stored(own.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("__uid").alias("node")))
-    places = own.select("__uid", "bands").join(nodes.select(F.col("node").alias("__uid")), "__uid").select(F.explode("bands").alias("band"), F.col("__uid").alias("node"))
-    centres = places.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "centre")
+    nodes = stored(own.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("__uid").alias("node"), F.max("size").alias("size")))
+    places = own.select("__uid", "bands").join(nodes.select(F.col("node").alias("__uid"), "size"), "__uid").select(F.explode("bands").alias("band"), F.col("__uid").alias("node"), "size")
+    centres = places.groupBy("band").agg(F.min(F.struct("node", "size")).alias("c"), F.count("*").alias("n")).where("n > 1").select("band", F.col("c.node").alias("centre"), F.col("c.size").alias("other"))
     places = stored(places.join(centres, "band"))
-    star = stored(places.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    star = stored(places.where((F.col("node") != F.col("centre")) & alike("size", "other", least)).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
 
-    wanted = star.select(F.col("a").alias("__uid")).union(star.select("b")).distinct()
+    wanted = places.select(F.col("node").alias("__uid")).distinct()
     bag = stored(bag_table(tagged.select("__uid", "text").join(wanted, "__uid"), shingle))
     labels = wanted.select(F.col("__uid").alias("node"), F.col("__uid").alias("label"))
     # one centre for each node first: it settles most classes
@@ -240,7 +253,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
         if turn and none:
             break
         labels, turn = labels if none else merged(labels, new), turn + 1
-        pairs = stored(other_centres(places, labels, turn).join(done, ["a", "b"], "left_anti"))
+        places = unsettled(places, labels)
+        pairs = stored(other_centres(places, turn, CENTRES << (turn - 1), least).join(done, ["a", "b"], "left_anti"))
         done = done.union(pairs)
 
     classes = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class"))
