@@ -11,10 +11,12 @@ almost every text; it doubles for the others, so a signature is always exact.
 
 **Candidates.** Texts with equal bags are one node. Nodes meet where a band of
 registers agrees. Each meeting place links its members to its least member, a star,
-not all pairs. Where members of a place still fall into different classes after
-that, other members become its centres and meet those of other classes, twice as many
-in each round, until a round finds no link. A link matters to the classes only if no chain of links
-replaces it; the tests hold the classes equal to those of all pairs.
+not all pairs, and then each of a few drawn centres to the members of other classes.
+That only spares work: members of the places that still hold different classes go
+through an exact join. Their bags are put in one order, rarest shingles first, and two
+bags that are similar enough share a shingle of their prefixes whose positions leave
+room for the overlap. So every link between those members is found, whatever the size
+of their places, unless a chain of links has replaced it.
 
 **Classes.** Candidates are verified on the bags; connected components come from
 label steps on the classes, on tables. Bags are made only for candidates.
@@ -34,8 +36,12 @@ from augurmill.llm.common import arrow_map, llm_query, mix, stored, table, texts
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** ROWS) ** BANDS, 7 in 10,000.
 BANDS, ROWS = 24, 6
-#: Centres that a meeting place gets in the second round; twice as many in each round more.
+#: Centres that a meeting place gets before the exact join.
 CENTRES = 4
+#: Counters of the shingles' frequencies, which order the bags; shingles that share one only make the order less sharp.
+COUNTERS = 1 << 20
+#: Rows of one shingle that one task joins with all rows of it.
+SALT_ROWS = 2000
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -224,6 +230,62 @@ def other_centres(places: DataFrame, turn: int, centres: int, least: float) -> D
     return places.join(drawn, "band").where((F.col("label") != F.col("la")) & alike("size", "other", least)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
+def frequencies(bag: DataFrame) -> np.ndarray:
+    """How often the shingles of each counter occur: at most COUNTERS numbers, whatever the table."""
+    def step(batches):
+        own = np.zeros(COUNTERS, "i8")
+        for b in batches:
+            for raw in b.column("bag").to_pylist():
+                np.add.at(own, np.frombuffer(raw, "<u4") % COUNTERS, 1)
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], ["counter", "c"])
+
+    total = arrow_map(bag.select("bag"), step, "counter long, c long").groupBy("counter").agg(F.sum("c").alias("c")).toPandas()
+    out = np.zeros(COUNTERS, "i8")
+    out[total["counter"].to_numpy("i8")] = total["c"].to_numpy("i8")
+    return out
+
+
+def prefixes(bag: DataFrame, least: float) -> DataFrame:
+    """node, its size, and the shingles of its prefix with their positions, rarest first; `low` marks those at which it
+    can be the smaller bag of a pair."""
+    rank = bag.sparkSession.sparkContext.broadcast(frequencies(bag))
+
+    def step(batches):
+        for b in batches:
+            for node, raw in zip(b.column("node").to_pylist(), b.column("bag").to_pylist()):
+                own = np.frombuffer(raw, "<u4")
+                n = len(own)
+                own = own[np.lexsort((own, rank.value[own % COUNTERS]))]
+                far = n - math.ceil(least * n - 1e-6) + 1
+                near = n - math.ceil(2 * least / (1 + least) * n - 1e-6) + 1
+                own = own[:far]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(np.full(len(own), n)), pa.array(own.astype("i8")), pa.array(np.arange(len(own))), pa.array(np.arange(len(own)) < near)],
+                                                 ["node", "size", "shingle", "at", "low"])
+
+    return arrow_map(bag.select("node", "bag"), step, "node long, size long, shingle long, at long, low boolean")
+
+
+def exact_candidates(bag: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """All pairs of nodes of `bag` in different classes that can be so similar by their prefixes.
+
+    Two bags that are similar enough have a first common shingle after which both still hold enough for their overlap,
+    so no pair is lost. The rows of a shingle's largest class meet those of other classes only; the others meet
+    all. So no more than about twice the pairs of different classes are looked at.
+    """
+    rows = prefixes(bag, least).join(labels, "node")
+    counts = rows.groupBy("shingle", "label").agg(F.count("*").alias("c"), F.count_if("low").alias("l"))
+    hot = (counts.groupBy("shingle").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("n"), F.sum("l").alias("lows"), F.count("*").alias("classes"))
+           .where("classes > 1 and lows > 0").select("shingle", "main", (1 + F.floor(F.col("n") / SALT_ROWS)).alias("salts")))
+    rows = stored(rows.join(hot, "shingle"))
+    one = rows.where("low").select("shingle", F.pmod(F.xxhash64("node"), "salts").alias("salt"), F.col("node").alias("x"), F.col("size").alias("nx"), F.col("at").alias("ix"), F.col("label").alias("lx"), (F.col("label") == F.col("main")).alias("mx"))
+    two = rows.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("node").alias("y"), F.col("size").alias("ny"), F.col("at").alias("iy"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("my"))
+    room = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= least / (1 + least) * (F.col("nx") + F.col("ny")) - 1e-6
+    fits = (F.col("lx") != F.col("ly")) & (F.col("nx") <= F.col("ny")) & alike("nx", "ny", least) & room
+    met = one.where("not mx").join(two, ["shingle", "salt"]).where(fits).select("x", "y").union(one.where("mx").join(two.where("not my"), ["shingle", "salt"]).where(fits).select("x", "y"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Class of every row: rows whose bags are linked by a chain of similarities of at least `least`.
 
@@ -246,16 +308,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     labels = wanted.select(F.col("__uid").alias("node"), F.col("__uid").alias("label"))
     # one centre for each node first: it settles most classes
     labels = merged(labels, verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), bag, least))
-    done, pairs, turn = star, by_class(star, labels).select("a", "b"), 0
-    while True:
-        new = verified(pairs, bag, least)
-        none = new.isEmpty()
-        if turn and none:
-            break
-        labels, turn = labels if none else merged(labels, new), turn + 1
-        places = unsettled(places, labels)
-        pairs = stored(other_centres(places, turn, CENTRES << (turn - 1), least).join(done, ["a", "b"], "left_anti"))
-        done = done.union(pairs)
+    labels = merged(labels, verified(by_class(star, labels).select("a", "b"), bag, least))
+    places = unsettled(places, labels)
+    pairs = other_centres(places, 1, CENTRES, least).join(star, ["a", "b"], "left_anti")
+    labels = merged(labels, verified(pairs, bag, least))
+    # what is left goes through the exact join: one pair of each node first, then all that are still in different classes
+    rest = unsettled(places.select("band", "node", "size"), labels).select("node").distinct()
+    pairs = stored(exact_candidates(bag.join(rest, "node"), labels, least))
+    labels = merged(labels, verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), bag, least))
+    labels = merged(labels, verified(by_class(pairs, labels).select("a", "b"), bag, least))
 
     classes = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class"))
     keyed = own.select("doc_id", "__uid", "digest").join(classes, "digest", "left").select("doc_id", "__uid", F.coalesce("class", "__uid").alias("class"))

@@ -180,6 +180,15 @@ def test_near_duplicate_cases(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_pairs_among_texts_of_one_template_are_found(spark, tmp_path):
+    template = " ".join(f"t{i}" for i in range(170))
+    # similarity of two texts with 30 own words each is 0.73, of such a text and one with 17 is 0.78, of two with 17 is 0.83
+    rows = [(k, " ".join(f"o{k}x{i}" for i in range(17 if k in (700, 900) else 30)) + " " + template) for k in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+    assert got == {k: 700 if k == 900 else k for k in range(2000)}
+
+
 def test_signatures_estimate_weighted_similarity():
     a, b = {i: 1 + i % 5 for i in range(200)}, {i: 1 + (i * 7) % 4 for i in range(60, 260)}
     h = lambda d: np.array([zlib.crc32(str(k).encode()) * 2654435761 % 2**64 for k in d], "u8")
