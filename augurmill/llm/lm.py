@@ -1,19 +1,18 @@
 """Language-model scores of whole texts by a weighted backoff automaton over words.
 
 **Model.** Every training word has a unigram arc with an absolutely discounted
-probability; the discounted mass goes to all other words alike. A history word with at least `share` of all training tokens is a
-state (there are at most 1 / share of them, whatever the corpus), and so is the start
-of a text. A state has arcs for the state words and the end that follow it, with
+probability; the discounted mass goes to all other words alike. Every training word is a state, and so is the start
+of a text. A state has arcs for all words and the end that follow it in training, with
 discounted bigram probabilities, and a failure arc to the unigram state whose weight
 makes the state's probabilities sum to one. A text is read once from left to right:
 the state is the last word, each word takes its arc or fails first.
 
-**Counting and look-up at scale.** The vocabulary grows with the corpus, so it is
+**Counting and look-up at scale.** Vocabulary and bigrams grow with the corpus, so they are
 never sent to anyone whole. Each task numbers the words it meets in blocks of
-about `BLOCK_TOKENS` tokens and writes the texts as numbers beside the block's word
-list. Counts are summed over tasks by word, joined to the word lists, and
-return to their block as one short column. Only the states and their arcs, bounded by
-`share`, are sent to all tasks.
+about `BLOCK_TOKENS` tokens and writes the texts as numbers beside the block's lists of words
+and bigrams. Counts are summed over tasks, failure weights over the bigrams of a state; both are
+joined to the lists and return to their block, which scores its texts by its own part of the automaton.
+Bigrams are told apart by 64-bit hashes of both words.
 """
 
 from __future__ import annotations
@@ -28,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augurmill.llm.common import arrow_map, llm_query, remainder, scratch_path, table, texts
+from augurmill.llm.common import arrow_map, llm_query, remainder, scratch_path, stored, table, texts
 
-#: The end of a text as a word: white space, which no word is.
-END = b"\n"
-BLOCK_TOKENS, FLUSH_WORDS = 3_000_000, 400_000
+#: The start and the end of a text as words: white space, which no word is.
+START, END = b" ", b"\n"
+BLOCK_TOKENS, FLUSH_WORDS, BATCH_PAIRS = 3_000_000, 400_000, 200_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -40,13 +39,19 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), "u8", len(words)).astype("i8")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c: over the rows that are not held out."""
+    """word, h (its hash), c: over the rows that are not held out."""
     def step(batches):
         own = Counter()
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["word", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(hashes(list(own))), pa.array(list(own.values()), pa.int64())], ["word", "h", "c"])
 
         for b in batches:
             for text, held in zip(texts(b), b.column("held_out").to_pylist()):
@@ -57,41 +62,38 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 own.clear()
         yield rows()
 
-    return arrow_map(docs.select("text", "held_out"), step, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return arrow_map(docs.select("text", "held_out"), step, "word binary, h long, c long").groupBy("word", "h").agg(F.sum("c").alias("c"))
 
 
-def encoded(docs: DataFrame, states: list[bytes]) -> DataFrame:
-    """Texts as numbers, word lists and bigrams of state words, in blocks that one task fills.
+def encoded(docs: DataFrame) -> DataFrame:
+    """Texts as numbers, word lists and bigrams, in blocks that one task fills.
 
     Rows: kind 0, a text (key, held_out, its numbers); kind 1, a word of the block's list and its number; kind 2, a
-    pair of states (number of the first times the number of states and the start, plus
-    the second) and how often it occurs in training texts. State words have the first
-    numbers in every block and are not listed.
+    bigram of the block, in training texts or others: n (one more than the first word's number, 0 for the start, times
+    2 ** 32, plus the second's), the hashes of both words and how often it occurs in training texts.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["block", "kind", "doc_id", "held_out", "ids", "word", "n", "c"]
-    shared = docs.sparkSession.sparkContext.broadcast(states)
+    names = ["block", "kind", "doc_id", "held_out", "ids", "word", "n", "c", "h1", "h2"]
 
     def step(batches):
-        base, width = TaskContext.get().partitionId() << 24, len(shared.value) + 1
-        known = {w: i for i, w in enumerate(shared.value)}
-        block, pairs, total = base, Counter(), 0
-
-        def fresh():
-            numbers = defaultdict(count(len(known)).__next__)
-            numbers.update(known)
-            return numbers
+        block, total, id_type = TaskContext.get().partitionId() << 24, 0, None
+        numbers, codes, trained = defaultdict(count().__next__), [], []
 
         def batch(size, what, /, **columns):
-            types = {"doc_id": None, "held_out": pa.bool_(), "ids": pa.binary(), "word": pa.binary(), "n": pa.int64(), "c": pa.int64()}
+            types = {"doc_id": None, "held_out": pa.bool_(), "ids": pa.binary(), "word": pa.binary(), "n": pa.int64(), "c": pa.int64(), "h1": pa.int64(), "h2": pa.int64()}
             columns = {"block": pa.array([block] * size, pa.int64()), "kind": pa.array([what] * size, pa.int32()), **columns}
             return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(size, types[x] or id_type) for x in names], names)
 
         def lists():
-            own = list(numbers)[len(known):]
-            yield batch(len(own), 1, word=pa.array(own, pa.binary()), n=pa.array(range(len(known), len(numbers)), pa.int64()))
+            own = list(numbers)
+            yield batch(len(own), 1, word=pa.array(own, pa.binary()), n=pa.array(range(len(own)), pa.int64()))
+            h = hashes([START, *own])
+            n, which = np.unique(np.concatenate(codes), return_inverse=True)
+            c = np.bincount(which, np.concatenate(trained), len(n)).astype("i8")
+            for at in range(0, len(n), BATCH_PAIRS):
+                x = n[at:at + BATCH_PAIRS]
+                yield batch(len(x), 2, n=pa.array(x), c=pa.array(c[at:at + BATCH_PAIRS]), h1=pa.array(h[x >> 32]), h2=pa.array(h[1 + (x & 0xFFFFFFFF)]))
 
-        numbers, id_type = fresh(), None
         for b in batches:
             id_type = b.column("doc_id").type
             held, out = b.column("held_out").to_pylist(), []
@@ -99,28 +101,27 @@ def encoded(docs: DataFrame, states: list[bytes]) -> DataFrame:
                 ids = np.fromiter(map(numbers.__getitem__, tokens(text)), "<u4")
                 out.append(ids.tobytes())
                 total += len(ids)
-                if not h:
-                    last = np.concatenate([[width - 1], ids[:-1]]).astype("i8")
-                    both = (last < width - 1) & (ids < width - 1)
-                    both[0] = ids[0] < width - 1  # the start is a state of its own
-                    codes, n = np.unique(last[both] * width + ids[both], return_counts=True)
-                    pairs.update(dict(zip(codes.tolist(), n.tolist())))
+                codes.append(np.concatenate([[0], ids[:-1].astype("i8") + 1]) << 32 | ids.astype("i8"))
+                trained.append(np.full(len(ids), not h))
             yield batch(len(out), 0, doc_id=b.column("doc_id"), held_out=b.column("held_out"), ids=pa.array(out, pa.binary()))
             if total > BLOCK_TOKENS:
                 yield from lists()
-                numbers, block, total = fresh(), block + 1, 0
-        if id_type is not None:
+                numbers, codes, trained, block, total = defaultdict(count().__next__), [], [], block + 1, 0
+        if codes:
             yield from lists()
-            yield batch(len(pairs), 2, n=pa.array(list(pairs), pa.int64()), c=pa.array(list(pairs.values()), pa.int64()))
 
     return arrow_map(docs.select("doc_id", "text", "held_out"), step,
-                     f"block long, kind int, doc_id {kind}, held_out boolean, ids binary, word binary, n long, c long")
+                     f"block long, kind int, doc_id {kind}, held_out boolean, ids binary, word binary, n long, c long, h1 long, h2 long")
 
 
 class Automaton:
-    """Arcs of the states, sorted by pair, failure weights, and the unigram arcs' constants."""
+    """Arcs of the states, sorted by pair, failure weights, and the unigram arcs' constants.
 
-    def __init__(self, n: int, types: int, once: int, twice: int, state_counts: np.ndarray, starts: int, pairs: np.ndarray, counts: np.ndarray):
+    `less` (the arcs' discount) and `fail` are given where the arcs are only a part of the states'.
+    """
+
+    def __init__(self, n: int, types: int, once: int, twice: int, state_counts: np.ndarray, starts: int, pairs: np.ndarray, counts: np.ndarray,
+                 less: float | None = None, fail: np.ndarray | None = None):
         self.n, self.types, self.states = n, types, len(state_counts)
         self.discount = once / (once + 2 * twice) if once else 0.5
         self.rest = self.discount * types / max(n, 1) / (types + 1)
@@ -131,9 +132,13 @@ class Automaton:
         first, second = self.pairs // width, self.pairs % width
         history = np.append(self.state_counts, starts)
         ones, twos = (counts == 1).sum(), (counts == 2).sum()
-        less = ones / (ones + 2 * twos) if ones else 0.5
+        if less is None:
+            less = ones / (ones + 2 * twos) if ones else 0.5
         p = (counts - less) / history[first]
         self.arcs = np.log10(np.maximum(p, 1e-300))
+        if fail is not None:
+            self.fail = fail
+            return
         taken = np.bincount(first, p, width)
         below = np.bincount(first, self.unigram(self.state_counts)[second], width) if len(first) else np.zeros(width)
         self.fail = np.log10(np.maximum((1 - taken) / np.maximum(1 - below, 1e-12), 1e-300))
@@ -159,7 +164,17 @@ class Automaton:
         return out
 
 
-def lm_scores(docs: DataFrame, share: float = 1 / 2000) -> DataFrame:
+def failures(bigrams: DataFrame, counts: DataFrame, less: float, n: int, types: int, once: int, twice: int) -> DataFrame:
+    """h, fail, c: the failure weight (log10) of every state and how often it occurs."""
+    m = Automaton(n, types, once, twice, np.zeros(0), 0, np.zeros(0, "i8"), np.zeros(0), less)
+    unigram = F.greatest(F.col("c2") - F.lit(m.discount), F.lit(0.0)) / F.lit(max(n, 1)) + F.lit(m.rest)
+    sums = (bigrams.join(counts.select(F.col("h").alias("h2"), F.col("c").alias("c2")), "h2").groupBy("h1")
+            .agg(F.sum("c").alias("c"), F.sum(F.col("c") - F.lit(less)).alias("taken"), F.sum(unigram).alias("below")))
+    fail = F.log10(F.greatest((1 - F.col("taken") / F.col("c")) / F.greatest(1 - F.col("below"), F.lit(1e-12)), F.lit(1e-300)))
+    return sums.select(F.col("h1").alias("h"), fail.alias("fail"), "c")
+
+
+def lm_scores(docs: DataFrame) -> DataFrame:
     """Train on the rows of `docs` (doc_id, text, held_out) that are not held out, and score all rows.
 
     One row per row, repeated rows included: doc_id, held_out, n_tokens (words and the
@@ -171,32 +186,42 @@ def lm_scores(docs: DataFrame, share: float = 1 / 2000) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counts_at, blocks_at = scratch_path(spark, "lm-counts"), scratch_path(spark, "lm-blocks")
-    word_counts(docs).write.option("compression", "zstd").parquet(counts_at)
-    counts = spark.read.parquet(counts_at)
-    r = counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.max(F.when(F.col("word") == END, F.col("c")))).first()
-    n, types, once, twice, ends = (int(x or 0) for x in r)
-    # at most 1 / share rows
-    top = sorted([(bytes(w), c) for w, c in counts.where((F.col("c") >= share * n) | (F.col("word") == END)).collect()], key=lambda x: (-x[1], x[0]))
-    encoded(docs, [w for w, _ in top]).write.option("compression", "zstd").parquet(blocks_at)
+    blocks_at = scratch_path(spark, "lm-blocks")
+    counts = stored(word_counts(docs), "lm-counts")
+    r = counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    n, types, once, twice = (int(x or 0) for x in r)
+    encoded(docs).write.option("compression", "zstd").parquet(blocks_at)
     parts = spark.read.parquet(blocks_at)
-    # at most (1 / share + 1) squared rows, by the bound on the states
-    arcs = parts.where("kind = 2").groupBy("n").agg(F.sum("c").alias("c")).toPandas()
-    model = spark.sparkContext.broadcast(Automaton(n, types, once, twice, np.array([c for _, c in top], "i8"), ends, arcs["n"].to_numpy("i8"), arcs["c"].to_numpy("i8")))
-
-    known = parts.where("kind = 1").select("block", "word", "n").join(counts, "word").select("block", "n", "c")
+    listed = parts.where("kind = 2").select("block", "n", "c", "h1", "h2")
+    bigrams = stored(listed.where("c > 0").groupBy("h1", "h2").agg(F.sum("c").alias("c")), "lm-bigrams")
+    r = bigrams.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    less = r[0] / (r[0] + 2 * r[1]) if r[0] else 0.5
+    fails = stored(failures(bigrams, counts, less, n, types, once, twice), "lm-failures")
+    # one row, if any
+    start = fails.where(F.col("h") == int(hashes([START])[0])).select("c", "fail").first()
+    starts_n, start_fail = (int(start[0]), float(start[1])) if start else (0, 0.0)
+
+    weights = counts.join(fails.select("h", "fail"), "h", "left").select("word", "c", "fail")
+    known = parts.where("kind = 1").select("block", "word", "n").join(weights, "word").select("block", F.lit(False).alias("pair"), "n", "c", "fail")
+    known = known.union(listed.select("block", "n", "h1", "h2").join(bigrams, ["h1", "h2"]).select("block", F.lit(True), "n", "c", F.lit(None).cast("double")))
     own = spark.read.schema(parts.schema).parquet(blocks_at).where("kind = 0").select("block", "doc_id", "held_out", "ids")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        m: Automaton = model.value
         parts_, lengths = [np.frombuffer(x, "<u4") for x in left["ids"]], left["ids"].map(len).to_numpy("i8") // 4
         if not len(left):
             return pd.DataFrame({x: [] for x in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         ids = np.concatenate(parts_).astype("i8")
-        c = np.zeros(max(int(ids.max()) + 1, m.states), "f8")
-        c[:m.states] = m.state_counts
-        c[right["n"].to_numpy("i8")] = right["c"].to_numpy("f8")
+        width = int(ids.max()) + 2
+        c, fail = np.zeros(width - 1, "f8"), np.zeros(width, "f8")
+        pair = right["pair"].to_numpy(bool)
+        at, of, weight = right["n"].to_numpy("i8"), right["c"].to_numpy("f8"), right["fail"].to_numpy("f8")
+        c[at[~pair]] = of[~pair]
+        fail[at[~pair]] = np.nan_to_num(weight[~pair])  # the end is no state
+        fail[-1] = start_fail
+        states = (at[pair] >> 32) - 1
+        arcs = np.where(states < 0, width - 1, states) * width + (at[pair] & 0xFFFFFFFF)
+        m = Automaton(n, types, once, twice, c, starts_n, arcs, of[pair], less, fail)
         starts = np.zeros(len(ids), bool)
         starts[first] = True
         base = np.log10((c + 1) / (m.n + m.types + 1))[ids]

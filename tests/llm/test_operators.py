@@ -211,6 +211,25 @@ def test_lm_base_score_and_held_out_gain(spark):
     assert sum(r.score for r in rows.values() if r.held_out) > sum(r.base_score for r in rows.values() if r.held_out)
 
 
+def test_every_seen_bigram_has_its_arc(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("held_out", F.col("doc_id") % 3 == 0)
+    words = {r.doc_id: (r.held_out, [None, *re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")), "\n"]) for r in docs.collect()}
+    train = [w for held, w in words.values() if not held]
+    c, both = collections.Counter(x for w in train for x in w[1:]), collections.Counter(p for w in train for p in itertools.pairwise(w))
+    n, less = sum(c.values()), lambda k: (s := list(k.values())).count(1) / (s.count(1) + 2 * s.count(2))
+    d, e = less(c), less(both)
+    uni = lambda x: max(c[x] - d, 0) / n + d * len(c) / n / (len(c) + 1)
+    seen, taken, below = collections.Counter(), collections.Counter(), collections.Counter()
+    for (h, x), k in both.items():
+        seen[h], taken[h], below[h] = seen[h] + k, taken[h] + k - e, below[h] + uni(x)
+
+    def log(h, x):
+        return math.log10((both[h, x] - e) / seen[h] if (h, x) in both else uni(x) * ((1 - taken[h] / seen[h]) / (1 - below[h]) if h in seen else 1))
+
+    for r in lm.lm_scores(docs).collect():
+        assert r.score == pytest.approx(sum(itertools.starmap(log, itertools.pairwise(words[r.doc_id][1]))), rel=1e-9)
+
+
 def test_automaton_states_sum_to_one():
     m = lm.Automaton(100, 10, 3, 2, np.array([30, 20]), 10, np.array([0, 1, 3, 6]), np.array([8, 4, 5, 6]))
     c = np.array([30.0, 20.0, 9, 9, 8, 8, 6, 5, 3, 2])
