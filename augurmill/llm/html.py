@@ -1,7 +1,8 @@
 """Visible text of HTML pages with their layout.
 
 A tree builder closes what HTML closes by itself (paragraphs before blocks, list
-items, table rows and cells, options), skips what is never shown (scripts, styles,
+items, table rows and cells, options, heads), opens rows that cells imply, moves what
+stands in a table outside its cells before it, skips what is never shown (scripts, styles,
 heads, hidden elements) and renders the tree: blocks stand apart, lists get markers
 and indents, table cells are padded to their columns, preformatted text keeps its
 white space.
@@ -21,7 +22,14 @@ from augurmill.llm.common import arrow_map, llm_query, table
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed".split())
-HIDDEN = frozenset("script style head template noscript iframe object svg math datalist dialog".split())
+HIDDEN = frozenset("script style head template noscript iframe datalist annotation annotation-xml".split())
+HEAD_CONTENT = frozenset("head title base basefont bgsound link meta noscript noframes script style template".split())
+#: Elements that a table takes directly or by rows; other content there stands before the table.
+SECTIONS = frozenset("tbody thead tfoot".split())
+TABLE_PARTS = SECTIONS | frozenset("tr td th caption colgroup col".split())
+IN_TABLE = SECTIONS | {"table", "tr"}
+#: Elements of an SVG picture that are drawn only by reference or never, and those whose text is drawn.
+SVG_HIDDEN, SVG_TEXT = frozenset("defs symbol clippath mask pattern marker title desc metadata".split()), frozenset({"text", "foreignobject"})
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure".split())
 BLOCKS = PARAGRAPHS | frozenset("address article aside body center dd details dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav section summary tr caption".split())
 #: An opening tag closes open ones of the first group, unless one of the second lies between.
@@ -34,7 +42,9 @@ IMPLIED = {
     "body": (frozenset({"head"}), frozenset()),
 }
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_INVISIBLE = re.compile(r"(?i)(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true")
+_ATTRIBUTE = re.compile(r"([^\s\"'/=][^\s/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']\S*)))?")
+_MAYBE_HIDDEN = re.compile(r"(?i)hidden|style")
+_UNSHOWN = {"display": {"none"}, "visibility": {"hidden", "collapse"}}
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -45,6 +55,41 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Values by lower-cased name; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def enclosing(stack: list[Node], tags: frozenset[str]) -> int:
+    """Place of the innermost open element of these in the innermost open table; 0 if there is none."""
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k].tag in tags:
+            return k
+        if stack[k].tag == "table":
+            break
+    return 0
+
+
+def add(stack: list[Node], child: Node | str) -> None:
+    """Append to the innermost open element; what a table does not take is put before it."""
+    top = stack[-1]
+    if top.tag == "head" and isinstance(child, str) and child.strip():
+        stack.pop()
+        top = stack[-1]
+    stray = child.strip() if isinstance(child, str) else child.tag not in TABLE_PARTS and child.tag not in ("script", "style", "template")
+    if not stray or top.tag not in IN_TABLE or not (k := enclosing(stack, frozenset({"table"}))):
+        top.children.append(child)
+        return
+    before = stack[k - 1].children
+    at = len(before) - 1
+    while before[at] is not stack[k]:
+        at -= 1
+    before.insert(at, child)
+
+
 def parse(page: str) -> Node:
     """Tree of nodes and strings. Unknown or unmatched end tags are ignored; what stays open ends with the page."""
     root = Node("#root")
@@ -52,10 +97,10 @@ def parse(page: str) -> Node:
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
-            stack[-1].children.append(html.unescape(page[at:]))
+            add(stack, html.unescape(page[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at:m.start()]))
+            add(stack, html.unescape(page[at:m.start()]))
         at = m.end()
         if not m[2]:
             continue
@@ -65,20 +110,34 @@ def parse(page: str) -> Node:
                 if stack[k].tag == tag:
                     del stack[k:]
                     break
-                if tag not in BLOCKS and stack[k].tag in ("td", "th", "table"):  # an inline end tag does not reach out of its cell
+                # an end tag does not reach out of its cell, a row's or cell's not out of its table
+                if stack[k].tag == "table" and tag not in ("body", "html") or stack[k].tag in ("td", "th", "caption") and tag not in TABLE_PARTS and tag not in ("table", "body", "html"):
                     break
             continue
-        if tag in IMPLIED:
+        if stack[-1].tag == "head" and tag not in HEAD_CONTENT:
+            stack.pop()
+        table = enclosing(stack, frozenset({"table"})) if tag in TABLE_PARTS or tag in ("table", "form") else 0
+        if table and tag in TABLE_PARTS:
+            del stack[1 + enclosing(stack, IN_TABLE if tag in ("td", "th") else SECTIONS | {"table"} if tag == "tr" else frozenset({"table"})):]
+            if tag in ("td", "th") and stack[-1].tag != "tr":
+                row = Node("tr")
+                stack[-1].children.append(row)
+                stack.append(row)
+        elif table and tag == "table" and stack[-1].tag in IN_TABLE:
+            del stack[table:]
+        elif table and tag == "form" and stack[-1].tag in IN_TABLE:
+            continue
+        elif tag in IMPLIED:
             closes, limits = IMPLIED[tag]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in closes:
                     del stack[k:]
                     break
-                if stack[k].tag in limits:
+                if stack[k].tag in limits or stack[k].tag == "table":
                     break
         node = Node(tag, m[3])
-        stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
+        add(stack, node)
+        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and (tag not in RAW or any(x.tag in ("svg", "math") for x in stack)):
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -116,7 +175,29 @@ class Page:
 
 
 def hidden(node: Node) -> bool:
-    return node.tag in HIDDEN or node.tag == "title" or bool(node.attrs) and (_INVISIBLE.search(node.attrs) is not None or node.tag == "input")
+    if node.tag in HIDDEN or node.tag in ("title", "input"):
+        return True
+    if node.tag == "dialog" and "open" not in attributes(node.attrs) or node.tag == "object" and "data" in attributes(node.attrs):
+        return True
+    if not node.attrs or not _MAYBE_HIDDEN.search(node.attrs):
+        return False
+    own = attributes(node.attrs)
+    if "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    rules = (x.partition(":") for x in own.get("style", "").lower().split(";"))
+    return any(value.replace("!important", "").strip() in _UNSHOWN.get(name.strip(), ()) for name, _, value in rules)
+
+
+def drawn(node: Node) -> list[Node]:
+    """The elements of an SVG picture that show text."""
+    out, todo = [], [node]
+    while todo:
+        for x in reversed(todo.pop().children):
+            if isinstance(x, Node) and not hidden(x) and x.tag not in SVG_HIDDEN:
+                todo.append(x)
+        while todo and todo[-1].tag in SVG_TEXT:
+            out.append(todo.pop())
+    return out
 
 
 def rows_of(node: Node) -> list[Node]:
@@ -186,9 +267,9 @@ def render(children: list, page: Page) -> None:
         elif tag in ("ul", "ol", "menu"):
             todo.append(iter(listed(x, page)))
         elif tag == "img":
-            m = re.search(r"(?i)\balt\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", x.attrs)
-            if m:
-                page.text(html.unescape(m[1] or m[2] or ""))
+            page.text(attributes(x.attrs).get("alt", ""))
+        elif tag == "svg":
+            todo.append(iter([y for c in drawn(x) for y in (("do", lambda: page.text(" ")), ("node", c), ("do", lambda: page.text(" ")))]))
         else:
             gap = 2 if tag in PARAGRAPHS else 1 if tag in BLOCKS or tag in ("tr", "option") else 0
             after = [("do", lambda gap=gap: page.brk(gap))] if gap else [("do", lambda: page.text(" "))] if tag in ("td", "th") else []

@@ -298,6 +298,20 @@ def test_html_layout():
     assert html.visible_text("") == "" and html.visible_text("<b>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<table><tbody><td>a<td>b</table>", "a  b"), ("<table><td>a</table>", "a"), ("<table><tr><form><td>a</td></form></tr></table>z", "a\n\nz"),
+    ("<table><tr>stray <b>bold</b><td>a</table>", "stray bold\n\na"), ("<table><tr><td>a<tbody><tr><td>b</table>", "a\nb"),
+    ("<div>x<table><tr><td>a</div>b</td><td>c</table>", "x\n\nab  c"),
+    ("<head><title>x</title><p>All text", "All text"), ("<head><meta name=a>bare", "bare"), ("<head><style>p{}</style></head><p>a", "a"),
+    ("<p class='menu hidden md:flex'>a", "a"), ("<p title='a hidden gem'>a", "a"), ("<img alt='the hidden valley'>", "the hidden valley"), ("<img data-alt=x alt=y>", "y"),
+    ("<p title='display: none'>a", "a"), ("<p hidden=''>a", ""), ("<p style='color:red; DISPLAY : none !important'>a", ""), ("<p aria-hidden=true>a", ""),
+    ("x <math><mi>y</mi><mo>=</mo><mn>2</mn></math>", "x y=2"), ("<svg><title>t</title><defs><text>no</text></defs><g><text>axis</text><path/></g></svg>", "axis"),
+    ("<dialog open>a</dialog><dialog>b</dialog>", "a"), ("<object>a</object><object data=x.swf>b</object>", "a"),
+])
+def test_html_shows_what_a_browser_shows(page, text):
+    assert html.visible_text(page) == text
+
+
 def test_html_cases(spark):
     pages = spark.createDataFrame([(1, None, "z"), (None, "<p>a", "z"), (2, "", "z"), (2, "", "z")], "page_id long, html string, text string")
     assert sorted(r.text for r in html.page_texts(pages).collect()) == ["", "", "", "a"] and html.page_texts(pages.limit(0)).count() == 0
