@@ -117,12 +117,13 @@ def _bounds(ids: DataFrame, slice_rows: int) -> list[int]:
 
 def _slice(key: Column, bounds: list[int]) -> Column:
     """Number of the last bound that is not above the key: first among strides of bounds, then within one."""
-    heads = F.array(*[F.lit(b) for b in bounds[::STRIDE]])
-    at = F.size(F.filter(heads, lambda b: b <= key)) - 1
+    last = lambda among: F.size(F.filter(among, lambda b: b <= key)) - 1
+    literals = lambda numbers: F.array(*[F.lit(b) for b in numbers])
     if len(bounds) <= STRIDE:
-        return at
-    rest = F.array(*[F.array(*[F.lit(b) for b in bounds[i:i + STRIDE]]) for i in range(0, len(bounds), STRIDE)])
-    return at * STRIDE + F.size(F.filter(F.get(rest, at), lambda b: b <= key)) - 1
+        return last(literals(bounds))
+    strides = F.array(*[literals(bounds[i:i + STRIDE]) for i in range(0, len(bounds), STRIDE)])
+    at = last(literals(bounds[::STRIDE]))
+    return at * STRIDE + last(F.get(strides, at))
 
 
 def fingerprints(docs: DataFrame, bits: int = BITS, slice_rows: int = SLICE_ROWS) -> DataFrame:

@@ -38,4 +38,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-TEXTS = {"op3_decontamination": OP3, "op8_quality_rules": OP8}
+#: The phrases are lists of words; counts of all of them are made once, for two to four words and single ones.
+OP12 = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM words WHERE len(w) > 0),
+grams AS (SELECT lang, unnest([w[i:i], CASE WHEN len(w) > i THEN w[i:i + 1] END, CASE WHEN len(w) > i + 1 THEN w[i:i + 2] END, CASE WHEN len(w) > i + 2 THEN w[i:i + 3] END]) AS p FROM starts),
+f AS (SELECT lang, p, count(*) AS f FROM grams WHERE p IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, cast(sum(f) AS bigint) AS n FROM f WHERE len(p) = 1 GROUP BY lang),
+c AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= 30),
+inside AS (SELECT lang, p[i:i + m - 1] AS p, max(a) AS longer
+           FROM (SELECT lang, p, a, unnest([[1, 2], [2, 2], [3, 2], [1, 3], [2, 3]]) AS im FROM c WHERE len(p) > 2), LATERAL (SELECT im[1] AS i, im[2] AS m)
+           WHERE m < len(p) AND i + m - 1 <= len(p) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, p) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT),
+cut AS (SELECT lang, p, a, unnest(generate_series(1, len(p) - 1)) AS k FROM kept),
+scored AS (SELECT cut.lang, cut.p, a, k, x.f AS l, y.f AS r, cast((2000000::HUGEINT * a) // (x.f::HUGEINT + y.f) AS bigint) AS score
+           FROM cut JOIN f x ON x.lang = cut.lang AND x.p = cut.p[1:k] JOIN f y ON y.lang = cut.lang AND y.p = cut.p[k + 1:len(cut.p)]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank, array_to_string(p, ' ') AS phrase, a, l, r, score FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+TEXTS = {"op3_decontamination": OP3, "op8_quality_rules": OP8, "op12_collocations": OP12}
