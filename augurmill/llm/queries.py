@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from augurmill.llm import decontam, html, lm, neardup, packing, phrases, private, quality, secrets, simhash, tokens, toxicity  # noqa: F401
+from augurmill.llm import decontam, hardneg, html, lm, neardup, packing, phrases, private, quality, secrets, simhash, tokens, toxicity  # noqa: F401
 from augurmill.llm.common import LLM_QUERIES
 from augurmill.llm.sql import TEXTS as LLM_SQL
 

@@ -224,7 +224,9 @@ def op11_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     f, e = ([F.col(f"{name}{i}") for i in range(BITS // 64)] for name in "fe")
     asked = F.col("doc_id") % 50 == 0
     near = within_radius(found, asked)
-    names = [f"f{i}" for i in range(BITS // 64)]
-    out = found.withColumn("asked", F.coalesce(asked, F.lit(False))).join(near.withColumn("asked", F.lit(True)), [*names, "asked"], "left")
+    # only rows that are asked for go through the join: copies of one text may be many
+    own = found.where(asked).join(near, [f"f{i}" for i in range(BITS // 64)], "left")
+    rest = found.where(F.coalesce(~asked, F.lit(True))).withColumns({"n_same": F.lit(None).cast("long"), "n_near": F.lit(None).cast("long")})
+    out = own.unionByName(rest)
     return out.select("doc_id", "n_chars", "edited_sha256", as_text(f).alias("fingerprint"), as_text(e).alias("edited_fingerprint"), "near_edited", "near_next",
                       (F.col("n_same") - 1).alias("n_same"), "n_near")

@@ -41,7 +41,8 @@ FROM b
 #: The phrases are lists of words; counts of all of them are made once, for two to four words and single ones.
 OP12 = r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 words AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
 starts AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM words WHERE len(w) > 0),
 grams AS (SELECT lang, unnest([w[i:i], CASE WHEN len(w) > i THEN w[i:i + 1] END, CASE WHEN len(w) > i + 1 THEN w[i:i + 2] END, CASE WHEN len(w) > i + 2 THEN w[i:i + 3] END]) AS p FROM starts),
@@ -60,4 +61,14 @@ ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
 
-TEXTS = {"op3_decontamination": OP3, "op8_quality_rules": OP8, "op12_collocations": OP12}
+OP13 = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS x
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, cast(list_inner_product(a.x, b.x) AS bigint) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE own = label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE s.label <> p.own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, cast(rank AS integer) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+TEXTS = {"op3_decontamination": OP3, "op8_quality_rules": OP8, "op12_collocations": OP12, "op13_hard_negatives": OP13}
