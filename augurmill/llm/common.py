@@ -44,8 +44,23 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(step, schema)
+def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, most_bytes: int | None = None) -> DataFrame:
+    """`step` over Arrow batches. With `most_bytes` it gets them in parts of no more bytes, or of one row."""
+    if most_bytes is None:
+        return df.mapInArrow(step, schema)
+
+    def bounded(batches):
+        return step(part for b in batches for part in halves(b, most_bytes))
+
+    return df.mapInArrow(bounded, schema)
+
+
+def halves(b: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    if b.num_rows < 2 or b.nbytes <= most_bytes:
+        yield b
+    else:
+        yield from halves(b.slice(0, b.num_rows // 2), most_bytes)
+        yield from halves(b.slice(b.num_rows // 2), most_bytes)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

@@ -42,6 +42,8 @@ CENTRES = 4
 COUNTERS = 1 << 20
 #: Rows of one shingle that one task joins with all rows of it.
 SALT_ROWS = 2000
+#: Bytes of text that are signed at once.
+BATCH_BYTES = 1 << 21
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -120,7 +122,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, texts_n: int,
 
 
 def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, __uid, digest (128 bits of the bag; null without words), size (of the bag) and one hash for each band."""
+    """doc_id, __uid, __key, digest (128 bits of the bag; null without words), size (of the bag) and one hash for each band."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def step(batches):
@@ -138,10 +140,15 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
             some = np.bincount(doc, minlength=len(own)) > 0
             raw = [digest[i].tobytes() if some[i] else None for i in range(len(own))]
             offsets = pa.array(np.arange(len(own) + 1, dtype="i4") * bands)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__uid"), pa.array(raw, pa.binary()), pa.array(np.bincount(doc, weight, len(own)).astype("i8")), pa.ListArray.from_arrays(offsets, pa.array(acc.reshape(-1)))],
-                                             ["doc_id", "__uid", "digest", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__uid"), b.column("__key"), pa.array(raw, pa.binary()), pa.array(np.bincount(doc, weight, len(own)).astype("i8")), pa.ListArray.from_arrays(offsets, pa.array(acc.reshape(-1)))],
+                                             ["doc_id", "__uid", "__key", "digest", "size", "bands"])
 
-    return arrow_map(docs, step, f"doc_id {kind}, __uid long, digest binary, size long, bands array<long>")
+    return arrow_map(docs, step, f"doc_id {kind}, __uid long, __key binary, digest binary, size long, bands array<long>", BATCH_BYTES)
+
+
+def row_key() -> Column:
+    """128 bits of doc_id and text. Unlike a row's number it is the same in every reading of a table."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col("text"), F.lit(""))).cast("binary")))
 
 
 def bag_table(docs: DataFrame, shingle: int) -> DataFrame:
@@ -159,12 +166,13 @@ def bag_table(docs: DataFrame, shingle: int) -> DataFrame:
             raw = [values[e - n:e].tobytes() for e, n in zip(ends.tolist(), np.bincount(owner, minlength=len(own)).tolist())]
             yield pa.RecordBatch.from_arrays([b.column("__uid"), pa.array(raw, pa.binary())], ["node", "bag"])
 
-    return arrow_map(docs.select("__uid", "text"), step, "node long, bag binary")
+    return arrow_map(docs.select("__uid", "text"), step, "node long, bag binary", BATCH_BYTES)
 
 
-def similarity(a: bytes, b: bytes) -> float:
+def similarity(a: bytes, b: bytes, least: float = 0.0) -> float:
+    """Weighted Jaccard similarity of two bags; 0 where their sizes alone keep it below `least`."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)) * 0.5:
+    if min(len(x), len(y)) < (least - 1e-6) * max(len(x), len(y)):
         return 0.0
     both = np.concatenate([x, y])
     both.sort(kind="stable")
@@ -179,7 +187,7 @@ def verified(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
 
     def step(batches):
         for b in batches:
-            good = [similarity(x, y) >= least for x, y in zip(b.column("bag_a").to_pylist(), b.column("bag_b").to_pylist())]
+            good = [similarity(x, y, least) >= least for x, y in zip(b.column("bag_a").to_pylist(), b.column("bag_b").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(good)), b.column("b").filter(pa.array(good))], ["a", "b"])
 
     return stored(arrow_map(full.select("a", "b", "bag_a", "bag_b"), step, "a long, b long"))
@@ -290,12 +298,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     """Class of every row: rows whose bags are linked by a chain of similarities of at least `least`.
 
     One row per row of `docs` (doc_id, text), repeated rows included: doc_id, class_id (the least doc_id of its class;
-    null if all are null), first (true for one row of each class, its least doc_id's), `__uid`. Words are lower-cased
+    null if all are null), first (true for one row of each class, its least doc_id's), `__key` (of doc_id and text: `row_key`). Words are lower-cased
     runs of letters, digits and non-ASCII characters; a text of fewer than five words is one shingle. A null text or
-    one without words is a class of its own. An empty table gives an empty table. `docs` is read twice and must be
-    a stored table: rows are told apart by their place in it.
+    one without words is a class of its own. An empty table gives an empty table. `docs` is read twice;
+    rows are numbered in the first reading, and the second finds its texts by their keys, so tasks may be cut otherwise.
     """
-    tagged = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__uid"))
+    tagged = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__uid"), row_key().alias("__key"))
     own = stored(signed(tagged, shingle, bands, rows), "signatures")
     nodes = stored(own.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("__uid").alias("node"), F.max("size").alias("size")))
     places = own.select("__uid", "bands").join(nodes.select(F.col("node").alias("__uid"), "size"), "__uid").select(F.explode("bands").alias("band"), F.col("__uid").alias("node"), "size")
@@ -304,7 +312,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     star = stored(places.where((F.col("node") != F.col("centre")) & alike("size", "other", least)).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
 
     wanted = places.select(F.col("node").alias("__uid")).distinct()
-    bag = stored(bag_table(tagged.select("__uid", "text").join(wanted, "__uid"), shingle))
+    keys = own.join(wanted, "__uid").select("__uid", "__key")
+    texts_of = docs.select("text", row_key().alias("__key")).join(keys, "__key")
+    # rows that repeat both doc_id and text share a key: then each text comes once for every such row
+    repeated = not own.groupBy("__key").agg(F.count("*").alias("c")).where("c > 1").join(keys, "__key").isEmpty()
+    bag = stored(bag_table(texts_of.dropDuplicates(["__uid"]) if repeated else texts_of, shingle))
     labels = wanted.select(F.col("__uid").alias("node"), F.col("__uid").alias("label"))
     # one centre for each node first: it settles most classes
     labels = merged(labels, verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), bag, least))
@@ -319,9 +331,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     labels = merged(labels, verified(by_class(pairs, labels).select("a", "b"), bag, least))
 
     classes = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class"))
-    keyed = own.select("doc_id", "__uid", "digest").join(classes, "digest", "left").select("doc_id", "__uid", F.coalesce("class", "__uid").alias("class"))
+    keyed = own.select("doc_id", "__uid", "__key", "digest").join(classes, "digest", "left").select("doc_id", "__uid", "__key", F.coalesce("class", "__uid").alias("class"))
     heads = keyed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.isnull("doc_id").alias("n"), F.col("doc_id").alias("d"), F.col("__uid").alias("u")))["u"].alias("head"))
-    return keyed.join(heads, "class").select("doc_id", "class_id", (F.col("__uid") == F.col("head")).alias("first"), "__uid")
+    return keyed.join(heads, "class").select("doc_id", "class_id", (F.col("__uid") == F.col("head")).alias("first"), "__key")
 
 
 @llm_query

@@ -18,6 +18,7 @@ document's score. Only the bounded model is sent to the tasks; nothing is shuffl
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -31,6 +32,8 @@ from augurmill.llm.common import arrow_map, llm_query, remainder, table, texts,
 #: Bounds of the training sample: clean and toxic labelled documents, and windows of words from them.
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW_WORDS = (2_000, 1_000), 40_000, 32
 BLOCK = 256
+#: Bytes of text that are scored at once; a task's arrays are some hundred times as large.
+BATCH_BYTES = 1 << 20
 PREFIXES = (4, 5, 6, 7, 8)
 
 
@@ -122,7 +125,7 @@ def induce(windows: list[tuple], least: int = 5, ratio: float = 8.0, evidence: f
     total, met = [0, 0], set()
     for _, toxic, words in windows:
         for before, w in zip([b"", *words], words):
-            pair = hash((toxic, before, w))
+            pair = hashlib.blake2b(b"%d %b %b" % (toxic, before, w), digest_size=8).digest()  # the same in every process
             if pair not in met:
                 met.add(pair)
                 total[toxic] += 1
@@ -271,10 +274,11 @@ def toxicity(docs: DataFrame, field: Field, keep: list[str] | None = None, thres
     """
     kept = keep or ["doc_id"]
     model = docs.sparkSession.sparkContext.broadcast(field)
+    name = f"__k{kept.index('text')}" if "text" in kept else "text"
 
     def step(batches):
         for b in batches:
-            split = [words_of(x) for x in texts(b)]
+            split = [words_of(x) for x in texts(b, name)]
             lengths = np.array([len(x) for x in split])
             flat = [w for x in split for w in x]
             full = lengths > 0
@@ -302,8 +306,8 @@ def toxicity(docs: DataFrame, field: Field, keep: list[str] | None = None, thres
             yield pa.RecordBatch.from_arrays(columns, [*(f"__k{i}" for i in range(len(kept))), "score", "predicted", *["spans"] * spans])
 
     types = "".join(f"__k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(kept))
-    own = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(kept)], "text")
-    out = arrow_map(own, step, types + "score double, predicted int" + ", spans array<struct<start: int, end: int>>" * spans)
+    own = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(kept)], *["text"] * (name == "text"))
+    out = arrow_map(own, step, types + "score double, predicted int" + ", spans array<struct<start: int, end: int>>" * spans, BATCH_BYTES)
     return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(kept)], "score", "predicted", *["spans"] * spans)
 
 

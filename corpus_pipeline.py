@@ -6,11 +6,11 @@ the last return the columns of documents, whatever these are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augurmill.llm import decontam, neardup, packing, private, tokens, toxicity
-from augurmill.llm.common import BATCH_ROWS, scratch_path, table
+from augurmill.llm.common import BATCH_ROWS, scratch_path, stored, table
 from augurmill.session import prepare
 
 #: No SQL expresses a trained field, signatures or a vocabulary; the tests compare with brute force.
@@ -22,23 +22,33 @@ def ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def apart(docs: DataFrame, *more: Column) -> DataFrame:
+    """text, and all other columns in one, so that none clashes with what a stage adds."""
+    return docs.select(F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__row"), "text", *more)
+
+
+def together(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in columns])
+
+
 def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the trained field does not call toxic. Labels are those one may learn from."""
     ready(spark)
     field = toxicity.train(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
-    kept = docs.columns
-    # the text stands twice: once to be scored, once to be kept
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), "text")
-    out = toxicity.toxicity(own, field, keep=["__row"], spans=False)
-    return out.where("predicted = 0").select(*[F.col("__row")[c].alias(c) for c in kept])
+    out = toxicity.toxicity(apart(docs), field, keep=["__row", "text"], spans=False)
+    return together(out.where("predicted = 0"), docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, that of the least doc_id."""
     ready(spark)
-    gone = neardup.near_duplicates(docs).where(~F.col("first")).select("__uid")
-    tagged = docs.withColumn("__uid", F.monotonically_increasing_id())
-    return tagged.join(gone, "__uid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    classes = stored(neardup.near_duplicates(docs).select("__key", "first"), "classes")
+    keyed = apart(docs, neardup.row_key().alias("__key"))
+    kept = keyed.join(classes.where("first").select("__key"), "__key", "left_semi")
+    # rows that repeat doc_id and text share the key of the one that stays
+    if not classes.groupBy("__key").agg(F.count("*").alias("c"), F.max("first").alias("kept")).where("c > 1 and kept").isEmpty():
+        kept = kept.dropDuplicates(["__key"])
+    return together(kept, docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,22 @@ def test_stages_on_nulls_empties_and_extra_columns(spark, tmp_path, n):
         assert out.count() == (0 if name == "none" else 3 if n == 1 else 4)
     if n == 3:
         assert cp.STAGES[3][1](spark, spark.read.parquet(str(tmp_path / "some")), SF).where("text = 'see [EMAIL]'").count() == 2
+
+
+def test_one_of_each_does_not_depend_on_how_the_table_is_cut(spark, tmp_path):
+    """Both readings of a table may be cut into other tasks, as when executors come or go between them."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").repartition(7)
+    docs.write.parquet(str(tmp_path / "docs"))
+    results = []
+    for most in ("64k", "4m"):
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            read = spark.read.parquet(str(tmp_path / "docs"))
+            near = neardup.near_duplicates(read)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")  # for what is read from here on
+            results.append((sorted((r.doc_id, r.class_id) for r in near.select("doc_id", "class_id").collect()),
+                            sorted(r.doc_id for r in cp.keep_one_of_each(spark, read, SF).select("doc_id").collect())))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert results[0] == results[1] and 0 < len(results[0][1]) < 1000
