@@ -71,7 +71,7 @@ def grow(sample: np.ndarray, rows: int, fan: int = FAN, leaf_rows: int = LEAF_RO
         return ~(len(tree.leaf_points) - 1)
 
     def node(x: np.ndarray) -> int:
-        at, points = len(tree.points), spread_out(x, fan)
+        at, points = len(tree.points), spread_out(x, max(2, min(fan, -(-len(x) // cell))))
         tree.points.append(points)
         tree.children.append([])
         nearest = squared(x, points).argmin(1)
@@ -202,7 +202,7 @@ class Index:
             tree.norms.append(x[2 * k * k:].reshape(2, k))
 
     def _planned(self, queries: DataFrame, seeds: bool) -> DataFrame:
-        """Visits of queries (anchor, slot, label, vec, low, high) to leaves: the first ones, or all others that their windows leave."""
+        """Queries (anchor, slot, label, vec, low, high) with the leaves that they visit: the first ones, or all others that their windows leave."""
         known = queries.sparkSession.sparkContext.broadcast(self.tree)  # bounded by the sample
         size, leaves = self.size, self.leaves
 
@@ -222,20 +222,22 @@ class Index:
                 if not seeds:
                     some = meets(tree, q, low, high, leaves) & ~some
                 at, leaf = np.nonzero(some)
-                chosen = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype("i4")), *[chosen.column(c) for c in ("anchor", "slot", "label", "vec", "low", "high")]], ["leaf", "anchor", "slot", "label", "vec", "low", "high"])
+                ends = np.append(0, np.cumsum(some.sum(1))).astype("i4")
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(leaf.astype("i4")))
+                yield pa.RecordBatch.from_arrays([lists, *[b.column(c) for c in ("anchor", "slot", "label", "vec", "low", "high")]], ["leaves", "anchor", "slot", "label", "vec", "low", "high"])
 
-        return stored(arrow_map(queries.select("anchor", "slot", "label", "vec", "low", "high"), step, "leaf int, anchor long, slot int, label long, vec binary, low long, high long"), "visits")
+        return stored(arrow_map(queries.select("anchor", "slot", "label", "vec", "low", "high"), step, "leaves array<int>, anchor long, slot int, label long, vec binary, low long, high long"), "visits")
 
     def _visited(self, visits: DataFrame, k: int, same: bool) -> DataFrame:
         """Each block's best `k` rows for each query that visits it: anchor, slot, id, score."""
         size, exact = self.size, self.exact
-        chunks = visits.groupBy("leaf").agg((1 + F.floor(F.count("*") / CHUNK_QUERIES)).alias("chunks")).join(self.blocks, "leaf")
+        # one row for each leaf: no more than the sample has rows
+        chunks = F.broadcast(visits.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg((1 + F.floor(F.count("*") / CHUNK_QUERIES)).alias("chunks")).join(F.broadcast(self.blocks), "leaf"))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         null = lambda kind: F.lit(None).cast(kind)
         rows = (self.placed.join(chunks, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("chunk", every("chunks"))
                 .select("leaf", "block", "chunk", F.lit(0).alias("kind"), "id", null("int").alias("slot"), "label", "vec", null("long").alias("low"), null("long").alias("high")))
-        callers = (visits.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("anchor", "slot"), "chunks")).withColumn("block", every("blocks"))
+        callers = (visits.withColumn("leaf", F.explode("leaves")).join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("anchor", "slot"), "chunks")).withColumn("block", every("blocks"))
                    .select("leaf", "block", "chunk", F.lit(1).alias("kind"), F.col("anchor").alias("id"), "slot", "label", "vec", "low", "high"))
 
         def answers(block, callers):
