@@ -43,8 +43,15 @@ SELECT concat('s', user_id) AS condition_id, EPOCH(ts) AS ts_s, R(least(98e-2, 2
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY EPOCH(ts) DESC, event_id DESC) = 1
 
 -- name: stream_coverage
-WITH b AS (SELECT EPOCH(ts) - EPOCH(ts) % 900 AS bucket_s, count(*) AS n FROM events GROUP BY 1)
-SELECT bucket_s, n FROM b WHERE bucket_s + 900 <= (SELECT max(EPOCH(ts)) - 3600 FROM events)
+WITH q AS (SELECT event_id % 3 AS batch, EPOCH(ts) AS ts_s, EPOCH(ts) - EPOCH(ts) % 900 AS bucket_s,
+    CASE WHEN c_custkey IS NULL THEN 'unknown' WHEN c_acctbal >= 5000 THEN 'liquid' WHEN c_acctbal >= 0 THEN 'tail' ELSE 'ignored' END AS tier
+  FROM events LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 9 <> 0) ON c_custkey = user_id),
+b AS (SELECT batch, max(ts_s) AS newest_s FROM q GROUP BY 1)
+SELECT tier, bucket_s, count(*) AS n,
+    I(count_if(coalesce(bucket_s + 900 <= (SELECT max(newest_s) - 3600 FROM b WHERE b.batch < q.batch), false))) AS late,
+    bucket_s <= (SELECT max(newest_s) - 3600 - 900 FROM b) AS closed
+FROM q GROUP BY tier, bucket_s
 
 -- name: stream_resolutions
-SELECT model_id, category, forecast_id, R(cum) AS cum_log_wealth, n AS n_forecasts FROM fx_wealth
+SELECT model_id, cat AS category, forecast_id, R(sum(delta) OVER w) AS cum_log_wealth, row_number() OVER w AS n_forecasts FROM fx_delta
+WINDOW w AS (PARTITION BY model_id, cat ORDER BY cast(substr(condition_id, 2) AS bigint) % 3, entry_s, ts_s, forecast_id ROWS UNBOUNDED PRECEDING)

@@ -96,48 +96,69 @@ def payout_etl(spark, sf):
     return landing.payout_etl(landed_outcomes(spark, sf))
 
 
-def streamed(spark, sf, name):
-    """The given table as a file stream: the bracket makes the path a pattern, which the source accepts for one file."""
-    schema = fx.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/[{name[0]}]{name[1:]}.parquet")
+def in_batches(spark, sf, name, part, start):
+    """The given table in three batches, rows with `part` 0 first: a part's files land, the stream runs until it has read
+    them, and the next run goes on from its checkpoint. `start` starts the stream on the landed files."""
+    whole, path = fx.table(spark, sf, name), scratch_path(spark, f"landed-{name}")
+    for k in range(3):
+        whole.where(part == k).write.mode("append").parquet(path)
+        start(spark.readStream.schema(whole.schema).parquet(path)).awaitTermination()
 
 
-def streamed_quotes(spark, sf):
-    e = streamed(spark, sf, "events")
+def quotes_of(e):
     return e.select(F.col("event_id").alias("quote_id"), F.concat(F.lit("s"), "user_id").alias("condition_id"), fx.epoch("ts").alias("ts_s"),
                     F.least(F.lit(98e-2), 2e-2 + 96e-2 * (F.col("value") / 500e0)).alias("mid"))
 
 
+def third(spark, sf):
+    """Events by thirds of their ids."""
+    top = fx.table(spark, sf, "events").agg(F.max("event_id")).first()[0] or 0
+    return F.floor(F.col("event_id") * 3 / (top + 1))
+
+
 @query
 def stream_snapshots(spark, sf):
-    path = scratch_path(spark, "stream-archive")
-    jobs.stream_snapshots(streamed_quotes(spark, sf), 5, path, scratch_path(spark, "checkpoint")).awaitTermination()
+    path, checkpoint = scratch_path(spark, "stream-archive"), scratch_path(spark, "checkpoint")
+    in_batches(spark, sf, "events", third(spark, sf), lambda e: jobs.stream_snapshots(quotes_of(e), 5, path, checkpoint))
     return archive.snapshot_read(spark, path, columns=["quote_id", "condition_id", "ts_s", "mid"]).withColumn(
         "quote_id", F.col("quote_id").cast("long"))
 
 
 @query
 def stream_latest(spark, sf):
-    path = scratch_path(spark, "stream-latest")
-    jobs.stream_latest(streamed_quotes(spark, sf), path, scratch_path(spark, "checkpoint")).awaitTermination()
-    return jobs.Versioned(spark, path).read().select("condition_id", "ts_s", "mid")
+    path, checkpoint = scratch_path(spark, "stream-latest"), scratch_path(spark, "checkpoint")
+    padded = lambda e: quotes_of(e).withColumn("quote_id", F.lpad(F.col("quote_id").cast("string"), 20, "0"))
+    in_batches(spark, sf, "events", F.col("event_id") % 3, lambda e: jobs.stream_latest(padded(e), path, checkpoint, 16))
+    return jobs.latest(spark, path, 16).read().select("condition_id", "ts_s", "mid")
+
+
+def quoted_markets(spark, sf):
+    """Tiers of the markets that events quote; some markets have none."""
+    c = fx.table(spark, sf, "customer")
+    tier = F.when(F.col("c_acctbal") >= 5000, "liquid").when(F.col("c_acctbal") >= 0, "tail").otherwise("ignored")
+    return c.where("c_custkey % 9 <> 0").select(F.concat(F.lit("s"), "c_custkey").alias("condition_id"), tier.alias("tier"))
 
 
 @query
 def stream_coverage(spark, sf):
-    path = scratch_path(spark, "stream-coverage")
-    jobs.stream_coverage(streamed_quotes(spark, sf), 15, "1 hour", path, scratch_path(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(path).select("bucket_s", "n")
+    path, checkpoint = scratch_path(spark, "stream-coverage"), scratch_path(spark, "checkpoint")
+    in_batches(spark, sf, "events", F.col("event_id") % 3,
+               lambda e: jobs.stream_coverage(quotes_of(e), quoted_markets(spark, sf), 15, 3600, path, checkpoint))
+    return jobs.coverage(spark, path, 15, 3600)
 
 
 @query
 def stream_resolutions(spark, sf):
-    o = streamed(spark, sf, "orders").where("o_orderstatus <> 'P'")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    outcomes = o.select(
-        F.concat(F.lit("m"), k).alias("condition_id"), (fx.epoch("o_orderdate") + X.DAY * (k % 200 + k % 15 - 5)).alias("resolved_s"),
-        F.when((c * 7 + k) % 10 < 4, 1.0).otherwise(0.0).alias("payout_yes"), F.when(k % 37 == 0, 1).otherwise(0).alias("disputed"),
-        F.lit(None).cast("long").alias("venue_resolved_s"))
-    table, wealth, state = (scratch_path(spark, f"stream-{n}") for n in ("outcomes", "wealth", "state"))
-    jobs.stream_resolutions(outcomes, fx.forecasts(spark, sf), fx.AS_OF, table, wealth, state, scratch_path(spark, "checkpoint")).awaitTermination()
+    table, wealth, state, checkpoint = (scratch_path(spark, f"stream-{n}") for n in ("outcomes", "wealth", "state", "checkpoint"))
+    forecasts = fx.forecasts(spark, sf)
+
+    def start(orders):
+        outcomes = orders.where("o_orderstatus <> 'P'").select(
+            F.concat(F.lit("m"), k).alias("condition_id"), (fx.epoch("o_orderdate") + X.DAY * (k % 200 + k % 15 - 5)).alias("resolved_s"),
+            F.when((c * 7 + k) % 10 < 4, 1.0).otherwise(0.0).alias("payout_yes"), F.when(k % 37 == 0, 1).otherwise(0).alias("disputed"),
+            F.lit(None).cast("long").alias("venue_resolved_s"))
+        return jobs.stream_resolutions(outcomes, forecasts, fx.AS_OF, table, wealth, state, checkpoint, 16)
+
+    in_batches(spark, sf, "orders", k % 3, start)
     return jobs.wealth_rows(spark, wealth).select("model_id", "category", "forecast_id", "cum_log_wealth", "n_forecasts")

@@ -18,3 +18,7 @@ RESOLUTIONS = ("condition_id string, resolved_s bigint, payout_yes double, dispu
 
 WEALTH = ("model_id string, category string, condition_id string, event_id string, forecast_id string, entry_s bigint, ts_s bigint, "
           "kelly double, log_wealth_delta double, cum_log_wealth double, n_forecasts bigint")
+
+EXPERTS = "model_id string, category string, cum_log_wealth double, n_forecasts bigint"
+
+COVERAGE = "tier string, bucket_s bigint, n bigint, late bigint, newest_s bigint"

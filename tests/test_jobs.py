@@ -391,11 +391,33 @@ def quotes(spark):
 
 def test_latest_stream_over_batches_equals_batch(spark, tmp_path):
     q = quotes(spark)
-    jobs.stream_latest(files(spark, q, str(tmp_path / "in"), 3), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = {tuple(r) for r in jobs.Versioned(spark, str(tmp_path / "out")).read().select("condition_id", "ts_s", "mid").collect()}
+    jobs.stream_latest(files(spark, q, str(tmp_path / "in"), 3), str(tmp_path / "out"), str(tmp_path / "ck"), 4).awaitTermination()
+    got = {tuple(r) for r in jobs.latest(spark, str(tmp_path / "out"), 4).read().select("condition_id", "ts_s", "mid").collect()}
     assert got == {tuple(r) for r in universe.latest_quote(q).select("condition_id", "ts_s", "mid").collect()}
 
 
+def test_a_batch_touches_its_own_buckets_only_and_may_be_replayed(spark, tmp_path):
+    table = jobs.latest(spark, str(tmp_path / "t"), 8)
+    row = lambda i, ts, mid: (f"m{i}", ts, f"{ts:03d}", mid)
+    frame = lambda *rows: spark.createDataFrame(list(rows), jobs.LATEST)
+    merge = lambda new, old: jobs.newest(new.unionByName(old))
+    table.upsert(0, frame(*[row(i, 5, 0.5) for i in range(40)]), merge)
+    stamps = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("bucket=*/*.parquet")}
+    before, late = stamps(), frame(row(3, 9, 0.9), row(4, 1, 0.1))
+    own = {f"bucket={k}" for k in table.touched(late)}
+    table.upsert(1, late, merge)
+    assert {f for f in before if not any(f"/{k}/" in f for k in own)} == {f for f in stamps() if before.get(f) == stamps()[f]}
+    want = sorted([row(i, 5, 0.5) for i in range(40) if i != 3] + [row(3, 9, 0.9)])
+    read = lambda: sorted(tuple(r) for r in table.read().collect())
+    assert read() == want
+    table.upsert(1, late, merge)  # the same batch again
+    assert read() == want
+    for f in (tmp_path / "t" / sorted(own)[0]).glob("*"):  # it broke off amid the replacement
+        f.unlink()
+    table.upsert(1, late, merge)
+    assert read() == want
+
+
 def test_snapshot_stream_holds_one_quote_per_bucket(spark, tmp_path):
     q = quotes(spark)
     jobs.stream_snapshots(files(spark, q, str(tmp_path / "in"), 3), 5, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
@@ -404,6 +426,32 @@ def test_snapshot_stream_holds_one_quote_per_bucket(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def test_snapshot_state_expires_and_the_first_write_still_stands(spark, tmp_path):
+    """The fourth batch repeats the first long after its state is gone; a late quote of an empty bucket still comes in."""
+    batches = [[("a", "x", 100, 1.0)], [("b", "x", 5000, 2.0)], [("c", "y", 90_000, 3.0)], [("d", "x", 110, 4.0), ("e", "z", 7, 5.0), ("f", "x", 4990, 6.0)]]
+    for rows in batches:
+        spark.createDataFrame(rows, QUOTE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(spark.createDataFrame([], QUOTE).schema).parquet(str(tmp_path / "in"))
+        run = jobs.stream_snapshots(stream, 5, str(tmp_path / "out"), str(tmp_path / "ck"), "0 seconds")
+        run.awaitTermination()
+    kept = [p["stateOperators"][0] for p in run.recentProgress if p["stateOperators"]]
+    assert kept[-1]["numRowsTotal"] < 5 and sum(k["numRowsRemoved"] for k in kept) > 0
+    got = sorted(tuple(r) for r in archive.snapshot_read(spark, str(tmp_path / "out")).select("quote_id", "condition_id", "ts_s").collect())
+    assert got == [("a", "x", 0), ("b", "x", 4800), ("c", "y", 90_000), ("e", "z", 0)]
+
+
+def test_coverage_stream_counts_late_and_open_buckets_by_tier(spark, tmp_path):
+    markets = spark.createDataFrame([("x", "liquid"), ("y", "tail")], "condition_id string, tier string")
+    batches = [[("a", "x", 10, 0.1), ("b", "y", 20, 0.1), ("c", "x", 4000, 0.1)], [("d", "x", 30, 0.1), ("e", "q", 3990, 0.1)], [("f", "y", 9000, 0.1)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, QUOTE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(spark.createDataFrame([], QUOTE).schema).parquet(str(tmp_path / "in"))
+        jobs.stream_coverage(stream, markets, 15, 3000, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {(r.tier, r.bucket_s): (r.n, r.late, r.closed) for r in jobs.coverage(spark, str(tmp_path / "out"), 15, 3000).collect()}
+    assert got == {("liquid", 0): (2, 1, True), ("tail", 0): (1, 0, True), ("liquid", 3600): (1, 0, True), ("unknown", 3600): (1, 0, True), ("tail", 9000): (1, 0, False)}
+    assert jobs.coverage(spark, str(tmp_path / "none"), 15, 3000).count() == 0
+
+
 def test_resolution_stream_over_batches(spark, tmp_path):
     rows = scored(spark, 90).withColumn("category", F.lit("w")).withColumn("end_s", F.lit(0).cast("long"))
     r = rows.select("condition_id", (F.col("entry_s") + 700_000).alias("resolved_s"), "payout_yes", F.lit(0).alias("disputed"),
@@ -416,3 +464,21 @@ def test_resolution_stream_over_batches(spark, tmp_path):
     assert sorted(x["n_forecasts"] for x in got) == list(range(1, 91))
     total = accounting.kelly_delta(rows).agg(F.sum("log_wealth_delta")).first()[0]
     assert max(got, key=lambda x: x["n_forecasts"])["cum_log_wealth"] == pytest.approx(total, abs=1e-9)
+
+
+def test_a_replayed_resolution_batch_adds_nothing(spark, tmp_path):
+    """The commit of the last batch is lost: it runs again over its own outcomes, wealth and state."""
+    rows = scored(spark, 60).withColumn("category", F.lit("w")).withColumn("end_s", F.lit(0).cast("long"))
+    r = rows.select("condition_id", (F.col("entry_s") + 700_000).alias("resolved_s"), "payout_yes", F.lit(0).alias("disputed"),
+                    F.lit(None).cast("long").alias("venue_resolved_s"))
+    f = rows.drop("payout_yes", "entry_s").withColumn("ts_s", F.lit(1).cast("long"))
+    known, wealth, state, ck = (str(tmp_path / n) for n in ("known", "wealth", "state", "ck"))
+    stream = files(spark, r, str(tmp_path / "in"), 3)
+    run = lambda: jobs.stream_resolutions(stream, f, 10_000_000, known, wealth, state, ck, 4).awaitTermination()
+    run()
+    read = lambda: (sorted(map(str, jobs.wealth_rows(spark, wealth).drop("batch").collect())), sorted(map(str, spark.read.parquet(state).collect())))
+    before = read()
+    for name in ("2", ".2.crc"):
+        (tmp_path / "ck" / "commits" / name).unlink()
+    run()
+    assert read() == before
