@@ -164,50 +164,30 @@ def calibration_bins(rows: DataFrame, by: list[str], k: int = 10) -> DataFrame:
 
 # ---------------------------------------------------------------- resampling
 
-MAX_EXACT_DRAWS = 50_000_000
-
-
-def _cell_text(by: list[str]) -> Column:
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
-
-
-def _split_by_size(clusters: DataFrame, by: list[str], replicates: int, max_draws: int):
-    """Cells whose draws fit the exact form, and the clusters of the others."""
-    sizes = clusters.groupBy(*by).agg(F.count(F.lit(1)).alias("n_clusters"))
-    sized = clusters.join(sizes, by)
-    exact = F.col("n_clusters") * replicates <= max_draws
-    return sized.where(exact).drop("n_clusters"), sized.where(~exact).drop("n_clusters")
-
-
-REP_BLOCKS = 16
+# Poisson(1) cumulative probabilities 0..11; the prime modulus of the replicates' number sequence and its step.
+POISSON_CDF = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12))
+MODULUS, STEP = 2147483647, 1140671485
 
 
-def _drawn(clusters: DataFrame, by: list[str], values: list[str], replicates: int, seed: int) -> DataFrame:
-    """(cell, rep, values) of every drawn cluster: C draws with replacement per replicate, by hash.
+def _weights(clusters: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
+    """Each cluster with the replicates that draw it, and how often: `rep`, `w` (above 0), Poisson with mean 1.
 
-    A cell's clusters (at most max_draws / replicates of them) are packed into
-    one array ordered by id. Blocks of replicates then expand beside it and look
-    their draws up in place, so draws are never shuffled or joined, and one
-    cell's replicates still spread over many tasks.
+    One hash per cluster starts its sequence: two numbers h and g below a prime. Replicate r takes
+    the fifth power of h + r * STEP, which permutes the numbers below that prime, and adds g. So a cell of any
+    size is drawn in one way, rows never meet, and sums are formed before anything is shuffled.
     """
-    packed = clusters.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cluster_id", *values))).alias("c"))
-    blocks = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(REP_BLOCKS - 1))))
-    conf = blocks.sparkSession.conf
-    parts = max(int(conf.get("spark.sql.shuffle.partitions")), 2 * blocks.sparkSession.sparkContext.defaultParallelism)
-    text = F.concat_ws("|", F.lit(str(seed)), _cell_text(by), F.col("rep"), F.col("slot"))
-    pick = F.col("c")[(X.hash_int(text) % F.size("c")).cast("int")]
-    return (blocks.repartition(parts, *by, "block")
-            .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).where(F.col("rep") % REP_BLOCKS == F.col("block"))
-            .withColumn("slot", F.explode(F.sequence(F.lit(1), F.size("c"))))
-            .select(*by, "rep", pick.alias("v")))
-
-
-# Poisson(1) cumulative probabilities 0..11.
-POISSON_CDF = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12))
-
-
-def _poisson_weight(u: Column) -> Column:
-    return step_index(u, POISSON_CDF)
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by], F.col("cluster_id"))
+    part = lambda at: F.conv(F.substring("__digest", at, 8), 16, 10).cast("long") % MODULUS
+    # few rows become many here: a count of partitions that was asked for is not merged again
+    conf, context = clusters.sparkSession.conf, clusters.sparkSession.sparkContext
+    spread = clusters.repartition(max(int(conf.get("spark.sql.shuffle.partitions")), 2 * context.defaultParallelism), *by, "cluster_id")
+    start = spread.withColumn("__digest", F.sha2(text, 256)).withColumns({"__h": part(1), "__g": part(9)}).drop("__digest")
+    drawn = start.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("__x", (F.col("__h") + F.col("rep").cast("long") * STEP) % MODULUS)
+    square = drawn.withColumn("__y", F.col("__x") * F.col("__x") % MODULUS)
+    fifth = F.col("__y") * F.col("__y") % MODULUS * F.col("__x") % MODULUS
+    # through a generator, so that the number is made once and not in every branch of the search
+    share = square.withColumn("__u", F.explode(F.array((fifth + F.col("__g")) % MODULUS / F.lit(float(MODULUS)))))
+    return share.withColumn("w", step_index(F.col("__u"), POISSON_CDF)).where("w > 0").drop("__h", "__g", "__x", "__y", "__u")
 
 
 def _interval(means: DataFrame, by: list[str], alpha: float, value: str = "m") -> DataFrame:
@@ -217,22 +197,11 @@ def _interval(means: DataFrame, by: list[str], alpha: float, value: str = "m") -
         F.expr(f"percentile({value}, {1 - alpha / 2}D)").alias("ci_hi"))
 
 
-def resample(clusters: DataFrame, by: list[str], replicates: int, seed: int = 0,
-             alpha: float = 0.05, max_draws: int = MAX_EXACT_DRAWS) -> DataFrame:
-    """Interval of sum(s)/sum(n) over resampled clusters; `clusters` is (by, cluster_id, n, s).
-
-    Cells too large for exact draws take Poisson weights.
-    """
-    small, large = _split_by_size(clusters, by, replicates, max_draws)
-    exact = _drawn(small, by, ["n", "s"], replicates, seed).groupBy(*by, "rep").agg((F.sum("v.s") / F.sum("v.n")).alias("m"))
-    return _interval(exact.unionByName(_poisson_means(large, by, replicates, seed)), by, alpha)
-
-
-def _poisson_means(clusters: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
-    key = F.concat_ws("|", F.lit(str(seed)), _cell_text(by), F.col("cluster_id"), F.col("rep"))
-    return (clusters.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-            .withColumn("w", _poisson_weight(X.hash_uniform(key)))
-            .groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m")))
+def resample(clusters: DataFrame, by: list[str], replicates: int, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """Interval of sum(s)/sum(n) over resampled clusters; `clusters` is (by, cluster_id, n, s). A replicate that draws
+    no cluster of a cell counts for nothing there."""
+    sums = _weights(clusters.select(*by, "cluster_id", "n", "s"), by, replicates, seed).groupBy(*by, "rep")
+    return _interval(sums.agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m")), by, alpha)
 
 
 def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -240,30 +209,23 @@ def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(X.skill(P, Q, Y)).alias("s"))
 
 
-def bootstrap_ci(rows: DataFrame, by: list[str], replicates: int = 2000, seed: int = 0,
-                 max_draws: int = MAX_EXACT_DRAWS) -> DataFrame:
-    return resample(_moments(rows, by), by, replicates, seed, max_draws=max_draws)
+def bootstrap_ci(rows: DataFrame, by: list[str], replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """Cluster bootstrap of the mean skill."""
+    return resample(_moments(rows, by), by, replicates, seed)
 
 
 def bootstrap_ci_poisson(rows: DataFrame, by: list[str], replicates: int = 2000, seed: int = 0) -> DataFrame:
-    return _interval(_poisson_means(_moments(rows, by), by, replicates, seed), by, 0.05)
+    """As `bootstrap_ci`, which draws in this way at every size."""
+    return bootstrap_ci(rows, by, replicates, seed)
 
 
-def stratified_ci(rows: DataFrame, by: list[str], replicates: int = 2000, seed: int = 0,
-                  max_draws: int = MAX_EXACT_DRAWS) -> DataFrame:
-    """Cluster bootstrap of the whole stratified estimator, on moments only."""
+def stratified_ci(rows: DataFrame, by: list[str], replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """Cluster bootstrap of the whole stratified estimator, on moments only: a cluster's strata are drawn together."""
     d = X.skill(P, Q, Y)
     moments = rows.groupBy(*by, "cluster_id", step_index(F.col(Q), STRATA).alias("stratum")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("q"))
-    packed = moments.groupBy(*by, "cluster_id").agg(F.collect_list(F.struct("stratum", "n", "s", "q")).alias("strata"))
-    small, large = _split_by_size(packed, by, replicates, max_draws)
-    key = F.concat_ws("|", F.lit(str(seed)), _cell_text(by), F.col("cluster_id"), F.col("rep"))
-    drawn = _drawn(small, by, ["strata"], replicates, seed).select(*by, "rep", F.lit(1).alias("w"), F.inline("v.strata"))
-    weighted = (large.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-                .withColumn("w", _poisson_weight(X.hash_uniform(key))).where("w > 0")
-                .select(*by, "rep", "w", F.inline("strata")))
     w = F.col("w")
-    strata = (drawn.unionByName(weighted).groupBy(*by, "rep", "stratum")
+    strata = (_weights(moments, by, replicates, seed).groupBy(*by, "rep", "stratum")
               .agg(F.sum(w * F.col("n")).alias("n"), F.sum(w * F.col("s")).alias("s"), F.sum(w * F.col("q")).alias("q"))
               .withColumn("mean", F.col("s") / F.col("n"))
               .withColumn("var", F.when(F.col("n") > 1, (F.col("q") - F.col("s") * F.col("mean")) / (F.col("n") - 1))))

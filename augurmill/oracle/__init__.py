@@ -6,6 +6,7 @@ queries that mention them. A few short macros keep the texts readable.
 
 from __future__ import annotations
 
+import math
 import re
 from pathlib import Path
 
@@ -17,6 +18,11 @@ MACROS = {
     "SIGMOID": "(1e0 / (1e0 + exp(-({0}))))",
     "HASH": "cast(concat('0x', substr(sha256({0}), 1, 8)) as bigint)",
     "DAYNUM": "cast(floor(({0}) / 86400e0) as bigint)",
+    "H": "(cast(concat('0x', substr({0}, 1, 8)) as bigint) % 2147483647)",
+    "G": "(cast(concat('0x', substr({0}, 9, 8)) as bigint) % 2147483647)",
+    "FIFTH": "((({0}) * ({0}) % 2147483647) * (({0}) * ({0}) % 2147483647) % 2147483647 * ({0}) % 2147483647)",
+    # how many of the Poisson(1) cumulative probabilities 0..11 are not above a number
+    "POISSON": " + ".join("cast({0} >= %r as integer)" % sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)),
     "I": "cast({0} as bigint)",
 }
 

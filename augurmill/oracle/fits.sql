@@ -84,13 +84,13 @@ SELECT condition_id, category, model_id, R(p_yes) AS p_yes, n_members, outcome,
 SELECT model_key, row_id, version, R(p) AS p FROM fx_replayed
 
 -- name: gate
-WITH c AS (SELECT model_key, cluster_id, avg(diff) AS m, count(*) AS n, sum(diff) AS s,
-    row_number() OVER (PARTITION BY model_key ORDER BY cluster_id) AS rnk, count(*) OVER (PARTITION BY model_key) AS k
-  FROM fx_gate_rows GROUP BY model_key, cluster_id),
-draws AS (SELECT x.model_key, b AS rep, HASH(concat_ws('|', '0', x.model_key, b, j)) % x.k + 1 AS rnk
-  FROM (SELECT DISTINCT model_key, k FROM c) x, range(1, 101) r(b), range(1, 1000000) q(j) WHERE j <= x.k),
+WITH c AS (SELECT model_key, cluster_id, avg(diff) AS m, count(*) AS n, sum(diff) AS s FROM fx_gate_rows GROUP BY ALL),
+d1 AS (SELECT model_key, n, s, sha256(concat_ws('|', '0', model_key, cluster_id)) AS t FROM c),
+d2 AS (SELECT model_key, n, s, b AS rep, (H(t) + b * 1140671485) % 2147483647 AS x, G(t) AS g FROM d1, range(1, 2001) r(b)),
+d3 AS (SELECT model_key, n, s, rep, (FIFTH(x) + g) % 2147483647 / 2147483647e0 AS u FROM d2),
+drawn AS (SELECT * FROM (SELECT model_key, n, s, rep, POISSON(u) AS w FROM d3) WHERE w > 0),
 ci AS (SELECT model_key, quantile_cont(m, 25e-3) AS lo, quantile_cont(m, 975e-3) AS hi FROM (
-  SELECT d.model_key, d.rep, sum(c.s) / sum(c.n) AS m FROM draws d JOIN c ON c.model_key = d.model_key AND c.rnk = d.rnk GROUP BY ALL) GROUP BY ALL),
+  SELECT model_key, rep, sum(w * s) / sum(w * n) AS m FROM drawn GROUP BY ALL) GROUP BY ALL),
 z AS (SELECT model_key, count(*) AS nc, sum(s) / sum(n) AS skill, avg(m) AS mu, coalesce(var_samp(m), 0e0) AS v FROM c GROUP BY ALL),
 h AS (SELECT *, sqrt((nc * v + 0.12177348869865692e0 * nc) * ln((nc * v + 0.12177348869865692e0 * nc) / (25e-4 * 0.12177348869865692e0 * nc))) / nc AS half FROM z)
 SELECT h.model_key, nc AS n_clusters, R(skill) AS skill, R(mu - half) AS cs_lo, R(mu + half) AS cs_hi, R(lo) AS ci_lo, R(hi) AS ci_hi,
@@ -100,16 +100,17 @@ FROM h JOIN ci ON ci.model_key = h.model_key
 
 -- name: rollback_check
 WITH last AS (SELECT * FROM fx_gate_rows WHERE model_key = 'm1_curves' ORDER BY entry_s DESC, row_id DESC LIMIT 50),
-c AS (SELECT model_key, cluster_id, avg(diff) AS m, count(*) AS n, sum(diff) AS s, row_number() OVER (ORDER BY cluster_id) AS rnk, count(*) OVER () AS k
-  FROM last GROUP BY model_key, cluster_id),
-draws AS (SELECT b AS rep, HASH(concat_ws('|', '0', 'm1_curves', b, j)) % x.k + 1 AS rnk
-  FROM (SELECT DISTINCT k FROM c) x, range(1, 101) r(b), range(1, 100) q(j) WHERE j <= x.k),
-ci AS (SELECT quantile_cont(m, 25e-3) AS lo, quantile_cont(m, 975e-3) AS hi FROM (
-  SELECT d.rep, sum(c.s) / sum(c.n) AS m FROM draws d JOIN c ON c.rnk = d.rnk GROUP BY ALL)),
-z AS (SELECT count(*) AS nc, sum(s) / sum(n) AS skill, avg(m) AS mu, coalesce(var_samp(m), 0e0) AS v FROM c),
+c AS (SELECT model_key, cluster_id, avg(diff) AS m, count(*) AS n, sum(diff) AS s FROM last GROUP BY ALL),
+d1 AS (SELECT model_key, n, s, sha256(concat_ws('|', '0', model_key, cluster_id)) AS t FROM c),
+d2 AS (SELECT model_key, n, s, b AS rep, (H(t) + b * 1140671485) % 2147483647 AS x, G(t) AS g FROM d1, range(1, 2001) r(b)),
+d3 AS (SELECT model_key, n, s, rep, (FIFTH(x) + g) % 2147483647 / 2147483647e0 AS u FROM d2),
+drawn AS (SELECT * FROM (SELECT model_key, n, s, rep, POISSON(u) AS w FROM d3) WHERE w > 0),
+ci AS (SELECT model_key, quantile_cont(m, 25e-3) AS lo, quantile_cont(m, 975e-3) AS hi FROM (
+  SELECT model_key, rep, sum(w * s) / sum(w * n) AS m FROM drawn GROUP BY ALL) GROUP BY ALL),
+z AS (SELECT model_key, count(*) AS nc, sum(s) / sum(n) AS skill, avg(m) AS mu, coalesce(var_samp(m), 0e0) AS v FROM c GROUP BY ALL),
 h AS (SELECT *, sqrt((nc * v + 0.12177348869865692e0 * nc) * ln((nc * v + 0.12177348869865692e0 * nc) / (25e-4 * 0.12177348869865692e0 * nc))) / nc AS half FROM z)
-SELECT 'm1_curves' AS model_key, nc AS n_clusters, R(skill) AS skill, R(mu - half) AS cs_lo, R(mu + half) AS cs_hi, R(lo) AS ci_lo, R(hi) AS ci_hi,
-  CASE WHEN nc >= 2 AND mu - half > 0 THEN 1 ELSE 0 END AS degraded FROM h, ci
+SELECT h.model_key, nc AS n_clusters, R(skill) AS skill, R(mu - half) AS cs_lo, R(mu + half) AS cs_hi, R(lo) AS ci_lo, R(hi) AS ci_hi,
+  CASE WHEN nc >= 2 AND mu - half > 0 THEN 1 ELSE 0 END AS degraded FROM h JOIN ci ON ci.model_key = h.model_key
 
 -- name: fit_recalibration
 WITH RECURSIVE th AS (

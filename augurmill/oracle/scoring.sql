@@ -75,26 +75,22 @@ JOIN (SELECT model_id, venue, stddev_samp(d) AS sd FROM (
   ON s.model_id = t.model_id AND s.venue = t.venue
 
 -- name: bootstrap_ci
-WITH clusters AS (
-  SELECT model_id, venue, cluster_id, count(*) AS n, sum(diff) AS s,
-    row_number() OVER (PARTITION BY model_id, venue ORDER BY cluster_id) AS rnk,
-    count(*) OVER (PARTITION BY model_id, venue) AS c FROM fx_scored GROUP BY model_id, venue, cluster_id),
-draws AS (
-  SELECT x.model_id, x.venue, b AS rep,
-    HASH(concat_ws('|', '7', x.model_id, x.venue, b, j)) % x.c + 1 AS rnk
-  FROM (SELECT DISTINCT model_id, venue, c FROM clusters) x, range(1, 101) r(b), range(1, 100000) q(j) WHERE j <= x.c)
-SELECT model_id, venue, R(quantile_cont(m, 25e-3)) AS ci_lo, R(quantile_cont(m, 975e-3)) AS ci_hi FROM (
-  SELECT d.model_id, d.venue, d.rep, sum(s) / sum(n) AS m FROM draws d
-  JOIN clusters k ON k.model_id = d.model_id AND k.venue = d.venue AND k.rnk = d.rnk GROUP BY ALL) GROUP BY ALL
+WITH clusters AS (SELECT model_id, venue, cluster_id, count(*) AS n, sum(diff) AS s FROM fx_scored GROUP BY ALL),
+d1 AS (SELECT model_id, venue, n, s, sha256(concat_ws('|', '7', model_id, venue, cluster_id)) AS t FROM clusters),
+d2 AS (SELECT model_id, venue, n, s, b AS rep, (H(t) + b * 1140671485) % 2147483647 AS x, G(t) AS g FROM d1, range(1, 2001) r(b)),
+d3 AS (SELECT model_id, venue, n, s, rep, (FIFTH(x) + g) % 2147483647 / 2147483647e0 AS u FROM d2),
+drawn AS (SELECT * FROM (SELECT model_id, venue, n, s, rep, POISSON(u) AS w FROM d3) WHERE w > 0)
+SELECT model_id, venue, R(quantile_cont(m, 25e-3)) AS ci_lo, R(quantile_cont(m, 975e-3)) AS ci_hi
+FROM (SELECT model_id, venue, rep, sum(w * s) / sum(w * n) AS m FROM drawn GROUP BY ALL) GROUP BY ALL
 
 -- name: bootstrap_ci_poisson
-WITH weighted AS (
-  SELECT model_id, venue, b AS rep, n, s, HASH(concat_ws('|', '7', model_id, venue, cluster_id, b)) / 4294967296e0 AS u
-  FROM (SELECT model_id, venue, cluster_id, count(*) AS n, sum(diff) AS s FROM fx_scored GROUP BY ALL), range(1, 101) r(b)),
-cdf AS (SELECT sum(exp(-1) / factorial(cast(i as integer))) OVER (ORDER BY i) AS edge FROM range(12) t(i)),
-drawn AS (SELECT model_id, venue, rep, n, s, (SELECT count(*) FROM cdf WHERE edge <= u) AS w FROM weighted)
-SELECT model_id, venue, R(quantile_cont(m, 25e-3)) AS ci_lo, R(quantile_cont(m, 975e-3)) AS ci_hi FROM (
-  SELECT model_id, venue, rep, sum(w * s) / sum(w * n) AS m FROM drawn GROUP BY ALL) GROUP BY ALL
+WITH clusters AS (SELECT model_id, venue, cluster_id, count(*) AS n, sum(diff) AS s FROM fx_scored GROUP BY ALL),
+d1 AS (SELECT model_id, venue, n, s, sha256(concat_ws('|', '7', model_id, venue, cluster_id)) AS t FROM clusters),
+d2 AS (SELECT model_id, venue, n, s, b AS rep, (H(t) + b * 1140671485) % 2147483647 AS x, G(t) AS g FROM d1, range(1, 2001) r(b)),
+d3 AS (SELECT model_id, venue, n, s, rep, (FIFTH(x) + g) % 2147483647 / 2147483647e0 AS u FROM d2),
+drawn AS (SELECT * FROM (SELECT model_id, venue, n, s, rep, POISSON(u) AS w FROM d3) WHERE w > 0)
+SELECT model_id, venue, R(quantile_cont(m, 25e-3)) AS ci_lo, R(quantile_cont(m, 975e-3)) AS ci_hi
+FROM (SELECT model_id, venue, rep, sum(w * s) / sum(w * n) AS m FROM drawn GROUP BY ALL) GROUP BY ALL
 
 -- name: cluster_sequence
 SELECT model_id, cluster_id, R(diff) AS diff, entry_s, n_rows,
@@ -128,26 +124,20 @@ SELECT model_id, venue, R(CASE WHEN count(*) FILTER (n >= 30) >= 3
 FROM strata GROUP BY ALL
 
 -- name: stratified_ci
-WITH clusters AS (
-  SELECT model_id, cluster_id, row_number() OVER (PARTITION BY model_id ORDER BY cluster_id) AS rnk,
-    count(*) OVER (PARTITION BY model_id) AS c FROM (SELECT DISTINCT model_id, cluster_id FROM fx_scored)),
-draws AS (
-  SELECT x.model_id, b AS rep, HASH(concat_ws('|', '11', x.model_id, b, j)) % x.c + 1 AS rnk
-  FROM (SELECT DISTINCT model_id, c FROM clusters) x, range(1, 101) r(b), range(1, 1000000) q(j) WHERE j <= x.c),
-picks AS (SELECT d.model_id, d.rep, k.cluster_id, count(*) AS w FROM draws d
-  JOIN clusters k ON k.model_id = d.model_id AND k.rnk = d.rnk GROUP BY ALL),
-moments AS (
+WITH moments AS (
   SELECT model_id, cluster_id, CASE WHEN p_market_at_ts < 5e-2 THEN 0 WHEN p_market_at_ts < 2e-1 THEN 1 WHEN p_market_at_ts < 4e-1 THEN 2
       WHEN p_market_at_ts < 6e-1 THEN 3 WHEN p_market_at_ts < 8e-1 THEN 4 WHEN p_market_at_ts < 95e-2 THEN 5 ELSE 6 END AS st,
     count(*) AS n, sum(diff) AS s, sum(diff * diff) AS q FROM fx_scored GROUP BY ALL),
-strata AS (
-  SELECT p.model_id, rep, st, sum(w * n) AS n, sum(w * s) AS s, sum(w * q) AS q FROM picks p
-  JOIN moments m ON m.model_id = p.model_id AND m.cluster_id = p.cluster_id GROUP BY ALL),
+d1 AS (SELECT model_id, st, n, s, q, sha256(concat_ws('|', '11', model_id, cluster_id)) AS t FROM moments),
+d2 AS (SELECT model_id, st, n, s, q, b AS rep, (H(t) + b * 1140671485) % 2147483647 AS x, G(t) AS g FROM d1, range(1, 2001) r(b)),
+d3 AS (SELECT model_id, st, n, s, q, rep, (FIFTH(x) + g) % 2147483647 / 2147483647e0 AS u FROM d2),
+drawn AS (SELECT * FROM (SELECT model_id, st, n, s, q, rep, POISSON(u) AS w FROM d3) WHERE w > 0),
+strata AS (SELECT model_id, rep, st, sum(w * n) AS n, sum(w * s) AS s, sum(w * q) AS q FROM drawn GROUP BY ALL),
 weighed AS (SELECT *, s / n AS m, 1 / greatest((q - s * s / n) / (n - 1) / n, 1e-12) AS w FROM strata WHERE n >= 30),
 reps AS (SELECT model_id, rep, CASE WHEN count(*) >= 3 THEN sum(w * m) / sum(w) END AS skill_pw FROM weighed GROUP BY ALL)
 SELECT model_id, count(skill_pw) AS n_reps,
-  R(CASE WHEN count(skill_pw) >= 50 THEN quantile_cont(skill_pw, 25e-3) END) AS ci_lo,
-  R(CASE WHEN count(skill_pw) >= 50 THEN quantile_cont(skill_pw, 975e-3) END) AS ci_hi FROM reps GROUP BY ALL
+  R(CASE WHEN count(skill_pw) >= 1000 THEN quantile_cont(skill_pw, 25e-3) END) AS ci_lo,
+  R(CASE WHEN count(skill_pw) >= 1000 THEN quantile_cont(skill_pw, 975e-3) END) AS ci_hi FROM reps GROUP BY ALL
 
 -- name: calibration_bins
 WITH cells AS (SELECT DISTINCT model_id, venue FROM fx_scored),
@@ -164,12 +154,13 @@ SELECT model_id, event_id, ts_s, verdict, k, winners, R(abs(sum_model - 1)) AS c
 SELECT model_id, event_id, k, R(rps_model) AS rps_model, R(rps_market) AS rps_market FROM fx_rps
 
 -- name: rps_skill
-WITH ev AS (SELECT *, rps_market - rps_model AS s, row_number() OVER (PARTITION BY model_id ORDER BY event_id) AS rnk,
-    count(*) OVER (PARTITION BY model_id) AS c FROM fx_rps),
-draws AS (SELECT x.model_id, b AS rep, HASH(concat_ws('|', '0', x.model_id, b, j)) % x.c + 1 AS rnk
-  FROM (SELECT DISTINCT model_id, c FROM ev) x, range(1, 101) r(b), range(1, 100000) q(j) WHERE j <= x.c),
+WITH ev AS (SELECT *, event_id AS cluster_id, rps_market - rps_model AS s FROM fx_rps),
+d1 AS (SELECT model_id, s, sha256(concat_ws('|', '0', model_id, cluster_id)) AS t FROM ev),
+d2 AS (SELECT model_id, s, b AS rep, (H(t) + b * 1140671485) % 2147483647 AS x, G(t) AS g FROM d1, range(1, 2001) r(b)),
+d3 AS (SELECT model_id, s, rep, (FIFTH(x) + g) % 2147483647 / 2147483647e0 AS u FROM d2),
+drawn AS (SELECT * FROM (SELECT model_id, s, rep, POISSON(u) AS w FROM d3) WHERE w > 0),
 ci AS (SELECT model_id, quantile_cont(m, 25e-3) AS lo, quantile_cont(m, 975e-3) AS hi FROM (
-  SELECT d.model_id, d.rep, avg(e.s) AS m FROM draws d JOIN ev e ON e.model_id = d.model_id AND e.rnk = d.rnk GROUP BY ALL) GROUP BY ALL)
+  SELECT model_id, rep, sum(w * s) / sum(w) AS m FROM drawn GROUP BY ALL) GROUP BY ALL)
 SELECT e.model_id, count(*) AS n_events, R(avg(rps_model)) AS rps_model, R(avg(rps_market)) AS rps_market, R(avg(s)) AS skill_rps,
   R(max(lo)) AS ci_lo, R(max(hi)) AS ci_hi FROM ev e JOIN ci ON ci.model_id = e.model_id GROUP BY e.model_id HAVING count(*) >= 20
 

@@ -158,12 +158,12 @@ def replay(spark, sf):
 @query
 def gate(spark, sf):
     diffs = FT.paired_versions(replayed(spark, sf), ["model_key", "row_id"], "old", "new")
-    return FT.gate(diffs, ["model_key"], replicates=100)
+    return FT.gate(diffs, ["model_key"])
 
 
 @query
 def rollback_check(spark, sf):
     last = FT.newest(observations(spark, sf), 50, "obs_id")
     rows = FT.replay_curves(last, curve_versions(spark, sf), VERSIONS).withColumn("model_key", F.lit("m1_curves"))
-    return FT.rollback_check(FT.paired_versions(rows, ["model_key", "obs_id"], "old", "new"), ["model_key"], replicates=100)
+    return FT.rollback_check(FT.paired_versions(rows, ["model_key", "obs_id"], "old", "new"), ["model_key"])
 

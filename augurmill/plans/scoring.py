@@ -97,12 +97,12 @@ def paired_skill(spark, sf):
 
 @query
 def bootstrap_ci(spark, sf):
-    return E.bootstrap_ci(scored(spark, sf), CELL, replicates=100, seed=7)
+    return E.bootstrap_ci(scored(spark, sf), CELL, seed=7)
 
 
 @query
 def bootstrap_ci_poisson(spark, sf):
-    return E.bootstrap_ci_poisson(scored(spark, sf), CELL, replicates=100, seed=7)
+    return E.bootstrap_ci_poisson(scored(spark, sf), CELL, seed=7)
 
 
 @query
@@ -127,7 +127,7 @@ def stratified_skill(spark, sf):
 
 @query
 def stratified_ci(spark, sf):
-    return E.stratified_ci(scored(spark, sf), ["model_id"], replicates=100, seed=11)
+    return E.stratified_ci(scored(spark, sf), ["model_id"], seed=11)
 
 
 @query
@@ -178,7 +178,7 @@ def rps(spark, sf):
 
 @query
 def rps_skill(spark, sf):
-    return E.rps_skill(rps_rows(spark, sf), ["model_id"], replicates=100)
+    return E.rps_skill(rps_rows(spark, sf), ["model_id"])
 
 
 @query

@@ -97,16 +97,35 @@ def numpy_interval(data, B=4000):
     return np.quantile(s[pick].sum(1) / n[pick].sum(1), [0.025, 0.975])
 
 
-def test_exact_and_poisson_intervals_agree_with_numpy(spark):
+def test_intervals_agree_with_numpy(spark):
     data = random_rows(1200, 150)
     lo, hi = numpy_interval(data)
     width = hi - lo
-    for ci in (E.bootstrap_ci(scored(spark, data), ["model_id"], 1000).first(),
-               E.bootstrap_ci_poisson(scored(spark, data), ["model_id"], 1000).first(),
-               E.bootstrap_ci(scored(spark, data), ["model_id"], 1000, max_draws=10).first()):
+    for ci in (E.bootstrap_ci(scored(spark, data), ["model_id"]).first(), E.bootstrap_ci_poisson(scored(spark, data), ["model_id"], seed=3).first()):
         assert abs(ci["ci_lo"] - lo) < 0.15 * width and abs(ci["ci_hi"] - hi) < 0.15 * width
 
 
+def test_replicate_weights_are_poisson_and_unrelated(spark):
+    """Mean and variance 1 over clusters and over replicates; no replicate, next or twice as far, resembles another."""
+    clusters = spark.range(800).select(F.lit("m").alias("model_id"), F.concat(F.lit("c"), "id").alias("cluster_id"))
+    rows = E._weights(clusters, ["model_id"], 300, 5).select(F.substring("cluster_id", 2, 9).cast("int").alias("c"), "rep", "w").toPandas()
+    w = np.zeros((800, 300))
+    w[rows["c"], rows["rep"] - 1] = rows["w"]
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    shares = np.bincount(w.astype(int).ravel(), minlength=5)[:5] / w.size
+    assert np.abs(shares - np.exp(-1) / np.array([1, 1, 2, 6, 24])).max() < 0.005
+    for table in (w, w.T):
+        r = np.corrcoef(table)[np.triu_indices(len(table), 1)]
+        assert abs(r.mean()) < 0.002 and np.abs(r).max() < 0.3 and abs(r.std() * np.sqrt(table.shape[1]) - 1) < 0.05
+
+
+def test_resampling_gathers_no_clusters(spark, sf):
+    data = random_rows(60, 10)
+    for op in (E.bootstrap_ci, E.stratified_ci):
+        plan = op(scored(spark, data), ["model_id"])._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "Join" not in plan
+
+
 def test_stratified_collapses_to_the_raw_mean_with_equal_variances(spark):
     data = [("m", f"{s}{i}", f"{s}{i}", 0, 0.5 + (0.1 if i % 2 else -0.1), q, 1.0)
             for s, q in enumerate((0.1, 0.3, 0.5)) for i in range(40 * (s + 1))]
