@@ -42,6 +42,8 @@ CENTRES = 4
 COUNTERS = 1 << 20
 #: Rows of one shingle that one task joins with all rows of it.
 SALT_ROWS = 2000
+#: Shingles before its own that a prefix row carries, so that pairs which met at one of them don't meet again.
+RECENT = 8
 #: Bytes of text that are signed at once.
 BATCH_BYTES = 1 << 21
 
@@ -256,7 +258,7 @@ def frequencies(bag: DataFrame) -> np.ndarray:
 
 def prefixes(bag: DataFrame, least: float) -> DataFrame:
     """node, its size, and the shingles of its prefix with their positions, rarest first; `low` marks those at which it
-    can be the smaller bag of a pair."""
+    can be the smaller bag of a pair, `recent` are the last shingles before."""
     rank = bag.sparkSession.sparkContext.broadcast(frequencies(bag))
 
     def step(batches):
@@ -268,10 +270,15 @@ def prefixes(bag: DataFrame, least: float) -> DataFrame:
                 far = n - math.ceil(least * n - 1e-6) + 1
                 near = n - math.ceil(2 * least / (1 + least) * n - 1e-6) + 1
                 own = own[:far]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(np.full(len(own), n)), pa.array(own.astype("i8")), pa.array(np.arange(len(own))), pa.array(np.arange(len(own)) < near)],
-                                                 ["node", "size", "shingle", "at", "low"])
+                own, at = own.astype("i8"), np.arange(len(own))
+                before = np.minimum(at, RECENT)
+                ends = np.cumsum(before)
+                recent = own[np.repeat(at - before, before) + np.arange(before.sum()) - np.repeat(ends - before, before)]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype("i4")), pa.array(recent))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(np.full(len(own), n)), pa.array(own), pa.array(at), pa.array(at < near), lists],
+                                                 ["node", "size", "shingle", "at", "low", "recent"])
 
-    return arrow_map(bag.select("node", "bag"), step, "node long, size long, shingle long, at long, low boolean")
+    return arrow_map(bag.select("node", "bag"), step, "node long, size long, shingle long, at long, low boolean, recent array<long>")
 
 
 def exact_candidates(bag: DataFrame, labels: DataFrame, least: float) -> DataFrame:
@@ -279,17 +286,18 @@ def exact_candidates(bag: DataFrame, labels: DataFrame, least: float) -> DataFra
 
     Two bags that are similar enough have a first common shingle after which both still hold enough for their overlap,
     so no pair is lost. The rows of a shingle's largest class meet those of other classes only; the others meet
-    all. So no more than about twice the pairs of different classes are looked at.
+    all. So no more than about twice the pairs of different classes are looked at. A pair that shares one of the last
+    shingles before, too, has met there: both positions left more room, and the smaller bag's was no later.
     """
     rows = prefixes(bag, least).join(labels, "node")
     counts = rows.groupBy("shingle", "label").agg(F.count("*").alias("c"), F.count_if("low").alias("l"))
     hot = (counts.groupBy("shingle").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("n"), F.sum("l").alias("lows"), F.count("*").alias("classes"))
            .where("classes > 1 and lows > 0").select("shingle", "main", (1 + F.floor(F.col("n") / SALT_ROWS)).alias("salts")))
     rows = stored(rows.join(hot, "shingle"))
-    one = rows.where("low").select("shingle", F.pmod(F.xxhash64("node"), "salts").alias("salt"), F.col("node").alias("x"), F.col("size").alias("nx"), F.col("at").alias("ix"), F.col("label").alias("lx"), (F.col("label") == F.col("main")).alias("mx"))
-    two = rows.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("node").alias("y"), F.col("size").alias("ny"), F.col("at").alias("iy"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("my"))
+    one = rows.where("low").select("shingle", F.pmod(F.xxhash64("node"), "salts").alias("salt"), F.col("node").alias("x"), F.col("size").alias("nx"), F.col("at").alias("ix"), F.col("recent").alias("rx"), F.col("label").alias("lx"), (F.col("label") == F.col("main")).alias("mx"))
+    two = rows.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("node").alias("y"), F.col("size").alias("ny"), F.col("at").alias("iy"), F.col("recent").alias("ry"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("my"))
     room = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= least / (1 + least) * (F.col("nx") + F.col("ny")) - 1e-6
-    fits = (F.col("lx") != F.col("ly")) & (F.col("nx") <= F.col("ny")) & alike("nx", "ny", least) & room
+    fits = (F.col("lx") != F.col("ly")) & (F.col("nx") <= F.col("ny")) & alike("nx", "ny", least) & room & ~F.arrays_overlap("rx", "ry")
     met = one.where("not mx").join(two, ["shingle", "salt"]).where(fits).select("x", "y").union(one.where("mx").join(two.where("not my"), ["shingle", "salt"]).where(fits).select("x", "y"))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
