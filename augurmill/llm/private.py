@@ -26,12 +26,13 @@ from augurmill.llm.common import arrow_map, cut, llm_query, table
 
 KINDS = ("email", "ip", "card", "phone", "id")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match that fails at the first digit of a run fails at the others too
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NUMERIC = re.compile(r"[0-9]")
-_IDENTIFIER = re.compile(r"[^\s]*[0-9][^\s]*")
+_TOKEN = re.compile(r"\S+")
 CONTEXT_CHARS = 80
 
 
@@ -64,7 +65,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if not _NUMERIC.search(text):
         return spans
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             spans.append((1, *m.span()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -87,7 +88,9 @@ def instances(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     found = [{"start": s, "end": e, "context": context(text, s), "seed": True, "what": text[s:e]} for _, s, e in spans]
     if _NUMERIC.search(text):
         taken = sorted((s, e) for _, s, e in spans)
-        for m in _IDENTIFIER.finditer(text):
+        for m in _TOKEN.finditer(text):
+            if not _NUMERIC.search(m[0]):
+                continue
             own = m[0].rstrip(".,;:!?)")
             s, e = m.start(), m.start() + len(own)
             if len(own) >= 6 and sum(c.isdigit() for c in own) >= 4 and not any(a < e and s < b for a, b in taken):

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -263,6 +264,16 @@ def test_base_spans_against_plain_patterns():
         assert private.base_spans(t) == want, t
 
 
+def test_long_runs_take_linear_time():
+    began = time.perf_counter()
+    assert private.base_spans("0" * 5000 + ".1.1.1 x") == [(1, 0, 5006)]
+    assert private.base_spans("1" * 300_000) == [] and private.base_spans("9" * 5000 + ".1.1.1") == []
+    long = "中" * 300_000 + " 1"
+    assert private.instances(long, private.base_spans(long)) == []
+    assert private.base_spans("1.2.3.4.5.6.7.8") == [(1, 0, 7), (1, 8, 15)]
+    assert time.perf_counter() - began < 5
+
+
 def test_contexts_reveal_unseen_identifiers(spark):
     seeds = [(i, f"my account mail user{i}@host{i}.example") for i in range(6)]
     docs = spark.createDataFrame([*seeds, (90, "my account mail QX-77341-Z now"), (91, "my account mail QX-77341-Z now"), (92, "room number QX-77342-Z")], "doc_id long, text string")
