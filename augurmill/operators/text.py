@@ -131,12 +131,15 @@ def lessons_digest(postmortems: DataFrame, since_s: int) -> DataFrame:
     return rows.groupBy(F.coalesce("a.error_source", F.lit("unknown")).alias("error_source")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def lessons_notes(postmortems: DataFrame, since_s: int, n: int = 10) -> DataFrame:
-    """The first n notes of the window, cut at 200 characters for the report."""
+def lessons_notes(postmortems: DataFrame, since_s: int, n: int | None = None, chars: int | None = None) -> DataFrame:
+    """The notes of the window, whole; a report asks for the first n of them, or for so many characters of each."""
     a = whole_json(F.col("analysis_json"), "struct<error_source:string,notes:string>")
     rows = postmortems.where(F.col("ts_s") >= since_s).withColumn("notes", a["notes"])
-    return (rows.where("notes is not null and notes <> ''").orderBy("ts_s", "postmortem_id").limit(n)
-            .select("postmortem_id", F.concat(F.lit("["), "kind", F.lit("] "), F.substring("notes", 1, 200)).alias("note")))
+    rows = rows.where("notes is not null and notes <> ''")
+    if n is not None:
+        rows = rows.orderBy("ts_s", "postmortem_id").limit(n)
+    notes = F.col("notes") if chars is None else F.substring("notes", 1, chars)
+    return rows.select("postmortem_id", F.concat(F.lit("["), "kind", F.lit("] "), notes).alias("note"))
 
 
 def token_sets(df: DataFrame, id_col: str, text: str) -> DataFrame:

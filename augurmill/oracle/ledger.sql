@@ -1,5 +1,5 @@
 -- name: ts_bucket
-SELECT forecast_id, ts_s - ts_s % 300 AS b5, ts_s - ts_s % 3600 AS b60, ts_s - ts_s % 14400 AS b240 FROM fx_drift_forecasts
+SELECT forecast_id, ts_s - ts_s % 300 AS b5, ts_s - ts_s % 3600 AS b60, ts_s - ts_s % 14400 AS b240 FROM fx_priced
 
 -- name: snapshot_dedup
 SELECT quote_id, condition_id, ts_s, R(mid) AS mid FROM fx_snapshots
@@ -65,11 +65,11 @@ FROM fx_all_resolved r JOIN fx_markets m ON m.condition_id = r.condition_id LEFT
 WHERE disputed = 0 AND (v.registered_s IS NULL OR ts_s >= v.registered_s)
 
 -- name: ledger_increment
-SELECT * FROM fx_digests WHERE day < 19723 + 28 AND day > 19723 + 19 ORDER BY day DESC LIMIT 7
+SELECT * FROM fx_digests WHERE day < 19723 + 28 AND day > 19723 + 19
 
 -- name: market_increment
 WITH first AS (SELECT condition_id, DAYNUM(min(ts_s)) AS day FROM fx_forecasts GROUP BY ALL),
-days AS (SELECT DISTINCT day FROM first WHERE day < 10967 AND day NOT BETWEEN 10956 AND 10959 ORDER BY day DESC LIMIT 30)
+days AS (SELECT DISTINCT day FROM first WHERE day < 10967 AND day NOT BETWEEN 10956 AND 10959)
 SELECT f.day, m.condition_id, m.venue, m.category, m.end_s FROM first f JOIN days d ON d.day = f.day JOIN fx_markets m ON m.condition_id = f.condition_id
 
 -- name: reference_subset

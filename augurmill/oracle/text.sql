@@ -42,7 +42,6 @@ WHERE EPOCH(o_orderdate) >= 883612800 AND o_custkey % 3 <> 0 AND o_orderkey % 31
 -- name: lessons_notes
 SELECT o_orderkey AS postmortem_id, concat('[', CASE o_custkey % 3 WHEN 0 THEN 'hit' ELSE 'miss' END, '] note ', o_orderkey) AS note FROM orders
 WHERE EPOCH(o_orderdate) >= 883612800 AND o_orderkey % 31 NOT IN (0, 1) AND (o_orderkey % 9 = 0 OR o_orderkey % 4 = 0)
-ORDER BY o_orderdate, o_orderkey LIMIT 10
 
 -- name: pair_candidates
 WITH a AS (SELECT item_id AS a_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM benchmark),

@@ -42,10 +42,13 @@ FROM events
 SELECT * FROM fx_quotes_raw QUALIFY row_number() OVER (PARTITION BY condition_id, ts_s ORDER BY quote_id) = 1
 
 -- name: fx_drift_forecasts
-SELECT event_id AS forecast_id, concat('s', user_id) AS condition_id, EPOCH(ts) AS ts_s,
+SELECT * EXCLUDE (event_type) FROM fx_priced WHERE event_type = 'purchase'
+
+-- name: fx_priced
+SELECT event_type, event_id AS forecast_id, concat('s', user_id) AS condition_id, EPOCH(ts) AS ts_s,
   least(98e-2, 2e-2 + 96e-2 * (value / 500e0)) AS p_market_at_ts,
   least(99e-2, greatest(1e-2, least(98e-2, 2e-2 + 96e-2 * (value / 500e0)) + ((event_id % 21) - 10) * 1e-2)) AS p_yes
-FROM events WHERE event_type = 'purchase'
+FROM events
 
 -- name: fx_all_resolved
 SELECT f.*, r.payout_yes, r.resolved_s, r.disputed, greatest(r.resolved_s, f.end_s + 604800) AS entry_s,
@@ -238,7 +241,7 @@ WHERE tier = 'liquid' AND active = 1 AND category IN ('economics', 'weather', 'p
 
 -- name: fx_micro
 SELECT forecast_id, condition_id, ts_s, cast(round(p_yes * 1e6) AS bigint) AS p_yes_e6, cast(round(p_market_at_ts * 1e6) AS bigint) AS p_market_e6
-FROM fx_drift_forecasts
+FROM fx_priced
 
 -- name: fx_micro_text
 SELECT *, DAYNUM(ts_s) AS day, sha256(cast(forecast_id AS varchar)) AS h,

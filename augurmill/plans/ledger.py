@@ -22,7 +22,7 @@ def micro_ledger(spark, sf):
     """A ledger with integer ids; prices in millionths, so both engines print them alike."""
     def e6(c):
         return F.round(F.col(c) * 1e6).cast("long")
-    return fx.drift_forecasts(spark, sf).select(
+    return fx.priced(fx.table(spark, sf, "events")).select(
         "forecast_id", "condition_id", "ts_s", e6("p_yes").alias("p_yes_e6"), e6("p_market_at_ts").alias("p_market_e6"))
 
 
@@ -32,7 +32,7 @@ def digests(spark, sf):
 
 @query
 def ts_bucket(spark, sf):
-    q = fx.drift_forecasts(spark, sf).select("forecast_id", "ts_s")
+    q = fx.priced(fx.table(spark, sf, "events")).select("forecast_id", "ts_s")
     return q.select("forecast_id", archive.ts_bucket_column("ts_s", 5).alias("b5"),
                     archive.ts_bucket_column("ts_s", 60).alias("b60"), archive.ts_bucket_column("ts_s", 240).alias("b240"))
 
@@ -184,14 +184,14 @@ def older_manifest(spark, sf):
 def ledger_increment(spark, sf):
     done = fx.table(spark, sf, "events").select(X.day_of(fx.epoch("ts")).alias("day")).where(
         F.col("day").between(DAY0, DAY0 + 19)).distinct()
-    _, manifest = ledger.ledger_increment(micro_ledger(spark, sf), done, "forecast_id", COLS, DAY0 + 28, 7)
+    _, manifest = ledger.ledger_increment(micro_ledger(spark, sf), done, "forecast_id", COLS, DAY0 + 28)
     return manifest
 
 
 @query
 def market_increment(spark, sf):
     done = spark.range(10956, 10960).select(F.col("id").alias("day"))
-    return ledger.market_increment(fx.markets(spark, sf), fx.forecasts(spark, sf), done, 10957 + 10, 30).select(
+    return ledger.market_increment(fx.markets(spark, sf), fx.forecasts(spark, sf), done, 10957 + 10).select(
         "day", "condition_id", "venue", "category", "end_s")
 
 

@@ -103,7 +103,11 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def drift_forecasts(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_type = 'purchase'")
+    return priced(table(spark, sf, "events").where("event_type = 'purchase'"))
+
+
+def priced(e: DataFrame) -> DataFrame:
+    """Events as forecasts with a price beside them."""
     price = F.least(F.lit(98e-2), 2e-2 + 96e-2 * (F.col("value") / 500e0))
     return e.select(
         F.col("event_id").alias("forecast_id"),
