@@ -131,11 +131,19 @@ def fit_hier(obs: DataFrame, max_steps: int = 80) -> DataFrame:
     return obs.sparkSession.createDataFrame(rows, "bucket string, venue string, alpha double, beta double, n bigint")
 
 
-def bound_curves(new: DataFrame, old: DataFrame, max_step: float = 0.2) -> DataFrame:
-    """Every fitted number moves at most a fifth of its old value."""
-    o = old.select(F.col("bucket"), F.col("alpha").alias("old_alpha"), F.col("beta").alias("old_beta"))
-    return (new.join(o, "bucket", "left").withColumn("alpha", X.bounded("alpha", "old_alpha", max_step))
-            .withColumn("beta", X.bounded("beta", "old_beta", max_step)).drop("old_alpha", "old_beta"))
+def bounded_step(new: DataFrame, old: DataFrame, keys: list[str], values: list[str], max_step: float = 0.2) -> DataFrame:
+    """A fit held near the parameters in use: each of `values` moves at most `max_step` of its old value.
+
+    Keys meet null-safe, so a hierarchical fit's global rows (no venue) are bounded too. A key that
+    is new, and an old value that is null or zero, bound nothing; a new null stays. Both sides are
+    parameter tables of a few rows.
+    """
+    before = old.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*[F.max(v).alias(f"__old_{v}") for v in values])
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    step = {v: F.when(F.col(v).isNotNull(), X.bounded(v, f"__old_{v}", max_step)) for v in values}
+    return new.join(before, met, "left").withColumns(step).select(*new.columns)
 
 
 def isotonic_bins(obs: DataFrame, curves: DataFrame, max_bins: int = 20) -> DataFrame:
@@ -282,6 +290,7 @@ def fit_evidence_params(items: DataFrame, runs: DataFrame, min_runs: int = 150,
 
 
 def best_evidence_params(scores: DataFrame) -> DataFrame:
+    """The grid's row of the least score; ties by the smaller parameters."""
     return scores.orderBy("score", "k", "tau_days", "max_shift").limit(1)
 
 

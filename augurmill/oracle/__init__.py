@@ -70,9 +70,7 @@ def _with_views(body: str, views: dict[str, str]) -> str:
 def load() -> dict[str, str]:
     here = Path(__file__).parent
     views = _sections(here / "views.sql")
-    out: dict[str, str] = {}
-    for path in sorted(here.glob("*.sql")):
-        if path.name != "views.sql":
-            for name, body in _sections(path).items():
-                out[name] = _expand(_with_views(body, views))
-    return out
+    own = {name: body for path in sorted(here.glob("*.sql")) if path.name != "views.sql" for name, body in _sections(path).items()}
+    # a query may read another one's result as q_<name>
+    views |= {f"q_{name}": body for name, body in own.items()}
+    return {name: _expand(_with_views(body, views)) for name, body in own.items()}

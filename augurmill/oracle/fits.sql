@@ -171,3 +171,17 @@ sums AS (SELECT r.*, g, sum(raw) OVER (PARTITION BY r.category, g) AS gs, count(
 top AS (SELECT *, max(gs) OVER (PARTITION BY category) AS mx, max(gn) OVER (PARTITION BY category) AS mg FROM sums)
 SELECT category, model_id, R(raw) AS raw, R(CASE WHEN mg = nm THEN 1e0 / nm WHEN mx <= 6e-1 THEN raw WHEN gs = mx THEN raw * 6e-1 / mx ELSE raw * 4e-1 / (1 - mx) END) AS weight,
   I(nr) AS n_resolved FROM top
+
+-- name: bounded_steps
+WITH sd_old AS (SELECT DISTINCT series, (1 + cast(substr(series, 2) AS bigint) % 5) / 10e0 AS sd FROM fx_surprises),
+hier_old AS (SELECT bucket, NULL AS venue, alpha, beta FROM fx_curves UNION ALL SELECT bucket, venue, alpha_offset, beta_offset FROM fx_offsets),
+moves AS (
+  SELECT 'curves' AS kind, f.bucket AS name, 'alpha' AS parameter, f.alpha AS new, o.alpha AS old FROM q_fit_recalibration f LEFT JOIN fx_curves o ON o.bucket = f.bucket
+  UNION ALL SELECT 'curves', f.bucket, 'beta', f.beta, o.beta FROM q_fit_recalibration f LEFT JOIN fx_curves o ON o.bucket = f.bucket
+  UNION ALL SELECT 'hier', concat(f.bucket, '|', f.venue), 'alpha', f.alpha, o.alpha FROM q_fit_hier f LEFT JOIN hier_old o ON o.bucket = f.bucket AND o.venue IS NOT DISTINCT FROM f.venue
+  UNION ALL SELECT 'hier', concat(f.bucket, '|', f.venue), 'beta', f.beta, o.beta FROM q_fit_hier f LEFT JOIN hier_old o ON o.bucket = f.bucket AND o.venue IS NOT DISTINCT FROM f.venue
+  UNION ALL SELECT 'weights', concat(f.category, '|', f.model_id), 'weight', f.weight, o.weight FROM q_fit_pool_weights f
+    LEFT JOIN fx_weights o ON o.category = f.category AND o.model_id = f.model_id
+  UNION ALL SELECT 'exponents', f.category, 'a', f.a, o.a FROM q_fit_exponent f LEFT JOIN fx_exponents o ON o.category = f.category
+  UNION ALL SELECT 'surprise_sd', f.series, 'sd', f.sd, o.sd FROM q_fit_surprise_sd f LEFT JOIN sd_old o ON o.series = f.series)
+SELECT kind, name, parameter, R(CASE WHEN old IS NULL OR old = 0 THEN new ELSE least(old + abs(old) / 5e0, greatest(old - abs(old) / 5e0, new)) END) AS value FROM moves

@@ -167,3 +167,24 @@ def rollback_check(spark, sf):
     rows = FT.replay_curves(last, curve_versions(spark, sf), VERSIONS).withColumn("model_key", F.lit("m1_curves"))
     return FT.rollback_check(FT.paired_versions(rows, ["model_key", "obs_id"], "old", "new"), ["model_key"])
 
+
+
+@query
+def bounded_steps(spark, sf):
+    """All kinds of fits, each held within a fifth of the parameters in use: one row per kind, key and parameter."""
+    own = PM.offsets(spark, sf).select("bucket", "venue", F.col("alpha_offset").alias("alpha"), F.col("beta_offset").alias("beta"))
+    hier_old = PM.curves(spark, sf).select("bucket", F.lit(None).cast("string").alias("venue"), "alpha", "beta").unionByName(own)
+    sd_old = surprises(spark, sf).select("series").distinct().withColumn("sd", (1 + F.substring("series", 2, 9).cast("int") % 5) / 10e0)
+    kinds = {
+        "curves": (FT.fit_recalibration(observations(spark, sf)), PM.curves(spark, sf), ["bucket"], ["alpha", "beta"]),
+        "hier": (FT.fit_hier(observations(spark, sf)), hier_old, ["bucket", "venue"], ["alpha", "beta"]),
+        "weights": (FT.fit_pool_weights(S.scored(spark, sf)), PM.weights(spark, sf), ["category", "model_id"], ["weight"]),
+        "exponents": (FT.fit_exponent(pooled_rows(spark, sf), ["category"]), PM.exponents(spark, sf), ["category"], ["a"]),
+        "surprise_sd": (FT.fit_surprise_sd(surprises(spark, sf)), sd_old, ["series"], ["sd"])}
+    out = None
+    for kind, (new, old, keys, values) in kinds.items():
+        rows = FT.bounded_step(new, old, keys, values)
+        name = F.concat_ws("|", *[F.coalesce(F.col(k), F.lit("")) for k in keys]).alias("name")
+        long = rows.select(F.lit(kind).alias("kind"), name, F.explode(F.array(*[F.struct(F.lit(v).alias("parameter"), F.col(v).cast("double").alias("value")) for v in values])).alias("p")).select("kind", "name", "p.*")
+        out = long if out is None else out.unionByName(long)
+    return out

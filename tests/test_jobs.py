@@ -482,3 +482,11 @@ def test_a_replayed_resolution_batch_adds_nothing(spark, tmp_path):
         (tmp_path / "ck" / "commits" / name).unlink()
     run()
     assert read() == before
+
+
+def test_bounded_steps_by_key_with_new_missing_and_zero_values(spark):
+    new = spark.createDataFrame([("a", None, 2.0, 5.0), ("a", "v", 0.1, -3.0), ("b", "v", 9.0, 9.0), ("c", None, None, 1.0)], "bucket string, venue string, alpha double, beta double")
+    old = spark.createDataFrame([("a", None, 1.0, 0.0), ("a", "v", 1.0, -1.0), ("c", None, 1.0, 1.1), ("z", "v", 1.0, 1.0)], new.schema)
+    got = sorted(map(tuple, fits.bounded_step(new, old, ["bucket", "venue"], ["alpha", "beta"]).collect()), key=str)
+    want = [("a", "v", 0.8, -1.2), ("a", None, 1.2, 5.0), ("b", "v", 9.0, 9.0), ("c", None, None, 1.0)]
+    assert got == [(b, v, pytest.approx(x) if x is not None else None, pytest.approx(y)) for b, v, x, y in want]
