@@ -407,13 +407,19 @@ def drift(forecasts: DataFrame, quotes: DataFrame, gaps: DataFrame, horizons=(24
         F.count(F.when(F.col("in_gap"), 1)).alias("dropped_for_gap"))
 
 
-def drift_trust(rows: DataFrame, min_n: int = 30, max_corr: float = 0.15) -> DataFrame:
-    """`rows` hold (drift, skill) of the control. Correlated drift and skill mean drift is not to be trusted."""
-    usable = rows.where("drift is not null and skill is not null").agg(
+def drift_trust(rows: DataFrame, control: DataFrame, min_n: int = 30, max_corr: float = 0.15) -> DataFrame:
+    """Whether drift can be trusted: over the control set, where no model has skill, it must not follow skill.
+
+    `rows` hold (condition_id, drift, skill) of all forecasts, `control` the condition_ids of the control set. One row:
+    n, reason (no_control, no_data, insufficient_n, zero_variance, checked), correlation, trusted.
+    """
+    members = control.select("condition_id").distinct()
+    usable = rows.join(members, "condition_id", "left_semi").where("drift is not null and skill is not null").agg(
         F.count(F.lit(1)).alias("n"), F.corr("drift", "skill").alias("__corr"),
         F.stddev_pop("drift").alias("__sd_d"), F.stddev_pop("skill").alias("__sd_s"))
+    usable = usable.crossJoin(members.agg(F.count(F.lit(1)).alias("__members")))  # one row each
     flat = (F.coalesce("__sd_d", F.lit(0.0)) == 0) | (F.coalesce("__sd_s", F.lit(0.0)) == 0)
-    reason = (F.when(F.col("n") == 0, "no_data").when(F.col("n") < min_n, "insufficient_n")
+    reason = (F.when(F.col("__members") == 0, "no_control").when(F.col("n") == 0, "no_data").when(F.col("n") < min_n, "insufficient_n")
               .when(flat, "zero_variance").otherwise("checked"))
     corr = F.when(F.col("reason") == "checked", F.col("__corr"))
     return (usable.withColumn("reason", reason).withColumn("correlation", corr)

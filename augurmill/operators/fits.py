@@ -59,6 +59,13 @@ class _Descent:
         self.done = bool(np.abs(self.step).max() < 1e-10)
 
 
+def _settled(fits: dict[str, _Descent], max_steps: int) -> None:
+    """A fit that has not come to rest is no result."""
+    open_ = sorted(b for b, d in fits.items() if not d.done)
+    if open_:
+        raise RuntimeError(f"no convergence within {max_steps} steps: {', '.join(open_)}")
+
+
 def fit_recalibration(obs: DataFrame, max_steps: int = 60) -> DataFrame:
     """Logistic alpha, beta per horizon bucket, all buckets in one aggregate per Newton step."""
     data = _training(obs).persist()
@@ -71,6 +78,7 @@ def fit_recalibration(obs: DataFrame, max_steps: int = 60) -> DataFrame:
             theta = {(b,): tuple(float(v) for v in d.point) for b, d in fits.items()}
             for (b,), s in _newton_sums(data, ["bucket"], theta).items():
                 fits[b].take(float(s[5]), s[:2], np.array([[s[2], s[3]], [s[3], s[4]]]))
+        _settled(fits, max_steps)
     finally:
         data.unpersist()
     rows = [(b, float(d.base[0]), float(d.base[1]), int(counts[b]), d.loss) for b, d in sorted(fits.items())]
@@ -121,6 +129,7 @@ def fit_hier(obs: DataFrame, max_steps: int = 80) -> DataFrame:
                     g[at] -= 2 * ridge * fits[b].point[at]
                     h[at, at] += 2 * ridge
                 fits[b].take(loss, g, h)
+        _settled(fits, max_steps)
     finally:
         data.unpersist()
     rows = []

@@ -198,7 +198,8 @@ SELECT model_id, horizon, count(mid) AS n, R(avg(sign(p_yes - p_market_at_ts) *
 WITH r AS (SELECT sign(p_yes - p_market_at_ts) * (mid - p_market_at_ts) AS drift,
     pow(p_market_at_ts - y, 2) - pow(p_yes - y, 2) AS skill
   FROM (SELECT *, CASE WHEN forecast_id * 7 % 10 < 4 THEN 1e0 ELSE 0e0 END AS y FROM fx_asof24)
-  WHERE abs(p_yes - p_market_at_ts) >= 1e-9)
+  WHERE abs(p_yes - p_market_at_ts) >= 1e-9 AND cast(substr(condition_id, 2) AS bigint) % 3 = 0
+    AND condition_id IN (SELECT concat('s', c_custkey) FROM customer))
 SELECT count(*) AS n, CASE WHEN count(*) = 0 THEN 'no_data' WHEN count(*) < 30 THEN 'insufficient_n' ELSE 'checked' END AS reason,
   R(CASE WHEN count(*) >= 30 THEN corr(drift, skill) END) AS correlation,
   CASE WHEN count(*) >= 30 AND abs(corr(drift, skill)) > 15e-2 THEN 0 ELSE 1 END AS trusted FROM r

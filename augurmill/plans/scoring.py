@@ -220,9 +220,12 @@ def drift_trust(spark, sf):
     hit = E.quote_asof(t, fx.snapshots(spark, sf)).where("abs(p_yes - p_market_at_ts) >= 1e-9D")
     y = F.when(F.col("forecast_id") * 7 % 10 < 4, 1.0).otherwise(0.0)
     rows = hit.select(
-        (F.signum(F.col("p_yes") - F.col("p_market_at_ts")) * (F.col("mid") - F.col("p_market_at_ts"))).alias("drift"),
+        "condition_id", (F.signum(F.col("p_yes") - F.col("p_market_at_ts")) * (F.col("mid") - F.col("p_market_at_ts"))).alias("drift"),
         X.skill("p_yes", "p_market_at_ts", y).alias("skill"))
-    return E.drift_trust(rows)
+    k = F.col("c_custkey")
+    markets = fx.table(spark, sf, "customer").select(
+        F.concat(F.lit("s"), k).alias("condition_id"), F.lit("kalshi").alias("venue"), F.when(k % 3 == 0, universe.CONTROL_CATEGORY).otherwise("other").alias("category"))
+    return E.drift_trust(rows, universe.control_members(t, markets))
 
 
 def eval_runs(spark, sf):

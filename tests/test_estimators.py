@@ -249,3 +249,15 @@ def test_running_keeps_null_keys_together(spark):
     df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), ("a", 3, 5.0)], "k string, t bigint, v double")
     got = {r["t"]: r["cum"] for r in running(df, ["k"], ["t"], sums={"cum": F.col("v")}).collect()}
     assert got == {1: 1.0, 2: 3.0, 3: 5.0}
+
+
+def test_drift_is_judged_on_the_control_set_only(spark):
+    """Drift follows skill outside of the control set, not in it."""
+    rng = np.random.default_rng(4)
+    rows = [(f"c{i}", float(rng.normal()), float(rng.normal())) for i in range(200)] + [(f"x{i}", float(i), float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "condition_id string, drift double, skill double")
+    control = df.where("condition_id like 'c%'").select("condition_id")
+    assert tuple(E.drift_trust(df, control).select("n", "reason", "trusted").first()) == (200, "checked", 1)
+    assert tuple(E.drift_trust(df, df).select("n", "reason", "trusted").first()) == (400, "checked", 0)
+    assert tuple(E.drift_trust(df, control.limit(0)).select("n", "reason", "trusted").first()) == (0, "no_control", 1)
+    assert E.drift_trust(df.limit(0), control).first()["reason"] == "no_data"
