@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from augurmill.functions import exprs as X
@@ -84,10 +88,6 @@ def mask(pairs: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def unmask(bits: str, pairs: list[tuple[str, Column]]) -> Column:
-    return F.array_compact(F.array(*[F.when(F.col(bits).bitwiseAND(1 << i) != 0, F.lit(name)) for i, (name, _) in enumerate(pairs)]))
-
-
 def windows(as_of: int, start: int) -> list[tuple[str, Column]]:
     ts = F.col("ts_s")
     return [
@@ -128,15 +128,12 @@ def variants(as_of: int, since: int, pool_since: int) -> list[tuple[str, Column]
 def flag_first_of_day(rows: DataFrame, as_of: int) -> DataFrame:
     """True on the first scoreable row per (market, model, UTC day).
 
-    A mergeable minimum and a join on the unique row id: a hot market-day is
-    combined map-side and never sorted in one task.
+    Rows that were joined by market lie together already, so numbering them moves none; a day's rows of one
+    market and model are numbered as they are read, and not held.
     """
-    scoreable = rows.where(((F.col("end_s") + SCORING_LAG_DAYS * X.DAY) <= as_of) & (F.col("disputed") == 0))
-    firsts = (scoreable.groupBy("condition_id", "model_id", X.day_of("ts_s").alias("day"))
-              .agg(F.min(F.struct("ts_s", "forecast_id")).alias("first"))
-              .select(F.col("first.forecast_id").alias("forecast_id"), F.lit(True).alias("first_of_day")))
-    return (rows.join(firsts, "forecast_id", "left")
-            .withColumn("first_of_day", F.coalesce("first_of_day", F.lit(False))))
+    counts = F.coalesce(((F.col("end_s") + SCORING_LAG_DAYS * X.DAY) <= as_of) & (F.col("disputed") == 0), F.lit(False))
+    own = Window.partitionBy("condition_id", "model_id", X.day_of("ts_s")).orderBy((~counts).cast("int"), "ts_s", "forecast_id")
+    return rows.withColumn("first_of_day", counts & (F.row_number().over(own) == 1))
 
 
 def robustness_variants(rows: DataFrame, as_of: int, since: int, pool_since: int) -> DataFrame:
@@ -150,13 +147,12 @@ def eval_matrix(rows: DataFrame, control_ids: DataFrame, as_of: int, start: int,
                 since: int, pool_since: int, alpha: float = 0.05) -> DataFrame:
     """Every cell of model x venue x {category, ALL} x window x horizon x variant.
 
-    Rows first collapse to sums per cluster and membership signature (two
-    bit masks), map-side combined, so a hot cluster or cell arrives small.
-    Those sums are placed by (model, venue, cluster) once; expanding them over
-    windows, horizons, variants and categories and summing per (cell, cluster)
-    then needs no further shuffle, because every cell key contains that key.
+    Rows first collapse to sums per market and membership signature (two
+    bit masks), where the joins by market have put them, so a hot market arrives
+    small. Those sums are placed by (model, venue, cluster), the only shuffle of them; summing
+    per signature and per (cell, cluster) then needs no other, because every key contains that one.
     """
-    from augurmill.operators.estimators import PAIRED_SUMS, paired_from_clusters, sequence_columns
+    from augurmill.operators.estimators import PAIRED_SUMS, sequence_columns
 
     in_window, in_variant = windows(as_of, start), variants(as_of, since, pool_since)
     control = control_ids.select("condition_id").distinct().withColumn("is_control", F.lit(True))
@@ -168,28 +164,100 @@ def eval_matrix(rows: DataFrame, control_ids: DataFrame, as_of: int, start: int,
 
     signature = ["model_id", "venue", "cluster_id", "category", "is_control", "window_bits", "variant_bits",
                  "stated_bucket", "realized_bucket"]
-    base = (flagged.groupBy(*signature).agg(*[F.sum(F.expr(v)).alias(n) for n, v in PAIRED_SUMS.items()])
-            .repartition("model_id", "venue", "cluster_id"))
-
-    def place(horizon: Column, category: Column, one_window: bool = False) -> Column:
-        return F.struct(horizon.alias("horizon"), category.alias("category"), F.lit(one_window).alias("one_window"))
-
-    free, pooled = ~F.col("is_control"), F.lit("ALL")
-    places = F.array_compact(F.array(
-        place(F.lit("all"), pooled),
-        F.when(free & F.col("category").isNotNull(), place(F.lit("all"), F.col("category"))),
-        F.when(free & F.col("stated_bucket").isNotNull(), place(F.concat(F.lit("hs_"), "stated_bucket"), pooled)),
-        F.when(free & F.col("realized_bucket").isNotNull(), place(F.concat(F.lit("hr_"), "realized_bucket"), pooled, True))))
-    labelled = F.when(F.col("is_control"), F.array(F.lit("null_control"))).otherwise(unmask("window_bits", in_window))
-    # the arrays are built once per signature; what is expanded are plain columns
-    lists = base.select("model_id", "venue", "cluster_id", *PAIRED_SUMS, labelled.alias("windows"),
-                        unmask("variant_bits", in_variant).alias("variants"), places.alias("places"))
+    base = (flagged.groupBy("condition_id", *signature).agg(*[F.sum(F.expr(v)).alias(n) for n, v in PAIRED_SUMS.items()])
+            .drop("condition_id").repartition("model_id", "venue", "cluster_id")
+            .groupBy(*signature).agg(*[F.sum(n).alias(n) for n in PAIRED_SUMS]))
+
     cell = ["model_id", "venue", "category", "window_label", "horizon", "variant"]
-    clusters = (lists.withColumn("window_label", F.explode("windows")).withColumn("place", F.explode("places"))
-                .where("not place.one_window or window_label = 'confirmatory'")
-                .withColumn("variant", F.explode("variants"))
-                .groupBy("model_id", "venue", F.col("place.category").alias("category"), "window_label",
-                         F.col("place.horizon").alias("horizon"), "variant", "cluster_id")
-                .agg(*[F.sum(n).alias(n) for n in PAIRED_SUMS]))
-    return sequence_columns(paired_from_clusters(clusters, cell), "skill_cluster_mean", "skill_cluster_var",
-                            "n_clusters", alpha).drop("skill_cluster_mean", "skill_cluster_var")
+    parts = cell_parts(base, list(PAIRED_SUMS), [n for n, _ in in_window], [n for n, _ in in_variant])
+    n, mean = F.sum("n_clusters"), F.sum(F.col("n_clusters") * F.col("mean")) / F.sum("n_clusters")
+    spread = F.sum(F.col("m2") + F.col("n_clusters") * F.col("mean") * F.col("mean")) - n * mean * mean
+    cells = parts.groupBy(*cell).agg(*[F.sum(c).alias(c) for c in PAIRED_SUMS], n.alias("n_clusters"), mean.alias("skill_cluster_mean"),
+                                     F.when(n > 1, F.greatest(F.lit(0.0), spread) / (n - 1)).alias("__var"))
+    total = F.col("s_n")
+    out = cells.select(
+        *cell, total.cast("long").alias("n"), "n_clusters", (F.col("s_model") / total).alias("brier_model"), (F.col("s_market") / total).alias("brier_market"),
+        (F.col("s_skill") / total).alias("skill"), (F.col("s_ll_model") / total).alias("log_loss_model"), (F.col("s_ll_market") / total).alias("log_loss_market"),
+        (2.8 * F.sqrt("__var") / F.sqrt("n_clusters")).alias("mde"), "skill_cluster_mean", F.coalesce("__var", F.lit(0.0)).alias("skill_cluster_var"))
+    return sequence_columns(out, "skill_cluster_mean", "skill_cluster_var", "n_clusters", alpha).drop("skill_cluster_mean", "skill_cluster_var")
+
+
+#: Signature rows that a task adds up at once; a cluster has no more than there are signatures.
+CHUNK_ROWS = 100_000
+
+
+def cell_parts(base: DataFrame, sums: list[str], in_window: list[str], in_variant: list[str]) -> DataFrame:
+    """Sums, number of clusters, mean and squared deviations of their means, for each cell and chunk of whole clusters.
+
+    A cluster enters some forty cells. They are never made into rows: a task reads its clusters in order and
+    adds up one cell's rows after the other, by the bits of window and variant.
+    """
+    texts = ["model_id", "venue", "cluster_id", "category", "stated_bucket", "realized_bucket"]
+    names = ["model_id", "venue", "category", "window_label", "horizon", "variant", *sums, "n_clusters", "mean", "m2"]
+
+    def coded(column) -> tuple[np.ndarray, list]:
+        column = column.combine_chunks().dictionary_encode(null_encoding="encode")
+        return column.indices.to_numpy(zero_copy_only=False).astype("i8"), column.dictionary.to_pylist()
+
+    def parts(t: pa.Table, cluster: np.ndarray, codes: dict) -> pa.RecordBatch:
+        out = {n: [] for n in names}
+        control, window, variant = (t[n].to_numpy() for n in ("is_control", "window_bits", "variant_bits"))
+        values = np.column_stack([t[n].to_numpy().astype("f8") for n in sums])
+        (model, models), (venue, venues) = codes["model_id"], codes["venue"]
+        everyone, pooled = (np.zeros(len(cluster), "i8"), ["ALL"]), ("all", "ALL")
+        for source, label, only in ((everyone, lambda x: pooled, None), (codes["category"], lambda x: ("all", x), None),
+                                    (codes["stated_bucket"], lambda x: (f"hs_{x}", "ALL"), None),
+                                    (codes["realized_bucket"], lambda x: (f"hr_{x}", "ALL"), "confirmatory")):
+            code, known = source
+            usable = np.array([x is not None for x in known], bool)[code] & (~control | (source is everyone))
+            order = np.flatnonzero(usable)
+            order = order[np.argsort(cluster[order] * len(known) + code[order], kind="stable")]
+            for w, window_label in [*enumerate(in_window), (None, "null_control")]:
+                if only not in (None, window_label):
+                    continue
+                of_window = order[control[order]] if w is None else order[~control[order] & (window[order] >> w & 1 == 1)]
+                for v, variant_label in enumerate(in_variant):
+                    at = of_window[variant[of_window] >> v & 1 == 1]
+                    if not len(at):
+                        continue
+                    key = cluster[at] * len(known) + code[at]
+                    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                    s = np.add.reduceat(values[at], first, axis=0)
+                    mean = s[:, sums.index("s_skill")] / s[:, sums.index("s_n")]
+                    lead = at[first]
+                    cells, inside = np.unique((model[lead] * len(venues) + venue[lead]) * len(known) + code[lead], return_inverse=True)
+                    n = np.bincount(inside)
+                    means = np.bincount(inside, mean) / n
+                    for x in cells.tolist():
+                        horizon, category = label(known[x % len(known)])
+                        for name, value in (("model_id", models[x // len(known) // len(venues)]), ("venue", venues[x // len(known) % len(venues)]), ("category", category),
+                                            ("window_label", window_label), ("horizon", horizon), ("variant", variant_label)):
+                            out[name].append(value)
+                    for j, name in enumerate(sums):
+                        out[name] += np.bincount(inside, s[:, j]).tolist()
+                    out["n_clusters"] += n.tolist()
+                    out["mean"] += means.tolist()
+                    out["m2"] += np.bincount(inside, (mean - means[inside]) ** 2).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(out[n], pa.string() if k < 6 else pa.int64() if n == "n_clusters" else pa.float64()) for k, n in enumerate(names)], names)
+
+    def step(batches):
+        held, size = [], 0
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held.append(b)
+                size += b.num_rows
+            if not size or b is not None and size < CHUNK_ROWS:
+                continue
+            t = pa.Table.from_batches(held)
+            codes = {n: coded(t[n]) for n in texts}
+            own = [codes[n][0] for n in texts[:3]]
+            new = np.append(True, np.any([x[1:] != x[:-1] for x in own], axis=0))
+            # the last cluster may go on in the next batch
+            end = t.num_rows if b is None else int(np.flatnonzero(new)[-1])
+            if end:
+                yield parts(t.slice(0, end), np.cumsum(new)[:end], {n: (c[:end], known) for n, (c, known) in codes.items()})
+            held, size = t.slice(end).to_batches(), t.num_rows - end
+
+    ordered = base.sortWithinPartitions("model_id", "venue", "cluster_id").select(*texts, "is_control", "window_bits", "variant_bits", *sums)
+    kinds = ", ".join(f"{n} {'string' if k < 6 else 'long' if n == 'n_clusters' else 'double'}" for k, n in enumerate(names))
+    return ordered.mapInArrow(step, kinds)

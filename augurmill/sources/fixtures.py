@@ -62,12 +62,15 @@ def resolutions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forecasts(spark: SparkSession, sf: str) -> DataFrame:
-    """Ledger rows with the market columns frozen beside them."""
+    """Ledger rows with the market columns frozen beside them.
+
+    They are joined by the market's own id, so a later join or grouping by that id finds the rows in their place.
+    """
     li = table(spark, sf, "lineitem")
-    m = markets(spark, sf).select("k", "condition_id", "event_id", "venue", "category", "neg_risk", "end_s")
+    m = markets(spark, sf).select("condition_id", "event_id", "venue", "category", "neg_risk", "end_s")
     lk, lp = F.col("l_orderkey"), F.col("l_partkey")
     price = 3e-2 + 94e-2 * (((lk * 31 + (lp % 3) * 101) % 997) / 996e0)
-    return li.join(m, lk == F.col("k")).select(
+    return li.join(m, F.concat(F.lit("m"), lk) == F.col("condition_id")).select(
         F.concat_ws("-", lk.cast("string"), F.col("l_linenumber").cast("string"), lp.cast("string"),
                     F.col("l_suppkey").cast("string"),
                     F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")).alias("forecast_id"),

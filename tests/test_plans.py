@@ -47,3 +47,15 @@ def test_every_query_has_a_twin():
     """The queries of the plans; those of the optional part are tested where it is."""
     own = {name for name, run in QUERIES.items() if run.__module__.startswith("augurmill.plans")}
     assert len(own) > 130 and own <= set(entry.oracle_sql())
+
+
+def test_matrix_shuffles_its_rows_once_and_makes_no_row_per_cell(spark, sf):
+    """Rows that the joins placed by market are numbered and added up there; then one shuffle by cluster, one of the cells' parts."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["eval_matrix"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    rows = [line for line in plan.splitlines() if "hashpartitioning(forecast_id" in line or "Generate explode" in line]
+    assert not rows and plan.count("hashpartitioning(model_id") == 2
