@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from augurmill.functions import exprs as X
 from augurmill.functions.prefix import running
@@ -171,6 +173,7 @@ MODULUS, STEP = 2147483647, 1140671485
 
 def _weights(clusters: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
     """Each cluster with the replicates that draw it, and how often: `rep`, `w` (above 0), Poisson with mean 1.
+    `drawn_sums` adds up the same weights without a row for each.
 
     One hash per cluster starts its sequence: two numbers h and g below a prime. Replicate r takes
     the fifth power of h + r * STEP, which permutes the numbers below that prime, and adds g. So a cell of any
@@ -197,11 +200,96 @@ def _interval(means: DataFrame, by: list[str], alpha: float, value: str = "m") -
         F.expr(f"percentile({value}, {1 - alpha / 2}D)").alias("ci_hi"))
 
 
+#: Draws that a task makes at once, clusters times replicates: they stay in a core's cache.
+DRAWS = 1 << 15
+#: Sums that a task holds at once, cells times replicates.
+HELD_SUMS = 1 << 20
+#: The numbers below the modulus from which on a cluster is drawn once, twice and so on.
+DRAWN_FROM = np.array([next(x for x in range(max(0, int(c * MODULUS) - 2), MODULUS) if x / MODULUS >= c) for c in POISSON_CDF if (MODULUS - 1) / MODULUS >= c], "i4")
+
+
+def weight_table(h: np.ndarray, g: np.ndarray, replicates: int) -> np.ndarray:
+    """The weights of `_weights` as a table, a row for each cluster.
+
+    The modulus is 2 ** 31 - 1, so a number's upper bits may be added to its lower 31; 64 bits hold every product.
+    """
+    m, bits = np.uint64(MODULUS), np.uint64(31)
+
+    def folded(x, times):
+        for _ in range(times):
+            upper = x >> bits
+            x &= m
+            x += upper
+        return x
+
+    def below(x):  # from below twice the modulus
+        return np.minimum(x, x - m)  # what would be negative is large
+
+    x = below(h.astype("u8")[:, None] + np.arange(1, replicates + 1, dtype="u8") * np.uint64(STEP) % m)
+    y = folded(x * x, 1)
+    y *= y
+    y = folded(y, 2)
+    y *= x
+    y = folded(y, 2)
+    y = below(y)
+    y += g.astype("u8")[:, None]
+    last = below(y).astype("i4")
+    w = np.zeros(last.shape, "i1")
+    for least in DRAWN_FROM:
+        w += last >= least
+    return w
+
+
+def drawn_sums(clusters: DataFrame, by: list[str], values: list[str], replicates: int, seed: int, inside: list[str] | None = None) -> DataFrame:
+    """Sums of `values` times the weight for each cell (`by` and `inside`) and replicate that draws any of its clusters.
+
+    `clusters` has one row for each cell and cluster; its draw does not depend on `inside`. Each task adds up
+    the draws of its own clusters as products of a table of weights and the values, and a sum for each cell and
+    replicate is all it sends on: neither draws nor clusters are shuffled for it.
+    """
+    cell = by + (inside or [])
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by], F.col("cluster_id"))
+    part = lambda at: F.conv(F.substring("__digest", at, 8), 16, 10).cast("long") % MODULUS
+    staged = clusters.withColumn("__digest", F.sha2(text, 256)).select(*cell, part(1).alias("__h"), part(9).alias("__g"), *[F.col(v).cast("double").alias(v) for v in values])
+    fields = {f.name: f for f in staged.schema}
+    names = [*cell, "rep", "__drawn", *values]
+
+    def step(batches):
+        sums: dict[tuple, np.ndarray] = {}
+
+        def rows():
+            for key, s in sums.items():
+                reps = np.flatnonzero(s[:, 0] > 0)
+                columns = [pa.array([v] * len(reps), to_arrow_type(fields[c].dataType)) for v, c in zip(key, cell)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(reps + 1, pa.int32()), *[pa.array(s[reps, j]) for j in range(len(values) + 1)]], names)
+            sums.clear()
+
+        for b in batches:
+            keys = list(zip(*[b.column(c).to_pylist() for c in cell]))
+            known: dict[tuple, int] = {}
+            of = np.fromiter((known.setdefault(k, len(known)) for k in keys), "i8", len(keys))
+            h, g = b.column("__h").to_numpy(), b.column("__g").to_numpy()
+            v = np.column_stack([np.ones(len(keys)), *[b.column(x).to_numpy() for x in values]])
+            order = np.argsort(of, kind="stable")
+            ends = np.cumsum(np.bincount(of, minlength=len(known)))
+            for key, start, end in zip(known, np.append(0, ends), ends):
+                total = sums.setdefault(key, np.zeros((replicates, v.shape[1])))
+                for lo in range(start, end, max(1, DRAWS // replicates)):
+                    at = order[lo:min(end, lo + max(1, DRAWS // replicates))]
+                    total += weight_table(h[at], g[at], replicates).T.astype("f8") @ v[at]
+            if len(sums) * replicates > HELD_SUMS:
+                yield from rows()
+        yield from rows()
+
+    kinds = ", ".join([*[f"`{c}` {fields[c].dataType.simpleString()}" for c in cell], "rep int", *[f"{x} double" for x in ("__drawn", *values)]])
+    return staged.mapInArrow(step, kinds).groupBy(*cell, "rep").agg(*[F.sum(x).alias(x) for x in values])
+
+
 def resample(clusters: DataFrame, by: list[str], replicates: int, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Interval of sum(s)/sum(n) over resampled clusters; `clusters` is (by, cluster_id, n, s). A replicate that draws
     no cluster of a cell counts for nothing there."""
-    sums = _weights(clusters.select(*by, "cluster_id", "n", "s"), by, replicates, seed).groupBy(*by, "rep")
-    return _interval(sums.agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m")), by, alpha)
+    sums = drawn_sums(clusters.select(*by, "cluster_id", "n", "s"), by, ["n", "s"], replicates, seed)
+    return _interval(sums.select(*by, (F.col("s") / F.col("n")).alias("m")), by, alpha)
 
 
 def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -224,9 +312,7 @@ def stratified_ci(rows: DataFrame, by: list[str], replicates: int = 2000, seed:
     d = X.skill(P, Q, Y)
     moments = rows.groupBy(*by, "cluster_id", step_index(F.col(Q), STRATA).alias("stratum")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("q"))
-    w = F.col("w")
-    strata = (_weights(moments, by, replicates, seed).groupBy(*by, "rep", "stratum")
-              .agg(F.sum(w * F.col("n")).alias("n"), F.sum(w * F.col("s")).alias("s"), F.sum(w * F.col("q")).alias("q"))
+    strata = (drawn_sums(moments, by, ["n", "s", "q"], replicates, seed, ["stratum"])
               .withColumn("mean", F.col("s") / F.col("n"))
               .withColumn("var", F.when(F.col("n") > 1, (F.col("q") - F.col("s") * F.col("mean")) / (F.col("n") - 1))))
     per_rep = pool_strata(strata, by + ["rep"])

@@ -119,6 +119,18 @@ def test_replicate_weights_are_poisson_and_unrelated(spark):
         assert abs(r.mean()) < 0.002 and np.abs(r).max() < 0.3 and abs(r.std() * np.sqrt(table.shape[1]) - 1) < 0.05
 
 
+def test_sums_of_draws_make_no_row_per_draw(spark):
+    """The tables of weights give the sums of the weights' rows, and no plan expands clusters by replicates."""
+    clusters = spark.range(500).select(F.when(F.col("id") % 3 > 0, "m").alias("model_id"), (F.col("id") % 4).alias("stratum"), F.concat(F.lit("c"), F.col("id") % 250).alias("cluster_id"),
+                                       F.lit(2).alias("n"), (F.col("id") / 7).alias("s"))
+    w = F.col("w")
+    want = E._weights(clusters, ["model_id"], 70, 5).groupBy("model_id", "stratum", "rep").agg(F.sum(w * F.col("n")).alias("n"), F.sum(w * F.col("s")).alias("s"))
+    got = E.drawn_sums(clusters, ["model_id"], ["n", "s"], 70, 5, ["stratum"])
+    plain = lambda d: sorted((str(r["model_id"]), r["stratum"], r["rep"], float(r["n"]), round(r["s"], 6)) for r in d.collect())
+    assert plain(got) == plain(want)
+    assert "Generate" not in E.bootstrap_ci(scored(spark, random_rows(60, 10)), ["model_id"])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_resampling_gathers_no_clusters(spark, sf):
     data = random_rows(60, 10)
     for op in (E.bootstrap_ci, E.stratified_ci):
