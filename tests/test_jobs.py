@@ -1,5 +1,6 @@
 """Archive, ledger, audit, accounting, fits, graph and streams on small literal or random data."""
 
+import hashlib
 import json
 import math
 
@@ -147,6 +148,22 @@ def test_exposure_admit_equals_one_long_fold(spark, fold_rows):
     assert {r["trade_id"] for r in got.collect()} == want
 
 
+def test_wealth_bands_over_ranges_of_hashes(spark, monkeypatch):
+    """Several ranges, blocks and a cell of one row: the quantiles of paths ordered in memory; no row per draw in the plan."""
+    monkeypatch.setattr(accounting, "SLICE_DRAWS", 900)
+    monkeypatch.setattr(accounting, "STEP_BLOCK", 70)
+    data = [("m1" if i % 3 else "m2", "c", f"f{i}", (i * 37 % 101 - 50) / 1000) for i in range(500)] + [("m3", "c", "only", 0.5)]
+    got = accounting.wealth_bands(spark.createDataFrame(data, "model_id string, category string, forecast_id string, log_wealth_delta double"), ["model_id", "category"], 9, 4)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for m in ("m1", "m2", "m3"):
+        own = [(f, x) for model, _, f, x in data if model == m]
+        paths = [np.cumsum([x for _, x in sorted(own, key=lambda r: hashlib.sha256(f"4|{rep}|{r[0]}".encode()).hexdigest())]) for rep in range(1, 10)]
+        for step, (lo, hi) in enumerate(np.quantile(paths, [0.05, 0.95], axis=0).T, 1):
+            want[m, step] = (pytest.approx(lo), pytest.approx(hi))
+    assert {(r["model_id"], r["step"]): (r["lo"], r["hi"]) for r in got.collect()} == want
+
+
 def test_first_loss_is_a_drawdown(spark):
     done = spark.createDataFrame([("1", 1, -5.0, 0.0), ("2", 2, 3.0, 0.0), ("3", 3, -1.0, 0.0)], "trade_id string, exit_s bigint, pnl double, fee double")
     none = spark.createDataFrame([], "condition_id string, token_side string, stake double, entry_price double")
