@@ -61,8 +61,9 @@ def snapshot_append(batch: DataFrame, path: str, order: str = "quote_id") -> Non
     spark = batch.sparkSession
     archive = snapshot_read(spark, path, columns=[*KEY, "date"]) if has_files(spark, path, "date=*") else None
     fresh = new_rows(batch, archive, order)
-    # rebalance keeps one file per hour where it is small and splits a hot hour over tasks
-    fresh.hint("rebalance", "date", "hour").write.mode("append").partitionBy("date", "hour").parquet(path)
+    # ranges keep an hour in one file or few, split a hot hour over tasks, and hold inside a stream's batch too, where
+    # a rebalance hint is dropped: each task then wrote a file for each hour
+    fresh.repartitionByRange("date", "hour", *KEY).write.mode("append").partitionBy("date", "hour").parquet(path)
 
 
 def has_files(spark: SparkSession, path: str, pattern: str) -> bool:

@@ -443,6 +443,15 @@ def test_snapshot_stream_holds_one_quote_per_bucket(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def test_a_stream_batch_writes_few_files_for_each_hour(spark, tmp_path):
+    """Not one for each task and hour."""
+    q = spark.range(4000).select(F.col("id").cast("string").alias("quote_id"), F.concat(F.lit("c"), F.col("id") % 50).alias("condition_id"),
+                                 (F.col("id") * 37 % 144_000).alias("ts_s"), F.lit(0.5).alias("mid"))
+    jobs.stream_snapshots(files(spark, q, str(tmp_path / "in"), 1), 5, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 40 <= len(list((tmp_path / "out").glob("date=*/hour=*/*.parquet"))) <= 40 + tasks
+
+
 def test_snapshot_state_expires_and_the_first_write_still_stands(spark, tmp_path):
     """The fourth batch repeats the first long after its state is gone; a late quote of an empty bucket still comes in."""
     batches = [[("a", "x", 100, 1.0)], [("b", "x", 5000, 2.0)], [("c", "y", 90_000, 3.0)], [("d", "x", 110, 4.0), ("e", "z", 7, 5.0), ("f", "x", 4990, 6.0)]]
