@@ -219,7 +219,8 @@ def exposure_admit(candidates: DataFrame, open_exposure: DataFrame, cap: float =
              | ((F.col("seq") == F.col("last_seq")) & (F.col("trade_id") > F.col("last_id"))))
     order = Window.partitionBy("category").orderBy("seq", "trade_id")
     for _ in range(max_rounds):
-        heads = (pool.join(state, "category").where(after & (F.col("used") + F.col("stake") <= cap))
+        # one row a category goes to the tasks; a join by category would bring each category into one task
+        heads = (pool.join(F.broadcast(state), "category").where(after & (F.col("used") + F.col("stake") <= cap))
                  .withColumn("r", F.row_number().over(order)).where(F.col("r") <= fold_rows))
         items = heads.groupBy("category").agg(F.max("used").alias("used"),
                                               F.array_sort(F.collect_list(F.struct("seq", "trade_id", "stake"))).alias("items"))
@@ -250,6 +251,37 @@ def trade_settle(trades: DataFrame, resolutions: DataFrame) -> DataFrame:
             .withColumn("pnl", pnl).withColumn("exit_s", F.col("resolved_s")).drop(Y, "resolved_s").withColumn("status", F.lit("resolved")))
 
 
+def deepest_drawdown(rows: DataFrame, order: list[str], value: str) -> DataFrame:
+    """`max_drawdown`, the least distance of the running sum of all rows from its maximum so far; it starts at zero, so
+    a first loss is already a drawdown.
+
+    Rows are dealt by ranges of the order. A task reads its range once and keeps its sum, highest and lowest point and
+    deepest drawdown; these four numbers are enough to put the ranges together.
+    """
+    first = rows.select(*order).schema
+
+    def step(batches):
+        at, total, top, low, dip = None, 0.0, -np.inf, np.inf, 0.0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = at or [b.column(c)[0].as_py() for c in order]
+            path = total + np.cumsum(b.column(value).to_numpy(zero_copy_only=False))
+            tops = np.maximum(np.maximum.accumulate(path), top)
+            total, top, low, dip = path[-1], tops[-1], min(low, path.min()), min(dip, (path - tops).min())
+        if at:
+            yield pa.RecordBatch.from_arrays([*[pa.array([x], to_arrow_type(f.dataType)) for x, f in zip(at, first)], *[pa.array([float(x)]) for x in (total, top, low, dip)]], [*order, "total", "top", "low", "dip"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first)
+    ranged = rows.select(*order, F.coalesce(value, F.lit(0.0)).alias(value)).repartitionByRange(*order).sortWithinPartitions(*order)
+    # a row for each range from here on
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.mapInArrow(step, f"{kinds}, total double, top double, low double, dip double").withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    peak = F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("start") + F.col("top")).over(before), F.lit(0.0)))
+    dips = parts.select(F.least("dip", F.col("start") + F.col("low") - peak).alias("dip"))
+    return dips.agg(F.coalesce(F.least(F.lit(0.0), F.min("dip")), F.lit(0.0)).alias("max_drawdown"))
+
+
 def trade_summary(resolved: DataFrame, still_open: DataFrame, latest: DataFrame) -> DataFrame:
     """One row: realized, fees, gross, hit rate, mark-to-market and the deepest drawdown."""
     done = resolved.agg(
@@ -259,10 +291,7 @@ def trade_summary(resolved: DataFrame, still_open: DataFrame, latest: DataFrame)
     held = still_open.join(latest.select("condition_id", "mid"), "condition_id", "left").agg(
         F.count(F.lit(1)).alias("open_trades"),
         F.coalesce(F.sum(F.col("stake") / F.col("entry_price") * mark - F.col("stake")), F.lit(0.0)).alias("unrealized_pnl"))
-    path = running(resolved.withColumn("book", F.lit("all")), ["book"], ["exit_s", "trade_id"], sums={"cum": F.col("pnl")})
-    # the path starts at zero, so a first loss is already a drawdown
-    dips = running(path, ["book"], ["exit_s", "trade_id"], maxes={"peak": F.greatest(F.col("cum"), F.lit(0.0))})
-    low = dips.agg(F.coalesce(F.min(F.col("cum") - F.col("peak")), F.lit(0.0)).alias("max_drawdown"))
+    low = deepest_drawdown(resolved.select("exit_s", "trade_id", "pnl"), ["exit_s", "trade_id"], "pnl")
     # three one-row aggregates
     return (done.crossJoin(held).crossJoin(low)
             .withColumn("gross_pnl", F.col("realized_pnl") + F.col("total_fees"))

@@ -164,6 +164,30 @@ def test_wealth_bands_over_ranges_of_hashes(spark, monkeypatch):
     assert {(r["model_id"], r["step"]): (r["lo"], r["hi"]) for r in got.collect()} == want
 
 
+def test_no_category_is_brought_into_one_task_to_learn_its_state(spark):
+    """The states go to the candidates, whatever the planner knows of sizes."""
+    c = spark.range(300).select(F.concat(F.lit("k"), F.col("id") % 3).alias("category"), F.col("id").alias("seq"), F.col("id").cast("string").alias("trade_id"), F.lit(30.0).alias("stake"))
+    plans = []
+    real = accounting.cut
+    accounting.cut = lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or real(d)
+    try:
+        got = accounting.exposure_admit(c, spark.createDataFrame([("k1", 1910.0)], "category string, exposure double"), fold_rows=20)
+        assert got.groupBy("category").count().orderBy("category").collect() == [("k0", 66), ("k1", 3), ("k2", 66)]
+    finally:
+        accounting.cut = real
+    assert len(plans) > 3 and all("strategy=broadcast" in p for p in plans[1:])
+
+
+@pytest.mark.parametrize("n", [0, 1, 997])
+def test_deepest_drawdown_over_ranges(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=n)
+    path = np.concatenate([[0.0], np.cumsum(x)])
+    rows = spark.createDataFrame([(i // 5, f"{i:04d}", float(v)) for i, v in enumerate(x)], "exit_s long, trade_id string, pnl double").repartition(3)
+    got = accounting.deepest_drawdown(rows, ["exit_s", "trade_id"], "pnl")
+    assert got.first()[0] == pytest.approx((path - np.maximum.accumulate(path)).min())
+
+
 def test_first_loss_is_a_drawdown(spark):
     done = spark.createDataFrame([("1", 1, -5.0, 0.0), ("2", 2, 3.0, 0.0), ("3", 3, -1.0, 0.0)], "trade_id string, exit_s bigint, pnl double, fee double")
     none = spark.createDataFrame([], "condition_id string, token_side string, stake double, entry_price double")
