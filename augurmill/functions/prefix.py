@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from augurmill.session import cut
+from augurmill.session import scratch_path
 
 SLICE, KEY = "__slice", "__key"
 
@@ -19,12 +19,15 @@ SLICE, KEY = "__slice", "__key"
 def slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Tag rows with their range slice. `order` must end in a unique column.
 
-    The checkpoint fixes the tags: range bounds are sampled, and a recomputed
-    sample could move rows between the totals and the detail.
+    A written table fixes the tags: range bounds are sampled, and a recomputed
+    sample could move rows between the totals and the detail. Its columns are
+    compressed, which a checkpoint's rows are not.
     """
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = df.repartitionByRange(parts, *[F.col(c) for c in keys + order])
-    return cut(ranged.withColumn(SLICE, F.spark_partition_id()))
+    tagged, at = ranged.withColumn(SLICE, F.spark_partition_id()), scratch_path(df.sparkSession, "slices")
+    tagged.write.parquet(at)
+    return df.sparkSession.read.schema(tagged.schema).parquet(at)
 
 
 def running(df: DataFrame, keys: list[str], order: list[str],
@@ -48,9 +51,10 @@ def running(df: DataFrame, keys: list[str], order: list[str],
         *[F.max(f"__v_{n}").alias(f"__t_{n}") for n in maxes])
     # one row per (key, slice): a key spans at most as many rows as there are slices
     before = Window.partitionBy(KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        KEY, SLICE, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
-        *[F.max(f"__t_{n}").over(before).alias(f"__o_{n}") for n in maxes])
+    # only a slice's first key can have begun in a slice before: fewer rows than there are slices
+    offsets = totals.withColumn("__begun", F.lag(SLICE).over(Window.partitionBy(KEY).orderBy(SLICE))).select(
+        KEY, SLICE, "__begun", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
+        *[F.max(f"__t_{n}").over(before).alias(f"__o_{n}") for n in maxes]).where("__begun is not null").drop("__begun")
 
     so_far = (Window.partitionBy(KEY, SLICE).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -59,7 +63,7 @@ def running(df: DataFrame, keys: list[str], order: list[str],
         local = local.withColumn(n, F.sum(f"__v_{n}").over(so_far))
     for n in maxes:
         local = local.withColumn(n, F.max(f"__v_{n}").over(so_far))
-    out = local.join(offsets, [KEY, SLICE], "left")
+    out = local.join(F.broadcast(offsets), [KEY, SLICE], "left")
     for n in sums:
         out = out.withColumn(n, F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0)))
     for n in maxes:

@@ -257,6 +257,13 @@ def test_running_sums_of_a_hot_key(spark, partitions):
         assert got[i]["top"] == state[k][1] and got[i]["n"] == state[k][2]
 
 
+def test_running_lays_its_slices_down_as_a_compressed_table(spark):
+    """No checkpoint of whole rows, and only what keys bring from slices before is joined to them."""
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id"))
+    plan = running(df, ["k"], ["id"], sums={"s": F.col("id")})._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "parquet" in plan and "strategy=broadcast" in plan
+
+
 def test_running_keeps_null_keys_together(spark):
     df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), ("a", 3, 5.0)], "k string, t bigint, v double")
     got = {r["t"]: r["cum"] for r in running(df, ["k"], ["t"], sums={"cum": F.col("v")}).collect()}
