@@ -97,31 +97,35 @@ def evidence_etl(raw: DataFrame) -> DataFrame:
 
     The schema allows a bare array or an object holding one under a known key.
     Values are read as text and cast, so a wrong type is seen rather than
-    coerced. One bad item rejects the whole array.
+    coerced. One bad item rejects the whole array. Each step is a column of its
+    own: an expression written out wherever it is used reads the text anew each time.
     """
-    body = F.regexp_replace("text", r"^\s+|\s+$", "")
-    fenced = body.startswith("```")
-    inner = F.regexp_replace(F.regexp_replace(body, "^`+|`+$", ""), r"^(json)?\s+", "")
-    body = F.when(fenced, inner).otherwise(body)
-    bare = whole_json(body, f"array<{ITEM}>")
-    wrapped = whole_json(body, "struct<" + ",".join(f"{k}:array<{ITEM}>" for k in LIST_KEYS) + ">")
+    body = F.col("__body")
+    inner = F.regexp_replace(F.btrim(body, F.lit("`")), r"^(json)?\s+", "")
     is_list = body.startswith("[")
-    found = F.when(is_list, bare).otherwise(F.coalesce(*[wrapped[k] for k in LIST_KEYS]))
+    boxed = F.concat(F.lit("["), body, F.lit("]"))
+    wrapper = "struct<" + ",".join(f"{k}:array<{ITEM}>" for k in LIST_KEYS) + ">"
+    read = (raw.withColumn("__body", F.btrim("text", F.lit(" \t\n\x0b\f\r")))
+            .withColumn("__body", F.when(body.startswith("```"), inner).otherwise(body))
+            .withColumn("__bare", F.when(is_list, F.from_json(boxed, f"array<array<{ITEM}>>")))
+            .withColumn("__wrapped", F.when(~is_list, F.from_json(boxed, f"array<{wrapper}>"))))
+    bare, wrapped = (F.when(F.size(c) == 1, F.col(c)[0]) for c in ("__bare", "__wrapped"))
+    found = F.coalesce(bare, *[wrapped[k] for k in LIST_KEYS])
 
     def whole(x: Column) -> Column:
         return F.floor(x.try_cast("double")).cast("int")
 
     def ok(e: Column) -> Column:
         good = (e["direction"].isin("for_yes", "for_no", "neutral") & e["claim"].isNotNull()
-                & whole(e["strength"]).between(1, 3) & whole(e["source_reliability"]).between(1, 3)
-                & e["relevance"].try_cast("double").between(0.0, 1.0))
+                & e["strength"].between(1, 3) & e["source_reliability"].between(1, 3) & e["relevance"].between(0.0, 1.0))
         return F.coalesce(good, F.lit(False))
 
     clean = F.transform(found, lambda e: F.struct(
         e["claim"].alias("claim"), e["direction"].alias("direction"), whole(e["strength"]).alias("strength"),
         whole(e["source_reliability"]).alias("source_reliability"), e["relevance"].try_cast("double").alias("relevance"),
         F.coalesce(whole(e["article_index"]), F.lit(-1)).alias("article_index")))
-    return raw.withColumn("items", F.when(found.isNotNull() & F.forall(found, ok), clean))
+    return (read.withColumn("__clean", clean).withColumn("items", F.when(F.forall("__clean", ok), F.col("__clean")))
+            .drop("__body", "__bare", "__wrapped", "__clean"))
 
 
 def lessons_digest(postmortems: DataFrame, since_s: int) -> DataFrame:

@@ -59,3 +59,9 @@ def test_matrix_shuffles_its_rows_once_and_makes_no_row_per_cell(spark, sf):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     rows = [line for line in plan.splitlines() if "hashpartitioning(forecast_id" in line or "Generate explode" in line]
     assert not rows and plan.count("hashpartitioning(model_id") == 2
+
+
+def test_evidence_texts_are_read_once(spark, sf):
+    """A list or an object: two readers in the plan, one of them for each text, however often the items are used."""
+    plan = QUERIES["evidence_etl"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 2
