@@ -18,6 +18,10 @@ bags that are similar enough share a shingle of their prefixes whose positions l
 room for the overlap. So every link between those members is found, whatever the size
 of their places, unless a chain of links has replaced it.
 
+A candidate becomes a row only if the sketches of both bags allow the similarity: each
+bit in which they differ is a shingle that only one of them holds. So a large group of
+texts that are a little too different makes few rows, and no link is lost by it.
+
 **Classes.** Candidates are verified on the bags; connected components come from
 label steps on the classes, on tables. Bags are made only for candidates.
 """
@@ -36,14 +40,17 @@ from augurmill.llm.common import arrow_map, llm_query, mix, stored, table, texts
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** ROWS) ** BANDS, 7 in 10,000.
 BANDS, ROWS = 24, 6
-#: Centres that a meeting place gets before the exact join.
-CENTRES = 4
+#: Centres that a meeting place gets in a round before the exact join, the rounds at most, and the share of the members
+#: that a round must link for the next one.
+CENTRES, ROUNDS, WORTH = 4, 4, 0.02
 #: Counters of the shingles' frequencies, which order the bags; shingles that share one only make the order less sharp.
 COUNTERS = 1 << 20
 #: Rows of one shingle that one task joins with all rows of it.
 SALT_ROWS = 2000
 #: Shingles before its own that a prefix row carries, so that pairs which met at one of them don't meet again.
 RECENT = 8
+#: Bits of the sketch of a bag; a bit is the parity of the bag's shingles that fall on it.
+SKETCH_BITS = 1024
 #: Bytes of text that are signed at once.
 BATCH_BYTES = 1 << 21
 
@@ -78,6 +85,24 @@ def bags(batch_texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray
     return doc[first], s[first], np.diff(np.append(first, len(doc)))
 
 
+def occurrences(doc: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and 32-bit hash of every occurrence of a shingle, so that bags overlap like sets."""
+    each = np.repeat(np.arange(len(h)), weight)
+    turn = np.arange(len(each)) - np.repeat(np.cumsum(weight) - weight, weight)
+    return doc[each], (mix(h[each] + turn.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype("<u4")
+
+
+def sketches(owner: np.ndarray, values: np.ndarray, texts_n: int) -> np.ndarray:
+    """SKETCH_BITS for each text, as 64-bit numbers."""
+    counts = np.bincount(owner * SKETCH_BITS + values.astype("i8") % SKETCH_BITS, minlength=texts_n * SKETCH_BITS)
+    return np.packbits((counts % 2).astype(bool).reshape(texts_n, SKETCH_BITS), axis=1, bitorder="little").view("<i8")
+
+
+def lists(values: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype="i4") * values.shape[1]), pa.array(values.reshape(-1)))
+
+
 def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, texts_n: int, registers: int) -> np.ndarray:
     """For each text the hashes of the first points to reach its registers; texts without shingles keep zeros."""
     best, sig = np.full(texts_n * registers, np.inf), np.zeros(texts_n * registers, "u8")
@@ -124,7 +149,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, texts_n: int,
 
 
 def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, __uid, __key, digest (128 bits of the bag; null without words), size (of the bag) and one hash for each band."""
+    """doc_id, __uid, __key, digest (128 bits of the bag; null without words), size (of the bag), one hash for each band, sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def step(batches):
@@ -141,11 +166,10 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 np.add.at(digest[:, k], doc, mix(h * np.uint64(2 * k + 3) + mix(weight.astype("u8") + np.uint64(k))))
             some = np.bincount(doc, minlength=len(own)) > 0
             raw = [digest[i].tobytes() if some[i] else None for i in range(len(own))]
-            offsets = pa.array(np.arange(len(own) + 1, dtype="i4") * bands)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__uid"), b.column("__key"), pa.array(raw, pa.binary()), pa.array(np.bincount(doc, weight, len(own)).astype("i8")), pa.ListArray.from_arrays(offsets, pa.array(acc.reshape(-1)))],
-                                             ["doc_id", "__uid", "__key", "digest", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__uid"), b.column("__key"), pa.array(raw, pa.binary()), pa.array(np.bincount(doc, weight, len(own)).astype("i8")), lists(acc),
+                                              lists(sketches(*occurrences(doc, h, weight), len(own)))], ["doc_id", "__uid", "__key", "digest", "size", "bands", "sketch"])
 
-    return arrow_map(docs, step, f"doc_id {kind}, __uid long, __key binary, digest binary, size long, bands array<long>", BATCH_BYTES)
+    return arrow_map(docs, step, f"doc_id {kind}, __uid long, __key binary, digest binary, size long, bands array<long>, sketch array<long>", BATCH_BYTES)
 
 
 def row_key() -> Column:
@@ -159,10 +183,7 @@ def bag_table(docs: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             own = texts(b)
             doc, h, weight = bags(own, shingle)
-            each = np.repeat(np.arange(len(h)), weight)
-            turn = np.arange(len(each)) - np.repeat(np.cumsum(weight) - weight, weight)
-            values = (mix(h[each] + turn.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype("<u4")
-            owner = doc[each]
+            owner, values = occurrences(doc, h, weight)
             values = values[np.lexsort((values, owner))]
             ends = np.cumsum(np.bincount(owner, minlength=len(own)))
             raw = [values[e - n:e].tobytes() for e, n in zip(ends.tolist(), np.bincount(owner, minlength=len(own)).tolist())]
@@ -200,6 +221,12 @@ def alike(x: str, y: str, least: float) -> Column:
     return F.least(x, y) >= least * F.greatest(x, y) - 1e-6
 
 
+def near(x: str, y: str, sketch_x: str, sketch_y: str, least: float) -> Column:
+    """Whether bags of these sizes and sketches can be so similar: then few shingles are in one of them only."""
+    apart = sum(F.bit_count(F.col(sketch_x)[k].bitwiseXOR(F.col(sketch_y)[k])) for k in range(SKETCH_BITS // 64))
+    return apart <= (1 - least) / (1 + least) * (F.col(x) + F.col(y)) + 1e-6
+
+
 def by_class(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are in different classes, with the classes."""
     own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
@@ -207,26 +234,27 @@ def by_class(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels one step on: of two linked classes the one of the greater label takes the least label next to it, or
-    the label that this one takes. At least half of the classes that have a link are gone after it."""
+    """Labels one step on: of two linked classes (la, lb) the one of the greater label takes the least label next to it,
+    or the label that this one takes. At least half of the classes that have a link are gone after it."""
     ends = F.explode(F.array(F.struct(F.col("la").alias("label"), F.col("lb").alias("near")), F.struct(F.col("lb").alias("label"), F.col("la").alias("near"))))
-    low = by_class(links, labels).select(ends.alias("e")).groupBy("e.label").agg(F.min("e.near").alias("near")).where("near < label")
+    low = links.select(ends.alias("e")).groupBy("e.label").agg(F.min("e.near").alias("near")).where("near < label")
     then = low.select(F.col("label").alias("near"), F.col("near").alias("far"))
     new = low.join(then, "near", "left").select("label", F.coalesce("far", "near").alias("new"))
     return stored(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after the links: classes joined by a chain of links have the least of their labels."""
+    """Labels after the links: classes joined by a chain of links have the least of their labels. Settled links are left."""
     while True:
-        labels = hooked(labels, links)
-        if by_class(links, labels).isEmpty():
+        links = stored(by_class(links.select("a", "b"), labels))
+        if links.isEmpty():
             return labels
+        labels = hooked(labels, links)
 
 
 def unsettled(places: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their classes, of the places whose members are in different classes. A settled place stays so."""
-    own = places.select("band", "node", "size").join(labels, "node")
+    own = places.select("band", "node", "size", "sketch").join(labels, "node")
     mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
     return stored(own.join(mixed, "band"))
 
@@ -234,10 +262,10 @@ def unsettled(places: DataFrame, labels: DataFrame) -> DataFrame:
 def other_centres(places: DataFrame, turn: int, centres: int, least: float) -> DataFrame:
     """In each place: pairs of a centre and the members of other classes. This turn's hashes draw classes, then a member
     of each, so that a small class beside a large one gets its turn."""
-    member = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("size").alias("other"))).alias("c")
+    member = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("size").alias("other"), F.col("sketch").alias("drawn"))).alias("c")
     ranked = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("la", F.lit(turn)), "la")).alias("rank")
-    drawn = places.groupBy("band", F.col("label").alias("la")).agg(member).select("band", "la", "c.a", "c.other", ranked).where(F.col("rank") <= centres)
-    return places.join(drawn, "band").where((F.col("label") != F.col("la")) & alike("size", "other", least)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    drawn = places.groupBy("band", F.col("label").alias("la")).agg(member).select("band", "la", "c.a", "c.other", "c.drawn", ranked).where(F.col("rank") <= centres)
+    return places.join(drawn, "band").where((F.col("label") != F.col("la")) & alike("size", "other", least) & near("size", "other", "sketch", "drawn", least)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
 def frequencies(bag: DataFrame) -> np.ndarray:
@@ -258,7 +286,7 @@ def frequencies(bag: DataFrame) -> np.ndarray:
 
 def prefixes(bag: DataFrame, least: float) -> DataFrame:
     """node, its size, and the shingles of its prefix with their positions, rarest first; `low` marks those at which it
-    can be the smaller bag of a pair, `recent` are the last shingles before."""
+    can be the smaller bag of a pair, `recent` are the last shingles before; and the bag's sketch."""
     rank = bag.sparkSession.sparkContext.broadcast(frequencies(bag))
 
     def step(batches):
@@ -266,23 +294,24 @@ def prefixes(bag: DataFrame, least: float) -> DataFrame:
             for node, raw in zip(b.column("node").to_pylist(), b.column("bag").to_pylist()):
                 own = np.frombuffer(raw, "<u4")
                 n = len(own)
+                sketch = sketches(np.zeros(n, "i8"), own, 1)
                 own = own[np.lexsort((own, rank.value[own % COUNTERS]))]
                 far = n - math.ceil(least * n - 1e-6) + 1
-                near = n - math.ceil(2 * least / (1 + least) * n - 1e-6) + 1
+                low = n - math.ceil(2 * least / (1 + least) * n - 1e-6) + 1
                 own = own[:far]
                 own, at = own.astype("i8"), np.arange(len(own))
                 before = np.minimum(at, RECENT)
                 ends = np.cumsum(before)
                 recent = own[np.repeat(at - before, before) + np.arange(before.sum()) - np.repeat(ends - before, before)]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype("i4")), pa.array(recent))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(np.full(len(own), n)), pa.array(own), pa.array(at), pa.array(at < near), lists],
-                                                 ["node", "size", "shingle", "at", "low", "recent"])
+                last = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype("i4")), pa.array(recent))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(np.full(len(own), n)), pa.array(own), pa.array(at), pa.array(at < low), last, lists(np.repeat(sketch, len(own), axis=0))],
+                                                 ["node", "size", "shingle", "at", "low", "recent", "sketch"])
 
-    return arrow_map(bag.select("node", "bag"), step, "node long, size long, shingle long, at long, low boolean, recent array<long>")
+    return arrow_map(bag.select("node", "bag"), step, "node long, size long, shingle long, at long, low boolean, recent array<long>, sketch array<long>")
 
 
 def exact_candidates(bag: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """All pairs of nodes of `bag` in different classes that can be so similar by their prefixes.
+    """All pairs of nodes of `bag` in different classes that can be so similar by their prefixes and sketches.
 
     Two bags that are similar enough have a first common shingle after which both still hold enough for their overlap,
     so no pair is lost. The rows of a shingle's largest class meet those of other classes only; the others meet
@@ -294,10 +323,10 @@ def exact_candidates(bag: DataFrame, labels: DataFrame, least: float) -> DataFra
     hot = (counts.groupBy("shingle").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("n"), F.sum("l").alias("lows"), F.count("*").alias("classes"))
            .where("classes > 1 and lows > 0").select("shingle", "main", (1 + F.floor(F.col("n") / SALT_ROWS)).alias("salts")))
     rows = stored(rows.join(hot, "shingle"))
-    one = rows.where("low").select("shingle", F.pmod(F.xxhash64("node"), "salts").alias("salt"), F.col("node").alias("x"), F.col("size").alias("nx"), F.col("at").alias("ix"), F.col("recent").alias("rx"), F.col("label").alias("lx"), (F.col("label") == F.col("main")).alias("mx"))
-    two = rows.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("node").alias("y"), F.col("size").alias("ny"), F.col("at").alias("iy"), F.col("recent").alias("ry"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("my"))
+    one = rows.where("low").select("shingle", F.pmod(F.xxhash64("node"), "salts").alias("salt"), F.col("node").alias("x"), F.col("size").alias("nx"), F.col("at").alias("ix"), F.col("recent").alias("rx"), F.col("sketch").alias("sx"), F.col("label").alias("lx"), (F.col("label") == F.col("main")).alias("mx"))
+    two = rows.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("node").alias("y"), F.col("size").alias("ny"), F.col("at").alias("iy"), F.col("recent").alias("ry"), F.col("sketch").alias("sy"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("my"))
     room = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= least / (1 + least) * (F.col("nx") + F.col("ny")) - 1e-6
-    fits = (F.col("lx") != F.col("ly")) & (F.col("nx") <= F.col("ny")) & alike("nx", "ny", least) & room & ~F.arrays_overlap("rx", "ry")
+    fits = (F.col("lx") != F.col("ly")) & (F.col("nx") <= F.col("ny")) & alike("nx", "ny", least) & room & near("nx", "ny", "sx", "sy", least) & ~F.arrays_overlap("rx", "ry")
     met = one.where("not mx").join(two, ["shingle", "salt"]).where(fits).select("x", "y").union(one.where("mx").join(two.where("not my"), ["shingle", "salt"]).where(fits).select("x", "y"))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -316,8 +345,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     nodes = stored(own.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("__uid").alias("node"), F.max("size").alias("size")))
     places = own.select("__uid", "bands").join(nodes.select(F.col("node").alias("__uid"), "size"), "__uid").select(F.explode("bands").alias("band"), F.col("__uid").alias("node"), "size")
     centres = places.groupBy("band").agg(F.min(F.struct("node", "size")).alias("c"), F.count("*").alias("n")).where("n > 1").select("band", F.col("c.node").alias("centre"), F.col("c.size").alias("other"))
-    places = stored(places.join(centres, "band"))
-    star = stored(places.where((F.col("node") != F.col("centre")) & alike("size", "other", least)).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    places = stored(places.join(centres, "band").join(own.select(F.col("__uid").alias("node"), "sketch"), "node"))
+    heads = places.where("node = centre").select("band", F.col("sketch").alias("drawn"))
+    star = stored(places.join(heads, "band").where((F.col("node") != F.col("centre")) & alike("size", "other", least) & near("size", "other", "sketch", "drawn", least))
+                  .select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
 
     wanted = places.select(F.col("node").alias("__uid")).distinct()
     keys = own.join(wanted, "__uid").select("__uid", "__key")
@@ -330,10 +361,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     labels = merged(labels, verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), bag, least))
     labels = merged(labels, verified(by_class(star, labels).select("a", "b"), bag, least))
     places = unsettled(places, labels)
-    pairs = other_centres(places, 1, CENTRES, least).join(star, ["a", "b"], "left_anti")
-    labels = merged(labels, verified(pairs, bag, least))
+    for turn in range(1, ROUNDS + 1):
+        links = verified(other_centres(places, turn, CENTRES, least).join(star, ["a", "b"], "left_anti"), bag, least)
+        labels = merged(labels, links)
+        if turn == ROUNDS or links.count() < WORTH * places.count():
+            break
+        places = unsettled(places, labels)
     # what is left goes through the exact join: one pair of each node first, then all that are still in different classes
-    rest = unsettled(places.select("band", "node", "size"), labels).select("node").distinct()
+    rest = unsettled(places, labels).select("node").distinct()
     pairs = stored(exact_candidates(bag.join(rest, "node"), labels, least))
     labels = merged(labels, verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), bag, least))
     labels = merged(labels, verified(by_class(pairs, labels).select("a", "b"), bag, least))

@@ -326,3 +326,22 @@ def test_html_shows_what_a_browser_shows(page, text):
 def test_html_cases(spark):
     pages = spark.createDataFrame([(1, None, "z"), (None, "<p>a", "z"), (2, "", "z"), (2, "", "z")], "page_id long, html string, text string")
     assert sorted(r.text for r in html.page_texts(pages).collect()) == ["", "", "", "a"] and html.page_texts(pages.limit(0)).count() == 0
+
+
+def test_texts_that_are_a_little_too_different_make_few_candidates(spark):
+    """A large group below the similarity: a row for hardly any pair but the similar ones, and none of those is lost."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(80):
+        own = list(base)
+        for at in rng.sample(range(150), 4):
+            own[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "__uid long, text string")
+    bag = neardup.bag_table(docs, 5).cache()
+    bags = {r.node: bytes(r.bag) for r in bag.collect()}
+    true = {(i, j) for i in bags for j in bags if i < j and neardup.similarity(bags[i], bags[j]) >= 0.8}
+    labels = bag.select("node", F.col("node").alias("label"))
+    met = {(r.a, r.b) for r in neardup.exact_candidates(bag, labels, 0.8).collect()}
+    assert true <= met and len(met) < len(true) + 0.1 * 80 * 79 / 2
