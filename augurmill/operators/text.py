@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from augurmill.functions import exprs as X
+from augurmill.session import scratch_path
 
 # Question patterns, the city list, stopwords.
 WEATHER = (r"(?i)(?:high|highest|max(?:imum)?)\s+temp(?:erature)?\s+in\s+([a-z .]+?)\s+"
@@ -146,45 +149,96 @@ def lessons_notes(postmortems: DataFrame, since_s: int, n: int | None = None, ch
     return rows.select("postmortem_id", F.concat(F.lit("["), "kind", F.lit("] "), notes).alias("note"))
 
 
+#: Counters of token frequencies: tokens that share one only make the order less sharp.
+COUNTERS = 1 << 20
+
+
 def token_sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(set_id, block, tokens) per distinct token set: copies of a text become one row."""
+    """(id, block, tokens, set_id): copies of a text, and texts of the same tokens, share a set_id."""
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
     return (df.select(F.col(id_col).alias("id"), "block", words.alias("tokens")).where(F.size("tokens") > 0)
-            .withColumn("set_id", F.sha2(F.array_join("tokens", " "), 256)))
+            .withColumn("set_id", F.unhex(F.md5(F.array_join("tokens", " ").cast("binary")))))
+
+
+def hashed(sets: DataFrame) -> DataFrame:
+    return sets.select("set_id", "block", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+
+
+def flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a batch's sets one after the other, and the number of hashes of each set."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(zero_copy_only=False).astype("i8"), sizes
+
+
+def token_counts(sets: DataFrame, only: np.ndarray | None = None) -> np.ndarray:
+    """How many tokens of the sets fall on each counter: at most COUNTERS numbers, whatever the table; zero where `only` is."""
+    def step(batches):
+        own = np.zeros(COUNTERS, "i8")
+        for b in batches:
+            own += np.bincount(flat(b.column("h"))[0] % COUNTERS, minlength=COUNTERS)
+        at = np.flatnonzero(own if only is None else own * (only > 0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], ["counter", "c"])
+
+    total = sets.select("h").mapInArrow(step, "counter long, c long").groupBy("counter").agg(F.sum("c").alias("c")).toPandas()
+    out = np.zeros(COUNTERS, "i8")
+    out[total["counter"].to_numpy("i8")] = total["c"].to_numpy("i8")
+    return out
+
+
+def set_prefixes(sets: DataFrame, rank, threshold: float, name: str, only=None) -> DataFrame:
+    """Each set's first n - ceil(t*n) + 1 token hashes, rarest counters first; with `only`, those on its counters."""
+    def step(batches):
+        for b in batches:
+            h, n = flat(b.column("h"))
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, rank.value[h % COUNTERS], owner))
+            h, at = h[order], np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            use = at < (n - np.ceil(threshold * n - 1e-9) + 1)[owner]
+            if only is not None:
+                use &= only.value[h % COUNTERS] > 0
+            who = pa.array(owner[use])
+            yield pa.RecordBatch.from_arrays([b.column("set_id").take(who), b.column("block").take(who), pa.array(h[use]), pa.array(n[owner[use]].astype("i4"))],
+                                             [f"{name}_set", "block", "token", f"{name}_n"])
+
+    block = sets.schema["block"].dataType.simpleString()
+    return sets.mapInArrow(step, f"{name}_set binary, block {block}, token long, {name}_n int")
 
 
 def pair_candidates(a: DataFrame, b: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a_id, b_id) of one block whose token sets reach the Jaccard threshold.
+    """Pairs (a_id, b_id) of one block whose token sets reach the Jaccard threshold; `a` is the smaller side.
 
-    Exact, without comparing all pairs: tokens are ranked rarest first, and two
-    sets can only reach the threshold if they share a token among their first
-    n - ceil(t*n) + 1. Equal texts are one set until the very end.
+    Exact, without comparing all pairs: tokens are put in one order, and two sets can only reach the threshold if
+    they share a token among their first n - ceil(t*n) + 1. Tokens that `a` does not hold come first in it, then rare
+    ones. The order comes from counters of fixed size, so a set finds its first tokens where it is read, and only those
+    on counters of the prefixes of `a` are shuffled. Tokens are told apart by hashes until the pairs that meet are
+    verified on the tokens themselves; only the sets among these are shuffled whole.
     """
+    spark = a.sparkSession
     sa, sb = token_sets(a, "a_id", "text"), token_sets(b, "b_id", "text")
-    ua = sa.select("set_id", "block", "tokens").dropDuplicates(["set_id", "block"])
-    ub = sb.select("set_id", "block", "tokens").dropDuplicates(["set_id", "block"])
-    counts = (ua.select("tokens").unionByName(ub.select("tokens")).select(F.explode("tokens").alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
-
-    def prefix(u: DataFrame, name: str) -> DataFrame:
-        n = F.size("tokens")
-        long = u.select("set_id", "block", n.alias("n"), F.explode("tokens").alias("token")).join(counts, "token")
-        # one set's own tokens: bounded by the length of one text
-        rank = F.row_number().over(Window.partitionBy("set_id", "block").orderBy("df", "token"))
-        keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1
-        return long.withColumn("r", rank).where(F.col("r") <= keep).select(
-            F.col("set_id").alias(f"{name}_set"), "block", "token", F.col("n").alias(f"{name}_n"))
-
-    pa, pb = prefix(ua, "a"), prefix(ub, "b")
-    shared = (pa.join(pb, ["block", "token"])
+    ha, hb = hashed(sa), hashed(sb)
+    own = token_counts(ha)
+    rank = spark.sparkContext.broadcast(token_counts(hb, own) + own)
+    pa_ = set_prefixes(ha, rank, threshold, "a").distinct()
+    met = spark.sparkContext.broadcast(token_counts(pa_.select(F.array("token").alias("h"))))
+    pb = set_prefixes(hb, rank, threshold, "b", met)
+    shared = (pb.join(pa_, ["block", "token"])
               .where((F.col("b_n") >= F.lit(threshold) * F.col("a_n") - 1e-9) & (F.col("a_n") >= F.lit(threshold) * F.col("b_n") - 1e-9))
               .select("block", "a_set", "b_set").distinct())
-    ta = ua.select(F.col("set_id").alias("a_set"), "block", F.col("tokens").alias("a_tokens"))
-    tb = ub.select(F.col("set_id").alias("b_set"), "block", F.col("tokens").alias("b_tokens"))
+    at = scratch_path(spark, "pair-candidates")
+    shared.write.parquet(at)  # the planner knows its size then
+    shared = spark.read.schema(shared.schema).parquet(at)
+
+    def whole(s: DataFrame, name: str) -> DataFrame:
+        found = s.select(F.col("set_id").alias(f"{name}_set"), "block", F.col("tokens").alias(f"{name}_tokens"))
+        return found.join(shared.select("block", f"{name}_set").distinct(), ["block", f"{name}_set"], "left_semi").dropDuplicates(["block", f"{name}_set"])
+
     inter = F.size(F.array_intersect("a_tokens", "b_tokens"))
     score = inter / (F.size("a_tokens") + F.size("b_tokens") - inter)
-    scored = (shared.join(ta, ["a_set", "block"]).join(tb, ["b_set", "block"]).withColumn("score", score)
+    scored = (shared.join(whole(sa, "a"), ["a_set", "block"]).join(whole(sb, "b"), ["b_set", "block"]).withColumn("score", score)
               .where(F.col("score") >= threshold - 1e-12).select("block", "a_set", "b_set", "score"))
+    at = scratch_path(spark, "pairs")
+    scored.write.parquet(at)
+    scored = spark.read.schema(scored.schema).parquet(at)
     members_a = sa.select(F.col("set_id").alias("a_set"), "block", F.col("id").alias("a_id"))
     members_b = sb.select(F.col("set_id").alias("b_set"), "block", F.col("id").alias("b_id"))
     return (scored.join(members_a, ["a_set", "block"]).join(members_b, ["b_set", "block"])

@@ -65,3 +65,19 @@ def test_evidence_texts_are_read_once(spark, sf):
     """A list or an object: two readers in the plan, one of them for each text, however often the items are used."""
     plan = QUERIES["evidence_etl"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json(") == 2
+
+
+def test_candidate_pairs_make_no_row_per_token(spark, sf):
+    """Tokens are ordered where a set is read; a shuffle holds tokens of the smaller side's prefixes only."""
+    from augurmill.operators import text
+    sets = [f"a{i} b{i} c{i} d{i}" for i in range(50)]
+    one = spark.createDataFrame([(i, "x", t) for i, t in enumerate(sets[:2])], "a_id int, block string, text string")
+    two = spark.createDataFrame([(i, "x", t) for i, t in enumerate(sets)], "b_id int, block string, text string")
+    known = spark.createDataFrame([], "a_id int, b_id int")
+    got = text.pair_candidates(one, two, known, 0.5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.a_id, r.b_id) for r in got.collect()) == [(0, 0), (1, 1)]
+    assert "Window" not in plan and "explode" not in plan
+    ha = text.hashed(text.token_sets(one, "a_id", "text"))
+    own = spark.sparkContext.broadcast(text.token_counts(ha))
+    assert text.set_prefixes(text.hashed(text.token_sets(two, "b_id", "text")), own, 0.5, "b", own).count() < 50
