@@ -9,29 +9,29 @@ the state is the last word, each word takes its arc or fails first.
 
 **Counting and look-up at scale.** Vocabulary and bigrams grow with the corpus, so they are
 never sent to anyone whole. Each task numbers the words it meets in blocks of
-about `BLOCK_TOKENS` tokens and writes the texts as numbers beside the block's lists of words
-and bigrams. Counts are summed over tasks, failure weights over the bigrams of a state; both are
-joined to the lists and return to their block, which scores its texts by its own part of the automaton.
-Bigrams are told apart by 64-bit hashes of both words.
+about `BLOCK_TOKENS` tokens and writes the texts as numbers, and the block's words dealt to buckets by hash.
+A bucket gives its words ids and sums their counts; these return to the blocks. A block then asks, part by part,
+for its bigrams (two ids of 32 bits) and its states; a part adds up the bigrams of all blocks and answers with their counts and
+the states' sums. The bigrams of a state are in one part, those of a frequent word in several, whose sums are added.
+All that moves are packed arrays of numbers, one row per block and bucket or part.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augurmill.llm.common import arrow_map, llm_query, remainder, scratch_path, stored, table, texts
+from augurmill.llm.common import arrow_map, llm_query, mix, remainder, scratch_path, table, texts
 
 #: The start and the end of a text as words: white space, which no word is.
 START, END = b" ", b"\n"
-BLOCK_TOKENS, FLUSH_WORDS, BATCH_PAIRS = 3_000_000, 400_000, 200_000
+BLOCK_TOKENS, PART_BYTES, HOT_TOKENS = 3_000_000, 1 << 24, 200_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -45,73 +45,173 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), "u8", len(words)).astype("i8")
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, h (its hash), c: over the rows that are not held out."""
-    def step(batches):
-        own = Counter()
+def pack(x: np.ndarray) -> bytes:
+    """Numbers from 0 as planes of equal bytes, as many as the largest needs; shuffles and files compress these well."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view("u1").reshape(-1, 8).T[:width].tobytes()
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(hashes(list(own))), pa.array(list(own.values()), pa.int64())], ["word", "h", "c"])
 
-        for b in batches:
-            for text, held in zip(texts(b), b.column("held_out").to_pylist()):
-                if not held:
-                    own.update(tokens(text))
-            if len(own) > FLUSH_WORDS:
-                yield rows()
-                own.clear()
-        yield rows()
+def unpack(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(b, "u1", offset=1).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), "u1")
+    out[:, :b[0]] = planes.T
+    return out.view("<u8").ravel().astype("i8")
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=0))
+
 
-    return arrow_map(docs.select("text", "held_out"), step, "word binary, h long, c long").groupBy("word", "h").agg(F.sum("c").alias("c"))
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b))
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """Texts as numbers, word lists and bigrams, in blocks that one task fills.
+def by_number(which: np.ndarray, n: int) -> list[np.ndarray]:
+    """The positions of each number below n."""
+    which = which.astype("i8")
+    order = np.argsort(which, kind="stable")
+    return np.split(order, np.searchsorted(which[order], np.arange(1, n)))
 
-    Rows: kind 0, a text (key, held_out, its numbers); kind 1, a word of the block's list and its number; kind 2, a
-    bigram of the block, in training texts or others: n (one more than the first word's number, 0 for the start, times
-    2 ** 32, plus the second's), the hashes of both words and how often it occurs in training texts.
+
+def encoded(docs: DataFrame, parts: int) -> DataFrame:
+    """Texts as numbers and word lists, in blocks that one task fills.
+
+    Rows with ids: a text. Rows with words: those of the block's list that lie in one bucket, their numbers and how
+    often each occurs in training texts. The start of a text is the last of the list, and occurs once a training text.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["block", "kind", "doc_id", "held_out", "ids", "word", "n", "c", "h1", "h2"]
+    types = {"block": pa.int64(), "doc_id": None, "held_out": pa.bool_(), "ids": pa.binary(), "bucket": pa.int64(), "words": pa.binary(), "n": pa.binary(), "c": pa.binary()}
 
     def step(batches):
         block, total, id_type = TaskContext.get().partitionId() << 24, 0, None
-        numbers, codes, trained = defaultdict(count().__next__), [], []
+        numbers, trained, begun = defaultdict(count().__next__), [], 0
 
-        def batch(size, what, /, **columns):
-            types = {"doc_id": None, "held_out": pa.bool_(), "ids": pa.binary(), "word": pa.binary(), "n": pa.int64(), "c": pa.int64(), "h1": pa.int64(), "h2": pa.int64()}
-            columns = {"block": pa.array([block] * size, pa.int64()), "kind": pa.array([what] * size, pa.int32()), **columns}
-            return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(size, types[x] or id_type) for x in names], names)
+        def batch(size, **columns):
+            columns = {"block": pa.array([block] * size, pa.int64()), **columns}
+            return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(size, t or id_type) for x, t in types.items()], list(types))
 
         def lists():
-            own = list(numbers)
-            yield batch(len(own), 1, word=pa.array(own, pa.binary()), n=pa.array(range(len(own)), pa.int64()))
-            h = hashes([START, *own])
-            n, which = np.unique(np.concatenate(codes), return_inverse=True)
-            c = np.bincount(which, np.concatenate(trained), len(n)).astype("i8")
-            for at in range(0, len(n), BATCH_PAIRS):
-                x = n[at:at + BATCH_PAIRS]
-                yield batch(len(x), 2, n=pa.array(x), c=pa.array(c[at:at + BATCH_PAIRS]), h1=pa.array(h[x >> 32]), h2=pa.array(h[1 + (x & 0xFFFFFFFF)]))
+            own = [*numbers, START]
+            c = np.bincount(np.concatenate([np.zeros(0, "i8"), *trained]), minlength=len(own))
+            c[-1] = begun
+            for k, at in enumerate(by_number(hashes(own).view("u8") % np.uint64(parts), parts)):
+                if len(at):
+                    yield batch(1, bucket=pa.array([k], pa.int64()), words=pa.array([b"\t".join([own[i] for i in at])], pa.binary()),
+                                n=pa.array([pack_sorted(at)], pa.binary()), c=pa.array([pack(c[at])], pa.binary()))
 
         for b in batches:
             id_type = b.column("doc_id").type
-            held, out = b.column("held_out").to_pylist(), []
-            for text, h in zip(texts(b), held):
-                ids = np.fromiter(map(numbers.__getitem__, tokens(text)), "<u4")
-                out.append(ids.tobytes())
+            out = []
+            for text, held in zip(texts(b), b.column("held_out").to_pylist()):
+                ids = np.fromiter(map(numbers.__getitem__, tokens(text)), "u4")
+                out.append(pack(ids))
                 total += len(ids)
-                codes.append(np.concatenate([[0], ids[:-1].astype("i8") + 1]) << 32 | ids.astype("i8"))
-                trained.append(np.full(len(ids), not h))
-            yield batch(len(out), 0, doc_id=b.column("doc_id"), held_out=b.column("held_out"), ids=pa.array(out, pa.binary()))
+                if not held:
+                    trained.append(ids)
+                    begun += 1
+            yield batch(len(out), doc_id=b.column("doc_id"), held_out=b.column("held_out"), ids=pa.array(out, pa.binary()))
             if total > BLOCK_TOKENS:
                 yield from lists()
-                numbers, codes, trained, block, total = defaultdict(count().__next__), [], [], block + 1, 0
-        if codes:
+                numbers, trained, begun, block, total = defaultdict(count().__next__), [], 0, block + 1, 0
+        if numbers:
             yield from lists()
 
     return arrow_map(docs.select("doc_id", "text", "held_out"), step,
-                     f"block long, kind int, doc_id {kind}, held_out boolean, ids binary, word binary, n long, c long, h1 long, h2 long")
+                     f"block long, doc_id {kind}, held_out boolean, ids binary, bucket long, words binary, n binary, c binary")
+
+
+WORDS = "block long, n binary, id binary, c binary, tokens long, types long, once long, twice long"
+
+
+def numbered(t: pa.Table, parts: int) -> pa.Table:
+    """Ids and training counts of one bucket's words, for each block's list; a row without a block has the bucket's sums."""
+    lists = [x.split(b"\t") for x in t["words"].to_pylist()]
+    rank = {w: i for i, w in enumerate(sorted({w for own in lists for w in own}))}
+    at = [np.fromiter(map(rank.__getitem__, own), "i8", len(own)) for own in lists]
+    c = np.bincount(np.concatenate(at), np.concatenate([unpack(x) for x in t["c"].to_pylist()]), len(rank)).astype("i8")
+    bucket = t["bucket"][0].as_py()
+    if len(rank) * parts >= 1 << 32:
+        raise ValueError("more words than ids of 32 bits")
+    own = np.delete(c, rank[START]) if START in rank else c
+    sums = [int(own.sum()), int((own > 0).sum()), int((own == 1).sum()), int((own == 2).sum())]
+    return pa.table({
+        "block": pa.array([*t["block"].to_pylist(), None], pa.int64()), "n": pa.array([*t["n"].to_pylist(), None], pa.binary()),
+        "id": pa.array([*[pack(x * parts + bucket) for x in at], None], pa.binary()), "c": pa.array([*[pack(c[x]) for x in at], None], pa.binary()),
+        **{name: pa.array([None] * len(at) + [x], pa.int64()) for name, x in zip(("tokens", "types", "once", "twice"), sums)}})
+
+
+class Block:
+    """A block's texts (`ids` in a row, `first` of each), its words' ids and counts, and its bigrams and states by part."""
+
+    def __init__(self, texts_: pa.Table, words: pa.Table, parts: int):
+        own = [unpack(x) for x in texts_["ids"].to_pylist()]
+        self.lengths = np.array([len(x) for x in own], "i8")
+        self.ids, self.first = np.concatenate(own), np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        at = [unpack_sorted(x) for x in words["n"].to_pylist()]
+        size = sum(len(x) for x in at)
+        id_, self.c = np.zeros(size, "i8"), np.zeros(size, "i8")
+        for x, i, c in zip(at, words["id"].to_pylist(), words["c"].to_pylist()):
+            id_[x], self.c[x] = unpack(i), unpack(c)
+        self.starts = np.zeros(len(self.ids), bool)
+        self.starts[self.first] = True
+        before = np.concatenate([[0], self.ids[:-1]])
+        before[self.first] = size - 1
+        self.known = (self.c[before] > 0) & (self.c[self.ids] > 0)
+        left, right = before[self.known], self.ids[self.known]
+        self.codes, at, self.which = np.unique(id_[left] << 32 | id_[right], return_index=True, return_inverse=True)
+        self.left, self.right = left[at], right[at]
+        hashed = mix(id_.view("u8"))
+        spread = np.minimum(1 + self.c // HOT_TOKENS, parts).astype("u8")
+        self.part = (hashed[self.left] + mix(hashed[self.right]) % spread[self.left]) % np.uint64(parts)
+        # a frequent word's sums come from each part that has bigrams of it
+        state = np.flatnonzero(self.c > 0)
+        state = state[np.argsort(id_[state])]
+        self.state = np.repeat(state, spread[state].astype("i8"))
+        nth = np.arange(len(self.state)) - np.repeat(np.cumsum(spread[state]) - spread[state], spread[state].astype("i8")).astype("i8")
+        self.state_id, self.state_part = id_[self.state], (hashed[self.state] + nth.astype("u8")) % np.uint64(parts)
+
+
+ASKED = "part long, block long, pairs binary, counts binary, c2 binary, states binary"
+ANSWERS = "block long, part long, counts binary, followers binary, c2 binary, once long, twice long"
+
+
+def asked(texts_: pa.Table, words: pa.Table, parts: int) -> pa.Table:
+    """A row per part that has bigrams or states of this block. `c2` are the counts of the bigrams' different second words."""
+    b = Block(texts_, words, parts)
+    trained = np.repeat(~texts_["held_out"].to_numpy().astype(bool), b.lengths)[b.known]
+    counts = np.bincount(b.which, trained, len(b.codes)).astype("i8")
+    rows = []
+    for k, (at, states) in enumerate(zip(by_number(b.part, parts), by_number(b.state_part, parts))):
+        if len(at) or len(states):
+            one = np.unique(b.codes[at] & 0xFFFFFFFF, return_index=True)[1]
+            rows.append((k, texts_["block"][0].as_py(), pack_sorted(b.codes[at]), pack(counts[at]), pack(b.c[b.right[at]][one]), pack_sorted(b.state_id[states])))
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] * 2 + [pa.binary()] * 4)], [x.split()[0] for x in ASKED.split(", ")])
+
+
+def answered(t: pa.Table) -> pa.Table:
+    """Counts of each block's bigrams, and how many different words follow its states, with the sum of their counts."""
+    pairs = [unpack_sorted(x) for x in t["pairs"].to_pylist()]
+    codes, which = np.unique(np.concatenate(pairs), return_inverse=True)
+    counts = np.bincount(which, np.concatenate([unpack(x) for x in t["counts"].to_pylist()]), len(codes)).astype("i8")
+    c2, at = np.zeros(len(codes), "i8"), np.cumsum([0, *map(len, pairs)])
+    for own, c, start in zip(pairs, t["c2"].to_pylist(), at):
+        if len(own):
+            c2[which[start:start + len(own)]] = unpack(c)[np.unique(own & 0xFFFFFFFF, return_inverse=True)[1]]
+    met = counts > 0
+    states, state = np.unique(codes[met] >> 32, return_inverse=True)
+    followers, below = (np.append(np.bincount(state, x, len(states)).astype("i8"), 0) for x in (np.ones(len(state)), c2[met]))
+    rows = []
+    for block, own, start, ids in zip(t["block"].to_pylist(), pairs, at, t["states"].to_pylist()):
+        ids = unpack_sorted(ids)
+        place = np.searchsorted(states, ids)
+        place = np.where(np.append(states, -1)[place] == ids, place, len(states))
+        rows.append((block, pack(counts[which[start:start + len(own)]]), pack(followers[place]), pack(below[place])))
+    rows.append((None, None, None, None))
+    n = len(rows)
+    return pa.table({
+        "block": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([t["part"][0].as_py()] * n, pa.int64()),
+        **{name: pa.array([r[i] for r in rows], pa.binary()) for i, name in ((1, "counts"), (2, "followers"), (3, "c2"))},
+        **{name: pa.array([None] * (n - 1) + [int((counts == k).sum())], pa.int64()) for k, name in ((1, "once"), (2, "twice"))}})
 
 
 class Automaton:
@@ -164,16 +264,6 @@ class Automaton:
         return out
 
 
-def failures(bigrams: DataFrame, counts: DataFrame, less: float, n: int, types: int, once: int, twice: int) -> DataFrame:
-    """h, fail, c: the failure weight (log10) of every state and how often it occurs."""
-    m = Automaton(n, types, once, twice, np.zeros(0), 0, np.zeros(0, "i8"), np.zeros(0), less)
-    unigram = F.greatest(F.col("c2") - F.lit(m.discount), F.lit(0.0)) / F.lit(max(n, 1)) + F.lit(m.rest)
-    sums = (bigrams.join(counts.select(F.col("h").alias("h2"), F.col("c").alias("c2")), "h2").groupBy("h1")
-            .agg(F.sum("c").alias("c"), F.sum(F.col("c") - F.lit(less)).alias("taken"), F.sum(unigram).alias("below")))
-    fail = F.log10(F.greatest((1 - F.col("taken") / F.col("c")) / F.greatest(1 - F.col("below"), F.lit(1e-12)), F.lit(1e-300)))
-    return sums.select(F.col("h1").alias("h"), fail.alias("fail"), "c")
-
-
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Train on the rows of `docs` (doc_id, text, held_out) that are not held out, and score all rows.
 
@@ -186,50 +276,49 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks_at = scratch_path(spark, "lm-blocks")
-    counts = stored(word_counts(docs), "lm-counts")
-    r = counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    n, types, once, twice = (int(x or 0) for x in r)
-    encoded(docs).write.option("compression", "zstd").parquet(blocks_at)
-    parts = spark.read.parquet(blocks_at)
-    listed = parts.where("kind = 2").select("block", "n", "c", "h1", "h2")
-    bigrams = stored(listed.where("c > 0").groupBy("h1", "h2").agg(F.sum("c").alias("c")), "lm-bigrams")
-    r = bigrams.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    less = r[0] / (r[0] + 2 * r[1]) if r[0] else 0.5
-    fails = stored(failures(bigrams, counts, less, n, types, once, twice), "lm-failures")
-    # one row, if any
-    start = fails.where(F.col("h") == int(hashes([START])[0])).select("c", "fail").first()
-    starts_n, start_fail = (int(start[0]), float(start[1])) if start else (0, 0.0)
-
-    weights = counts.join(fails.select("h", "fail"), "h", "left").select("word", "c", "fail")
-    known = parts.where("kind = 1").select("block", "word", "n").join(weights, "word").select("block", F.lit(False).alias("pair"), "n", "c", "fail")
-    known = known.union(listed.select("block", "n", "h1", "h2").join(bigrams, ["h1", "h2"]).select("block", F.lit(True), "n", "c", F.lit(None).cast("double")))
-    own = spark.read.schema(parts.schema).parquet(blocks_at).where("kind = 0").select("block", "doc_id", "held_out", "ids")
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts_, lengths = [np.frombuffer(x, "<u4") for x in left["ids"]], left["ids"].map(len).to_numpy("i8") // 4
-        if not len(left):
-            return pd.DataFrame({x: [] for x in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        ids = np.concatenate(parts_).astype("i8")
-        width = int(ids.max()) + 2
-        c, fail = np.zeros(width - 1, "f8"), np.zeros(width, "f8")
-        pair = right["pair"].to_numpy(bool)
-        at, of, weight = right["n"].to_numpy("i8"), right["c"].to_numpy("f8"), right["fail"].to_numpy("f8")
-        c[at[~pair]] = of[~pair]
-        fail[at[~pair]] = np.nan_to_num(weight[~pair])  # the end is no state
-        fail[-1] = start_fail
-        states = (at[pair] >> 32) - 1
-        arcs = np.where(states < 0, width - 1, states) * width + (at[pair] & 0xFFFFFFFF)
-        m = Automaton(n, types, once, twice, c, starts_n, arcs, of[pair], less, fail)
-        starts = np.zeros(len(ids), bool)
-        starts[first] = True
-        base = np.log10((c + 1) / (m.n + m.types + 1))[ids]
-        return pd.DataFrame({
-            "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": lengths, "n_known": np.add.reduceat((c > 0)[ids].astype("i8"), first),
-            "train_tokens": m.n, "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(m.score(ids, starts, c), first)})
-
-    return own.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, -(-text_bytes // PART_BYTES))
+    blocks_at, words_at, answers_at = (scratch_path(spark, f"lm-{x}") for x in ("blocks", "words", "answers"))
+
+    def written(df: DataFrame, at: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    blocks = written(encoded(docs, parts), blocks_at)
+    own = blocks.where("ids is not null").select("block", "doc_id", "held_out", "ids")
+    lists = blocks.where("words is not null").select("bucket", "block", "words", "n", "c")
+    words = written(lists.groupBy("bucket").applyInArrow(lambda t: numbered(t, parts), WORDS), words_at)
+    n, types, once, twice = (int(x or 0) for x in words.agg(*[F.sum(x) for x in ("tokens", "types", "once", "twice")]).first())
+    known = words.where("block is not null").select("block", "n", "id", "c")
+    asks = own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda left, right: asked(left, right, parts), ASKED)
+    answers = written(asks.groupBy("part").applyInArrow(answered, ANSWERS), answers_at)
+    ones, twos = (int(x or 0) for x in answers.agg(F.sum("once"), F.sum("twice")).first())
+    less = ones / (ones + 2 * twos) if ones else 0.5
+    both = known.withColumn("part", F.lit(None).cast("long")).withColumn("followers", F.lit(None).cast("binary")).withColumn("below", F.lit(None).cast("binary"))
+    both = both.unionByName(answers.where("block is not null").select("block", "part", F.col("counts").alias("c"), "followers", F.col("c2").alias("below")), allowMissingColumns=True)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        of_words = right["part"].is_null()
+        b = Block(left, right.filter(of_words), parts)
+        counts, followers, below = np.zeros(len(b.codes)), np.zeros(len(b.c)), np.zeros(len(b.c))
+        pairs, states = by_number(b.part, parts), by_number(b.state_part, parts)
+        for r in right.filter(right["part"].is_valid()).select(["part", "c", "followers", "below"]).to_pylist():
+            counts[pairs[r["part"]]] = unpack(r["c"])
+            of = b.state[states[r["part"]]]  # a part has a state once
+            followers[of] += unpack(r["followers"])
+            below[of] += unpack(r["below"])
+        m = Automaton(n, types, once, twice, np.zeros(0), 0, np.zeros(0, "i8"), np.zeros(0), less)
+        unseen = np.maximum(1 - (below - followers * m.discount) / max(n, 1) - followers * m.rest, 1e-12)
+        fail = np.where(b.c > 0, np.log10(np.maximum(less * followers / np.maximum(b.c, 1) / unseen, 1e-300)), 0.0)
+        met, width = counts > 0, len(b.c)
+        m = Automaton(n, types, once, twice, b.c[:-1], int(b.c[-1]), (b.left * width + b.right)[met], counts[met], less, fail)
+        c = b.c[:-1].astype("f8")
+        base = np.log10((c + 1) / (n + types + 1))[b.ids]
+        return pa.table({
+            "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": b.lengths, "n_known": np.add.reduceat((c > 0)[b.ids].astype("i8"), b.first),
+            "train_tokens": np.full(len(left), n, "i8"), "base_score": np.add.reduceat(base, b.first), "score": np.add.reduceat(m.score(b.ids, b.starts, c), b.first)})
+
+    return own.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
         score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

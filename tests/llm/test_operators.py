@@ -10,6 +10,8 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +233,51 @@ def test_every_seen_bigram_has_its_arc(spark):
         assert r.score == pytest.approx(sum(itertools.starmap(log, itertools.pairwise(words[r.doc_id][1]))), rel=1e-9)
 
 
+def test_lm_blocks_ask_parts_for_counts_and_states(monkeypatch):
+    """Packed rows of blocks and parts, a frequent word's bigrams in several parts, against plain counters."""
+    monkeypatch.setattr(lm, "HOT_TOKENS", 50)
+    rng, parts = np.random.default_rng(5), 5
+    texts_ = [[rng.integers(0, 400, 60) ** 2 // 400 for _ in range(40)] for _ in range(3)]
+    held = [[i % 4 == 0 for i in range(40)] for _ in range(3)]
+    lists, own = [], []
+    for k, block in enumerate(texts_):
+        numbers = {w: i for i, w in enumerate(sorted({int(w) for t in block for w in t}))}
+        own.append(pa.table({"block": [k] * 40, "held_out": held[k], "ids": pa.array([lm.pack(np.array([numbers[int(w)] for w in t])) for t in block], pa.binary())}))
+        words = [*(b"w%d" % w for w in numbers), lm.START]
+        c = collections.Counter(b"w%d" % w for t, h in zip(block, held[k]) for w in t if not h) + collections.Counter({lm.START: 40 - sum(held[k])})
+        for bucket in range(parts):
+            at = [i for i, w in enumerate(words) if zlib.crc32(w) % parts == bucket]
+            lists.append((bucket, k, b"\t".join(words[i] for i in at), lm.pack_sorted(np.array(at)), lm.pack(np.array([c[words[i]] for i in at]))))
+    table = lambda rows, names: pa.table([pa.array(x) for x in zip(*rows)], names)
+    known = pa.concat_tables([lm.numbered(table([r for r in lists if r[0] == b], ["bucket", "block", "words", "n", "c"]), parts) for b in range(parts)])
+    of_block = [known.filter(pc.equal(known["block"], k)) for k in range(3)]
+    asks = pa.concat_tables([lm.asked(t, w, parts) for t, w in zip(own, of_block)])
+    answers = pa.concat_tables([lm.answered(asks.filter(pc.equal(asks["part"], k))) for k in range(parts)])
+    both, c = collections.Counter(), collections.Counter()
+    for block, hs in zip(texts_, held):
+        for t, h in zip(block, hs):
+            if not h:
+                both.update(itertools.pairwise([-1, *map(int, t)]))
+                c.update(map(int, t))
+    assert pc.sum(known["tokens"]).as_py() == sum(c.values()) and pc.sum(known["types"]).as_py() == len(c)
+    assert [pc.sum(answers[x]).as_py() for x in ("once", "twice")] == [list(both.values()).count(k) for k in (1, 2)]
+    for k, block in enumerate(texts_):
+        b = lm.Block(own[k], of_block[k], parts)
+        names = [*sorted({int(w) for t in block for w in t}), -1]
+        counts, followers, below = np.zeros(len(b.codes)), np.zeros(len(b.c)), np.zeros(len(b.c))
+        for r in answers.filter(pc.equal(answers["block"], k)).to_pylist():
+            counts[b.part == r["part"]] = lm.unpack(r["counts"])
+            np.add.at(followers, b.state[b.state_part == r["part"]], lm.unpack(r["followers"]))
+            np.add.at(below, b.state[b.state_part == r["part"]], lm.unpack(r["c2"]))
+        assert [both[names[x], names[y]] for x, y in zip(b.left, b.right)] == counts.tolist()
+        assert max(collections.Counter(b.state.tolist()).values()) > 1
+        for i, w in enumerate(names):
+            after = [y for x, y in both if x == w]
+            assert (followers[i], below[i]) == (len(after), sum(c[y] for y in after))
+    x = np.sort(rng.integers(0, 1 << 40, 1 << 17))
+    assert (lm.unpack_sorted(lm.pack_sorted(x)) == x).all() and len(lm.unpack(lm.pack(np.zeros(0, "i8")))) == 0
+
+
 def test_automaton_states_sum_to_one():
     m = lm.Automaton(100, 10, 3, 2, np.array([30, 20]), 10, np.array([0, 1, 3, 6]), np.array([8, 4, 5, 6]))
     c = np.array([30.0, 20.0, 9, 9, 8, 8, 6, 5, 3, 2])
