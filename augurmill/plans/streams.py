@@ -151,7 +151,9 @@ def stream_coverage(spark, sf):
 def stream_resolutions(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     table, wealth, state, checkpoint = (scratch_path(spark, f"stream-{n}") for n in ("outcomes", "wealth", "state", "checkpoint"))
-    forecasts = fx.forecasts(spark, sf)
+    # each batch joins them by market, so they are placed once and not shuffled again
+    forecasts = fx.forecasts(spark, sf).select(
+        "forecast_id", "condition_id", "event_id", "category", "model_id", "ts_s", "end_s", "p_yes", "p_market_at_ts").persist()
 
     def start(orders):
         outcomes = orders.where("o_orderstatus <> 'P'").select(
@@ -160,5 +162,8 @@ def stream_resolutions(spark, sf):
             F.lit(None).cast("long").alias("venue_resolved_s"))
         return jobs.stream_resolutions(outcomes, forecasts, fx.AS_OF, table, wealth, state, checkpoint, 16)
 
-    in_batches(spark, sf, "orders", k % 3, start)
+    try:
+        in_batches(spark, sf, "orders", k % 3, start)
+    finally:
+        forecasts.unpersist()
     return jobs.wealth_rows(spark, wealth).select("model_id", "category", "forecast_id", "cum_log_wealth", "n_forecasts")

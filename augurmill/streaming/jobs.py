@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,18 @@ def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], No
             .trigger(availableNow=True).start())
 
 
+@contextmanager
+def placed_by_some_keys(spark: SparkSession) -> Iterator[None]:
+    """Joins take rows where they are if those of equal keys lie together, even if placed by some of the keys only."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -155,6 +168,8 @@ def stream_resolutions(resolutions: DataFrame, forecasts: DataFrame, as_of: int,
     markets of this batch, so only the buckets of these are looked up. The running
     state per (model, category) takes its values from a batch's complete folder:
     a retry finds the folder, and does not add the batch to itself.
+
+    Forecasts are read by every batch; where they are cached in their markets' places, outcomes and the ledger's rows come to them.
     """
     spark = resolutions.sparkSession
     known = Keyed(spark, table_path, RESOLUTIONS, ["condition_id"], buckets)
@@ -169,9 +184,11 @@ def stream_resolutions(resolutions: DataFrame, forecasts: DataFrame, as_of: int,
             rows = scoring.scored_rows(forecasts, known.read(touched).join(markets, "condition_id", "left_semi"), None, as_of)
             if archive.has_files(spark, wealth_path, "batch=*"):
                 written = wealth_rows(spark, wealth_path).where((F.col("batch") < batch_id) & F.col("bucket").isin(touched))
-                rows = rows.join(written.select("forecast_id"), "forecast_id", "left_anti")
-            added = accounting.wealth_ledger(rows, state=state.read())
-            added.withColumn("bucket", known.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+                written = written.select("condition_id", "forecast_id").join(markets, "condition_id", "left_semi")
+                rows = rows.join(written, ["condition_id", "forecast_id"], "left_anti")
+            with placed_by_some_keys(forecasts.sparkSession):
+                added = accounting.wealth_ledger(rows, state=state.read())
+                added.withColumn("bucket", known.bucket()).write.mode("overwrite").partitionBy("bucket").parquet(at)
         added = spark.read.schema(f"{WEALTH}, bucket int").parquet(at)
         state.upsert(batch_id, accounting.expert_state(added), lambda new, old: accounting.expert_state(new.unionByName(old)))
 

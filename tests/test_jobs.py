@@ -540,3 +540,21 @@ def test_bounded_steps_by_key_with_new_missing_and_zero_values(spark):
     got = sorted(map(tuple, fits.bounded_step(new, old, ["bucket", "venue"], ["alpha", "beta"]).collect()), key=str)
     want = [("a", "v", 0.8, -1.2), ("a", None, 1.2, 5.0), ("b", "v", 9.0, 9.0), ("c", None, None, 1.0)]
     assert got == [(b, v, pytest.approx(x) if x is not None else None, pytest.approx(y)) for b, v, x, y in want]
+
+
+def test_ledger_rows_come_to_the_forecasts_place(spark):
+    f = spark.range(400).select(F.concat(F.lit("m"), F.col("id") % 40).alias("condition_id"), F.col("id").cast("string").alias("forecast_id")).repartition("condition_id").persist()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        f.count()
+        left = lambda: f.join(f.where("forecast_id < 3").withColumn("condition_id", F.concat("condition_id", F.lit(""))), ["condition_id", "forecast_id"], "left_anti")
+        shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        plain = shuffles(left())
+        with jobs.placed_by_some_keys(spark):
+            near = left()
+            assert shuffles(near) == plain - 1 and near.count() == 397
+        assert shuffles(left()) == plain
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        f.unpersist()
