@@ -69,11 +69,21 @@ def expert_state(ledger: DataFrame) -> DataFrame:
             .agg(F.max_by(F.struct("cum_log_wealth", "n_forecasts"), F.col("n_forecasts")).alias("s")).select("model_id", "category", "s.*"))
 
 
+def expert_sums(scored: DataFrame) -> DataFrame:
+    """The state that a ledger of all these rows ends in, added up without the ledger's order."""
+    rows = kelly_delta(scored.withColumn("category", F.coalesce("category", F.lit("unknown"))))
+    return rows.groupBy("model_id", "category").agg(F.sum("log_wealth_delta").alias("cum_log_wealth"), F.count(F.lit(1)).alias("n_forecasts"))
+
+
 def expert_ranking(ledger: DataFrame) -> DataFrame:
     """Newest state, average growth per forecast, rank inside the category (a handful of models)."""
+    return ranked(expert_state(ledger))
+
+
+def ranked(state: DataFrame) -> DataFrame:
     avg = F.col("cum_log_wealth") / F.col("n_forecasts")
     rank = F.rank().over(Window.partitionBy("category").orderBy(F.col("avg_log_wealth").desc()))
-    return expert_state(ledger).withColumn("avg_log_wealth", avg).withColumn("rank", rank)
+    return state.withColumn("avg_log_wealth", avg).withColumn("rank", rank)
 
 
 def drawdown(paths: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

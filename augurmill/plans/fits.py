@@ -116,7 +116,7 @@ def fit_surprise_sd(spark, sf):
 
 @query
 def mwu_weights(spark, sf):
-    experts = ACC.expert_ranking(ACC.wealth_ledger(S.scored(spark, sf)))
+    experts = ACC.ranked(ACC.expert_sums(S.scored(spark, sf)))
     return FT.mwu_weights(experts, correlations(spark, sf))
 
 

@@ -558,3 +558,16 @@ def test_ledger_rows_come_to_the_forecasts_place(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         f.unpersist()
+
+
+def test_expert_sums_are_the_ledgers_last_state(spark, sf):
+    from augurmill.plans import scoring as S
+    import __spark_entry__ as entry
+    rows = S.scored(spark, sf)
+    state = {(r["model_id"], r["category"]): r for r in accounting.expert_state(accounting.wealth_ledger(rows)).collect()}
+    sums = accounting.expert_sums(rows).collect()
+    assert len(sums) == len(state) > 10
+    for r in sums:
+        s = state[r["model_id"], r["category"]]
+        assert (r["n_forecasts"], r["cum_log_wealth"]) == (s["n_forecasts"], pytest.approx(s["cum_log_wealth"], abs=1e-9))
+    assert not any("slices" in x for x in entry.queries()["mwu_weights"](spark, sf).inputFiles())
