@@ -11,6 +11,7 @@ from augurmill.plans import ledger as PL
 from augurmill.plans import models as PM
 from augurmill.plans import scoring as S
 from augurmill.plans.registry import query
+from augurmill.session import scratch_path
 from augurmill.sources import fixtures as fx
 from augurmill.sources import ledger
 
@@ -135,7 +136,10 @@ def curve_versions(spark, sf):
 
 
 def weight_versions(spark, sf):
-    old = PM.weights(spark, sf).withColumn("version", F.lit("old"))
+    # a few rows from all forecasts, read by several joins: written once, its size is known to these
+    weights, at = PM.weights(spark, sf), scratch_path(spark, "weights")
+    weights.write.parquet(at)
+    old = spark.read.schema(weights.schema).parquet(at).withColumn("version", F.lit("old"))
     return old.unionByName(old.where("category <> 'politics'").withColumn("version", F.lit("new")).withColumn("weight", 0.6 - F.col("weight")))
 
 

@@ -571,3 +571,12 @@ def test_expert_sums_are_the_ledgers_last_state(spark, sf):
         s = state[r["model_id"], r["category"]]
         assert (r["n_forecasts"], r["cum_log_wealth"]) == (s["n_forecasts"], pytest.approx(s["cum_log_wealth"], abs=1e-9))
     assert not any("slices" in x for x in entry.queries()["mwu_weights"](spark, sf).inputFiles())
+
+
+def test_replayed_weights_read_the_forecasts_once(spark, sf):
+    import __spark_entry__ as entry
+    from augurmill.plans import fits as PF
+    entry.queries()
+    rows = PF.weight_versions(spark, sf)
+    assert not any("lineitem" in x for x in rows.inputFiles())
+    assert {r["version"] for r in rows.select("version").distinct().collect()} == {"old", "new"}
