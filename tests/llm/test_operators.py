@@ -347,6 +347,30 @@ def test_secrets_on_held_out_documents(spark, odd, none):
     assert secrets.train(none).score([0.0] * secrets.FEATURES) == 0
 
 
+def test_secrets_learn_from_all_texts(spark):
+    """Words behind the first 200 and of more than 8,000 texts, and more than 4,000 findings of a label."""
+    letters = lambda i: "".join(chr(97 + i // 26 ** k % 26) for k in range(4))
+    docs = spark.range(9000).rdd.map(lambda r: (r.id, "filler " * 250 + f"zq{letters(r.id)} password={r.id:08d}x7Kp9Lm2 or {letters(r.id)}@mail.example")).toDF("doc_id long, text string")
+    forest = secrets.train(docs, trees=3)
+    assert all(f"zq{letters(i)}" in forest.words for i in (0, 4321, 8999))
+    marked = secrets.marked_in(docs)
+    assert marked.where("label = 2 and own like 'zq____'").count() == 9000
+    assert {r["label"]: r["n"] for r in secrets.examples_of(marked.where("label < 2")).groupBy("label").agg(F.sum("n").alias("n")).collect()} == {0: 18000, 1: 18000}
+
+
+def test_secrets_at_once_equal_one_by_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.unionByName(docs.limit(50)).select("doc_id", F.concat_ws(" ", "text", F.when(F.col("doc_id") % 3 == 0, "see mail/example.com/die9the/x or token=q8w7e6r5t4y3u2i1")).alias("text"))
+    forest = secrets.train(docs)
+    words = {r.word for r in forest.words.table.collect()}
+    want = collections.Counter()
+    for r in docs.collect():
+        found = secrets.candidates(r.text or "")
+        kept = [f"{s}:{e}" for s, e, before in found if forest.score(secrets.features(r.text[s:e], before, forest.pairs, words)) >= 0.5]
+        want[r.doc_id, len(found), len(kept), ",".join(kept)] += 1
+    assert collections.Counter(map(tuple, secrets.secret_spans(docs, forest).collect())) == want and any(k[2] for k in want)
+
+
 def test_html_layout():
     page = ("<html><head><title>T</title><style>p{}</style></head><body><h1>Head</h1><p>One <b>two</b><p>Three&amp;four<br>five"
             "<ul><li>a<li>b<ol><li>c</ol></ul><table><tr><th>k<th>value<tr><td>long cell<td>1</table><p hidden>no<p style='display:none'>no"
