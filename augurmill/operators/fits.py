@@ -17,9 +17,14 @@ ALLOWED_VENUES = ("polymarket", "kalshi", "metaculus")
 
 
 def _training(obs: DataFrame) -> DataFrame:
+    """Observations of one bucket, venue, price and outcome as one row with their number `n`.
+
+    Prices move in ticks, so the steps of a fit read far fewer rows than there are observations; and never more.
+    """
     return obs.select(X.horizon_bucket("days_to_resolution").alias("bucket"), X.venue_of().alias("venue")
                       if "venue" in obs.columns else F.lit(X.DEFAULT_VENUE).alias("venue"),
-                      X.logit("p_market").alias("x"), F.col("outcome").alias("y")).where("bucket is not null")
+                      X.logit("p_market").alias("x"), F.col("outcome").alias("y")).where("bucket is not null").groupBy(
+                          "bucket", "venue", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _newton_sums(data: DataFrame, keys: list[str], theta: dict[tuple, tuple[float, float]]) -> dict[tuple, np.ndarray]:
@@ -31,11 +36,11 @@ def _newton_sums(data: DataFrame, keys: list[str], theta: dict[tuple, tuple[floa
             here = here & (F.col(name) == F.lit(value))
         alpha, beta = F.when(here, F.lit(a)).otherwise(alpha), F.when(here, F.lit(b)).otherwise(beta)
     p = X.sigmoid(alpha + beta * F.col("x"))
-    r, w = F.col("y") - F.col("p"), F.col("p") * (1 - F.col("p"))
+    r, w = F.col("n") * (F.col("y") - F.col("p")), F.col("n") * F.col("p") * (1 - F.col("p"))
     rows = (data.withColumn("p", p).where("p is not null").groupBy(*keys).agg(
         F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1"), F.sum(w).alias("h00"),
         F.sum(w * F.col("x")).alias("h01"), F.sum(w * F.col("x") * F.col("x")).alias("h11"),
-        F.sum(-(F.col("y") * F.log(X.clip("p", X.EPS, 1 - X.EPS))
+        F.sum(-F.col("n") * (F.col("y") * F.log(X.clip("p", X.EPS, 1 - X.EPS))
                 + (1 - F.col("y")) * F.log(1 - X.clip("p", X.EPS, 1 - X.EPS)))).alias("nll")).collect())
     return {tuple(row[k] for k in keys): np.array([row["g0"], row["g1"], row["h00"], row["h01"], row["h11"], row["nll"]])
             for row in rows}
@@ -70,7 +75,7 @@ def fit_recalibration(obs: DataFrame, max_steps: int = 60) -> DataFrame:
     """Logistic alpha, beta per horizon bucket, all buckets in one aggregate per Newton step."""
     data = _training(obs).persist()
     try:
-        counts = {r["bucket"]: r["n"] for r in data.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts = {r["bucket"]: r["n"] for r in data.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
         fits = {b: _Descent(np.array([0.0, 1.0])) for b, n in counts.items() if n >= MIN_BUCKET_N}
         for _ in range(max_steps):
             if all(d.done for d in fits.values()):
@@ -95,7 +100,7 @@ def fit_hier(obs: DataFrame, max_steps: int = 80) -> DataFrame:
     data = _training(obs).where(F.col("venue").isin(*ALLOWED_VENUES)).persist()
     try:
         n = {(r["bucket"], r["venue"]): r["n"]
-             for r in data.groupBy("bucket", "venue").agg(F.count(F.lit(1)).alias("n")).collect()}
+             for r in data.groupBy("bucket", "venue").agg(F.sum("n").alias("n")).collect()}
         size: dict[str, int] = {}
         for (b, _), c in n.items():
             size[b] = size.get(b, 0) + c

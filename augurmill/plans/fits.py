@@ -18,14 +18,17 @@ from augurmill.sources import ledger
 MEMBERS = ["m0_market", "m1_debiased", "m2_baserate", "m3_evidence", "m5_nowcast", "m7_crossvenue"]
 
 
-def observations(spark, sf):
+def observed(rows, *also):
     """Resolved price rows with their stated horizon."""
-    return (S.scored(spark, sf).where("model_id = 'm0_market'").select(
-        F.col("forecast_id").alias("obs_id"), "condition_id", "category", "venue", "cluster_id", "entry_s",
-        F.col("p_market_at_ts").alias("p_market"), F.col("payout_yes").alias("outcome"),
+    return (rows.where("model_id = 'm0_market'").select(
+        *also, "venue", F.col("p_market_at_ts").alias("p_market"), F.col("payout_yes").alias("outcome"),
         ((F.col("end_s") - F.col("ts_s")) / X.DAY).alias("days_to_resolution")).where("days_to_resolution > 0"))
 
 
+def observations(spark, sf):
+    return observed(S.scored(spark, sf), F.col("forecast_id").alias("obs_id"), "condition_id", "category", "cluster_id", "entry_s")
+
+
 @query
 def fit_recalibration(spark, sf):
     return FT.fit_recalibration(observations(spark, sf))
@@ -76,12 +79,16 @@ def daily_pair_correlation(spark, sf):
     return FT.daily_pair_correlation(fx.snapshots(spark, sf), pairs, 1704067200, 1704067200 + 90 * X.DAY)
 
 
-def pooled_rows(spark, sf):
-    return S.scored(spark, sf).where("model_id = 'm4_ensemble'").select(
-        "forecast_id", "condition_id", F.coalesce("category", F.lit("unknown")).alias("category"), "cluster_id", "entry_s",
+def pooled(rows, *also):
+    return rows.where("model_id = 'm4_ensemble'").select(
+        "forecast_id", F.coalesce("category", F.lit("unknown")).alias("category"), "entry_s", *also,
         F.col("p_yes").alias("p_pooled"), F.col("payout_yes").alias("outcome"))
 
 
+def pooled_rows(spark, sf):
+    return pooled(S.scored(spark, sf), "condition_id", "cluster_id")
+
+
 @query
 def fit_exponent(spark, sf):
     return FT.fit_exponent(pooled_rows(spark, sf), ["category"])
@@ -135,11 +142,15 @@ def curve_versions(spark, sf):
     return old.unionByName(old.withColumn("version", F.lit("new")).withColumn("alpha", F.lit(-0.4)).withColumn("beta", F.lit(0.1)))
 
 
+def written(df, name):
+    """`df` as a table: read by several joins and jobs it is derived once, and its size is known to them."""
+    at = scratch_path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def weight_versions(spark, sf):
-    # a few rows from all forecasts, read by several joins: written once, its size is known to these
-    weights, at = PM.weights(spark, sf), scratch_path(spark, "weights")
-    weights.write.parquet(at)
-    old = spark.read.schema(weights.schema).parquet(at).withColumn("version", F.lit("old"))
+    old = written(PM.weights(spark, sf), "weights").withColumn("version", F.lit("old"))  # a few rows from all forecasts
     return old.unionByName(old.where("category <> 'politics'").withColumn("version", F.lit("new")).withColumn("weight", 0.6 - F.col("weight")))
 
 
@@ -175,20 +186,27 @@ def rollback_check(spark, sf):
 
 @query
 def bounded_steps(spark, sf):
-    """All kinds of fits, each held within a fifth of the parameters in use: one row per kind, key and parameter."""
+    """All kinds of fits, each held within a fifth of the parameters in use: one row per kind, key and parameter.
+
+    The four fits of forecasts read one table of scored rows, the parameters in use one of the ledger's cells.
+    """
+    rows = written(S.scored(spark, sf).select("model_id", "category", "venue", "entry_s", "end_s", "ts_s", "p_market_at_ts", "p_yes", "payout_yes",
+                                              F.when(F.col("model_id") == "m4_ensemble", F.col("forecast_id")).alias("forecast_id")), "scored")  # ids order pooled rows only
+    cells = written(fx.forecasts(spark, sf).select("category", "model_id").distinct(), "cells")
+    obs = observed(rows)
     own = PM.offsets(spark, sf).select("bucket", "venue", F.col("alpha_offset").alias("alpha"), F.col("beta_offset").alias("beta"))
     hier_old = PM.curves(spark, sf).select("bucket", F.lit(None).cast("string").alias("venue"), "alpha", "beta").unionByName(own)
     sd_old = surprises(spark, sf).select("series").distinct().withColumn("sd", (1 + F.substring("series", 2, 9).cast("int") % 5) / 10e0)
     kinds = {
-        "curves": (FT.fit_recalibration(observations(spark, sf)), PM.curves(spark, sf), ["bucket"], ["alpha", "beta"]),
-        "hier": (FT.fit_hier(observations(spark, sf)), hier_old, ["bucket", "venue"], ["alpha", "beta"]),
-        "weights": (FT.fit_pool_weights(S.scored(spark, sf)), PM.weights(spark, sf), ["category", "model_id"], ["weight"]),
-        "exponents": (FT.fit_exponent(pooled_rows(spark, sf), ["category"]), PM.exponents(spark, sf), ["category"], ["a"]),
+        "curves": (FT.fit_recalibration(obs), PM.curves(spark, sf), ["bucket"], ["alpha", "beta"]),
+        "hier": (FT.fit_hier(obs), hier_old, ["bucket", "venue"], ["alpha", "beta"]),
+        "weights": (FT.fit_pool_weights(rows), PM.weights(spark, sf, cells), ["category", "model_id"], ["weight"]),
+        "exponents": (FT.fit_exponent(pooled(rows), ["category"]), PM.exponents(spark, sf, cells), ["category"], ["a"]),
         "surprise_sd": (FT.fit_surprise_sd(surprises(spark, sf)), sd_old, ["series"], ["sd"])}
     out = None
     for kind, (new, old, keys, values) in kinds.items():
-        rows = FT.bounded_step(new, old, keys, values)
+        moved = FT.bounded_step(new, old, keys, values)
         name = F.concat_ws("|", *[F.coalesce(F.col(k), F.lit("")) for k in keys]).alias("name")
-        long = rows.select(F.lit(kind).alias("kind"), name, F.explode(F.array(*[F.struct(F.lit(v).alias("parameter"), F.col(v).cast("double").alias("value")) for v in values])).alias("p")).select("kind", "name", "p.*")
+        long = moved.select(F.lit(kind).alias("kind"), name, F.explode(F.array(*[F.struct(F.lit(v).alias("parameter"), F.col(v).cast("double").alias("value")) for v in values])).alias("p")).select("kind", "name", "p.*")
         out = long if out is None else out.unionByName(long)
     return out

@@ -45,13 +45,14 @@ def base_rates(spark, sf):
             .groupBy("category").agg(F.avg("payout_yes").alias("base_rate")))
 
 
-def weights(spark, sf):
-    f = fx.forecasts(spark, sf).where("category in ('economics', 'weather', 'politics')").select("category", "model_id").distinct()
+def weights(spark, sf, cells=None):
+    """Of the categories and models in `cells`, or in the ledger."""
+    f = (fx.forecasts(spark, sf) if cells is None else cells).where("category in ('economics', 'weather', 'politics')").select("category", "model_id").distinct()
     return f.withColumn("weight", X.hash_int(F.concat_ws("|", "category", "model_id")) % 5 / 10e0)
 
 
-def exponents(spark, sf):
-    f = fx.forecasts(spark, sf).where("category in ('economics', 'sports')").select("category").distinct()
+def exponents(spark, sf, cells=None):
+    f = (fx.forecasts(spark, sf) if cells is None else cells).where("category in ('economics', 'sports')").select("category").distinct()
     return f.select("category", (1 + X.hash_int(F.col("category")) % 7 / 4e0).alias("a"),
                     (X.hash_int(F.concat(F.lit("r"), "category")) % 10 / 10e0).alias("rho_bar"))
 

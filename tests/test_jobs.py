@@ -255,6 +255,23 @@ def test_recalibration_is_at_the_optimum(spark):
         assert r["beta"] == pytest.approx(1.4, abs=0.15)
 
 
+def test_steps_of_a_fit_read_prices_and_not_rows(spark):
+    obs, _ = observations(spark, 600)
+    many = obs.crossJoin(spark.range(20)).drop("id")
+    assert fits._training(many).count() == fits._training(obs).count()
+    for fit in (fits.fit_recalibration, fits.fit_hier):
+        one, all_ = ({(r["bucket"], r.asDict().get("venue")): r for r in fit(x).collect()} for x in (obs, many))
+        for k, r in one.items():
+            assert all_[k]["n"] == 20 * r["n"]
+            if fit is fits.fit_recalibration:
+                assert (all_[k]["alpha"], all_[k]["beta"]) == pytest.approx((r["alpha"], r["beta"]))
+
+
+def test_bounded_steps_reads_the_ledger_once_for_all_fits(spark, sf):
+    from augurmill.plans import fits as plans
+    assert not any("lineitem" in f or "orders" in f for f in plans.bounded_steps(spark, sf).inputFiles())
+
+
 def test_hierarchical_fit_minimizes_the_penalized_loss(spark):
     obs, data = observations(spark)
     got = fits.fit_hier(obs).collect()
