@@ -93,14 +93,16 @@ class Keyed:
 def stream_snapshots(quotes: DataFrame, minutes: int, path: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
     """Floor to the cadence, keep the first quote per (bucket, market), append by date and hour.
 
-    Repeats that arrive within `delay` of the first are dropped by keyed state,
-    which then expires; the clock is that of arrival, so no quote is too late. The
-    append drops keys the archive already holds, so however late a repeat comes,
-    and however often a batch is retried, the first write stands.
+    A quote that arrives again within `delay` is dropped by keyed state, which
+    then expires; the clock is that of arrival, so no quote is too late. Different
+    quotes of a key pass: state keeps what a task happens to read first, so only
+    the append chooses, by quote id. It drops keys the archive already holds, so
+    however late a repeat comes, and however often a batch is retried, the first
+    write stands.
     """
     floored = archive.ts_bucket(quotes, minutes).withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", delay)
-    first = floored.dropDuplicatesWithinWatermark(archive.KEY).drop("__arrived")
-    return _run(first, checkpoint, lambda batch, _: archive.snapshot_append(batch, path))
+    once = floored.dropDuplicatesWithinWatermark([*archive.KEY, "quote_id"]).drop("__arrived")
+    return _run(once, checkpoint, lambda batch, _: archive.snapshot_append(batch, path))
 
 
 LATEST = "condition_id string, ts_s bigint, quote_id string, mid double"

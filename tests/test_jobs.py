@@ -484,6 +484,17 @@ def test_snapshot_stream_holds_one_quote_per_bucket(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def test_snapshot_stream_keeps_the_lowest_id_of_a_batch_wherever_it_lies(spark, tmp_path):
+    """Not the quote that a task reads first; a later batch's lower id does not replace a written row."""
+    batches = [[("b", "x", 10, 2.0), ("c", "x", 20, 3.0), ("a", "x", 200, 1.0), ("d", "y", 0, 4.0)], [("0", "x", 0, 5.0), ("a", "x", 200, 1.0), ("e", "y", 301, 6.0)]]
+    for rows in batches:
+        spark.createDataFrame(rows, QUOTE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(spark.createDataFrame([], QUOTE).schema).parquet(str(tmp_path / "in"))
+        jobs.stream_snapshots(stream, 5, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = sorted(tuple(r) for r in archive.snapshot_read(spark, str(tmp_path / "out")).select("quote_id", "condition_id", "ts_s", "mid").collect())
+    assert got == [("a", "x", 0, 1.0), ("d", "y", 0, 4.0), ("e", "y", 300, 6.0)]
+
+
 def test_a_stream_batch_writes_few_files_for_each_hour(spark, tmp_path):
     """Not one for each task and hour."""
     q = spark.range(4000).select(F.col("id").cast("string").alias("quote_id"), F.concat(F.lit("c"), F.col("id") % 50).alias("condition_id"),
