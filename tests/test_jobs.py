@@ -164,6 +164,21 @@ def test_wealth_bands_over_ranges_of_hashes(spark, monkeypatch):
     assert {(r["model_id"], r["step"]): (r["lo"], r["hi"]) for r in got.collect()} == want
 
 
+def test_registered_wealth_bands_take_500_replicates_and_hash_each_draw_once(spark, sf):
+    """The largest cell against paths ordered in memory; counts and paths read the same shuffled draws."""
+    from augurmill.plans import accounting as plans
+    deltas = accounting.kelly_delta(plans.S.scored(spark, sf)).where("model_id = 'm0_market' and category = 'sports'")
+    data = [(r.forecast_id, r.log_wealth_delta) for r in deltas.select("forecast_id", "log_wealth_delta").collect()]
+    paths = [np.cumsum([x for _, x in sorted(data, key=lambda r: hashlib.sha256(f"3|{rep}|{r[0]}".encode()).hexdigest())]) for rep in range(1, 501)]
+    query = plans.wealth_bands(spark, sf)
+    got = {r.step: (r.lo, r.hi) for r in query.collect() if (r.model_id, r.category) == ("m0_market", "sports")}
+    assert len(data) > 50 and len(got) == len(data)
+    for step, (lo, hi) in enumerate(np.quantile(paths, [0.05, 0.95], axis=0).T, 1):
+        assert got[step] == (pytest.approx(lo, abs=1e-6), pytest.approx(hi, abs=1e-6))
+    final = query._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("MapInArrow pieces") == 1 and "ReusedExchange" in final
+
+
 def test_no_category_is_brought_into_one_task_to_learn_its_state(spark):
     """The states go to the candidates, whatever the planner knows of sizes."""
     c = spark.range(300).select(F.concat(F.lit("k"), F.col("id") % 3).alias("category"), F.col("id").alias("seq"), F.col("id").cast("string").alias("trade_id"), F.lit(30.0).alias("stake"))
